@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import lines, minmax, mixing, tokenout
-from .common import table
+from . import decontam, embeddings, html, langid, licenses, lines, minmax, mixing, tokenout, toxicity
+from .common import bucket_of_id, table
 
 
 def vocabulary_path(name: str = "word_bpe_49k.json") -> str:
@@ -15,18 +15,46 @@ def vocabulary_path(name: str = "word_bpe_49k.json") -> str:
     return public_tokenizers.path(name)
 
 
+def op1_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    fold = bucket_of_id(F.col("doc_id"), 4)
+    model = langid.train(docs, "text", "lang", "doc_id", fold != 2)
+    return langid.identify(docs, model, fold == 2)
+
+
 def op2_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
 
 
+def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    fold = bucket_of_id(F.col("doc_id"), 5)
+    return toxicity.toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"), fold != 0, fold == 0)
+
+
+def op4_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontam.decontaminate(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def op5_minmax_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minmax.near_duplicates(table(spark, sf_dir, "documents"), percent=85).select("doc_id", "n_shingles", "component_id", "kept")
 
 
+def op6_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.scan(table(spark, sf_dir, "documents"))
+
+
+def op7_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return embeddings.near_vectors(table(spark, sf_dir, "embeddings"))
+
+
 def op8_token_output(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokenout.token_output(table(spark, sf_dir, "documents"), vocabulary_path()).select("doc_id", "start", "n_tokens", "ids_crc32")
 
 
+def op9_html_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html.main_text(table(spark, sf_dir, "pages"))
+
+
 def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = lines.drop_repeated_lines(table(spark, sf_dir, "documents"), min_docs=10, min_chars=1)
     return out.select("doc_id", "n_lines", "n_dropped", F.sha2(F.col("kept_text").cast("binary"), 256).alias("kept_sha256"))
@@ -58,5 +86,19 @@ SELECT doc_id, CAST(count(*) AS BIGINT) AS n_lines, CAST(count(g.k) AS BIGINT) A
 FROM keyed LEFT JOIN gone g USING (k) GROUP BY doc_id, r
 """
 
-QUERIES = {f.__name__: f for f in (op2_mixing, op5_minmax_near_dedup, op8_token_output, op10_line_dedup)}
-ORACLE = {"op2_mixing": mixing.ORACLE, "op5_minmax_near_dedup": OP5_SQL, "op10_line_dedup": OP10_SQL}
+OP7_SQL = """
+WITH RECURSIVE good AS (
+  SELECT vec_id, CAST(embedding AS DOUBLE[]) AS v FROM embeddings
+  WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0 AND list_dot_product(CAST(embedding AS DOUBLE[]), CAST(embedding AS DOUBLE[])) > 0),
+links AS (SELECT a.vec_id AS a, b.vec_id AS b FROM good a JOIN good b ON a.vec_id <> b.vec_id AND len(a.v) = len(b.v) AND list_cosine_similarity(a.v, b.v) >= 0.9),
+reach AS (SELECT vec_id AS a, vec_id AS b FROM embeddings UNION SELECT r.a, t.b FROM reach r JOIN links t ON r.b = t.a),
+counted AS (SELECT a, count(*) AS n FROM links GROUP BY a)
+SELECT e.vec_id, coalesce(any_value(c.n), 0) AS n_links, min(r.b) AS component_id, e.vec_id = min(r.b) AS kept
+FROM embeddings e JOIN reach r ON r.a = e.vec_id LEFT JOIN counted c ON c.a = e.vec_id GROUP BY e.vec_id
+"""
+
+QUERIES = {
+    f.__name__: f
+    for f in (op1_language_id, op2_mixing, op3_toxicity, op4_decontamination, op5_minmax_near_dedup, op6_license_scan, op7_embedding_near_dedup, op8_token_output, op9_html_main_text, op10_line_dedup)
+}
+ORACLE = {"op2_mixing": mixing.ORACLE, "op5_minmax_near_dedup": OP5_SQL, "op6_license_scan": licenses.ORACLE, "op7_embedding_near_dedup": OP7_SQL, "op10_line_dedup": OP10_SQL}

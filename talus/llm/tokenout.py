@@ -21,8 +21,8 @@ MAGIC = b"TALUSVB1"
 #: A shard is closed at the end of the document that reaches this many tokens.
 SHARD_TOKENS = 1 << 23
 _STEP = 1 << 20
-#: Distinct words that a worker remembers the ids of.
-REMEMBERED = 600_000
+#: Distinct words, and stems of words, that a worker remembers the ids of.
+REMEMBERED = 900_000
 _TABLE = ((np.arange(256)[:, None] >> (2 * np.arange(4))) & 3).astype(np.uint8) + np.uint8(1)
 
 
@@ -97,11 +97,51 @@ def unpack_shard(raw: bytes) -> tuple[list, np.ndarray, np.ndarray]:
     return [None if a else int(d) for d, a in zip(doc_ids, absent, strict=True)], lengths.astype(np.int64), by_rank[ranks] if n_tokens else ranks
 
 
+class _Table:
+    """Growing lists of ids: one list after another in one array."""
+
+    def __init__(self):
+        self.start, self.size = np.zeros(1 << 16, np.int64), np.zeros(1 << 16, np.int64)
+        self.flat = np.zeros(1 << 18, np.uint32)
+        self.n = self.used = 0
+
+    def add(self, sizes: np.ndarray, flat: np.ndarray) -> None:
+        while self.n + len(sizes) > len(self.start):
+            self.start, self.size = np.concatenate([self.start, np.zeros_like(self.start)]), np.concatenate([self.size, np.zeros_like(self.size)])
+        while self.used + len(flat) > len(self.flat):
+            self.flat = np.concatenate([self.flat, np.zeros_like(self.flat)])
+        self.start[self.n : self.n + len(sizes)] = self.used + np.cumsum(sizes) - sizes
+        self.size[self.n : self.n + len(sizes)] = sizes
+        self.flat[self.used : self.used + len(flat)] = flat
+        self.n += len(sizes)
+        self.used += len(flat)
+
+    def gather(self, which: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        size = self.size[which]
+        end = np.cumsum(size)
+        return size, self.flat[np.repeat(self.start[which] - end + size, size) + np.arange(int(end[-1]) if len(end) else 0)]
+
+
+class _Numbered(dict):
+    """Numbers keys as they are first asked for and lists the new ones."""
+
+    def __init__(self):
+        self.new: list[bytes] = []
+
+    def __missing__(self, key):
+        self.new.append(key)
+        n = self[key] = len(self)
+        return n
+
+
 class WordIds:
     """Token ids of texts by their words between ASCII white space.
 
-    The tokenizer drops white space and never joins what it parts, so a text's ids are those of its words in a row;
-    each word is given to the library once and remembered."""
+    The tokenizer drops white space and never joins what it parts, so a text's ids are those of its words in a row.
+    It also parts a letter from plain punctuation behind it and lower-cases, so a word is a stem in lower case and its
+    tail; each stem and tail is given to the library once and remembered."""
+
+    TAIL = b".,;:!?#$%&*"
 
     def __init__(self, path: str):
         import os
@@ -110,44 +150,47 @@ class WordIds:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self._clear()
-
-    def _clear(self) -> None:
-        self.index: dict[bytes, int] = {}
-        self.start, self.size, self.flat = np.zeros(1 << 16, np.int64), np.zeros(1 << 16, np.int64), np.zeros(1 << 18, np.uint32)
-        self.used = 0
-
-    def _learn(self, words: list[bytes]) -> None:
-        got = self.tokenizer.encode_batch_fast([w.decode() for w in words], add_special_tokens=False)
-        ids = [e.ids for e in got]
-        sizes = np.fromiter(map(len, ids), dtype=np.int64, count=len(ids))
-        flat = np.fromiter((i for x in ids for i in x), dtype=np.uint32, count=int(sizes.sum()))
-        n = len(self.index)
-        while n + len(words) > len(self.start):
-            self.start, self.size = np.concatenate([self.start, np.zeros_like(self.start)]), np.concatenate([self.size, np.zeros_like(self.size)])
-        while self.used + len(flat) > len(self.flat):
-            self.flat = np.concatenate([self.flat, np.zeros_like(self.flat)])
-        self.start[n : n + len(words)] = self.used + np.cumsum(sizes) - sizes
-        self.size[n : n + len(words)] = sizes
-        self.flat[self.used : self.used + len(flat)] = flat
-        self.used += len(flat)
-        self.index.update(zip(words, range(n, n + len(words)), strict=True))
-
-    def encode(self, raw: bytes) -> np.ndarray:
-        words = raw.split()
-        if not words:
-            return np.zeros(0, np.uint32)
-        if len(self.index) > REMEMBERED:
-            self._clear()
-        index = self.index
-        place = [index.get(w, -1) for w in words]
-        if -1 in place:
-            self._learn(list({w for w, p in zip(words, place, strict=True) if p < 0}))
-            place = [index[w] for w in words]
-        place = np.array(place)
-        size = self.size[place]
-        end = np.cumsum(size)
-        return self.flat[np.repeat(self.start[place] - end + size, size) + np.arange(int(end[-1]))]
+        self.pieces, self.piece_ids = _Numbered(), _Table()
+        self.words, self.word_ids = _Numbered(), _Table()
+
+    def _parts(self, word: bytes) -> tuple[bytes, bytes]:
+        stem = word.rstrip(self.TAIL)
+        if stem.isascii():
+            if stem and not stem[-1:].isalnum():
+                return word, b""
+            return stem.lower(), word[len(stem) :]
+        text = stem.decode()
+        # Beyond Latin-1, lower case or composition may end a letter in a mark that punctuation would join.
+        if not text[-1].isalpha() or text[-1] > "\xff":
+            return word, b""
+        return (text.lower().encode() if max(text) < "\u0100" else stem), word[len(stem) :]
+
+    def _learn(self) -> None:
+        piece = self.pieces.__getitem__
+        pairs = np.array([(piece(a), piece(b)) for a, b in map(self._parts, self.words.new)], dtype=np.int64).reshape(-1)
+        if self.pieces.new:
+            ids = [e.ids for e in self.tokenizer.encode_batch_fast([w.decode() for w in self.pieces.new], add_special_tokens=False)]
+            sizes = np.fromiter(map(len, ids), dtype=np.int64, count=len(ids))
+            self.piece_ids.add(sizes, np.array([i for x in ids for i in x], dtype=np.uint32))
+            self.pieces.new = []
+        sizes, flat = self.piece_ids.gather(pairs)
+        self.word_ids.add(sizes.reshape(-1, 2).sum(axis=1), flat)
+        self.words.new = []
+
+    def encode(self, texts: list[bytes]) -> list[np.ndarray]:
+        if len(self.words) > REMEMBERED:
+            self.words, self.word_ids = _Numbered(), _Table()
+        if len(self.pieces) > REMEMBERED:
+            self.pieces, self.piece_ids = _Numbered(), _Table()
+        split = [t.split() for t in texts]
+        counts = [len(x) for x in split]
+        number = self.words.__getitem__
+        place = np.fromiter((number(w) for x in split for w in x), dtype=np.int64, count=sum(counts))
+        if self.words.new:
+            self._learn()
+        sizes, flat = self.word_ids.gather(place)
+        upto = np.concatenate([[0], np.cumsum(sizes)])[np.concatenate([[0], np.cumsum(counts)])]
+        return [flat[upto[i] : upto[i + 1]] for i in range(len(texts))]
 
 
 _WORDS: dict[str, WordIds] = {}
@@ -185,14 +228,15 @@ def _write(out: str, vocabulary: str, end_id: int):
 
         end = np.array([end_id], dtype=np.uint32)
         for batch in batches:
-            for doc, raw in zip(batch.column(0).to_pylist(), bytes_of(batch.column(1)), strict=True):
-                x = encoder.encode(raw)
-                docs.append(doc)
-                lengths.append(len(x) + 1)
-                ids += [x, end]
-                held += len(x) + 1
-                if held >= SHARD_TOKENS:
-                    yield close()
+            names, texts = batch.column(0).to_pylist(), bytes_of(batch.column(1))
+            for at in range(0, len(texts), 64):
+                for doc, x in zip(names[at : at + 64], encoder.encode(texts[at : at + 64]), strict=True):
+                    docs.append(doc)
+                    lengths.append(len(x) + 1)
+                    ids += [x, end]
+                    held += len(x) + 1
+                    if held >= SHARD_TOKENS:
+                        yield close()
         if docs:
             yield close()
 
