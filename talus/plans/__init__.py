@@ -1 +1 @@
-
+"""Query plans; importing the query modules registers them."""
