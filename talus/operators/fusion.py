@@ -50,12 +50,3 @@ def best_per_key(df: DataFrame, key: list[str], order: list[Column]) -> DataFram
     """One row a key, the first in the order."""
     return df.withColumn("__rn", F.row_number().over(Window.partitionBy(*key).orderBy(*order))).where("__rn = 1").drop("__rn")
 
-
-def batch_topk(queries: DataFrame, items: DataFrame, query_vec: str, item_vec: str, query_id: str, item_id: str, k: int, where: Column | None = None, score: str = "sim") -> DataFrame:
-    """k nearest items of each query: a short list of queries is broadcast, each task keeps k rows a query."""
-    pairs = items.crossJoin(F.broadcast(queries))
-    if where is not None:
-        pairs = pairs.where(where)
-    pairs = pairs.withColumn(score, dot(F.col(item_vec), F.col(query_vec)))
-    order = Window.partitionBy(query_id).orderBy(F.desc(score), item_id)
-    return pairs.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)

@@ -11,6 +11,7 @@ from talus.functions.times import decay
 
 from .access import visible_memories
 from .fusion import ranked
+from .nearest import nearest_in_group
 
 #: Weights of the importance score.
 WEIGHTS = {"activation_count": 0.2, "incident_prevention": 0.5, "user_endorsement": 0.3, "user_correction": -0.4, "prediction_error_ewma": -0.2}
@@ -82,12 +83,10 @@ def expand(edges: DataFrame, memories: DataFrame, allowlist: DataFrame, sources:
 def suggested_links(memories: DataFrame, edges: DataFrame, threshold: float, limit: int, nearest: int = 3) -> DataFrame:
     """Unlinked pairs of a chassis and project, each memory with its nearest; symmetric pairs once."""
     m = memories.where("deleted_at is null and dense is not null").select("id", "chassis_id", "source_project", "dense")
-    a = m.select(F.col("id").alias("a_id"), "chassis_id", "source_project", F.col("dense").alias("a_vec"))
-    b = m.select(F.col("id").alias("b_id"), "chassis_id", "source_project", F.col("dense").alias("b_vec"))
-    linked = edges.where("target_memory_pk is not null").select(F.least("source_memory_pk", "target_memory_pk").alias("lo"), F.greatest("source_memory_pk", "target_memory_pk").alias("hi")).distinct()
-    pairs = a.join(b, ["chassis_id", "source_project"]).where("a_id <> b_id").withColumn("lo", F.least("a_id", "b_id")).withColumn("hi", F.greatest("a_id", "b_id"))
-    pairs = pairs.join(linked, ["lo", "hi"], "left_anti").withColumn("sim", 1 - vectors.cosine_distance("a_vec", "b_vec"))
-    near = pairs.withColumn("rn", F.row_number().over(Window.partitionBy("a_id").orderBy(F.desc("sim"), "b_id"))).where((F.col("rn") <= nearest) & (F.col("sim") >= threshold))
+    two = edges.where("target_memory_pk is not null").select(F.col("source_memory_pk").alias("id"), F.col("target_memory_pk").alias("other"))
+    linked = two.union(two.select(F.col("other").alias("id"), F.col("id").alias("other"))).groupBy("id").agg(F.collect_set("other").alias("linked"))
+    near = nearest_in_group(m.join(linked, "id", "left"), ["chassis_id", "source_project"], "id", "dense", nearest, "linked").where(F.col("sim") >= threshold)
+    near = near.select(F.least("a", "b").alias("lo"), F.greatest("a", "b").alias("hi"), "sim")
     return near.groupBy("lo", "hi").agg(F.max("sim").alias("sim")).orderBy(F.desc("sim"), "lo", "hi").limit(limit)
 
 

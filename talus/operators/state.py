@@ -77,9 +77,9 @@ def classify_files(found: DataFrame, known: DataFrame, per_message: int = 50_000
 
 def chunk_diff(old: DataFrame, new: DataFrame) -> DataFrame:
     """What each file's new chunks need: nothing, or a replacement that reuses vectors of equal content."""
-    seq = lambda df, name: df.groupBy("path").agg(F.transform(F.array_sort(F.collect_list(F.struct("seq", "content_sha"))), lambda x: x["content_sha"]).alias(name))
-    files = seq(new, "now").join(seq(old, "was"), "path", "left")
+    side = lambda df, name: df.select("path", "seq", F.col("content_sha").alias(name))
+    both = side(new, "now").join(side(old, "was"), ["path", "seq"], "full").groupBy("path").agg(F.count("now").alias("n_now"), F.count("was").alias("n_was"), F.count_if(~F.col("now").eqNullSafe(F.col("was"))).alias("n_off"))
     known = old.select("content_sha").distinct().withColumn("reuse", F.lit(1))
     reuse = new.join(known, "content_sha", "left").groupBy("path").agg(F.count(F.lit(1)).alias("n_chunks"), F.sum(F.coalesce("reuse", F.lit(0))).alias("n_reused"))
-    status = F.when(F.col("was").isNull(), "new").when(F.col("was") == F.col("now"), "metadata-only").otherwise("replaced")
-    return files.select("path", status.alias("status")).join(reuse, "path")
+    status = F.when(F.col("n_was") == 0, "new").when(F.col("n_off") == 0, "metadata-only").otherwise("replaced")
+    return both.where("n_now > 0").select("path", status.alias("status")).join(reuse, "path")

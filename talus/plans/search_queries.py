@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from talus.functions import lexical, vectors
 from talus.operators import access, fusion, memories as mem
+from talus.operators.nearest import nearest_to_queries
 
 from . import bindings as b
 from .registry import query
@@ -169,7 +170,7 @@ def code_knn_lateral(spark, d):
     """k nearest of each query vector outside of its own source."""
     c = b.corpus(spark, d)
     q = c.where("doc_id % 100 = 0").select(F.col("doc_id").alias("qid"), F.col("source").alias("qsource"), F.col("dense").alias("qv"))
-    hits = fusion.batch_topk(q, c.select("doc_id", "source", "dense"), "qv", "dense", "qid", "doc_id", 3, F.col("source") != F.col("qsource"))
+    hits = nearest_to_queries(q, c, "qid", "qv", "doc_id", "dense", 3, ("qsource", "source"))
     return hits.select("qid", "doc_id", F.col("rank").cast("long").alias("rank"), F.round("sim", 6).alias("sim"))
 
 

@@ -147,10 +147,11 @@ def coverage_counts(spark, d):
     return b.threads(spark, d).groupBy("project_slug").agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col("dominant_topic") != "").alias("with_topic"), F.count_if(F.col("title").isNull()).alias("untitled"), F.count("ended_at").alias("ended"))
 
 
-@query(b.sql("SELECT platform, string_agg(conv_id::VARCHAR, ',' ORDER BY conv_id) AS members, count(*) AS n FROM threads WHERE project_slug NOT IN ('__no_project__', '__excluded__') GROUP BY platform", "threads"))
+@query(b.sql("SELECT conv_id, platform, count(*) OVER (PARTITION BY platform) AS n FROM threads WHERE project_slug NOT IN ('__no_project__', '__excluded__')", "threads"))
 def members_by_platform(spark, d):
+    """Members with the size of their group, which a partial count gives; no group is gathered."""
     t = b.threads(spark, d).where(~F.col("project_slug").isin("__no_project__", "__excluded__"))
-    return t.groupBy("platform").agg(F.array_join(F.transform(F.array_sort(F.collect_list("conv_id")), lambda x: x.cast("string")), ",").alias("members"), F.count(F.lit(1)).alias("n"))
+    return t.join(t.groupBy("platform").agg(F.count(F.lit(1)).alias("n")), "platform").select("conv_id", "platform", "n")
 
 
 @query(b.sql("SELECT conv_id, project_slug, regexp_replace(substr(x, 1, 120), '[A-Za-z0-9._+/=@$-]{20,}', '[REDACTED]', 'g') AS brief FROM (SELECT t.conv_id, t.project_slug, m.content AS x FROM threads t JOIN messages m ON m.conv_id = t.conv_id AND m.seq = 1) WHERE project_slug NOT IN ('__no_project__', '__unresolved__', '__excluded__') AND x IS NOT NULL", "threads"))

@@ -2,6 +2,11 @@
 
 from __future__ import annotations
 
+import os
+import tempfile
+import zipfile
+from pathlib import Path
+
 from pyspark.sql import SparkSession
 
 
@@ -20,3 +25,18 @@ def build_session(app: str = "talus", master: str | None = None, shuffle_partiti
     if shuffle_partitions:
         conf["spark.sql.shuffle.partitions"] = str(shuffle_partitions)
     return b.config(map=conf).getOrCreate()
+
+
+def ship(spark: SparkSession) -> None:
+    """Make this package importable by Python workers that don't share the driver's path."""
+    root = Path(__file__).resolve().parents[1]
+    on_path = {os.path.realpath(p) for p in os.environ.get("PYTHONPATH", "").split(os.pathsep) if p}
+    sc = spark.sparkContext
+    if str(root) in on_path or getattr(sc, "_talus_shipped", False):
+        return
+    out = Path(tempfile.mkdtemp()) / "talus_package.zip"
+    with zipfile.ZipFile(out, "w") as z:
+        for p in (root / "talus").rglob("*.py"):
+            z.write(p, p.relative_to(root))
+    sc.addPyFile(str(out))
+    sc._talus_shipped = True
