@@ -2,17 +2,15 @@
 
 from __future__ import annotations
 
-import os
-import sys
 import tempfile
 import uuid
-import zipfile
-from pathlib import Path
 
 import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from talus.session import ship  # noqa: F401  (operators take it from here)
+
 #: Sides of a join up to this many bytes (rows x row width, counted first) are broadcast.
 BROADCAST_BYTES = 32 << 20
 
@@ -21,25 +19,12 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def ship(spark: SparkSession) -> None:
-    """Make this package importable by Python workers that don't share the driver's path."""
-    root = Path(__file__).resolve().parents[2]
-    on_path = {os.path.realpath(p) for p in os.environ.get("PYTHONPATH", "").split(os.pathsep) if p}
-    sc = spark.sparkContext
-    if str(root) in on_path or getattr(sc, "_talus_shipped", False):
-        return
-    out = Path(tempfile.mkdtemp()) / "talus_package.zip"
-    with zipfile.ZipFile(out, "w") as z:
-        for p in (root / "talus").rglob("*.py"):
-            z.write(p, p.relative_to(root))
-    sc.addPyFile(str(out))
-    sc._talus_shipped = True
-
-
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share: spark.checkpoint.dir, or a new local one where it is unset."""
     at = spark.conf.get("spark.checkpoint.dir", None) or getattr(spark.sparkContext, "_talus_shared", None)
     if not at:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         at = spark.sparkContext._talus_shared = f"file://{tempfile.mkdtemp(prefix='talus-shared-')}"
     return at.rstrip("/")
 
