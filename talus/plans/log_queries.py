@@ -240,7 +240,7 @@ def dangling_links(spark, d):
 
 
 @query(b.sql("""WITH e AS (SELECT target_memory_pk AS id, source_memory_pk AS via, list_position([5, 9, 2, 40, 77, 120, 8], source_memory_pk) AS r FROM edges WHERE source_memory_pk IN (5, 9, 2, 40, 77, 120, 8) AND target_memory_pk IS NOT NULL AND target_memory_pk NOT IN (5, 9, 2, 40, 77, 120, 8) AND source_memory_pk IN (SELECT id FROM memories WHERE deleted_at IS NULL))
-SELECT id, min(r) AS src_rank, arg_min(via, r) AS via_source_pk FROM e WHERE id IN (SELECT id FROM visible) GROUP BY id ORDER BY src_rank, id LIMIT 10""", "visible", "edges"))
+SELECT id, CAST(min(r) AS BIGINT) AS src_rank, arg_min(via, r) AS via_source_pk FROM e WHERE id IN (SELECT id FROM visible) GROUP BY id ORDER BY src_rank, id LIMIT 10""", "visible", "edges"))
 def neighbor_expand(spark, d):
     out = mem.expand(b.edges(spark, d), b.memories(spark, d), b.allowlist(spark, d), [5, 9, 2, 40, 77, 120, 8], "src1", True, 10)
     return out.select("id", F.col("src_rank").cast("long").alias("src_rank"), "via_source_pk")
@@ -254,7 +254,7 @@ def suggested_links(spark, d):
     return mem.suggested_links(b.memories(spark, d), b.edges(spark, d), 0.3, 40).select("lo", "hi", F.round("sim", 6).alias("sim"))
 
 
-@query(b.sql("SELECT node, sum(o) AS n_out, sum(i) AS n_in FROM (SELECT source_memory_pk::VARCHAR AS node, 1 AS o, 0 AS i FROM edges UNION ALL SELECT coalesce(target_memory_pk::VARCHAR, '?' || target_slug), 0, 1 FROM edges) GROUP BY node", "edges"))
+@query(b.sql("SELECT node, CAST(sum(o) AS BIGINT) AS n_out, CAST(sum(i) AS BIGINT) AS n_in FROM (SELECT source_memory_pk::VARCHAR AS node, 1 AS o, 0 AS i FROM edges UNION ALL SELECT coalesce(target_memory_pk::VARCHAR, '?' || target_slug), 0, 1 FROM edges) GROUP BY node", "edges"))
 def degree(spark, d):
     return mem.degrees(b.edges(spark, d))
 

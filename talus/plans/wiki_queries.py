@@ -76,10 +76,10 @@ def page_diffs(spark, d):
     return x.select("conv_id", "seq", wiki.unified_diff("content", "after", "slug").alias("diff"))
 
 
-@query(r"""SELECT doc_id, list_filter(['long-diff', 'thin-evidence'], lambda x: (x = 'long-diff' AND n > 20) OR (x = 'thin-evidence' AND doc_id % 5 > 0 AND (doc_id % 3)::DOUBLE / (doc_id % 5) < 0.5)) AS flags FROM (SELECT doc_id, len(string_split(text, chr(10))) AS n FROM documents WHERE text IS NOT NULL)""")
+@query(r"""SELECT doc_id, array_to_string(list_filter(['long-diff', 'thin-evidence'], lambda x: (x = 'long-diff' AND n > 20) OR (x = 'thin-evidence' AND doc_id % 5 > 0 AND (doc_id % 3)::DOUBLE / (doc_id % 5) < 0.5)), ',') AS flags FROM (SELECT doc_id, len(string_split(text, chr(10))) AS n FROM documents WHERE text IS NOT NULL)""")
 def review_flags(spark, d):
     r = F.col("doc_id")
-    return b.read(spark, d, "documents").where("text is not null").select(r, wiki.review_flags(F.size(F.split("text", "\n")), r % 5, r % 3, 20).alias("flags"))
+    return b.read(spark, d, "documents").where("text is not null").select(r, F.array_join(wiki.review_flags(F.size(F.split("text", "\n")), r % 5, r % 3, 20), ",").alias("flags"))
 
 
 @query(r"""SELECT doc_id, substr(regexp_extract(regexp_replace(regexp_replace(coalesce(list_filter(list_transform(string_split(text, chr(10)), lambda x: trim(x)), lambda x: x <> '' AND NOT regexp_matches(x, '^(#|```|[-*>|])'))[1], ''), '\[([^\]]*)\]\([^)]*\)', '\1', 'g'), '[*_`]', '', 'g'), '^(.*?[.!?。]|.*$)', 1), 1, 46) AS lede FROM documents WHERE text IS NOT NULL""")
