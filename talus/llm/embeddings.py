@@ -13,8 +13,9 @@ from pyspark.sql import functions as F
 
 from .common import components, discard, materialize, ship, small_enough
 
-#: Cells are fitted on at most so many vectors, those whose id hash comes first; every vector is assigned.
+#: Cells are fitted on at most so many vectors and bytes, those whose id hash comes first; every vector is assigned.
 FIT_VECTORS, ROUNDS = 65_536, 8
+FIT_BYTES = 64 << 20
 #: Classes a cell should have, and the most cells there are; larger cells only mean more pairs of blocks.
 PER_CELL, MAX_CELLS = 400, 4096
 #: Each class is compared in its home cell and in up to so many others whose centre is nearly as near.
@@ -190,7 +191,7 @@ def near_vectors(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "
     centres = {}
     for dim, n in dims:
         n_cells = max(1, min(MAX_CELLS, math.ceil(n / PER_CELL)))
-        rows = classes.where(F.length("key") == 8 * dim).orderBy(F.xxhash64("rep"), "rep").limit(min(FIT_VECTORS, 40 * n_cells + 1000)).select("key").collect()
+        rows = classes.where(F.length("key") == 8 * dim).orderBy(F.xxhash64("rep"), "rep").limit(min(FIT_VECTORS, 40 * n_cells + 1000, max(1000, FIT_BYTES // (8 * dim)))).select("key").collect()
         centres[dim] = fit_cells(np.frombuffer(b"".join(bytes(r.key) for r in rows)).reshape(len(rows), dim), n_cells)
     placed, placed_path = materialize(classes.mapInArrow(_assign(spark.sparkContext.broadcast(centres)), "dim int, cell int, vec_id long, n long, key binary, cells array<int>"), "cells-placed")
     sizes = placed.groupBy("dim", "cell").agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias("blocks"))

@@ -115,20 +115,46 @@ def train(docs: DataFrame, labels: DataFrame, usable: Column, id_col: str = "doc
     order = F.xxhash64(F.col(id_col).cast("string"))
     positive = {r[0] for r in known.where("toxic = 1").orderBy(order, id_col).limit(POSITIVES).select(id_col).collect()}
     other = {r[0] for r in docs.select(id_col).where(usable).orderBy(order, id_col).limit(UNLABELLED).collect()}
-    # Both id lists are bounded; only these texts leave the scan.
+    # Both id lists are bounded; only these texts leave the scan. Slots are counted in the tasks first, so that of long
+    # texts no more than the slots that can get a weight come to the driver.
     rows = docs.where(F.col(id_col).isin([*(positive | other)])).select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
-    got = rows.mapInArrow(_slots_by_id, rows.select("id", F.lit(None).cast("array<int>").alias("slots")).schema).limit(4 * (POSITIVES + UNLABELLED)).toPandas()
+    counts = rows.select(F.col("id").isin([*positive]).alias("p"), F.col("id").isin([*other]).alias("u"), "text").mapInArrow(_counts, "slot int, p long, u long").groupBy("slot").agg(F.sum("p").alias("p"), F.sum("u").alias("u"))
+    counts = {r.slot: (r.p, r.u) for r in counts.where("p >= 3 or slot < 0").toLocalIterator()}
+    n_p, n_u = counts.pop(-1, (0, 0))
+    good = np.array(sorted(s for s, (p, u) in counts.items() if p * (n_u + 1) >= 2 * n_p * (u + 0.5)), dtype=np.int32)
+    got = rows.mapInArrow(_slots_by_id(docs.sparkSession.sparkContext.broadcast(good)), rows.select("id", F.lit(None).cast("array<int>").alias("slots")).schema).limit(4 * (POSITIVES + UNLABELLED)).toPandas()
     got = got.assign(slots=[np.asarray(s, dtype=np.int32) for s in got.slots]).sort_values("id", kind="stable")
     return fit([s for i, s in zip(got.id, got.slots, strict=True) if i in positive], [s for i, s in zip(got.id, got.slots, strict=True) if i in other], float(share or 0.0))
 
 
-def _slots_by_id(batches):
+def _counts(batches):
+    """How many positive and unlabelled texts hold each slot; slot -1 counts the texts."""
     import pyarrow as pa
 
-    features = Features()
+    features, n = Features(), np.zeros((2, (1 << SLOT_BITS) + 1), np.int64)
     for batch in batches:
-        rows = [features.of(t) for t in batch.column(1).to_pylist()]
-        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(rows, pa.list_(pa.int32()))], names=["id", "slots"])
+        for p, u, t in zip(*(batch.column(i).to_pylist() for i in range(3)), strict=True):
+            slots = features.of(t)
+            for k in [k for k, yes in enumerate((p, u)) if yes]:
+                n[k, slots] += 1
+                n[k, -1] += 1
+    live = np.flatnonzero(n.any(axis=0))
+    slot = np.where(live == 1 << SLOT_BITS, -1, live)
+    yield pa.RecordBatch.from_arrays([pa.array(slot, pa.int32()), pa.array(n[0, live], pa.int64()), pa.array(n[1, live], pa.int64())], names=["slot", "p", "u"])
+
+
+def _slots_by_id(shared):
+    """Of each text the slots among the given ones."""
+
+    def run(batches):
+        import pyarrow as pa
+
+        features, good = Features(), shared.value
+        for batch in batches:
+            rows = [x[np.isin(x, good)] for x in (features.of(t) for t in batch.column(1).to_pylist())]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(rows, pa.list_(pa.int32()))], names=["id", "slots"])
+
+    return run
 
 
 def _score(shared, text_at: int):
