@@ -20,7 +20,7 @@ POSITIVES, UNLABELLED = 2500, 10_000
 #: Words of the same first letters share a stem feature.
 STEM = 5
 EDGES = ".,;:!?\"'()[]{}<>#$%&*|+-=/\\_~^`"
-REMEMBERED = 1_000_000
+REMEMBERED = 300_000
 
 
 class Features:
