@@ -95,6 +95,12 @@ def shingles_of(raw: bytes, size: int = 5) -> np.ndarray:
     return np.unique(mix64(total + np.uint64(span)))
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """df dealt to all cores where a table comes in fewer partitions than there are cores; large tables stay as they are."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+
+
 def small_enough(n_rows: int, row_bytes: int) -> bool:
     return n_rows * row_bytes <= BROADCAST_BYTES
 

@@ -14,7 +14,7 @@ import numpy as np
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import bytes_of, ship
+from .common import discard, materialize, ship, spread
 
 #: n-grams are hashed to this many slots.
 SLOT_BITS = 16
@@ -122,12 +122,11 @@ def train(docs: DataFrame, text_col: str, label_col: str, id_col: str, usable) -
     key = rows.select(F.col(id_col).alias("id"), F.col(label_col).cast("string").alias("label"), F.xxhash64(F.col(id_col).cast("string")).alias("h")).withColumn("salt", F.pmod("h", F.lit(_SALTS)))
     first = Window.partitionBy("label", "salt").orderBy("h", "id")
     key = key.withColumn("n", F.row_number().over(first)).where(F.col("n") <= -(-PER_LANGUAGE // _SALTS)).orderBy("n", "h").limit(IN_ALL)
-    chosen = {r.id for r in key.select("id").collect()}
-    if not chosen:
-        return None
-    # At most IN_ALL ids: a bounded list in the filter, so only these texts leave the scan.
-    texts = rows.where(F.col(id_col).isin(list(chosen))).select(F.col(label_col).cast("string").alias("label"), F.col(text_col).alias("text"), F.xxhash64(F.col(id_col).cast("string")).alias("h"))
-    got = sorted(texts.select("label", "text").mapInArrow(_pack, "label string, bits binary").limit(2 * IN_ALL).collect(), key=lambda r: (r.label, bytes(r.bits)))
+    chosen, at = materialize(key.select("id").distinct(), "langid-sample")
+    # At most IN_ALL ids; only their texts leave the scan.
+    texts = rows.select(F.col(id_col).alias("id"), F.col(label_col).cast("string").alias("label"), F.col(text_col).alias("text")).join(F.broadcast(chosen), "id").select("label", "text")
+    got = sorted(spread(texts).mapInArrow(_pack, "label string, bits binary").limit(2 * IN_ALL).collect(), key=lambda r: (r.label, bytes(r.bits)))
+    discard(docs.sparkSession, at)
     bits = np.unpackbits(np.frombuffer(b"".join(bytes(r.bits) for r in got), dtype=np.uint8).reshape(len(got), -1), axis=1) if got else np.zeros((0, 1 << SLOT_BITS), np.uint8)
     return fit(bits, [r.label for r in got])
 
@@ -170,5 +169,6 @@ def identify(docs: DataFrame, model: Model | None, held_out, id_col: str = "doc_
     spark: SparkSession = docs.sparkSession
     ship(spark)
     rows = docs.select(F.col(id_col).alias("doc_id"), F.coalesce(held_out, F.lit(False)).alias("held_out"), F.col(text_col).cast("string").alias("text"))
+    rows = spread(rows)
     schema = rows.select("doc_id", "held_out", F.lit("").alias("lang_pred"), F.lit(0.0).alias("score")).schema
     return rows.mapInArrow(_predict(spark.sparkContext.broadcast(model)), schema)

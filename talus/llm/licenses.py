@@ -9,6 +9,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .common import spread
+
 #: Spellings that count as equal in licence matching, each turned into the second form.
 SPELLINGS = [
     ("sublicence", "sublicense"),
@@ -99,7 +101,7 @@ def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", known:
     the joins is a handful of rows and is broadcast."""
     spark = docs.sparkSession
     table = F.broadcast(known_digests(spark, known).where(F.col("digest") != F.sha2(F.lit("").cast("binary"), 256)))
-    base = docs.select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
+    base = spread(docs.select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text")))
     whole = base.select("doc_id", digest(F.col("text")).alias("digest")).join(table, "digest", "left").select("doc_id", F.col("digest").alias("text_digest"), "license")
     lines = base.select("doc_id", F.explode(F.split("text", "\n")).alias("line")).where("line <> ''")
     found = lines.select("doc_id", digest(F.col("line")).alias("digest")).join(table, "digest")

@@ -12,7 +12,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import bytes_of, discard, materialize, ship, small_enough
+from .common import bytes_of, discard, materialize, ship, small_enough, spread
 
 _SPACE = b" \t\n\x0b\x0c\r"
 #: Filters have 8 bits a key, no fewer than 2**20 bits and no more than 2**27 (16 MB each, however much data
@@ -183,6 +183,7 @@ def drop_repeated_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     ship(spark)
     first = keep == "first"
     row = F.xxhash64(F.col(id_col).cast("string"), F.col(text_col).cast("string"))
+    docs = spread(docs.select(F.col(id_col), F.col(text_col)))
     base = docs.select(F.col(id_col).alias("doc_id"), row.alias("row"), F.col(text_col).cast("string").alias("text"))
     n_chars = docs.agg(F.sum(F.length(F.col(text_col).cast("string")))).first()[0] or 0
     bits = int(np.clip(np.ceil(np.log2(max(1, n_chars) / 8)), MIN_BITS, MAX_BITS))

@@ -10,7 +10,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import bytes_of, components, discard, materialize, shingles_of, ship, small_enough
+from .common import bytes_of, components, discard, materialize, shingles_of, ship, small_enough, spread
 
 #: 90 permutations give 180 values: 30 bands of 6. A pair at similarity 0.85 is in no common band with
 #: probability (1 - 0.85**6)**30 < 7e-7, at 0.8 below 1.3e-4.
@@ -177,7 +177,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     docs are ignored, whatever their names. An empty table gives an empty result."""
     spark = docs.sparkSession
     ship(spark)
-    base = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
+    base = spread(docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")))
     sketched, sketch_path = materialize(base.mapInArrow(_sketch(shingle), "doc_id long, n_shingles long, set_key binary, bands array<long>"), "minmax-sketch")
     # Equal sets are one class from here on; only its smallest id goes further.
     classes, class_path = materialize(sketched.where("set_key is not null and doc_id is not null").groupBy("set_key").agg(F.min(F.struct("doc_id", "bands")).alias("r")).select("set_key", F.col("r.doc_id").alias("rep"), F.col("r.bands").alias("bands")), "minmax-classes")
@@ -194,8 +194,8 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     side = F.broadcast(placed) if small_enough(n_placed, 40) else placed
     unit = F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda k: F.struct(F.least(k, F.col("block")).alias("u1"), F.greatest(k, F.col("block")).alias("u2"), F.when(k < F.col("block"), 1).otherwise(0).alias("side")))
     rows = base.join(side, "doc_id").select("doc_id", "text", "family", F.explode(unit).alias("u")).select(F.col("family").alias("u0"), "u.u1", "u.u2", "u.side", "doc_id", "text")
-    spread = rows.repartition("u0", "u1", "u2").sortWithinPartitions("u0", "u1", "u2")
-    links, link_path = materialize(spread.mapInArrow(_confirm(shingle, percent), "a long, b long"), "minmax-links")
+    dealt = rows.repartition("u0", "u1", "u2").sortWithinPartitions("u0", "u1", "u2")
+    links, link_path = materialize(dealt.mapInArrow(_confirm(shingle, percent), "a long, b long"), "minmax-links")
     found, found_path = components(links, "minmax-found")
     found = found.groupBy("node").agg(F.min("component").alias("component"))
     labelled = classes.select("set_key", "rep").join(found, F.col("rep") == F.col("node"), "left").select("set_key", F.coalesce("component", "rep").alias("label"))

@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import discard, materialize
+from .common import discard, materialize, spread
 
 WORD = r"[^\x20\x09-\x0D]+"
 WEIGHTS = (5, 2, 1)
@@ -48,7 +48,7 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
     has size 0 and is never taken; a null source is a source; a null id is ordered as ''. Repeated rows each have
     their own place. Other columns are ignored. Sources of size 0 have target 0. An empty table gives an empty result."""
     spark = docs.sparkSession
-    sized = docs.select(F.col(id_col).alias("doc_id"), F.col(source_col).cast("string").alias("source"), word_count(F.col(text_col).cast("string")).alias("size"))
+    sized = spread(docs.select(F.col(id_col), F.col(source_col), F.col(text_col))).select(F.col(id_col).alias("doc_id"), F.col(source_col).cast("string").alias("source"), word_count(F.col(text_col).cast("string")).alias("size"))
     sized, sized_path = materialize(sized.withColumn("hash", F.md5(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary"))), "mix-sized")
     targets, target_path = materialize(source_targets(sized.groupBy("source").agg(F.sum("size").alias("source_size")), weights, epochs), "mix-targets")
     named = sized.join(targets.withColumnRenamed("source", "its_source"), F.col("source").eqNullSafe(F.col("its_source"))).drop("its_source", "total")

@@ -12,7 +12,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import ship
+from .common import discard, materialize, ship, spread
 
 SLOT_BITS = 20
 #: The classifier is fitted on at most so many positive and unlabelled texts, those whose id hash comes first.
@@ -112,19 +112,23 @@ def train(docs: DataFrame, labels: DataFrame, usable: Column, id_col: str = "doc
     ship(docs.sparkSession)
     known = labels.select(F.col(label_id).alias(id_col), F.col(label_col).alias("toxic")).where(usable & F.col("toxic").isNotNull())
     share = known.agg(F.avg((F.col("toxic") == 1).cast("double"))).first()[0]
-    order = F.xxhash64(F.col(id_col).cast("string"))
-    positive = {r[0] for r in known.where("toxic = 1").orderBy(order, id_col).limit(POSITIVES).select(id_col).collect()}
-    other = {r[0] for r in docs.select(id_col).where(usable).orderBy(order, id_col).limit(UNLABELLED).collect()}
-    # Both id lists are bounded; only these texts leave the scan. Slots are counted in the tasks first, so that of long
-    # texts no more than the slots that can get a weight come to the driver.
-    rows = docs.where(F.col(id_col).isin([*(positive | other)])).select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
-    counts = rows.select(F.col("id").isin([*positive]).alias("p"), F.col("id").isin([*other]).alias("u"), "text").mapInArrow(_counts, "slot int, p long, u long").groupBy("slot").agg(F.sum("p").alias("p"), F.sum("u").alias("u"))
-    counts = {r.slot: (r.p, r.u) for r in counts.where("p >= 3 or slot < 0").toLocalIterator()}
+    order = F.xxhash64(F.col("id").cast("string"))
+    positive = known.where("toxic = 1").select(F.col(id_col).alias("id")).orderBy(order, "id").limit(POSITIVES).distinct().withColumn("p", F.lit(True))
+    other = docs.where(usable).select(F.col(id_col).alias("id")).orderBy(order, "id").limit(UNLABELLED).distinct().withColumn("u", F.lit(True))
+    # At most POSITIVES + UNLABELLED ids; only their texts leave the scan. Slots are counted in the tasks first, so that
+    # of long texts no more than the slots that can get a weight come to the driver.
+    sample, at = materialize(positive.join(other, "id", "full"), "toxicity-sample")
+    yes = lambda c: F.coalesce(c, F.lit(False)).alias(c)
+    rows = spread(docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))).join(F.broadcast(sample), "id").select("id", yes("p"), yes("u"), "text")
+    counts = rows.select("p", "u", "text").mapInArrow(_counts, "slot int, p long, u long").groupBy("slot").agg(F.sum("p").alias("p"), F.sum("u").alias("u"))
+    counts = {r.slot: (r.p, r.u) for r in counts.where("p >= 3 or slot < 0").collect()}  # a row a slot at most
     n_p, n_u = counts.pop(-1, (0, 0))
     good = np.array(sorted(s for s, (p, u) in counts.items() if p * (n_u + 1) >= 2 * n_p * (u + 0.5)), dtype=np.int32)
-    got = rows.mapInArrow(_slots_by_id(docs.sparkSession.sparkContext.broadcast(good)), rows.select("id", F.lit(None).cast("array<int>").alias("slots")).schema).limit(4 * (POSITIVES + UNLABELLED)).toPandas()
-    got = got.assign(slots=[np.asarray(s, dtype=np.int32) for s in got.slots]).sort_values("id", kind="stable")
-    return fit([s for i, s in zip(got.id, got.slots, strict=True) if i in positive], [s for i, s in zip(got.id, got.slots, strict=True) if i in other], float(share or 0.0))
+    picked = rows.mapInArrow(_picked(docs.sparkSession.sparkContext.broadcast(good)), rows.select("id", "p", "u", F.lit(None).cast("array<int>").alias("slots")).schema)
+    got = sorted(picked.collect(), key=lambda r: (str(r.id), r.slots))
+    discard(docs.sparkSession, at)
+    as_array = lambda r: np.array(r.slots, dtype=np.int32)
+    return fit([as_array(r) for r in got if r.p], [as_array(r) for r in got if r.u], float(share or 0.0))
 
 
 def _counts(batches):
@@ -143,7 +147,7 @@ def _counts(batches):
     yield pa.RecordBatch.from_arrays([pa.array(slot, pa.int32()), pa.array(n[0, live], pa.int64()), pa.array(n[1, live], pa.int64())], names=["slot", "p", "u"])
 
 
-def _slots_by_id(shared):
+def _picked(shared):
     """Of each text the slots among the given ones."""
 
     def run(batches):
@@ -151,8 +155,8 @@ def _slots_by_id(shared):
 
         features, good = Features(), shared.value
         for batch in batches:
-            rows = [x[np.isin(x, good)] for x in (features.of(t) for t in batch.column(1).to_pylist())]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(rows, pa.list_(pa.int32()))], names=["id", "slots"])
+            rows = [x[np.isin(x, good)] for x in (features.of(t) for t in batch.column(3).to_pylist())]
+            yield pa.RecordBatch.from_arrays([*batch.columns[:3], pa.array(rows, pa.list_(pa.int32()))], names=["id", "p", "u", "slots"])
 
     return run
 
@@ -174,7 +178,7 @@ def score_rows(docs: DataFrame, model: Model, text_col: str = "text") -> DataFra
     spark = docs.sparkSession
     ship(spark)
     schema = docs.select("*", F.lit(0.0).alias("__talus_toxicity")).schema
-    return docs.mapInArrow(_score(spark.sparkContext.broadcast(model), docs.columns.index(text_col)), schema)
+    return spread(docs).mapInArrow(_score(spark.sparkContext.broadcast(model), docs.columns.index(text_col)), schema)
 
 
 def toxicity(docs: DataFrame, labels: DataFrame, usable: Column, held_out: Column, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
