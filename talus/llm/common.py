@@ -122,13 +122,15 @@ def components(edges: DataFrame, what: str = "components") -> tuple[DataFrame, s
     before = signature(cur)
     while before[0]:
         both = cur.select("u", "v").union(cur.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        low = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
+        # Written first, so that the join deals both sides itself and adaptive execution can split a hub's rows.
+        low, low_path = materialize(both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m")), what)
         large = both.join(low, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
         mid, mid_path = materialize(large, what)
-        low = mid.groupBy("u").agg(F.min("v").alias("m"))
+        discard(spark, low_path)
+        low, low_path = materialize(mid.groupBy("u").agg(F.min("v").alias("m")), what)
         small = mid.join(low, "u").select(F.explode(F.array(F.struct("u", F.col("m").alias("v")), F.struct(F.col("v").alias("u"), F.col("m").alias("v")))).alias("e")).select("e.u", "e.v").where("u <> v").distinct()
         new, new_path = materialize(small, what)
-        discard(spark, path, mid_path)
+        discard(spark, path, mid_path, low_path)
         path, cur = new_path, new
         now = signature(cur)
         if now == before:
