@@ -42,7 +42,7 @@ def latency(log: DataFrame, fractions: dict[str, float] | None = None) -> DataFr
     return counts.groupBy("source").agg(F.sum("c").alias("n"), F.min("ms").alias("min_ms"), *picks, F.max("ms").alias("max_ms"))
 
 
-def advisories(log: DataFrame, probe_mark: str = "deja_live_probe.js") -> DataFrame:
+def advisories(log: DataFrame, probe_mark: str = "live_probe.js") -> DataFrame:
     """Per source: fired and near hits, probes apart, distinct organic fires."""
     probe = F.coalesce(F.col("new_path").contains(probe_mark), F.lit(False)) | F.coalesce(F.col("hit_path").contains(probe_mark), F.lit(False))
     fired = F.coalesce("fired", F.lit(False))

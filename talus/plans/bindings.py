@@ -125,7 +125,7 @@ def completions(spark: SparkSession, d: str) -> DataFrame:
 def advisories(spark: SparkSession, d: str) -> DataFrame:
     e = read(spark, d, "events")
     r = F.col("event_id")
-    return e.select(r, "ts", F.col("event_type").alias("source"), (F.col("value") > 50).alias("fired"), F.round(F.col("value") / 1000, 6).alias("sim"), F.when(r % 17 == 0, "tests/deja_live_probe.js").when(r % 4 != 0, F.concat(F.lit("src/f"), (r % 50).cast("string"), F.lit(".py"))).alias("new_path"), F.lit(None).cast("string").alias("hit_path"), F.concat(F.lit("repo"), (r % 6).cast("string")).alias("cwd_repo"), F.concat(F.lit("fn"), (r % 40).cast("string")).alias("new_symbol"), (r % 30).alias("hit_chunk_id"))
+    return e.select(r, "ts", F.col("event_type").alias("source"), (F.col("value") > 50).alias("fired"), F.round(F.col("value") / 1000, 6).alias("sim"), F.when(r % 17 == 0, "tests/live_probe.js").when(r % 4 != 0, F.concat(F.lit("src/f"), (r % 50).cast("string"), F.lit(".py"))).alias("new_path"), F.lit(None).cast("string").alias("hit_path"), F.concat(F.lit("repo"), (r % 6).cast("string")).alias("cwd_repo"), F.concat(F.lit("fn"), (r % 40).cast("string")).alias("new_symbol"), (r % 30).alias("hit_chunk_id"))
 
 
 def diary(spark: SparkSession, d: str) -> DataFrame:
@@ -166,7 +166,7 @@ VIEWS = {
         ['ok', 'unparseable', 'embed_error', 'no_hit'][CAST(json_extract_string(props, '$.k') AS INT) % 4 + 1] AS outcome_reason,
         event_id % 5 AS eligible_chunks, event_id % 97 = 0 AS timed_out FROM events""",
     "advisories": """SELECT event_id, ts, event_type AS source, value > 50 AS fired, round(value / 1000, 6) AS sim,
-        CASE WHEN event_id % 17 = 0 THEN 'tests/deja_live_probe.js' WHEN event_id % 4 <> 0 THEN 'src/f' || (event_id % 50) || '.py' END AS new_path,
+        CASE WHEN event_id % 17 = 0 THEN 'tests/live_probe.js' WHEN event_id % 4 <> 0 THEN 'src/f' || (event_id % 50) || '.py' END AS new_path,
         'repo' || (event_id % 6) AS cwd_repo, 'fn' || (event_id % 40) AS new_symbol, event_id % 30 AS hit_chunk_id FROM events""",
     "diary": """SELECT x.*, CAST(e.embedding AS DOUBLE[]) AS dense FROM (SELECT CAST(ts AS DATE) AS entry_date, count(*) AS conv_count,
         (CAST(ts AS DATE) - DATE '2020-01-01') % 500 AS vec_id FROM events GROUP BY CAST(ts AS DATE)) x LEFT JOIN embeddings e USING (vec_id)""",

@@ -35,7 +35,7 @@ def nearest_rank_percentiles(spark, d):
     return out.select("source", F.col("n").cast("long").alias("n"), "min_ms", "p50_ms", "p95_ms", "max_ms")
 
 
-@query(b.sql("""WITH a AS (SELECT *, coalesce(contains(new_path, 'deja_live_probe.js'), false) AS probe FROM advisories)
+@query(b.sql("""WITH a AS (SELECT *, coalesce(contains(new_path, 'live_probe.js'), false) AS probe FROM advisories)
 SELECT source, count(*) FILTER (WHERE fired) AS fired, count(*) FILTER (WHERE NOT fired) AS near, count(*) FILTER (WHERE fired AND probe) AS probe_fired, count(*) FILTER (WHERE fired AND NOT probe) AS organic_fired,
 count(DISTINCT CASE WHEN fired AND NOT probe THEN cwd_repo || '/' || new_symbol || '/' || hit_chunk_id END) AS organic_distinct FROM a GROUP BY source""", "advisories"))
 def advisory_rollup(spark, d):
@@ -69,15 +69,15 @@ def canary_status(spark, d):
     return ms.canaries(ms.rollup(log).join(ms.latency(log).select("source", "p95_ms"), "source"))
 
 
-_ADOPT = """cls AS (SELECT event_id, CASE WHEN coalesce(contains(new_path, 'deja_live_probe.js'), false) THEN 'excluded' WHEN coalesce(new_path, '') = '' THEN 'cant_tell' WHEN event_id % 10 = 0 THEN 'cant_tell'
+_ADOPT = """cls AS (SELECT event_id, CASE WHEN coalesce(contains(new_path, 'live_probe.js'), false) THEN 'excluded' WHEN coalesce(new_path, '') = '' THEN 'cant_tell' WHEN event_id % 10 = 0 THEN 'cant_tell'
 WHEN event_id % 3 = 0 AND event_id % 2 = 0 AND event_id % 7 <> 0 THEN 'adopted' WHEN event_id % 3 = 0 THEN 'cant_tell' WHEN event_id % 5 = 0 THEN 'cant_tell' WHEN event_id % 11 = 0 THEN 'not_adopted' ELSE 'cant_tell' END AS label,
-CASE WHEN coalesce(contains(new_path, 'deja_live_probe.js'), false) THEN 'E0' WHEN coalesce(new_path, '') = '' THEN 'E5' WHEN event_id % 10 = 0 THEN 'E5'
+CASE WHEN coalesce(contains(new_path, 'live_probe.js'), false) THEN 'E0' WHEN coalesce(new_path, '') = '' THEN 'E5' WHEN event_id % 10 = 0 THEN 'E5'
 WHEN event_id % 3 = 0 AND event_id % 2 = 0 AND event_id % 7 <> 0 THEN 'E1' WHEN event_id % 3 = 0 THEN 'E4' WHEN event_id % 5 = 0 THEN 'E3' WHEN event_id % 11 = 0 THEN 'E2' ELSE 'E4' END AS evidence_code, source, new_symbol FROM advisories WHERE fired)"""
 
 
 def _classified(spark, d):
     r = F.col("event_id")
-    a = b.advisories(spark, d).where("fired").withColumns({"is_probe": F.coalesce(F.col("new_path").contains("deja_live_probe.js"), F.lit(False)), "files_found": r % 10 != 0, "reference_now": r % 3 == 0, "snapshot_known": r % 2 == 0, "reference_before": r % 7 == 0, "symbol_found": r % 5 != 0, "sha_unchanged": r % 11 == 0})
+    a = b.advisories(spark, d).where("fired").withColumns({"is_probe": F.coalesce(F.col("new_path").contains("live_probe.js"), F.lit(False)), "files_found": r % 10 != 0, "reference_now": r % 3 == 0, "snapshot_known": r % 2 == 0, "reference_before": r % 7 == 0, "symbol_found": r % 5 != 0, "sha_unchanged": r % 11 == 0})
     return ms.adoption_class(a)
 
 
