@@ -29,6 +29,7 @@ def build_session(app: str = "talus", master: str | None = None, shuffle_partiti
 
 def ship(spark: SparkSession) -> None:
     """Make this package importable by Python workers that don't share the driver's path."""
+    bound_batches(spark)
     root = Path(__file__).resolve().parents[1]
     on_path = {os.path.realpath(p) for p in os.environ.get("PYTHONPATH", "").split(os.pathsep) if p}
     sc = spark.sparkContext
@@ -40,3 +41,14 @@ def ship(spark: SparkSession) -> None:
             z.write(p, p.relative_to(root))
     sc.addPyFile(str(out))
     sc._talus_shipped = True
+
+
+#: Arrow batches of whole texts: rows that a Python worker holds at once, where the session keeps Spark's default.
+BATCH_ROWS = 1500
+
+
+def bound_batches(spark: SparkSession) -> None:
+    """Smaller Arrow batches than Spark's default of 10,000 rows, for the memory of workers; a value that is set stays."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if spark.conf.get(name) == "10000":
+        spark.conf.set(name, str(BATCH_ROWS))
