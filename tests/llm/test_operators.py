@@ -329,6 +329,14 @@ def test_decontamination_in_blocks(spark, monkeypatch):
     assert got == {i: [i] for i in items}
 
 
+def test_decontamination_of_many_items(spark):
+    items = {i: words(15 + i % 45, 3000 + i) for i in range(1000)}
+    b = spark.createDataFrame(list(items.items()), "item_id long, text string")
+    rows = [(i, f"{words(40, i)} {items[i]} {words(30, i + 2000)}", "en", "s") for i in range(0, 1000, 5)]
+    got = {x.doc_id: x.item_ids for x in decontam.decontaminate(docs(spark, rows), b).collect()}
+    assert got == {i: [i] for i, *_ in rows}
+
+
 def test_decontamination_equals_substring_search(spark):
     d = "/root/testdata/sf0.01"
     flat = lambda t: " ".join((t or "").lower().split())
