@@ -337,6 +337,15 @@ def test_decontamination_of_many_items(spark):
     assert got == {i: [i] for i, *_ in rows}
 
 
+def test_decontamination_of_long_items(spark):
+    items = {i: words(n, 5000 + i) for i, n in enumerate((90, 200, 300, 450, 1500))}
+    b = spark.createDataFrame(list(items.items()), "item_id long, text string")
+    rows = [(i, f"{words(300, i)} {t} {words(200, i + 50)}", "en", "s") for i, t in items.items()]
+    rows += [(10 + i, f"{words(300, i)} {' '.join(t.split()[: len(t.split()) // 2])}", "en", "s") for i, t in items.items()]
+    got = {x.doc_id: (x.item_ids, x.common) for x in decontam.decontaminate(docs(spark, rows), b).collect()}
+    assert got == {i: ([i], 1.0) for i in items} | {10 + i: ([], 0.0) for i in items}
+
+
 def test_decontamination_equals_substring_search(spark):
     d = "/root/testdata/sf0.01"
     flat = lambda t: " ".join((t or "").lower().split())
