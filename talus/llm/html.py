@@ -2,8 +2,8 @@
 
 Pages are parsed to blocks. Where a page marks its article, that is its main text. Of other blocks, those that repeat
 across the pages of a host are boilerplate: the suffixes of all their token streams, cut at a few tokens, are brought
-together by host and text, which is where a sorted suffix array has equal neighbours; those from pages of different
-content are repeated substrings. Blocks that these cover go, and unique runs stay."""
+together by host and text, which is where a sorted suffix array has equal neighbours; those from several pages that aren't
+versions of one another are repeated substrings. Blocks that these cover go, and unique runs stay."""
 
 from __future__ import annotations
 
@@ -15,9 +15,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import discard, materialize, ship, small_enough, spread
+from .minmax import near_duplicates
 
 #: Tokens of a repeated substring; a shorter block counts as one run. Covered share from which a block goes.
-RUN, COVERED = 5, 0.5
+RUN, COVERED = 24, 0.5
+#: A run of RUN tokens is boilerplate on so many different pages of a host, a shorter block on so many. Pages whose sets
+#: of five words are NEAR percent alike, and chains of such pages, are versions of one page.
+LONG_PAGES, SHORT_PAGES, NEAR = 3, 2, 70
 
 #: Elements by their role in HTML.
 _HIDDEN = {"script", "style", "template", "noscript", "iframe", "object", "svg", "canvas", "head", "title", "button", "select", "option", "textarea", "input", "datalist", "audio", "video", "map"}
@@ -135,31 +139,30 @@ def runs_of(text: str) -> list[str]:
 
 def _parse(batches):
     import pyarrow as pa
-    from xxhash import xxh3_64_intdigest
 
     for batch in batches:
-        hosts, zones, texts, content = [], [], [], []
+        hosts, zones, texts = [], [], []
         for url, html in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True):
             b = blocks_of(html)
             hosts.append(host_of(url))
             zones.append([z for z, _ in b])
             texts.append([t for _, t in b])
-            content.append(np.uint64(xxh3_64_intdigest("\n".join(t for _, t in b).encode("utf-8", "replace"))).astype(np.int64))
-        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), batch.column(3), pa.array(hosts, pa.string()), pa.array(zones, pa.list_(pa.int32())), pa.array(texts, pa.list_(pa.string())), pa.array(content, pa.int64())], names=["page_id", "url", "row", "host", "zones", "texts", "content"])
+        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), batch.column(3), pa.array(hosts, pa.string()), pa.array(zones, pa.list_(pa.int32())), pa.array(texts, pa.list_(pa.string()))], names=["page_id", "url", "row", "host", "zones", "texts"])
 
 
 def _suffixes(batches):
     import pyarrow as pa
 
     for batch in batches:
-        host, row, content, run = [], [], [], []
-        for h, r, z, texts, c in zip(*(batch.column(i).to_pylist() for i in range(5)), strict=True):
-            for x in {x for zone, t in zip(z, texts, strict=True) if zone != 2 for x in runs_of(t)}:
+        host, row, page, run, short = [], [], [], [], []
+        for h, r, texts, c in zip(*(batch.column(i).to_pylist() for i in range(4)), strict=True):
+            for x in {x for t in texts for x in runs_of(t)}:
                 host.append(h)
                 row.append(r)
-                content.append(c)
+                page.append(c)
                 run.append(x)
-        yield pa.RecordBatch.from_arrays([pa.array(host, pa.string()), pa.array(run, pa.string()), pa.array(row, pa.int64()), pa.array(content, pa.int64())], names=["host", "run", "row", "content"])
+                short.append(x.count(" ") < RUN - 1)
+        yield pa.RecordBatch.from_arrays([pa.array(host, pa.string()), pa.array(run, pa.string()), pa.array(short, pa.bool_()), pa.array(row, pa.int64()), pa.array(page, pa.int64())], names=["host", "run", "short", "row", "page"])
 
 
 def _join_blocks(batches):
@@ -188,26 +191,33 @@ def _join_blocks(batches):
 def main_text(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
     """page_id, url, text, n_chars of every row.
 
-    Null and empty html give an empty text. Pages without a host form one host. Mirrors (pages of equal content) count
-    once when repeats are looked for, so they don't erase one another. Repeated rows and null ids are rows like others;
+    Null and empty html give an empty text. Pages without a host form one host. Mirrors and edited versions of a
+    page count once when repeats are looked for, so they don't erase one another. Repeated rows and null ids are rows like others;
     other columns are ignored; an empty table gives an empty result."""
     spark = pages.sparkSession
     ship(spark)
     base = pages.select(F.col(id_col).alias("page_id"), F.col(url_col).cast("string").alias("url"), F.col(html_col).cast("string").alias("html"))
     base = spread(base).withColumn("row", F.xxhash64(F.col("page_id").cast("string"), "url", "html"))
-    names = base.select("page_id", "url", "row", F.lit("").alias("host"), F.array().cast("array<int>").alias("zones"), F.array().cast("array<string>").alias("texts"), F.lit(0).cast("long").alias("content"))
+    names = base.select("page_id", "url", "row", F.lit("").alias("host"), F.array().cast("array<int>").alias("zones"), F.array().cast("array<string>").alias("texts"))
     parsed = base.mapInArrow(_parse, names.schema)
     # Pages are parsed again for the result: their blocks are as large as the input, too large to be kept in between.
-    suffix = parsed.select("host", "row", "zones", "texts", "content").where(F.exists("zones", lambda z: z != 2)).mapInArrow(_suffixes, "host string, run string, row long, content long")
-    suffix, suffix_path = materialize(suffix, "html-suffixes")
-    # Of the sorted suffixes of a host, only whether equal ones come from different pages matters; partial minima and
-    # maxima settle that without bringing a hot host's suffixes together.
-    repeated = suffix.groupBy("host", "run").agg(F.min("content").alias("a"), F.max("content").alias("b")).where("a <> b").select("host", "run")
+    bare, bare_path = materialize(parsed.where(F.exists("zones", lambda z: z != 2)).select("host", "row", "texts"), "html-unmarked")
+    schema = parsed.select("page_id", "url", F.lit("").alias("text"), F.lit(0).cast("long").alias("n_chars")).schema
+    if bare.isEmpty():
+        discard(spark, bare_path)
+        return parsed.select("page_id", "url", "zones", "texts", F.lit(None).cast("array<string>").alias("runs")).mapInArrow(_join_blocks, schema)
+    bare = bare.dropDuplicates(["row"])
+    version = near_duplicates(bare.select(F.col("row").alias("doc_id"), F.array_join("texts", "\n").alias("text")), percent=NEAR)
+    version, version_path = materialize(version.select(F.col("doc_id").alias("row"), F.col("component_id").alias("page")), "html-versions")
+    suffix, suffix_path = materialize(bare.join(version, "row").select("host", "row", "texts", "page").mapInArrow(_suffixes, "host string, run string, short boolean, row long, page long"), "html-suffixes")
+    # Of the sorted suffixes of a host, only on how many pages equal ones are matters; partial counts settle that without
+    # bringing a hot host's suffixes together.
+    pages_of = suffix.select("host", "run", "short", "page").distinct().groupBy("host", "run", "short").agg(F.count(F.lit(1)).alias("n"))
+    repeated = pages_of.where(F.col("n") >= F.when(F.col("short"), SHORT_PAGES).otherwise(LONG_PAGES)).select("host", "run")
     own = suffix.join(repeated, ["host", "run"]).select("row", "run").distinct().groupBy("row").agg(F.collect_list("run").alias("runs"))
     own, _ = materialize(own, "html-runs")
-    discard(spark, suffix_path)
+    discard(spark, suffix_path, version_path, bare_path)
     n_runs = own.agg(F.sum(F.size("runs"))).first()[0] or 0
     own = F.broadcast(own) if small_enough(n_runs, 200) else own
     rows = parsed.join(own, "row", "left").select("page_id", "url", "zones", "texts", "runs")
-    schema = parsed.select("page_id", "url", F.lit("").alias("text"), F.lit(0).cast("long").alias("n_chars")).schema
     return rows.mapInArrow(_join_blocks, schema)

@@ -396,6 +396,15 @@ def test_main_text(spark):
     assert html.main_text(spark.createDataFrame([], "page_id long, url string, html string")).count() == 0
 
 
+def test_main_text_keeps_versions_and_usual_phrases(spark):
+    frame, foot, body = "<html><body><p>{0}</p><p>{1}</p></body></html>", words(40, 400), words(120, 401)
+    usual = "as we have said before in this place "
+    texts = [body, edited(body, 1, 1), edited(body, 1, 2), edited(body, 1, 3), *(usual + words(7, 410 + i) for i in range(3)), words(90, 420), words(90, 421)]
+    rows = [(i, f"http://f.example/{i}", frame.format(t, foot)) for i, t in enumerate(texts)]
+    got = {r.page_id: r.text for r in html.main_text(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert got == dict(enumerate(texts))
+
+
 def test_main_text_of_articles_is_whole(spark):
     import html as h
     import re
