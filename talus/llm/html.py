@@ -1,9 +1,11 @@
-"""Main text of web pages with the suffixes of each host's token streams.
+"""Main text of web pages with a suffix array of each host's token streams.
 
-Pages are parsed to blocks. Where a page marks its article, that is its main text. Of other blocks, those that repeat
-across the pages of a host are boilerplate: the suffixes of all their token streams, cut at a few tokens, are brought
-together by host and text, which is where a sorted suffix array has equal neighbours; those from several pages that aren't
-versions of one another are repeated substrings. Blocks that these cover go, and unique runs stay."""
+Pages are parsed to blocks, and the token streams of all blocks, whatever element holds them, are concatenated by host. Their
+suffix array is sparse: of each stream it holds the suffixes at its start and at content-defined anchors, which equal substrings
+of LONG tokens share wherever they stand. A suffix is named by the hash of its tokens as far as the end of the next anchor, so
+equal neighbours in the sorted array are substrings that repeat. Suffixes of enough distinct pages are boilerplate; blocks that
+they cover go and unique runs stay. Elements that are frame by their role go too, and a page's article needs more pages to lose
+a block than other blocks do, since articles share passages that are text."""
 
 from __future__ import annotations
 
@@ -14,14 +16,22 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import discard, materialize, ship, small_enough, spread
+from .common import discard, materialize, mix64, ship, small_enough, spread, word_hashes
 from .minmax import near_duplicates
 
-#: Tokens of a repeated substring; a shorter block counts as one run. Covered share from which a block goes.
-RUN, COVERED = 24, 0.5
-#: A run of RUN tokens is boilerplate on so many different pages of a host, a shorter block on so many. Pages whose sets
-#: of five words are NEAR percent alike, and chains of such pages, are versions of one page.
-LONG_PAGES, SHORT_PAGES, NEAR = 3, 2, 70
+#: Substrings of LONG tokens have an anchor in common: the least hash of ANCHOR tokens among neighbours is one.
+LONG, ANCHOR = 24, 12
+#: Covered share of a block from which it goes.
+COVERED = 0.5
+#: A suffix is boilerplate on so many distinct pages of a host; a whole stream of fewer than LONG tokens on so many, and one of
+#: fewer than TINY tokens needs LONG_PAGES like others.
+LONG_PAGES, SHORT_PAGES, TINY = 3, 2, 4
+#: Within an article: on so many pages and on such a share of the host's pages.
+ARTICLE_PAGES, ARTICLE_SHARE = 10, 0.9
+#: Pages whose sets of five words are NEAR percent alike, and chains of such pages, are versions of one page and count once.
+NEAR = 70
+#: Of several articles those with less than this share of the longest one's words are teasers.
+TEASER = 0.25
 
 #: Elements by their role in HTML.
 _HIDDEN = {"script", "style", "template", "noscript", "iframe", "object", "svg", "canvas", "head", "title", "button", "select", "option", "textarea", "input", "datalist", "audio", "video", "map"}
@@ -29,32 +39,46 @@ _FRAME = {"nav", "footer", "aside", "form", "menu", "dialog"}
 _BLOCK = {"p", "div", "h1", "h2", "h3", "h4", "h5", "h6", "li", "ul", "ol", "dl", "dt", "dd", "table", "thead", "tbody", "tfoot", "tr", "td", "th", "caption", "section", "article", "main", "header", "blockquote", "pre", "figure", "figcaption", "address", "hr", "details", "summary", "fieldset", "legend", "body", "html", "center"} | _FRAME
 _VOID = {"area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "param", "source", "track", "wbr"}
 _BOX = {"article", "main", "section", "div", "header", "ul", "ol", "dl", "table", "figure", "details", "fieldset", "blockquote", "span", "body"} | _FRAME | (_HIDDEN - _VOID - {"script", "style"})
+#: Elements whose blocks form one stream.
+_LIST = {"ul", "ol", "dl", "table", "header"} | _FRAME
+#: A class or id is frame if one of its words is in _NAMES and all of them are in _NAMES or _PLAIN.
 _NAMES = {"ad", "ads", "adv", "advert", "advertisement", "adsense", "sponsor", "sponsored", "promo", "promotion", "banner", "cookie", "cookies", "consent", "gdpr", "notice", "notices", "alert", "popup", "modal", "overlay", "newsletter", "subscribe", "signup", "login", "share", "sharing", "social", "related", "recommended", "sidebar", "side", "aside", "menu", "nav", "navbar", "navigation", "breadcrumb", "breadcrumbs", "pagination", "pager", "footer", "masthead", "comment", "comments", "respond", "reply", "replies", "disqus", "widget", "toolbar", "search", "skip", "hidden", "teaser"}
+_PLAIN = {"", "a", "area", "bar", "block", "body", "bottom", "box", "button", "buttons", "container", "content", "form", "global", "group", "head", "header", "icons", "inner", "item", "items", "js", "left", "link", "links", "list", "main", "media", "message", "outer", "page", "panel", "post", "posts", "primary", "right", "row", "secondary", "section", "site", "slot", "sticky", "text", "thread", "to", "top", "unit", "wrap", "wrapper"}
 _PAGE_HEAD = {"header", "head", "top"}
 _ROLES = {"navigation", "banner", "contentinfo", "complementary", "search", "form", "alert", "alertdialog", "dialog", "menu", "menubar", "toolbar", "status"}
-_SPLIT = re.compile(r"[^a-z0-9]+|(?<=[a-z])(?=[A-Z])")
+_SPLIT = re.compile(r"[^A-Za-z]+|(?<=[a-z])(?=[A-Z])")
+
+
+def _named(value: str, names: set[str], plain: set[str] = _PLAIN) -> bool:
+    """Whether a class or id among value's is made of such names."""
+    for token in value.split():
+        words = {w.lower() for w in _SPLIT.split(token)}
+        if words & names and words <= names | plain:
+            return True
+    return False
 
 
 class Blocks(HTMLParser):
-    """blocks: (zone, text) in page order; zone 2: in the article, 1: elsewhere, 0: frame that never counts."""
+    """blocks: (zone, stream, text) in page order. Zone 0 is frame, 1 unmarked, 2 and above the articles of the page in
+    turn; blocks of one list, table or frame element have the same stream."""
 
     def __init__(self):
         super().__init__(convert_charrefs=True)
-        self.stack: list[tuple[str, bool, bool]] = []
-        self.blocks: list[tuple[int, str]] = []
+        self.stack: list[tuple[str, bool, int, bool, int]] = []  # tag, frame, article, hidden, stream
+        self.blocks: list[tuple[int, int, str]] = []
         self.parts: list[str] = []
-        self.part_zone = 1
+        self.place = (1, 0)
+        self.streams = self.articles = 0
         self.raw = ""
 
-    def _zone(self) -> int:
-        if any(frame for _, frame, _ in self.stack):
-            return 0
-        return 2 if any(article for _, _, article in self.stack) else 1
-
     def _flush(self) -> None:
         text = " ".join("".join(self.parts).split())
-        if text and self.part_zone:
-            self.blocks.append((self.part_zone, text))
+        if text:
+            zone, stream = self.place
+            if not stream:
+                self.streams += 1
+                stream = self.streams
+            self.blocks.append((zone, stream, text))
         self.parts = []
 
     def handle_starttag(self, tag, attrs):
@@ -69,17 +93,26 @@ class Blocks(HTMLParser):
             return
         if tag not in _BOX:
             return
-        a = {k: v or "" for k, v in attrs}
-        inside = any(article for _, _, article in self.stack)
-        names = set(_SPLIT.split(f"{a.get('class', '')} {a.get('id', '')}".lower()))
-        frame = tag in _HIDDEN or tag in _FRAME or a.get("role", "").lower() in _ROLES or bool(names & _NAMES) and tag not in ("body", "main") or "hidden" in a or a.get("aria-hidden") == "true"
-        frame = frame or not inside and (tag == "header" or bool(names & _PAGE_HEAD) and tag != "body")
-        frame = frame and not (tag in ("article", "main") and not names & _NAMES)
-        # An article within frame (a comment, a teaser) is none.
-        article = tag in ("article", "main") and not frame and not any(f for _, f, _ in self.stack)
-        if frame or tag in _BLOCK:
+        a = {k: v or "" for k, v in attrs} if attrs else {}
+        names = f"{a.get('class', '')} {a.get('id', '')}" if attrs else " "
+        above = self.stack[-1] if self.stack else ("", False, 0, False, 0)
+        boxed = len(names) > 1 and _named(names, _NAMES)
+        hidden = above[3] or tag in _HIDDEN or "hidden" in a or a.get("aria-hidden") == "true"
+        frame = tag in _FRAME or a.get("role", "").lower() in _ROLES or boxed and tag not in ("body", "main")
+        frame = frame or not above[2] and (tag == "header" or len(names) > 1 and tag != "body" and _named(names, _PAGE_HEAD))
+        frame = above[1] or frame and not (tag in ("article", "main") and not boxed)
+        # An article within frame (a comment, a teaser) is none; one within an article or main is part of it, or its only one.
+        article = above[2]
+        if tag in ("article", "main") and not frame and not article:
+            self.articles += 1
+            article = self.articles + 1
+        stream = above[4]
+        if not stream and (tag in _LIST or frame):
+            self.streams += 1
+            stream = self.streams
+        if frame or hidden or tag in _BLOCK:
             self._flush()
-        self.stack.append((tag, frame, article))
+        self.stack.append((tag, frame, article, hidden, stream))
 
     def handle_startendtag(self, tag, attrs):
         if tag not in _VOID:
@@ -91,39 +124,41 @@ class Blocks(HTMLParser):
             return
         if tag in _BLOCK:
             self._flush()
-        if tag in _BOX and any(t == tag for t, _, _ in self.stack):
-            while True:
-                name, frame, _ = self.stack.pop()
-                if frame:
-                    self._flush_dropped()
-                if name == tag:
-                    break
-
-    def _flush_dropped(self) -> None:
-        if self.part_zone == 0:
-            self.parts = []
+        if tag in _BOX and any(x[0] == tag for x in self.stack):
+            while self.stack.pop()[0] != tag:
+                pass
 
     def handle_data(self, data):
         if self.raw:
             return
-        zone = self._zone()
-        if zone != self.part_zone:
+        _, frame, article, hidden, stream = self.stack[-1] if self.stack else ("", False, 0, False, 0)
+        if hidden:
+            return
+        place = (0 if frame else article or 1, stream)
+        if place != self.place:
             self._flush()
-            self.part_zone = zone
-        if zone:
-            self.parts.append(data)
+            self.place = place
+        self.parts.append(data)
 
 
-def blocks_of(html: str | None) -> list[tuple[int, str]]:
+def blocks_of(html: str | None) -> list[tuple[int, int, str]]:
+    """All blocks; zone 2 where they are in the article that the page marks, 1 where they aren't frame, 0 elsewhere."""
     if not html:
         return []
     p = Blocks()
     p.feed(html)
     p.close()
     p._flush()
-    if any(zone == 2 for zone, _ in p.blocks):
-        return [b for b in p.blocks if b[0] == 2]
-    return p.blocks
+    long: dict[int, int] = {}
+    for zone, _, text in p.blocks:
+        if zone > 1:
+            long[zone] = long.get(zone, 0) + len(text)
+    main = {z for z, n in long.items() if n >= TEASER * max(long.values())}
+    return [(2 if zone in main else 0 if zone > 1 else zone, stream, text) for zone, stream, text in p.blocks]
+
+
+def main_zone(blocks: list[tuple[int, int, str]]) -> int:
+    return 2 if any(zone == 2 for zone, _, _ in blocks) else 1
 
 
 def host_of(url: str | None) -> str:
@@ -131,61 +166,185 @@ def host_of(url: str | None) -> str:
     return (m[1] if m else "").lower()
 
 
-def runs_of(text: str) -> list[str]:
-    """The suffixes of a block's token stream, cut at RUN tokens."""
-    t = text.split(" ")
-    return [" ".join(t[i : i + RUN]) for i in range(max(1, len(t) - RUN + 1))]
-
-
-def _parse(batches):
+_BASE = np.uint64(0x9E3779B97F4A7C15)
+_BASE_INVERSE = np.uint64(pow(0x9E3779B97F4A7C15, -1, 1 << 64))
+
+
+def suffixes(tokens: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Starts, ends, stream and hash of the suffixes of streams of token hashes; stream i ends before ends[i].
+
+    A suffix starts at its stream's start or at an anchor, and is cut at the end of the next anchor or of the stream."""
+    n = len(tokens)
+    begins = np.concatenate([[0], ends[:-1]]).astype(np.int64)
+    stream = np.repeat(np.arange(len(ends)), ends - begins)
+    powers = np.concatenate([[np.uint64(1)], np.cumprod(np.full(n, _BASE))])
+    inverse = np.concatenate([[np.uint64(1)], np.cumprod(np.full(n, _BASE_INVERSE))])
+    upto = np.concatenate([[np.uint64(0)], np.cumsum((tokens + np.uint64(1)) * powers[:n], dtype=np.uint64)])
+
+    def hashed(s: np.ndarray, e: np.ndarray) -> np.ndarray:
+        return mix64((upto[e] - upto[s]) * inverse[s] + (e - s).astype(np.uint64))
+
+    anchors = np.zeros(0, dtype=np.int64)
+    if n >= LONG:
+        width = LONG - ANCHOR + 1
+        gram = hashed(np.arange(n - ANCHOR + 1), np.arange(ANCHOR, n + 1)) | np.uint64(1)
+        least = np.lib.stride_tricks.sliding_window_view(gram, width).min(axis=1)
+        least[stream[: len(least)] != stream[LONG - 1 :]] = 0  # windows over the end of a stream have no anchor
+        padded = np.concatenate([np.zeros(width - 1, np.uint64), least, np.zeros(width - 1, np.uint64)])
+        anchors = np.flatnonzero(np.lib.stride_tricks.sliding_window_view(padded, width).max(axis=1) == gram)
+    starts = np.unique(np.concatenate([begins, anchors]))
+    starts = starts[starts < n]
+    own = stream[starts]
+    is_anchor = np.zeros(n + 1, dtype=bool)
+    is_anchor[anchors] = True
+    following = np.append(starts[1:], n)
+    same = np.append(own[1:] == own[:-1], False)
+    stops = np.where(same, np.minimum(following + ANCHOR, ends[own]), ends[own])
+    return starts, stops, own, hashed(starts, stops)
+
+
+def page_suffixes(pages: list[tuple[str, list[tuple[int, int, str]]]]):
+    """For pages (host, blocks): per page a slice of the suffix keys, with starts, stops and the token offsets of blocks.
+
+    Keys hold the host; their last bit tells a whole short stream, the bit before one of fewer than TINY tokens."""
+    words, ends, stream_page, block_ends = [], [], [], []
+    hosts = word_hashes([h.encode("utf-8", "replace") for h, _ in pages])
+    n = 0
+    for page, (_, blocks) in enumerate(pages):
+        last = None
+        for _, stream, text in blocks:
+            if last is not None and stream != last:
+                ends.append(n)
+                stream_page.append(page)
+            w = text.encode("utf-8", "replace").split(b" ")
+            words += w
+            n += len(w)
+            block_ends.append(n)
+            last = stream
+        if blocks:
+            ends.append(n)
+            stream_page.append(page)
+    known: dict[bytes, int] = dict.fromkeys(words, 0)
+    hashes = word_hashes(list(known))
+    for i, w in enumerate(known):
+        known[w] = i
+    tokens = hashes[np.fromiter(map(known.__getitem__, words), dtype=np.int64, count=n)]
+    starts, stops, own, key = suffixes(tokens, np.array(ends, dtype=np.int64))
+    page_of = np.array(stream_page, dtype=np.int64)[own] if len(own) else np.zeros(0, np.int64)
+    length = np.diff(np.concatenate([[0], ends]))[own] if len(own) else np.zeros(0, np.int64)
+    key = mix64(key ^ hosts[page_of]) & ~np.uint64(3)
+    key |= np.where(length < LONG, np.where(length < TINY, 3, 1), 0).astype(np.uint64)
+    cut = np.searchsorted(page_of, np.arange(len(pages) + 1))
+    return key.view(np.int64), starts, stops, cut, np.array(block_ends, dtype=np.int64), (mix64(hosts) & ~np.uint64(3) | np.uint64(2)).view(np.int64)
+
+
+def _streams(batches):
+    """(url, html, row) to (row, content, marked, text, keys): the main text's hash, the text of a page without an article, and
+    the host's key with those of the page's distinct suffixes."""
     import pyarrow as pa
+    from xxhash import xxh3_64_intdigest
 
     for batch in batches:
-        hosts, zones, texts = [], [], []
-        for url, html in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True):
-            b = blocks_of(html)
-            hosts.append(host_of(url))
-            zones.append([z for z, _ in b])
-            texts.append([t for _, t in b])
-        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), batch.column(3), pa.array(hosts, pa.string()), pa.array(zones, pa.list_(pa.int32())), pa.array(texts, pa.list_(pa.string()))], names=["page_id", "url", "row", "host", "zones", "texts"])
-
-
-def _suffixes(batches):
-    import pyarrow as pa
-
-    for batch in batches:
-        host, row, page, run, short = [], [], [], [], []
-        for h, r, texts, c in zip(*(batch.column(i).to_pylist() for i in range(4)), strict=True):
-            for x in {x for t in texts for x in runs_of(t)}:
-                host.append(h)
-                row.append(r)
-                page.append(c)
-                run.append(x)
-                short.append(x.count(" ") < RUN - 1)
-        yield pa.RecordBatch.from_arrays([pa.array(host, pa.string()), pa.array(run, pa.string()), pa.array(short, pa.bool_()), pa.array(row, pa.int64()), pa.array(page, pa.int64())], names=["host", "run", "short", "row", "page"])
-
-
-def _join_blocks(batches):
-    """(page_id, url, zones, texts, runs that repeat) to the text that stays."""
-    import pyarrow as pa
-
-    for batch in batches:
-        out = []
-        for zones, texts, runs in zip(*(batch.column(i).to_pylist() for i in range(2, 5)), strict=True):
-            stay, known = [], set(runs or ())
-            for zone, text in zip(zones, texts, strict=True):
-                if zone != 2 and known:
-                    own = runs_of(text)
-                    n = len(text.split(" "))
-                    covered = np.zeros(n, dtype=bool)
-                    for i, x in enumerate(own):
-                        if x in known:
-                            covered[i : i + RUN] = True
-                    if covered.mean() >= COVERED:
-                        continue
-                stay.append(text)
-            out.append("\n\n".join(stay))
-        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(out, pa.string()), pa.array([len(x) for x in out], pa.int64())], names=["page_id", "url", "text", "n_chars"])
+        rows = batch.column(2)
+        urls, htmls = batch.column(0).to_pylist(), batch.column(1).to_pylist()
+        for at in range(0, len(urls), 128):
+            pages = [(host_of(u), blocks_of(h)) for u, h in zip(urls[at : at + 128], htmls[at : at + 128], strict=True)]
+            key, _, _, cut, _, host = page_suffixes(pages)
+            content, marked, texts, keys = [], [], [], []
+            for i, (name, blocks) in enumerate(pages):
+                zone = main_zone(blocks)
+                text = "\n".join(t for z, _, t in blocks if z == zone)
+                content.append(np.uint64(xxh3_64_intdigest(f"{name}\n{text}".encode("utf-8", "replace"))).astype(np.int64))
+                marked.append(zone == 2)
+                texts.append(None if zone == 2 else text)
+                keys.append(np.append(host[i], np.unique(key[cut[i] : cut[i + 1]])) if blocks else np.zeros(0, np.int64))
+            yield pa.RecordBatch.from_arrays([rows.slice(at, 128), pa.array(content, pa.int64()), pa.array(marked, pa.bool_()), pa.array(texts, pa.string()), pa.array(keys, pa.list_(pa.int64()))], names=["row", "content", "marked", "text", "keys"])
+
+
+def _kept(shared):
+    """(page_id, url, html, repeated keys and their pages, or null where all of them are shared) to the text that stays."""
+
+    def run(batches):
+        import pyarrow as pa
+
+        every = None if shared is None else shared.value
+        for batch in batches:
+            urls, htmls, own = (batch.column(i).to_pylist() for i in (1, 2, 3))
+            out = []
+            for at in range(0, len(urls), 128):
+                pages = [(host_of(u), blocks_of(h)) for u, h in zip(urls[at : at + 128], htmls[at : at + 128], strict=True)]
+                key, starts, stops, cut, block_ends, host = page_suffixes(pages)
+                first = 0
+                for i, (_, blocks) in enumerate(pages):
+                    known, counts = every if every is not None else _sorted(own[at + i])
+                    mine = key[cut[i] : cut[i + 1]]
+                    ends = block_ends[first : first + len(blocks)]
+                    out.append("\n\n".join(_unique(blocks, ends, mine, starts[cut[i] : cut[i + 1]], stops[cut[i] : cut[i + 1]], _look(mine, known, counts), int(_look(host[i : i + 1], known, counts)[0]))))
+                    first += len(blocks)
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(out, pa.string()), pa.array([len(x) for x in out], pa.int64())], names=["page_id", "url", "text", "n_chars"])
+
+    return run
+
+
+def _sorted(pairs) -> tuple[np.ndarray, np.ndarray]:
+    pairs = sorted((p["key"], p["n"]) for p in pairs or ())
+    return np.array([k for k, _ in pairs], dtype=np.int64), np.array([n for _, n in pairs], dtype=np.int64)
+
+
+def _look(keys: np.ndarray, known: np.ndarray, counts: np.ndarray) -> np.ndarray:
+    """On how many pages each key is, 1 where it isn't a repeated one."""
+    if not len(known):
+        return np.ones(len(keys), dtype=np.int64)
+    at = np.minimum(np.searchsorted(known, keys), len(known) - 1)
+    return np.where(known[at] == keys, counts[at], 1)
+
+
+def boilerplate(keys: np.ndarray, pages: np.ndarray, host_pages: int) -> tuple[np.ndarray, np.ndarray]:
+    """Of suffixes on so many pages, which are boilerplate, and which are even within an article."""
+    enough = pages >= np.where(keys & 3 == 1, SHORT_PAGES, LONG_PAGES)
+    return enough, (pages >= ARTICLE_PAGES) & (pages >= ARTICLE_SHARE * host_pages)
+
+
+def _unique(blocks, ends, keys, starts, stops, pages, host_pages) -> list[str]:
+    zone = main_zone(blocks)
+    stay = [True] * len(blocks)
+    every, strict = boilerplate(keys, pages, host_pages)
+    gone = strict if zone == 2 else every
+    if gone.any():
+        begins = np.concatenate([[ends[0] - len(blocks[0][2].split(" "))], ends[:-1]])
+        mark = np.zeros(int(ends[-1] - begins[0]) + 1, dtype=np.int64)
+        np.add.at(mark, starts[gone] - begins[0], 1)
+        np.add.at(mark, stops[gone] - begins[0], -1)
+        covered = np.concatenate([[0], np.cumsum(np.cumsum(mark)[:-1] > 0)])
+        share = (covered[ends - begins[0]] - covered[begins - begins[0]]) / (ends - begins)
+        stay = (share < COVERED).tolist()
+    return [text for (z, _, text), s in zip(blocks, stay, strict=True) if z == zone and s]
+
+
+def host_repeats(pages: DataFrame) -> tuple[DataFrame, DataFrame, list[str]]:
+    """pages: url, html, row. The pages' suffixes (row, keys and more), and of those on two or more distinct pages of
+    a host (key, n); with the scratch tables to discard."""
+    spark = pages.sparkSession
+    streams, streams_path = materialize(pages.select("url", "html", "row").mapInArrow(_streams, "row long, content long, marked boolean, text string, keys array<long>").withColumn("page", F.monotonically_increasing_id()), "html-streams")
+    paths = [streams_path]
+    version = streams.where("marked").select("page", F.col("content").alias("version"))
+    unmarked = streams.where("text <> ''")
+    if not unmarked.isEmpty():
+        alike = near_duplicates(unmarked.select(F.col("page").alias("doc_id"), "text"), percent=NEAR)
+        alike, at = materialize(alike.select(F.col("doc_id").alias("page"), F.col("component_id").alias("version")), "html-versions")
+        paths.append(at)
+        version = version.union(alike)
+    # Pages with equal main text, and versions of one page, count once: all but one of them are left out.
+    low = version.groupBy("version").agg(F.min("page").alias("low"), F.count(F.lit(1)).alias("n")).where("n > 1")
+    extra, at = materialize(version.join(low, "version").where("page <> low").select("page"), "html-extra")
+    paths.append(at)
+    side = F.broadcast(extra) if small_enough(extra.count(), 16) else extra
+    keys = streams.join(side, "page", "left_anti").select(F.explode("keys").alias("key"))
+    # Of the sorted suffixes only on how many pages equal ones are matters; partial counts settle that without bringing the
+    # suffixes of a hot host, or a suffix of many pages, together.
+    repeated, at = materialize(keys.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1"), "html-repeats")
+    paths.append(at)
+    return streams, repeated, paths
 
 
 def main_text(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
@@ -197,27 +356,18 @@ def main_text(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", h
     spark = pages.sparkSession
     ship(spark)
     base = pages.select(F.col(id_col).alias("page_id"), F.col(url_col).cast("string").alias("url"), F.col(html_col).cast("string").alias("html"))
-    base = spread(base).withColumn("row", F.xxhash64(F.col("page_id").cast("string"), "url", "html"))
-    names = base.select("page_id", "url", "row", F.lit("").alias("host"), F.array().cast("array<int>").alias("zones"), F.array().cast("array<string>").alias("texts"))
-    parsed = base.mapInArrow(_parse, names.schema)
+    base = spread(base)
+    rowed = base.withColumn("row", F.xxhash64(F.col("page_id").cast("string"), "url", "html"))
+    streams, repeated, paths = host_repeats(rowed)
+    schema = base.select("page_id", "url", F.lit("").alias("text"), F.lit(0).cast("long").alias("n_chars")).schema
+    n = repeated.count()
     # Pages are parsed again for the result: their blocks are as large as the input, too large to be kept in between.
-    bare, bare_path = materialize(parsed.where(F.exists("zones", lambda z: z != 2)).select("host", "row", "texts"), "html-unmarked")
-    schema = parsed.select("page_id", "url", F.lit("").alias("text"), F.lit(0).cast("long").alias("n_chars")).schema
-    if bare.isEmpty():
-        discard(spark, bare_path)
-        return parsed.select("page_id", "url", "zones", "texts", F.lit(None).cast("array<string>").alias("runs")).mapInArrow(_join_blocks, schema)
-    bare = bare.dropDuplicates(["row"])
-    version = near_duplicates(bare.select(F.col("row").alias("doc_id"), F.array_join("texts", "\n").alias("text")), percent=NEAR)
-    version, version_path = materialize(version.select(F.col("doc_id").alias("row"), F.col("component_id").alias("page")), "html-versions")
-    suffix, suffix_path = materialize(bare.join(version, "row").select("host", "row", "texts", "page").mapInArrow(_suffixes, "host string, run string, short boolean, row long, page long"), "html-suffixes")
-    # Of the sorted suffixes of a host, only on how many pages equal ones are matters; partial counts settle that without
-    # bringing a hot host's suffixes together.
-    pages_of = suffix.select("host", "run", "short", "page").distinct().groupBy("host", "run", "short").agg(F.count(F.lit(1)).alias("n"))
-    repeated = pages_of.where(F.col("n") >= F.when(F.col("short"), SHORT_PAGES).otherwise(LONG_PAGES)).select("host", "run")
-    own = suffix.join(repeated, ["host", "run"]).select("row", "run").distinct().groupBy("row").agg(F.collect_list("run").alias("runs"))
-    own, _ = materialize(own, "html-runs")
-    discard(spark, suffix_path, version_path, bare_path)
-    n_runs = own.agg(F.sum(F.size("runs"))).first()[0] or 0
-    own = F.broadcast(own) if small_enough(n_runs, 200) else own
-    rows = parsed.join(own, "row", "left").select("page_id", "url", "zones", "texts", "runs")
-    return rows.mapInArrow(_join_blocks, schema)
+    if small_enough(n, 16):
+        got = repeated.orderBy("key").toPandas()
+        shared = spark.sparkContext.broadcast((got["key"].to_numpy(np.int64), got["n"].to_numpy(np.int64)))
+        discard(spark, *paths)
+        return base.withColumn("own", F.lit(None).cast("array<struct<key:bigint,n:bigint>>")).mapInArrow(_kept(shared), schema)
+    own = streams.select("row", F.explode("keys").alias("key")).join(repeated, "key").groupBy("row").agg(F.collect_set(F.struct("key", "n")).alias("own"))
+    out, _ = materialize(rowed.join(own, "row", "left").select("page_id", "url", "html", "own").mapInArrow(_kept(None), schema), "html-out")
+    discard(spark, *paths)
+    return out

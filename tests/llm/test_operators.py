@@ -415,3 +415,79 @@ def test_main_text_of_articles_is_whole(spark):
         body = re.search(r"<article>(.*)</article>", r.html, re.S)[1]
         parts = [" ".join(h.unescape(re.sub(r"<[^>]+>", "", x.replace("<br>", " "))).split()) for x in re.split(r"</?(?:p|h1)>", body)]
         assert got[r.page_id] == "\n\n".join(x for x in parts if x)
+
+
+def test_suffixes_cover_exactly_what_repeats():
+    """Against brute force: every suffix found twice is verbatim twice, and a repeat of LONG tokens is covered up to its edges."""
+    r = random.Random(12)
+    pool = [[f"w{r.randrange(50)}" for _ in range(n)] for n in (24, 30, 60, 200)]
+    streams = [[f"v{r.randrange(10**9)}" for _ in range(r.randrange(90))] + r.choice(pool) + [f"v{r.randrange(10**9)}" for _ in range(r.randrange(90))] for _ in range(60)]
+    from talus.llm.common import word_hashes
+
+    ends = np.cumsum([len(x) for x in streams])
+    flat = [w for x in streams for w in x]
+    starts, stops, own, keys = html.suffixes(word_hashes([w.encode() for w in flat]), ends)
+    said: dict = {}
+    for s, e, k in zip(starts, stops, keys.tolist(), strict=True):
+        assert said.setdefault(k, flat[s:e]) == flat[s:e]
+    twice = {k for k in said if len({int(o) for o, x in zip(own, keys.tolist(), strict=True) if x == k}) > 1}
+    covered = np.zeros(len(flat), bool)
+    for s, e, k in zip(starts, stops, keys.tolist(), strict=True):
+        if k in twice:
+            covered[s:e] = True
+    margin = html.LONG - html.ANCHOR
+    for i, x in enumerate(streams):
+        at = int(ends[i]) - len(x)
+        held = np.array([w.startswith("w") for w in x])
+        assert not (covered[at : at + len(x)] & ~held).any()
+        inner = np.flatnonzero(held)[margin : held.sum() - margin]
+        assert covered[at + inner].all()
+
+
+def page_of(*blocks, host="g.example", n=0):
+    return (n, f"http://{host}/{n}", "<html><body>" + "".join(blocks) + "</body></html>")
+
+
+def texts_of(spark, rows):
+    return {r.page_id: r.text for r in html.main_text(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+
+
+@pytest.mark.parametrize("small", [True, False])
+def test_main_text_of_unmarked_pages(spark, monkeypatch, small):
+    monkeypatch.setattr(html, "small_enough", lambda n, b: small)
+    frame, disclaimer = "<ul><li>Home</li><li>About us</li><li>Contact</li><li>Terms</li></ul>", words(60, 900)
+    bodies = [f"{words(150, 901 + i)}" for i in range(6)]
+    rows = [page_of(frame, f"<p>{b}</p><h2>Summary</h2>" if i < 2 else f"<p>{b}</p>", f"<p>{disclaimer}</p>", n=i) for i, b in enumerate(bodies)]
+    rows += [page_of(f"<p>{bodies[0]}</p>", f"<p>{disclaimer}</p>", host="mirror.example", n=100), page_of(f"<div><p>{bodies[0]}</p></div>", f"<p>{disclaimer}</p>", host="mirror.example", n=101)]
+    got = texts_of(spark, rows)
+    assert all(got[i] == (f"{b}\n\nSummary" if i < 2 else b) for i, b in enumerate(bodies))
+    assert got[100] == got[101] == f"{bodies[0]}\n\n{disclaimer}"
+
+
+def test_main_text_class_names_and_teasers(spark):
+    rows = [
+        page_of('<article><div class="search-theory"><p>One theory</p></div><div class="social-science"><p>Two science</p></div><div class="cookieBanner">We use cookies</div><div id="related-posts">More</div></article>', n=1),
+        page_of(f'<article><p>{words(80, 1)}</p></article><article><p>Teaser card</p></article>', n=2),
+        page_of("<div><p>Kept</p></div><div class='hidden-figures'><p>Film</p></div><div class='sidebar-left'>Side</div><template>no</template>", n=3),
+        page_of("<article><ul><li>" + "</li><li>".join(f"{words(20, 50 + i)}" for i in range(400)) + "</li></ul></article>", n=4),
+    ]
+    got = texts_of(spark, rows)
+    assert got[1] == "One theory\n\nTwo science" and got[2] == words(80, 1) and got[3] == "Kept\n\nFilm"
+    assert got[4].count("\n\n") == 399
+
+
+def test_main_text_of_a_hot_host(spark):
+    """A notice in all articles of a host goes; passages that some of them share, and whole articles that mirrors share, stay."""
+    notice, shared = words(40, 77), words(70, 78)
+    rows = [page_of(f"<nav><a>Menu</a></nav><article><p>{words(60, 2000 + i)}</p>", f"<p>{shared}</p>" if i % 3 == 0 else "", f"<p>{notice}</p></article>", host="hot.example", n=i) for i in range(60)]
+    rows += [page_of(f"<article><p>{words(60, 3000 + i)}</p><p>{shared}</p></article>", host=f"other{i}.example", n=100 + i) for i in range(12)]
+    rows += [page_of(f"<article><p>{words(60, 4000)}</p></article>", host="same.example", n=200 + i) for i in range(15)]
+    got = texts_of(spark, rows)
+    assert all(notice not in got[i] and (shared in got[i]) == (i % 3 == 0) and words(60, 2000 + i) in got[i] for i in range(60))
+    assert all(shared in got[100 + i] for i in range(12)) and all(got[200 + i] == words(60, 4000) for i in range(15))
+
+
+def test_host_repeats_find_the_frames_of_the_given_pages(spark):
+    pages = spark.read.parquet("/root/testdata/sf0.01/pages.parquet").select("url", "html", F.xxhash64("page_id").alias("row"))
+    streams, repeated, _ = html.host_repeats(pages)
+    assert streams.agg(F.sum(F.size("keys"))).first()[0] > 10 * streams.count() and repeated.count() > 100
