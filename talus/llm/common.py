@@ -96,7 +96,10 @@ def shingles_of(raw: bytes, size: int = 5) -> np.ndarray:
 
 
 def spread(df: DataFrame) -> DataFrame:
-    """df dealt to all cores where a table comes in fewer partitions than there are cores; large tables stay as they are."""
+    """df dealt to all cores where a table comes in fewer partitions than there are cores; large tables stay as they are, and so
+    does what a shuffle deals anyway (counting its partitions would run it)."""
+    if "Exchange" in df._jdf.queryExecution().executedPlan().toString():
+        return df
     cores = df.sparkSession.sparkContext.defaultParallelism
     return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
 
@@ -105,22 +108,35 @@ def small_enough(n_rows: int, row_bytes: int) -> bool:
     return n_rows * row_bytes <= BROADCAST_BYTES
 
 
+def least_neighbours(hit: np.ndarray) -> np.ndarray:
+    """For each row of a symmetric adjacency matrix the smallest row of its component."""
+    label = np.arange(len(hit))
+    while True:
+        low = np.minimum(label, np.where(hit, label[None, :], len(hit)).min(axis=1, initial=len(hit)))
+        low = np.minimum(low, low[low])
+        if (low == label).all():
+            return label
+        label = low
+
+
 def components(edges: DataFrame, what: str = "components") -> tuple[DataFrame, str]:
     """Connected components of edges (a long, b long) as (node, component), component the smallest node.
 
     Alternates the large-star and small-star steps of Kiveris et al. (2014): each step only groups by node
     with a partial minimum and joins the minimum back, so a hub's neighbours never meet in one task. Each
-    step is written to the shared folder; the loop ends when a step changes nothing. Self-loops and nulls
-    are ignored. Nothing is collected but two counters."""
+    step is written to the shared folder; the loop ends when every node points to a node that points nowhere, which is
+    when a step can change nothing. Self-loops and nulls are ignored. Nothing is collected but a flag a step."""
     spark = edges.sparkSession
     pair = edges.where("a is not null and b is not null and a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct()
     cur, path = materialize(pair, what)
 
-    def signature(df: DataFrame):
-        return df.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v") % F.lit(1_000_003))).first()
+    def settled(df: DataFrame) -> bool:
+        """Whether all edges are stars: no node has two lesser ones, and none is both a leaf and a centre."""
+        if not df.groupBy("u").agg(F.count(F.lit(1)).alias("n")).where("n > 1").isEmpty():
+            return False
+        return df.select("v").distinct().join(df.select("u"), F.col("v") == F.col("u"), "left_semi").isEmpty()
 
-    before = signature(cur)
-    while before[0]:
+    while not settled(cur):
         both = cur.select("u", "v").union(cur.select(F.col("v").alias("u"), F.col("u").alias("v")))
         # Written first, so that the join deals both sides itself and adaptive execution can split a hub's rows.
         low, low_path = materialize(both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m")), what)
@@ -132,9 +148,5 @@ def components(edges: DataFrame, what: str = "components") -> tuple[DataFrame, s
         new, new_path = materialize(small, what)
         discard(spark, path, mid_path, low_path)
         path, cur = new_path, new
-        now = signature(cur)
-        if now == before:
-            break
-        before = now
     nodes = cur.select(F.col("u").alias("node"), F.col("v").alias("component"))
     return nodes.union(cur.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct()), path

@@ -11,7 +11,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import components, discard, materialize, ship, small_enough
+from .common import components, discard, least_neighbours, materialize, ship, small_enough
 
 #: Cells are fitted on at most so many vectors and bytes, those whose id hash comes first; every vector is assigned.
 FIT_VECTORS, ROUNDS = 65_536, 8
@@ -103,13 +103,7 @@ def _assign(shared):
 
 def _forest(hit: np.ndarray) -> list[tuple[int, int]]:
     """(node, smallest node of its component) of a symmetric adjacency matrix, without the roots."""
-    label = np.arange(len(hit))
-    while True:
-        low = np.minimum(label, np.where(hit, label[None, :], len(hit)).min(axis=1, initial=len(hit)))
-        low = np.minimum(low, low[low])
-        if (low == label).all():
-            return [(int(i), int(j)) for i, j in enumerate(label) if i != j]
-        label = low
+    return [(i, int(j)) for i, j in enumerate(least_neighbours(hit)) if i != j]
 
 
 def _compare(cosine: float):

@@ -1,8 +1,10 @@
 """MinHash near-duplicates by min-max hashing.
 
 Each permutation of a document's shingle hashes gives two signature values, its minimum and its maximum, so
-half as many evaluations fill a signature (Ji et al., 2013). Bands of the signature only propose families of
-documents; every link is confirmed on the full shingle sets, in blocks, before components are formed."""
+half as many evaluations fill a signature (Ji et al., 2013). Documents that share a band are compared by their whole
+signatures; those that come near the threshold there, and chains of them, are a family, within which every link is
+confirmed on the full shingle sets before components are formed. Groups of either kind are compared in blocks: all
+members with a pivot first, and only those that don't reach it with all others."""
 
 from __future__ import annotations
 
@@ -10,13 +12,16 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import bytes_of, components, discard, materialize, shingles_of, ship, small_enough, spread
+from .common import bytes_of, components, discard, least_neighbours, materialize, shingles_of, ship, small_enough, spread
 
 #: 90 permutations give 180 values: 30 bands of 6. A pair at similarity 0.85 is in no common band with
 #: probability (1 - 0.85**6)**30 < 7e-7, at 0.8 below 1.3e-4.
 PERMUTATIONS, BAND_ROWS = 90, 6
-#: Documents of a family that meet in one block; larger families are compared block by block.
-BLOCK = 256
+#: Signatures that agree in a share of values this much below the threshold make a family. Of 90 independent permutations
+#: that is over five standard errors.
+MARGIN = 0.22
+#: Documents of a family, and signatures of a bucket, that meet in one block.
+BLOCK, SIGNATURE_BLOCK = 256, 512
 _CHUNK = 1 << 16
 
 
@@ -60,6 +65,11 @@ def band_keys(sig: np.ndarray) -> np.ndarray:
     return keys
 
 
+def short_signatures(sig: np.ndarray) -> np.ndarray:
+    """A byte for each value: equal values agree, others do in 1 of 256 cases."""
+    return ((sig * np.uint32(0x9E3779B1)) >> np.uint32(24)).astype(np.uint8)
+
+
 def _sketch(size: int):
     def run(batches):
         import pyarrow as pa
@@ -71,136 +81,176 @@ def _sketch(size: int):
                 sets = [shingles_of(t, size) for t in texts[at : at + 256]]
                 full = [i for i, s in enumerate(sets) if len(s)]
                 bands: list = [None] * len(sets)
+                short: list = [None] * len(sets)
                 if full:
-                    for i, row in zip(full, band_keys(signatures([sets[i] for i in full])), strict=True):
-                        bands[i] = row
+                    sig = signatures([sets[i] for i in full])
+                    for i, row, own in zip(full, band_keys(sig), short_signatures(sig), strict=True):
+                        bands[i], short[i] = row, own.tobytes()
                 yield pa.RecordBatch.from_arrays(
-                    [ids.slice(at, 256), pa.array([len(s) for s in sets], pa.int64()), pa.array([xxh3_128_digest(s.tobytes()) if len(s) else None for s in sets], pa.binary()), pa.array(bands, pa.list_(pa.int64()))],
-                    names=["doc_id", "n_shingles", "set_key", "bands"],
+                    [ids.slice(at, 256), pa.array([len(s) for s in sets], pa.int64()), pa.array([xxh3_128_digest(s.tobytes()) if len(s) else None for s in sets], pa.binary()), pa.array(bands, pa.list_(pa.int64())), pa.array(short, pa.binary())],
+                    names=["doc_id", "n_shingles", "set_key", "bands", "short"],
                 )
 
     return run
 
 
-def _links(sets: list[np.ndarray], left: int, same: bool, percent: int) -> list[tuple[int, int]]:
-    """A spanning forest of the links within sets (same) or between sets[:left] and sets[left:]."""
-    n = len(sets)
-    top = list(range(n))
-
-    def find(i: int) -> int:
-        while top[i] != i:
-            top[i] = top[top[i]]
-            i = top[i]
-        return i
+def near_signatures(rows: list[bytes], least: int) -> np.ndarray:
+    """Which pairs of short signatures agree in at least so many values."""
+    m = np.frombuffer(b"".join(rows), dtype=np.uint8).reshape(len(rows), -1)
+    if len(rows) <= 48:
+        return (m[:, None, :] == m[None, :, :]).sum(axis=2) >= least
+    same = np.zeros((len(rows), len(rows)), dtype=np.uint8)  # there are 180 values at most
+    for c in range(m.shape[1]):
+        same += m[:, c, None] == m[None, :, c]
+    return same >= least
 
-    out = []
-
-    def union(i: int, j: int) -> None:
-        a, b = find(i), find(j)
-        if a != b:
-            top[max(a, b)] = min(a, b)
-            out.append((i, j))
 
+def near_sets(sets: list[np.ndarray], percent: int) -> np.ndarray:
+    """Which pairs of sets have 100 * intersection >= percent * union."""
+    n = len(sets)
     sizes = np.array([len(s) for s in sets], dtype=np.int64)
+    both = np.zeros((n, n), dtype=np.int64)
     if n <= 6:
         for i in range(n):
             for j in range(i + 1, n):
-                if (same or i < left <= j) and 100 * min(sizes[i], sizes[j]) >= percent * max(sizes[i], sizes[j]) and find(i) != find(j):
-                    both = len(np.intersect1d(sets[i], sets[j], assume_unique=True))
-                    if 100 * both >= percent * (sizes[i] + sizes[j] - both):
-                        union(i, j)
-        return out
-    values, column = np.unique(np.concatenate(sets), return_inverse=True)
-    row = np.repeat(np.arange(n), sizes)
-    order = np.argsort(column, kind="stable")
-    row, column = row[order], column[order]
-    both = np.zeros((n, n), dtype=np.int64)
-    for c in range(0, len(values), 4096):
-        lo, hi = np.searchsorted(column, [c, c + 4096])
-        m = np.zeros((n, 4096), dtype=np.float32)
-        m[row[lo:hi], column[lo:hi] - c] = 1
-        live = np.flatnonzero(m.sum(axis=0) > 1)
-        if len(live):
-            m = m[:, live]
-            both += (m @ m.T).astype(np.int64)
-    hit = 100 * both >= percent * (sizes[:, None] + sizes[None, :] - both)
-    hit = np.triu(hit, 1)
-    if not same:
-        hit[:left, :left] = False
-        hit[left:, left:] = False
-    for i, j in zip(*np.nonzero(hit), strict=True):
-        union(int(i), int(j))
-    return out
-
-
-def _confirm(size: int, percent: int):
-    """Rows (u0, u1, u2, side, doc_id, text) sorted by unit; yields star links (a, b) of confirmed pairs."""
-
-    def close(unit, rows):
+                if 100 * min(sizes[i], sizes[j]) >= percent * max(sizes[i], sizes[j]):
+                    both[i, j] = both[j, i] = len(np.intersect1d(sets[i], sets[j], assume_unique=True))
+    else:
+        values, column = np.unique(np.concatenate(sets), return_inverse=True)
+        row = np.repeat(np.arange(n), sizes)
+        order = np.argsort(column, kind="stable")
+        row, column = row[order], column[order]
+        for c in range(0, len(values), 4096):
+            lo, hi = np.searchsorted(column, [c, c + 4096])
+            m = np.zeros((n, 4096), dtype=np.float32)
+            m[row[lo:hi], column[lo:hi] - c] = 1
+            live = np.flatnonzero(m.sum(axis=0) > 1)
+            if len(live):
+                m = m[:, live]
+                both += (m @ m.T).astype(np.int64)
+    return (both > 0) & (100 * both >= percent * (sizes[:, None] + sizes[None, :] - both))
+
+
+def _linked(near, prepare):
+    """Rows (grp, u1, u2, side, blocks, id, payload) sorted by (grp, u1, u2). A unit with side 0 alone has the group's pivot,
+    its smallest id, and members: yields (a, b, null) links that span its components and, where the group has more blocks,
+    (id, null, grp) of members that don't reach the pivot. In a unit with both sides only links between them count."""
+
+    def close(grp, rows, out):
         if len(rows) < 2:
-            return []
-        rows.sort(key=lambda r: (r[0], r[1]))
-        ids = [r[1] for r in rows]
-        left = sum(1 for r in rows if r[0] == 0)
-        return [(max(ids[i], ids[j]), min(ids[i], ids[j])) for i, j in _links([r[2] for r in rows], left, unit[1] == unit[2], percent)]
+            return
+        side, ids = np.array([r[0] for r in rows]), np.array([r[2] for r in rows])
+        hit = near([prepare(r[3]) for r in rows])
+        crossed = bool(side.any())
+        if crossed:
+            hit = hit & (side[:, None] != side[None, :])
+        hit = hit | (ids[:, None] == ids[None, :])
+        np.fill_diagonal(hit, False)
+        label = least_neighbours(hit)
+        for i in np.flatnonzero(label != np.arange(len(rows))):
+            x, y = int(ids[i]), int(ids[label[i]])
+            if x != y:
+                out.append((max(x, y), min(x, y), None))
+        if not crossed and rows[0][1] > 1:
+            pivot = label[int(ids.argmin())]
+            out += [(int(ids[i]), None, grp) for i in np.flatnonzero(label != pivot)]
 
     def run(batches):
         import pyarrow as pa
 
-        def out(links):
-            return pa.RecordBatch.from_arrays([pa.array([x[0] for x in links], pa.int64()), pa.array([x[1] for x in links], pa.int64())], names=["a", "b"])
+        def packed(out):
+            return pa.RecordBatch.from_arrays([pa.array([x[k] for x in out], pa.int64()) for k in range(3)], names=["a", "b", "grp"])
 
-        unit, rows, links = None, [], []
+        unit, rows, out = None, [], []
         for batch in batches:
-            u0, u1, u2, side, ids = (batch.column(i).to_pylist() for i in range(5))
-            texts = bytes_of(batch.column(5))
-            for i, text in enumerate(texts):
-                now = (u0[i], u1[i], u2[i])
-                if now != unit:
-                    links += close(unit, rows)
-                    unit, rows = now, []
-                rows.append((side[i], ids[i], shingles_of(text, size)))
-            if len(links) > 4096:
-                yield out(links)
-                links = []
-        yield out(links + close(unit, rows))
+            keys = list(zip(*(batch.column(i).to_pylist() for i in range(3)), strict=True))
+            side, blocks, ids = (batch.column(i).to_pylist() for i in (3, 4, 5))
+            for i, x in enumerate(bytes_of(batch.column(6))):
+                if keys[i] != unit:
+                    if unit is not None:
+                        close(unit[0], rows, out)
+                    unit, rows = keys[i], []
+                rows.append((side[i], blocks[i], ids[i], x))
+            if len(out) > 4096:
+                yield packed(out)
+                out = []
+        if unit is not None:
+            close(unit[0], rows, out)
+        yield packed(out)
 
     return run
 
 
+def link_groups(members: DataFrame, payload: DataFrame, near, prepare, block: int, what: str) -> tuple[DataFrame, list[str]]:
+    """Links (a, b) that span the components which near forms within groups, and scratch tables to discard.
+
+    members: grp, id; payload: id, payload. A group's members are dealt to blocks. Each block meets the group's pivot;
+    members that reach it there are in one component and needn't be compared any more. The others meet all blocks, so
+    that no pair of different components is left out. A group of near copies costs as much as its members; one without links, as its pairs."""
+    unit = ["grp", "u1", "u2"]
+    schema = "a long, b long, grp long"
+    sizes = members.groupBy("grp").agg(F.count(F.lit(1)).alias("n"), F.min("id").alias("pivot"))
+    placed = members.join(sizes, "grp").where("n > 1").withColumn("blocks", F.ceil(F.col("n") / block).cast("int")).withColumn("block", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
+    placed, placed_path = materialize(placed.select("grp", "id", "blocks", "block", (F.col("id") == F.col("pivot")).alias("first")), what)
+
+    def compared(rows: DataFrame) -> tuple[DataFrame, str]:
+        n = rows.count()
+        rows = F.broadcast(rows) if small_enough(n, 60) else rows
+        full = payload.join(rows, "id").select(*unit, "side", "blocks", "id", "payload")
+        return materialize(full.repartition(*unit).sortWithinPartitions(*unit).mapInArrow(_linked(near, prepare), schema), what)
+
+    every = F.sequence(F.lit(0), F.col("blocks") - 1)
+    stars = placed.select("grp", F.explode(F.when(F.col("first"), every).otherwise(F.array("block"))).alias("u1"), F.lit(-1).alias("u2"), F.lit(0).alias("side"), "blocks", "id")
+    found, found_path = compared(stars)
+    paths = [placed_path, found_path]
+    left = found.where("b is null").select("grp", F.col("a").alias("id")).distinct()
+    if not left.isEmpty():
+        others = left.groupBy("grp").agg(F.ceil(F.count(F.lit(1)) / block).cast("int").alias("parts"))
+        moved = left.join(others, "grp").withColumn("part", F.pmod(F.xxhash64("id"), F.col("parts")).cast("int")).select("grp", "id", "part")
+        one = moved.join(placed.select("grp", "id", "blocks"), ["grp", "id"]).select("grp", F.col("part").alias("u1"), F.explode(every).alias("u2"), F.lit(1).alias("side"), "blocks", "id")
+        two = placed.join(others, "grp").select("grp", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("u1"), F.col("block").alias("u2"), F.lit(0).alias("side"), "blocks", "id")
+        rest, rest_path = compared(one.union(two))
+        paths.append(rest_path)
+        found = found.union(rest)
+    return found.where("b is not null").select("a", "b"), paths
+
+
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, percent: int = 80) -> DataFrame:
     """Components of documents whose shingle sets have 100 * intersection >= percent * union.
 
     Returns one row per input row: doc_id, n_shingles, component_id (smallest id reachable), kept. Null or empty
     texts have an empty set and link with nothing. Rows with a null id link with nothing, have a null component
-    and are kept. Repeated rows share a component; rows that repeat an id count as one node. Other columns of
-    docs are ignored, whatever their names. An empty table gives an empty result."""
+    and are kept. Repeated rows share a component; rows that repeat an id with other texts are one node, which all their
+    texts link, and an empty one among them goes with the others. Other columns of docs are ignored, whatever their
+    names. An empty table gives an empty result."""
     spark = docs.sparkSession
     ship(spark)
     base = spread(docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")))
-    sketched, sketch_path = materialize(base.mapInArrow(_sketch(shingle), "doc_id long, n_shingles long, set_key binary, bands array<long>"), "minmax-sketch")
+    sketched, sketch_path = materialize(base.mapInArrow(_sketch(shingle), "doc_id long, n_shingles long, set_key binary, bands array<long>, short binary"), "minmax-sketch")
     # Equal sets are one class from here on; only its smallest id goes further.
-    classes, class_path = materialize(sketched.where("set_key is not null and doc_id is not null").groupBy("set_key").agg(F.min(F.struct("doc_id", "bands")).alias("r")).select("set_key", F.col("r.doc_id").alias("rep"), F.col("r.bands").alias("bands")), "minmax-classes")
-    member = classes.select("rep", F.explode("bands").alias("band"))
-    bucket = member.groupBy("band").agg(F.min("rep").alias("low"), F.count(F.lit(1)).alias("n")).where("n > 1").drop("n")
-    proposed = member.join(bucket, "band").where("rep <> low").select(F.col("rep").alias("a"), F.col("low").alias("b"))
-    family, family_path = components(proposed, "minmax-family")
-    family, family_table = materialize(family.groupBy("node").agg(F.min("component").alias("family")), "minmax-families")
-    sizes = family.groupBy("family").agg(F.count(F.lit(1)).alias("n"))
-    # The members of a family are dealt to blocks of about BLOCK by their hash; each pair of blocks is one unit.
-    placed = family.join(sizes, "family").select(F.col("node").alias("doc_id"), "family", F.ceil(F.col("n") / BLOCK).cast("int").alias("blocks"))
-    placed, placed_path = materialize(placed.withColumn("block", F.pmod(F.xxhash64("doc_id"), F.col("blocks")).cast("int")), "minmax-placed")
-    n_placed = placed.count()
-    side = F.broadcast(placed) if small_enough(n_placed, 40) else placed
-    unit = F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda k: F.struct(F.least(k, F.col("block")).alias("u1"), F.greatest(k, F.col("block")).alias("u2"), F.when(k < F.col("block"), 1).otherwise(0).alias("side")))
-    rows = base.join(side, "doc_id").select("doc_id", "text", "family", F.explode(unit).alias("u")).select(F.col("family").alias("u0"), "u.u1", "u.u2", "u.side", "doc_id", "text")
-    dealt = rows.repartition("u0", "u1", "u2").sortWithinPartitions("u0", "u1", "u2")
-    links, link_path = materialize(dealt.mapInArrow(_confirm(shingle, percent), "a long, b long"), "minmax-links")
-    found, found_path = components(links, "minmax-found")
+    classes, class_path = materialize(sketched.where("set_key is not null and doc_id is not null").groupBy("set_key").agg(F.min(F.struct("doc_id", "bands", "short")).alias("r")).select("set_key", F.col("r.doc_id").alias("rep"), F.col("r.bands").alias("bands"), F.col("r.short").alias("short")), "minmax-classes")
+    repeated, repeated_path = materialize(sketched.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n"), F.min("set_key").alias("first_key")).where("n > 1 and doc_id is not null and first_key is not null").select("doc_id", "first_key"), "minmax-repeated")
+    paths = [sketch_path, class_path, repeated_path]
+    member = classes.select("rep", F.explode("bands").alias("grp"))
+    buckets = member.groupBy("grp").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("grp")
+    shared, shared_path = materialize(member.join(buckets, "grp").select("grp", F.col("rep").alias("id")), "minmax-buckets")
+    least = int(np.ceil(2 * PERMUTATIONS * (percent / 100 - MARGIN)))
+    alike, alike_paths = link_groups(shared.distinct(), classes.select(F.col("rep").alias("id"), F.col("short").alias("payload")), lambda rows: near_signatures(rows, least), bytes, SIGNATURE_BLOCK, "minmax-alike")
+    family, family_path = components(alike, "minmax-family")
+    family, family_table = materialize(family.groupBy("node").agg(F.min("component").alias("grp")).select("grp", F.col("node").alias("id")), "minmax-families")
+    # One text for each id and text, however often it is repeated.
+    known = F.broadcast(family.select("id")) if small_enough(family.count(), 16) else family.select("id")
+    texts = base.withColumnRenamed("doc_id", "id").join(known, "id").groupBy("id", F.xxhash64("text")).agg(F.first("text").alias("payload")).select("id", "payload")
+    links, link_paths = link_groups(family, texts, lambda sets: near_sets(sets, percent), lambda raw: shingles_of(raw, shingle), BLOCK, "minmax-links")
+    ids = F.broadcast(repeated) if small_enough(repeated.count(), 64) else repeated
+    twice = sketched.where("set_key is not null").join(ids, "doc_id").join(classes.select("set_key", "rep"), "set_key").select("doc_id", "rep")
+    twice = twice.join(twice.groupBy("doc_id").agg(F.min("rep").alias("low")), "doc_id").select(F.col("rep").alias("a"), F.col("low").alias("b"))
+    found, found_path = components(links.union(twice), "minmax-found")
     found = found.groupBy("node").agg(F.min("component").alias("component"))
     labelled = classes.select("set_key", "rep").join(found, F.col("rep") == F.col("node"), "left").select("set_key", F.coalesce("component", "rep").alias("label"))
-    out = sketched.drop("bands").join(labelled, "set_key", "left").select("doc_id", "n_shingles", F.when(F.col("doc_id").isNotNull(), F.coalesce("label", "doc_id")).alias("component_id"))
+    whole = sketched.select("doc_id", "n_shingles", "set_key").join(ids, "doc_id", "left").withColumn("set_key", F.coalesce("set_key", "first_key")).drop("first_key")
+    out = whole.join(labelled, "set_key", "left").select("doc_id", "n_shingles", F.when(F.col("doc_id").isNotNull(), F.coalesce("label", "doc_id")).alias("component_id"))
     out = out.withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
     out, _ = materialize(out, "minmax-out")
-    discard(spark, sketch_path, class_path, family_path, family_table, placed_path, link_path, found_path)
+    discard(spark, *paths, shared_path, *alike_paths, family_path, family_table, *link_paths, found_path)
     return out

@@ -77,6 +77,37 @@ def test_near_duplicates_of_a_family_over_many_blocks(spark, monkeypatch):
     assert got == brute_components(texts, 85)
 
 
+def test_near_duplicates_of_templated_texts(spark, monkeypatch):
+    """Texts that share half of their shingles are candidates in some bands, but no family and no link."""
+    monkeypatch.setattr(minmax, "SIGNATURE_BLOCK", 16)
+    frame = words(60, 6)
+    texts = {i: f"{frame} {words(35, 700 + i)}" for i in range(200)}
+    got = {r.doc_id: r.component_id for r in minmax.near_duplicates(docs(spark, [(i, t, "en", "s") for i, t in texts.items()]), percent=80).collect()}
+    assert got == {i: i for i in texts}
+
+
+def test_near_duplicates_of_ids_with_several_texts(spark):
+    a, b, c = (words(50, 800 + i) for i in range(3))
+    rows = [(1, a), (2, b), (5, a), (5, b), (5, None), (6, c), (7, c), (7, ""), (8, a), (None, a), (None, b)]
+    got = sorted((r.doc_id or 0, r.component_id, r.kept) for r in minmax.near_duplicates(docs(spark, [(i, t, "en", "s") for i, t in rows]), percent=80).collect())
+    assert got == sorted([(1, 1, True), (2, 1, False), (5, 1, False), (5, 1, False), (5, 1, False), (6, 6, True), (7, 6, False), (7, 6, False), (8, 1, False), (0, None, True), (0, None, True)], key=lambda r: (r[0], r[1] or 0))
+
+
+def test_signature_margin_keeps_links():
+    """Pairs at the threshold agree in far more values than a family asks for."""
+    r = np.random.default_rng(5)
+    for percent in (80, 85):
+        least = int(np.ceil(2 * minmax.PERMUTATIONS * (percent / 100 - minmax.MARGIN)))
+        for size in (7, 12, 60, 400):
+            pairs = []
+            for _ in range(60):
+                both = int(np.ceil(2 * size * percent / (100 + percent)))
+                x = np.unique(r.integers(0, 2**63, 2 * size - both, dtype=np.uint64))
+                pairs += [np.sort(x[:size]), np.sort(np.concatenate([x[:both], x[size:]]))]
+            short = minmax.short_signatures(minmax.signatures(pairs))
+            assert ((short[::2] == short[1::2]).sum(axis=1) >= least).all()
+
+
 def test_near_duplicates_edge_rows(spark):
     out = minmax.near_duplicates(docs(spark, EDGE), percent=80).collect()
     assert len(out) == len(EDGE)
