@@ -352,8 +352,10 @@ def test_decontamination_finds_copies_and_paraphrases(spark):
     assert decontam.decontaminate(docs(spark, rows), b.where("item_id > 49 and item_id < 52")).where("contaminated").count() == 0
 
 
-def test_decontamination_in_blocks(spark, monkeypatch):
-    monkeypatch.setattr(decontam, "ITEM_BLOCK", 2)
+@pytest.mark.parametrize("bound", [{"ITEM_BLOCK": 2}, {"BLOCK_BYTES": 4 * decontam.RANK * 45}, {"ITEM_BLOCK": 2, "BROADCAST_BYTES": 0}])
+def test_decontamination_in_blocks(spark, monkeypatch, bound):
+    for name, value in bound.items():
+        monkeypatch.setattr(decontam, name, value)
     items = {i: words(20, 200 + i) for i in range(5)}
     b = spark.createDataFrame(list(items.items()), "item_id long, text string")
     got = {x.doc_id: x.item_ids for x in decontam.decontaminate(docs(spark, [(i, f"{words(40, i)} {t}", "en", "s") for i, t in items.items()]), b).collect()}
@@ -369,7 +371,7 @@ def test_decontamination_of_many_items(spark):
 
 
 def test_decontamination_of_long_items(spark):
-    items = {i: words(n, 5000 + i) for i, n in enumerate((90, 200, 300, 450, 1500))}
+    items = {i: words(n, 5000 + i) for i, n in enumerate((90, 200, 300, 450, 800, 1500, 5000))}
     b = spark.createDataFrame(list(items.items()), "item_id long, text string")
     rows = [(i, f"{words(300, i)} {t} {words(200, i + 50)}", "en", "s") for i, t in items.items()]
     rows += [(10 + i, f"{words(300, i)} {' '.join(t.split()[: len(t.split()) // 2])}", "en", "s") for i, t in items.items()]
@@ -377,6 +379,56 @@ def test_decontamination_of_long_items(spark):
     assert got == {i: ([i], 1.0) for i in items} | {10 + i: ([], 0.0) for i in items}
 
 
+def test_decontamination_checks_every_span(spark):
+    """The question with a part of the answer early, and the whole item later."""
+    item = words(60, 6000).split()
+    text = f"{words(50, 1)} {' '.join(item[:50])} {words(12, 2)} {words(300, 3)} {' '.join(item[:20])} x {' '.join(item[21:])} {words(40, 4)}"
+    got = decontam.decontaminate(docs(spark, [(1, text, "en", "s")]), spark.createDataFrame([(7, " ".join(item))], "item_id long, text string")).first()
+    assert got.item_ids == [7]
+    head, tail = [b"a%d" % i for i in range(20)], [b"z%d" % i for i in range(8)]
+    own = [*head[:-1], head[-1] + b".", *tail]
+    near = [*own[:20], *tail[:2]]  # most words, too little of the answer
+    assert decontam.held_at(near, own, [(0, len(near))]) is None
+    both = [*near, *[b"f"] * 200, *own]
+    assert decontam.held_at(both, own, [(0, 22), (222, 250)]) == 1
+
+
+def test_decontamination_recall_of_paraphrases(spark):
+    """200 given items, with 10, 20 and 30 % of their words replaced, added or taken away, set into other texts."""
+    d = "/root/testdata/sf0.01"
+    r = random.Random(1)
+    flat = lambda t: " ".join((t or "").lower().split())
+    bench = spark.read.parquet(f"{d}/benchmark.parquet")
+    items = [(x.item_id, x.text) for x in bench.collect()]
+    clean = [x.text for x in spark.read.parquet(f"{d}/documents.parquet").orderBy("doc_id").collect() if x.text and not any(flat(t) in flat(x.text) for _, t in items)]
+    other = [w for t in clean[:300] for w in t.split()]
+
+    def changed(text: str, share: float) -> str:
+        w = text.split()
+        for k in sorted(r.sample(range(len(w)), max(1, round(len(w) * share))), reverse=True):
+            kind = r.random()
+            if kind < 0.6:
+                w[k] = r.choice(other)
+            elif kind < 0.8:
+                w.insert(k, r.choice(other))
+            else:
+                del w[k]
+        return " ".join(w)
+
+    rows, want = [(100_000 + j, t, "en", "s") for j, t in enumerate(clean)], {}
+    for share in (0.1, 0.2, 0.3):
+        for i, text in items:
+            around = r.choice(clean).split()
+            at = r.randrange(len(around) + 1)
+            want[len(want)] = (share, i)
+            rows.append((len(want) - 1, " ".join([*around[:at], changed(text, share), *around[at:]]), "en", "s"))
+    got = {x.doc_id: x.item_ids for x in decontam.decontaminate(docs(spark, rows), bench).collect()}
+    for share in (0.1, 0.2, 0.3):
+        mine = [k for k, (s, _) in want.items() if s == share]
+        assert sum(want[k][1] in got[k] for k in mine) >= 0.9 * len(mine)
+    assert not any(got[100_000 + j] for j in range(len(clean)))
+
+
 def test_decontamination_equals_substring_search(spark):
     d = "/root/testdata/sf0.01"
     flat = lambda t: " ".join((t or "").lower().split())
