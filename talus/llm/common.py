@@ -48,6 +48,19 @@ def discard(spark: SparkSession, *paths: str) -> None:
         p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
 
 
+def retire(spark: SparkSession, *paths: str) -> None:
+    """Scratch tables that a result still reads; sweep deletes them."""
+    sc = spark.sparkContext
+    sc._talus_retired = [*getattr(sc, "_talus_retired", []), *paths]
+
+
+def sweep(spark: SparkSession) -> None:
+    """Delete the scratch tables of results that are written or used by now."""
+    sc = spark.sparkContext
+    discard(spark, *getattr(sc, "_talus_retired", []))
+    sc._talus_retired = []
+
+
 def bucket_of_id(doc_id: Column, m: int) -> Column:
     """crc32 of the id as text, mod m; null for a null id."""
     return F.crc32(doc_id.cast("string").cast("binary")) % m

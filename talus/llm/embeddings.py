@@ -11,7 +11,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import components, discard, least_neighbours, materialize, ship, small_enough
+from .common import components, discard, least_neighbours, materialize, retire, ship, small_enough
 
 #: Cells are fitted on at most so many vectors and bytes, those whose id hash comes first; every vector is assigned.
 FIT_VECTORS, ROUNDS = 65_536, 8
@@ -201,6 +201,7 @@ def near_vectors(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "
     labelled = classes.join(counts, "rep", "left").join(joined, "rep", "left").select("key", (F.coalesce("links", F.lit(0)) + F.col("n") - 1).alias("links"), F.coalesce("component", "rep").alias("label"))
     out = unit.join(labelled.withColumnRenamed("key", "its_key"), F.col("vec_id").isNotNull() & (F.col("key") == F.col("its_key")), "left")
     out = out.select("vec_id", F.coalesce("links", F.lit(0).cast("long")).alias("n_links"), F.coalesce("label", "vec_id").alias("component_id"))
-    out, _ = materialize(out.withColumn("kept", F.coalesce(F.col("vec_id") == F.col("component_id"), F.lit(True))), "cells-out")
+    out, at = materialize(out.withColumn("kept", F.coalesce(F.col("vec_id") == F.col("component_id"), F.lit(True))), "cells-out")
+    retire(spark, at)
     discard(spark, unit_path, class_path, placed_path, found_path, joined_path)
     return out

@@ -16,7 +16,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import discard, materialize, mix64, ship, small_enough, spread, word_hashes
+from .common import discard, materialize, mix64, retire, ship, small_enough, spread, word_hashes
 from .minmax import near_duplicates
 
 #: Substrings of LONG tokens have an anchor in common: the least hash of ANCHOR tokens among neighbours is one.
@@ -368,6 +368,7 @@ def main_text(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", h
         discard(spark, *paths)
         return base.withColumn("own", F.lit(None).cast("array<struct<key:bigint,n:bigint>>")).mapInArrow(_kept(shared), schema)
     own = streams.select("row", F.explode("keys").alias("key")).join(repeated, "key").groupBy("row").agg(F.collect_set(F.struct("key", "n")).alias("own"))
-    out, _ = materialize(rowed.join(own, "row", "left").select("page_id", "url", "html", "own").mapInArrow(_kept(None), schema), "html-out")
+    out, at = materialize(rowed.join(own, "row", "left").select("page_id", "url", "html", "own").mapInArrow(_kept(None), schema), "html-out")
+    retire(spark, at)
     discard(spark, *paths)
     return out

@@ -57,17 +57,19 @@ def present(text: str, buffer: np.ndarray) -> bool:
 
 
 def _pack(batches):
+    """(id, label, text) to (id, label, bits) of texts with a letter."""
     import pyarrow as pa
 
     buffer = np.zeros(1 << SLOT_BITS, dtype=np.uint8)
     for batch in batches:
         kept, bits = [], []
-        for i, text in enumerate(batch.column(1).to_pylist()):
+        for i, text in enumerate(batch.column(2).to_pylist()):
             buffer[:] = 0
             if text and present(text, buffer):
                 kept.append(i)
                 bits.append(np.packbits(buffer).tobytes())
-        yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(kept, pa.int64())), pa.array(bits, pa.binary())], names=["label", "bits"])
+        at = pa.array(kept, pa.int64())
+        yield pa.RecordBatch.from_arrays([batch.column(0).take(at), batch.column(1).take(at), pa.array(bits, pa.binary())], names=["id", "label", "bits"])
 
 
 @dataclass
@@ -80,9 +82,9 @@ class Model:
         return (rows @ self.weights) / np.sqrt(np.maximum(sizes, 1))[:, None]
 
 
-def fit(rows: np.ndarray, labels: list[str]) -> Model | None:
-    """rows: 0/1 presence over all slots."""
-    if not len(rows):
+def fit(rows: list[bytes], labels: list[str]) -> Model | None:
+    """rows: presence of all slots in packed bits; they are unpacked a few at a time."""
+    if not rows:
         return None
     languages = sorted(set(labels))
     at = {x: i for i, x in enumerate(languages)}
@@ -95,11 +97,12 @@ def fit(rows: np.ndarray, labels: list[str]) -> Model | None:
         turn.append((seen.get(x, 0), i))
         seen[x] = seen.get(x, 0) + 1
     marks = np.array([i for _, i in sorted(turn)[:LANDMARKS]])
-    slots = np.flatnonzero(rows[marks].any(axis=0))
-    x = rows[:, slots].astype(np.float32)
-    size = np.sqrt(rows.sum(axis=1, dtype=np.float64))
-    scaled = x[marks] / size[marks][:, None]
-    k_all = (x @ scaled.T) / size[:, None]
+    packed = np.frombuffer(b"".join(rows), dtype=np.uint8).reshape(len(rows), -1)
+    slots = np.flatnonzero(np.unpackbits(np.bitwise_or.reduce(packed[marks], axis=0)))
+    size = np.sqrt(np.bitwise_count(packed).sum(axis=1, dtype=np.float64))
+    scaled = np.unpackbits(packed[marks], axis=1)[:, slots].astype(np.float32) / size[marks][:, None]
+    parts = [np.unpackbits(packed[i : i + 256], axis=1)[:, slots].astype(np.float32) @ scaled.T for i in range(0, len(rows), 256)]
+    k_all = np.concatenate(parts) / size[:, None]
     k_mm = k_all[marks].astype(np.float64)
     value, vector = np.linalg.eigh((k_mm + k_mm.T) / 2)
     good = value > max(value[-1] * 1e-6, 1e-10)
@@ -113,22 +116,25 @@ def fit(rows: np.ndarray, labels: list[str]) -> Model | None:
 
 
 def train(docs: DataFrame, text_col: str, label_col: str, id_col: str, usable) -> Model | None:
-    """Fit on a bounded sample: of each language the usable rows whose id hash comes first.
+    """Fit on a bounded sample: of each language the usable rows whose id hash comes first, and one row of every language
+    before a second of any.
 
     The ids are chosen without their texts: a partial row number in each of 32 salts of a language, so that a
-    language with most of the rows never meets in one task."""
+    language with most of the rows never meets in one task. Rows that repeat an id and label
+    are one text."""
     ship(docs.sparkSession)
     rows = docs.where(usable & F.col(label_col).isNotNull() & F.col(text_col).isNotNull())
     key = rows.select(F.col(id_col).alias("id"), F.col(label_col).cast("string").alias("label"), F.xxhash64(F.col(id_col).cast("string")).alias("h")).withColumn("salt", F.pmod("h", F.lit(_SALTS)))
-    first = Window.partitionBy("label", "salt").orderBy("h", "id")
-    key = key.withColumn("n", F.row_number().over(first)).where(F.col("n") <= -(-PER_LANGUAGE // _SALTS)).orderBy("n", "h").limit(IN_ALL)
-    chosen, at = materialize(key.select("id").distinct(), "langid-sample")
+    few = key.withColumn("n", F.row_number().over(Window.partitionBy("label", "salt").orderBy("h", "id"))).where(F.col("n") <= -(-PER_LANGUAGE // _SALTS))
+    # At most PER_LANGUAGE rows and a few for each language are left here.
+    ranked = few.withColumn("n", F.row_number().over(Window.partitionBy("label").orderBy("h", "id"))).orderBy("n", "h", "label").limit(IN_ALL)
+    chosen, at = materialize(ranked.select("id").distinct(), "langid-sample")
     # At most IN_ALL ids; only their texts leave the scan.
-    texts = rows.select(F.col(id_col).alias("id"), F.col(label_col).cast("string").alias("label"), F.col(text_col).alias("text")).join(F.broadcast(chosen), "id").select("label", "text")
-    got = sorted(spread(texts).mapInArrow(_pack, "label string, bits binary").limit(2 * IN_ALL).collect(), key=lambda r: (r.label, bytes(r.bits)))
+    texts = rows.select(F.col(id_col).alias("id"), F.col(label_col).cast("string").alias("label"), F.col(text_col).cast("string").alias("text")).join(F.broadcast(chosen), "id")
+    bits = texts.mapInArrow(_pack, texts.select("id", "label", F.lit(b"").alias("bits")).schema)
+    got = sorted((r.label, bytes(r.bits)) for r in bits.groupBy("id", "label").agg(F.min("bits").alias("bits")).collect())
     discard(docs.sparkSession, at)
-    bits = np.unpackbits(np.frombuffer(b"".join(bytes(r.bits) for r in got), dtype=np.uint8).reshape(len(got), -1), axis=1) if got else np.zeros((0, 1 << SLOT_BITS), np.uint8)
-    return fit(bits, [r.label for r in got])
+    return fit([x for _, x in got], [label for label, _ in got])
 
 
 def _predict(shared):

@@ -12,7 +12,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import bytes_of, discard, materialize, ship, small_enough, spread
+from .common import bytes_of, discard, materialize, retire, ship, small_enough, spread
 
 _SPACE = b" \t\n\x0b\x0c\r"
 #: Filters have 8 bits a key, no fewer than 2**20 bits and no more than 2**27 (16 MB each, however much data
@@ -197,6 +197,7 @@ def drop_repeated_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str =
         keys = {bytes(r.key): (r.first_row if first else -(1 << 63) - 1) for r in counted.toLocalIterator()}
         discard(spark, at)
         return base.withColumn("keys", F.lit(None).cast("array<binary>")).mapInArrow(_drop(spark.sparkContext.broadcast(keys), min_chars, first), schema)
+    retire(spark, at)
     own = suspects.join(counted, "key")
     own = own.where("row <> first_row") if first else own
     # Identical rows share their keys: distinct pairs, then one list a row.

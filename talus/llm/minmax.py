@@ -12,7 +12,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import bytes_of, components, discard, least_neighbours, materialize, shingles_of, ship, small_enough, spread
+from .common import bytes_of, components, discard, least_neighbours, materialize, retire, shingles_of, ship, small_enough, spread
 
 #: 90 permutations give 180 values: 30 bands of 6. A pair at similarity 0.85 is in no common band with
 #: probability (1 - 0.85**6)**30 < 7e-7, at 0.8 below 1.3e-4.
@@ -251,6 +251,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     whole = sketched.select("doc_id", "n_shingles", "set_key").join(ids, "doc_id", "left").withColumn("set_key", F.coalesce("set_key", "first_key")).drop("first_key")
     out = whole.join(labelled, "set_key", "left").select("doc_id", "n_shingles", F.when(F.col("doc_id").isNotNull(), F.coalesce("label", "doc_id")).alias("component_id"))
     out = out.withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
-    out, _ = materialize(out, "minmax-out")
+    out, at = materialize(out, "minmax-out")
+    retire(spark, at)
     discard(spark, *paths, shared_path, *alike_paths, family_path, family_table, *link_paths, found_path)
     return out

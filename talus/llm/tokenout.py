@@ -15,11 +15,11 @@ import numpy as np
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import bytes_of, discard, fresh_path, materialize, ship
+from .common import bytes_of, discard, fresh_path, materialize, retire, ship
 
 MAGIC = b"TALUSVB1"
 #: A shard is closed at the end of the document that reaches this many tokens.
-SHARD_TOKENS = 1 << 23
+SHARD_TOKENS = 1 << 22
 _STEP = 1 << 20
 #: Distinct words, and stems of words, that a worker remembers the ids of.
 REMEMBERED = 900_000
@@ -139,9 +139,11 @@ class WordIds:
 
     The tokenizer drops white space and never joins what it parts, so a text's ids are those of its words in a row.
     It also parts a letter from plain punctuation behind it and lower-cases, so a word is a stem in lower case and its
-    tail; each stem and tail is given to the library once and remembered."""
+    tail; each stem and tail is given to the library once and remembered. Whether all that holds for a vocabulary is
+    tried on PROBE first; texts go to the library as they are where it doesn't."""
 
     TAIL = b".,;:!?#$%&*"
+    PROBE = "It's ΩΜΈΓΑΣ. don't, (a). x). 12.5% Å. ÉCOLE, Éa e\u0301. ½. x². 's. #$ ... a.b Hello, WORLD!! no-one re:do $5.00 x\xa0y İ, ẞ. ﬁ. \x1cabc\x1f"
 
     def __init__(self, path: str):
         import os
@@ -152,6 +154,11 @@ class WordIds:
         self.tokenizer = Tokenizer.from_file(path)
         self.pieces, self.piece_ids = _Numbered(), _Table()
         self.words, self.word_ids = _Numbered(), _Table()
+        self.by_word = True
+        self.by_word = self.encode([self.PROBE.encode()])[0].tolist() == self._whole([self.PROBE.encode()])[0].tolist()
+
+    def _whole(self, texts: list[bytes]) -> list[np.ndarray]:
+        return [np.array(e.ids, dtype=np.uint32) for e in self.tokenizer.encode_batch_fast([t.decode() for t in texts], add_special_tokens=False)]
 
     def _parts(self, word: bytes) -> tuple[bytes, bytes]:
         stem = word.rstrip(self.TAIL)
@@ -178,6 +185,8 @@ class WordIds:
         self.words.new = []
 
     def encode(self, texts: list[bytes]) -> list[np.ndarray]:
+        if not self.by_word:
+            return self._whole(texts)
         if len(self.words) > REMEMBERED:
             self.words, self.word_ids = _Numbered(), _Table()
         if len(self.pieces) > REMEMBERED:
@@ -203,6 +212,11 @@ def _words(path: str) -> WordIds:
     return _WORDS[path]
 
 
+def shard_name(partition: int, k: int) -> str:
+    """Names sort by partition and, within it, by turn: both have at most nine digits."""
+    return f"shard-{partition:09d}-{k:09d}.svb"
+
+
 def _write(out: str, vocabulary: str, end_id: int):
     def run(batches):
         import pyarrow as pa
@@ -216,7 +230,7 @@ def _write(out: str, vocabulary: str, end_id: int):
 
         def close():
             nonlocal docs, lengths, ids, held, k
-            name = f"shard-{task.partitionId():06d}-{k:04d}.svb"
+            name = shard_name(task.partitionId(), k)
             raw = pack_shard(docs, np.array(lengths, dtype=np.int64), np.concatenate(ids))
             draft = f"{folder}/.{name}.{task.taskAttemptId()}"
             with store.open_output_stream(draft) as f:
@@ -256,7 +270,8 @@ def write_tokens(docs: DataFrame, vocabulary: str, out: str, id_col: str = "doc_
     hadoop.getFileSystem(spark._jsc.hadoopConfiguration()).mkdirs(hadoop)
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     ordered = rows.repartitionByRange(F.col("doc_id").asc_nulls_first()).sortWithinPartitions(F.col("doc_id").asc_nulls_first(), "text")
-    manifest, _ = materialize(ordered.mapInArrow(_write(from_uri_safe, vocabulary, end_id), "shard string, n_docs long, n_tokens long, n_bytes long"), "token-manifest")
+    manifest, at = materialize(ordered.mapInArrow(_write(from_uri_safe, vocabulary, end_id), "shard string, n_docs long, n_tokens long, n_bytes long"), "token-manifest")
+    retire(spark, at)
     return manifest
 
 
@@ -278,7 +293,8 @@ def read_tokens(spark: SparkSession, out: str) -> DataFrame:
     """Digest of each document from the shards: doc_id, start, n_tokens, ids_crc32, shard."""
     ship(spark)
     files = spark.read.format("binaryFile").option("pathGlobFilter", "shard-*.svb").load(out).select("path", "content")
-    rows, _ = materialize(files.mapInArrow(_read, "shard string, doc_id long, within long, n_tokens long, ids_crc32 long"), "token-digest")
+    rows, at = materialize(files.mapInArrow(_read, "shard string, doc_id long, within long, n_tokens long, ids_crc32 long"), "token-digest")
+    retire(spark, at)
     shards = rows.groupBy("shard").agg(F.sum("n_tokens").alias("n"))
     before = F.sum("n").over(Window.orderBy("shard").rowsBetween(Window.unboundedPreceding, -1))
     shards = shards.select("shard", F.coalesce(before, F.lit(0)).alias("before"))
@@ -292,6 +308,7 @@ def token_output(docs: DataFrame, vocabulary: str, id_col: str = "doc_id", text_
     write_tokens(docs, vocabulary, own, id_col, text_col, end_id)
     result = read_tokens(spark, own)
     if out is None:
-        result, _ = materialize(result, "token-result")
+        result, at = materialize(result, "token-result")
         discard(spark, own)
+        retire(spark, at)
     return result

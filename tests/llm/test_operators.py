@@ -222,6 +222,26 @@ def test_tokens_round_trip(spark):
     assert tokenout.token_output(docs(spark, []), queries.vocabulary_path()).count() == 0
 
 
+def test_shard_names_sort_by_turn():
+    names = [tokenout.shard_name(p, k) for p in (0, 3, 12, 1_000_000) for k in (0, 9, 10, 9_999, 10_000, 123_456_789)]
+    assert names == sorted(names)
+
+
+def test_tokens_of_another_vocabulary(spark):
+    """A vocabulary that doesn't part words as expected is used on whole texts."""
+    import zlib
+
+    from tokenizers import Tokenizer
+
+    path = queries.vocabulary_path("byte_bpe_50k.json")
+    t = Tokenizer.from_file(path)
+    texts = ["  two  spaces\n\nand lines.", "Hello, World!", ""]
+    got = tokenout.token_output(docs(spark, [(i, x, "en", "s") for i, x in enumerate(texts)]), path).orderBy("doc_id").collect()
+    for g, x in zip(got, texts, strict=True):
+        ids = np.array(t.encode(x, add_special_tokens=False).ids + [1], dtype="<u4")
+        assert (g.n_tokens, g.ids_crc32) == (len(ids), zlib.crc32(ids.tobytes()))
+
+
 def test_tokens_of_many_shards(spark, monkeypatch):
     monkeypatch.setattr(tokenout, "SHARD_TOKENS", 200)
     rows = [(i, words(30, i), "en", "a") for i in range(60)]
@@ -294,6 +314,41 @@ def test_language_id_learns_and_marks_unknown(spark):
     assert {x.lang_pred for x in none.collect()} == {"und"} and langid.identify(docs(spark, []), model, F.lit(False)).count() == 0
 
 
+def test_language_id_equals_an_explicit_kernel():
+    """The folded matrix against kernel ridge regression on an explicit Nystroem map."""
+    r = random.Random(7)
+    say = lambda parts, n: " ".join("".join(r.choices(parts, k=3)) for _ in range(n))
+    parts = {"aa": ["th", "er", "ing"], "bb": ["eau", "que", "oi"], "cc": ["sch", "ung", "ein"]}
+    texts, labels = zip(*[(say(parts[k], 6 + i % 9), k) for i in range(60) for k in parts], strict=True)
+
+    def bits(text):
+        buffer = np.zeros(1 << langid.SLOT_BITS, np.uint8)
+        langid.present(text, buffer)
+        return buffer
+
+    x = np.array([bits(t) for t in texts], dtype=np.float64)
+    model = langid.fit([np.packbits(b.astype(np.uint8)).tobytes() for b in x], list(labels))
+    kernel = lambda a, b: (a @ b.T) / np.sqrt(np.outer(a.sum(axis=1), b.sum(axis=1)))
+    k_mm = kernel(x, x)
+    value, vector = np.linalg.eigh(k_mm)
+    good = value > max(value[-1] * 1e-6, 1e-10)
+    phi = k_mm @ (vector[:, good] / np.sqrt(value[good]))
+    y = np.array([[1.0 if k == name else -1.0 for name in sorted(parts)] for k in labels])
+    beta = np.linalg.solve(phi.T @ phi + langid.RIDGE * len(x) / 100 * np.eye(phi.shape[1]), phi.T @ y)
+    new = np.array([bits(say(parts[k], 12)) for k in parts for _ in range(5)], dtype=np.float64)
+    want = kernel(new, x) @ (vector[:, good] / np.sqrt(value[good])) @ beta
+    got = model.scores(new[:, model.slots].astype(np.float32), new.sum(axis=1))
+    assert np.abs(want - got).max() < 0.02 and (want.argmax(axis=1) == got.argmax(axis=1)).all()
+
+
+def test_language_id_keeps_rare_languages(spark, monkeypatch):
+    monkeypatch.setattr(langid, "IN_ALL", 12)
+    r = random.Random(1)
+    rows = [(i, " ".join("".join(r.choices("abc", k=4)) for _ in range(20)), "big", "s") for i in range(500)]
+    rows += [(1000 + k, f"{chr(0x400 + 40 * k)}{chr(0x401 + 40 * k)} " * 9, f"rare{k}", "s") for k in range(5)] + [(1000, "again", "big", "s")]
+    assert langid.train(docs(spark, rows), "text", "lang", "doc_id", F.lit(True)).languages == ["big", *(f"rare{k}" for k in range(5))]
+
+
 def test_language_id_held_out_accuracy(spark):
     d = "/root/testdata/sf0.01"
     lang = spark.read.parquet(f"{d}/documents.parquet").select("doc_id", "lang")
@@ -315,6 +370,18 @@ def test_toxicity_learns(spark):
     assert {x.predicted for x in none.collect()} == {0}
 
 
+def test_toxicity_on_held_out_labels(spark):
+    """The query's held-out rows against their labels: most toxic ones are caught, few others flagged."""
+    d = "/root/testdata/sf0.1"
+    labels = spark.read.parquet(f"{d}/labels.parquet").where("toxic is not null").select("doc_id", "toxic")
+    rows = queries.op3_toxicity(spark, d).where("held_out").join(labels, "doc_id").collect()
+    toxic, clean = [r for r in rows if r.toxic == 1], [r for r in rows if r.toxic == 0]
+    assert len(toxic) > 30 and sum(r.predicted for r in toxic) >= 0.9 * len(toxic)
+    assert sum(r.predicted for r in clean) <= 0.02 * len(clean)
+    above = np.mean([(t.score > c.score) + 0.5 * (t.score == c.score) for t in toxic for c in clean[:400]])
+    assert above > 0.95
+
+
 def test_negative_risk_is_held_at_zero():
     p, u = [np.array([1]), np.array([1])] * 30, [np.array([1, 2]), np.array([2])] * 60
     m = toxicity.fit(p, u, 0.9)
