@@ -18,7 +18,8 @@ FIT_VECTORS, ROUNDS = 65_536, 8
 FIT_BYTES = 64 << 20
 #: Classes a cell should have, and the most cells there are; larger cells only mean more pairs of blocks.
 PER_CELL, MAX_CELLS = 400, 4096
-#: Each class is compared in its home cell and in up to so many others whose centre is nearly as near.
+#: Each class is compared in its home cell and in up to so many others whose centre is nearly as near; the exact mode takes
+#: all cells that can be home to a vector within the angle.
 NEAREST, SLACK = 6, 0.25
 #: Classes of a cell that meet in one block.
 BLOCK = 512
@@ -67,7 +68,24 @@ def fit_cells(sample: np.ndarray, n_cells: int, seed: int = 11) -> np.ndarray:
     return centres
 
 
-def _assign(shared):
+def cells_of(v: np.ndarray, centres: np.ndarray, sine: float | None) -> np.ndarray:
+    """Which cells each unit vector is compared in, its home among them.
+
+    With the sine of an angle: all cells that may be home to a vector within it. The bisector of the home centre h and
+    another c parts their cells; v is (h - c) v / |h - c| from it in sine, and vectors beyond it are at least that far from v."""
+    s = v @ centres.T
+    home = s.argmax(axis=1)
+    if sine is None:
+        k = min(NEAREST, s.shape[1])
+        top = np.argpartition(-s, k - 1, axis=1)[:, :k]
+        out = np.zeros(s.shape, dtype=bool)
+        np.put_along_axis(out, top, np.take_along_axis(s, top, 1) >= s.max(axis=1, keepdims=True) - SLACK, 1)
+        return out
+    apart = np.sqrt(np.maximum(2 - 2 * (centres[home] @ centres.T), 0))
+    return s.max(axis=1, keepdims=True) - s <= sine * apart + 1e-9
+
+
+def _assign(shared, sine: float | None = None):
     """Each class once for each of its cells, with the list of them all."""
 
     def run(batches):
@@ -82,13 +100,9 @@ def _assign(shared):
                 c = centres[dim // 8]
                 for lo in range(0, len(which), 1024):
                     part = which[lo : lo + 1024]
-                    s = np.frombuffer(b"".join(keys[i] for i in part)).reshape(len(part), -1) @ c.T
-                    k = min(NEAREST, s.shape[1])
-                    top = np.argpartition(-s, k - 1, axis=1)[:, :k]
-                    val = np.take_along_axis(s, top, 1)
-                    ok = val >= val.max(axis=1, keepdims=True) - SLACK
-                    for i, t, o in zip(part, top, ok, strict=True):
-                        mine = sorted(int(x) for x in t[o])
+                    inside = cells_of(np.frombuffer(b"".join(keys[i] for i in part)).reshape(len(part), -1), c, sine)
+                    for i, own in zip(part, inside, strict=True):
+                        mine = np.flatnonzero(own).tolist()
                         for x in mine:
                             at.append(i)
                             cell.append(x)
@@ -169,9 +183,12 @@ def _compare(cosine: float):
     return run
 
 
-def near_vectors(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding", cosine: float = 0.9) -> DataFrame:
+def near_vectors(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding", cosine: float = 0.9, exact: bool = False) -> DataFrame:
     """One row per input row: vec_id, n_links, component_id, kept.
 
+    Without exact, pairs whose vectors share none of their NEAREST cells are lost; with it none is, at the cost of many
+    more cells where vectors form no clusters.
+
     Vectors that are null, empty, zero or hold null or non-finite components link with nothing; so do vectors of
     different lengths. Equal directions link. Rows that repeat an id are one node for components, but each is a vector
     that others link to. Null ids link with nothing, have a null component and are kept. Other columns are ignored; an
@@ -187,7 +204,7 @@ def near_vectors(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "
         n_cells = max(1, min(MAX_CELLS, math.ceil(n / PER_CELL)))
         rows = classes.where(F.length("key") == 8 * dim).orderBy(F.xxhash64("rep"), "rep").limit(min(FIT_VECTORS, 40 * n_cells + 1000, max(1000, FIT_BYTES // (8 * dim)))).select("key").collect()
         centres[dim] = fit_cells(np.frombuffer(b"".join(bytes(r.key) for r in rows)).reshape(len(rows), dim), n_cells)
-    placed, placed_path = materialize(classes.mapInArrow(_assign(spark.sparkContext.broadcast(centres)), "dim int, cell int, vec_id long, n long, key binary, cells array<int>"), "cells-placed")
+    placed, placed_path = materialize(classes.mapInArrow(_assign(spark.sparkContext.broadcast(centres), math.sqrt(1 - cosine**2) if exact else None), "dim int, cell int, vec_id long, n long, key binary, cells array<int>"), "cells-placed")
     sizes = placed.groupBy("dim", "cell").agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias("blocks"))
     sizes = F.broadcast(sizes) if small_enough(sum(len(c) for c in centres.values()), 32) else sizes
     blocked = placed.join(sizes, ["dim", "cell"]).withColumn("block", F.pmod(F.xxhash64("vec_id"), F.col("blocks")).cast("int"))

@@ -297,6 +297,41 @@ def test_embeddings_over_many_cells_and_blocks(spark, monkeypatch):
     assert (got.n_links.values <= true).all() and got.n_links.sum() >= 0.9 * true.sum()
 
 
+def planted(n: int, dim: int, seed: int) -> tuple[np.ndarray, list[tuple[int, int]]]:
+    """Random directions, every tenth with a partner at cosine 0.9 to 0.93."""
+    r = np.random.default_rng(seed)
+    v = r.standard_normal((n, dim))
+    v /= np.linalg.norm(v, axis=1)[:, None]
+    pairs = []
+    for i in range(0, n - 1, 10):
+        side = r.standard_normal(dim)
+        side -= (side @ v[i]) * v[i]
+        c = r.uniform(0.9001, 0.93)
+        v[i + 1] = c * v[i] + np.sqrt(1 - c * c) * side / np.linalg.norm(side)
+        pairs.append((i, i + 1))
+    return v, pairs
+
+
+@pytest.mark.parametrize("dim", [32, 256])
+def test_embedding_recall_at_many_cells(dim):
+    """The cells of planted pairs at 1,024 cells: nearly all pairs share one in the usual mode, all of them in the exact one."""
+    v, pairs = planted(60_000, dim, dim)
+    centres = embeddings.fit_cells(v[np.random.default_rng(1).choice(len(v), 16_384, replace=False)], 1024)
+    a, b = (v[[p[k] for p in pairs]] for k in (0, 1))
+    usual = (embeddings.cells_of(a, centres, None) & embeddings.cells_of(b, centres, None)).any(axis=1)
+    assert usual.mean() >= 0.97
+    sine = np.sqrt(1 - 0.9**2)
+    assert (embeddings.cells_of(a, centres, sine) & embeddings.cells_of(b, centres, sine)).any(axis=1).all()
+
+
+def test_embeddings_exact_mode_equals_brute_force(spark, monkeypatch):
+    monkeypatch.setattr(embeddings, "PER_CELL", 10)
+    v, pairs = planted(600, 24, 3)
+    true = (v @ v.T >= 0.9).sum(axis=1) - 1
+    got = embeddings.near_vectors(spark.createDataFrame([(i, x.tolist()) for i, x in enumerate(v)], "vec_id long, embedding array<double>"), exact=True).orderBy("vec_id").toPandas()
+    assert (got.n_links.values == true).all() and got.n_links.sum() >= 2 * len(pairs)
+
+
 # languages
 
 

@@ -44,3 +44,18 @@ def test_edge_rows_pass(spark):
     empty = docs.where("false")
     for _, stage in cp.STAGES:
         assert stage(spark, empty, SF).count() == 0
+
+
+def test_null_and_repeated_ids(spark):
+    """Null ids are rows of their own, of a repeated id one row stays, the same in each run; the mix takes rows, not ids."""
+    texts = [" ".join(f"w{i}x{k}" for k in range(20 + i)) for i in range(12)]
+    rows = [(None, t, "en", "a") for t in texts[:4]] + [(7, texts[4], "en", "a"), (7, texts[5], "de", "b"), (8, texts[6], "en", "b"), (9, None, "en", None), (None, None, None, None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")
+    key = lambda df: sorted(map(repr, df.collect()))
+    kept = cp.keep_one_of_near_duplicates(spark, docs, SF)
+    assert kept.columns == docs.columns and kept.count() == 8 and kept.where("doc_id is null").count() == 5
+    assert key(kept) == key(cp.keep_one_of_near_duplicates(spark, docs.orderBy(F.col("text").desc()), SF))
+    mixed = cp.mix_sources(spark, docs, SF)
+    plan = mixing.mix(docs.withColumn("r", F.monotonically_increasing_id()), row_col="r").collect()
+    assert mixed.count() == sum(r.copies for r in plan)
+    assert set(key(mixed)) <= set(key(docs))
