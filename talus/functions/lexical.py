@@ -27,7 +27,13 @@ def matches_all(text: Column | str, query: str) -> Column:
     wanted = list(dict.fromkeys(query_tokens(query)))
     if not wanted:
         return F.lit(False)
-    return F.size(F.array_except(F.array(*map(F.lit, wanted)), tokens(text))) == 0
+    return reduce(lambda a, b: a & b, [has_token(text, w) for w in wanted])
+
+
+def has_token(text: Column | str, word: str) -> Column:
+    """Whether a token equals the word: a substring first, which is cheap, and only then its bounds."""
+    low = F.lower(F.col(text) if isinstance(text, str) else text)
+    return F.coalesce(low.contains(word) & low.rlike(rf"(?<![\p{{L}}\p{{N}}_]){re.escape(word)}(?![\p{{L}}\p{{N}}_])"), F.lit(False))
 
 
 def word_regex(query: str) -> str:
@@ -53,7 +59,7 @@ def websearch(text: Column | str, query: str) -> Column:
         if not parts:
             continue
         if len(parts) == 1:
-            hit = F.array_contains(toks, parts[0])
+            hit = has_token(text, parts[0])
         else:  # adjacent tokens: a phrase over the token stream
             hit = F.concat(F.lit(" "), F.array_join(toks, " "), F.lit(" ")).contains(f" {' '.join(parts)} ")
         groups[-1].append(~hit if neg else hit)
@@ -67,7 +73,7 @@ def rank_tf(text: Column | str, query: str) -> Column:
     """Sum over distinct query tokens of tf / (tf + 1), over 1 + ln of the text's length: the chosen rank formula."""
     toks = tokens(text)
     def count(word: str) -> Column:
-        return F.size(F.filter(toks, lambda t: t == word)).cast("double")
+        return (F.size(toks) - F.size(F.array_remove(toks, word))).cast("double")
 
     parts = [count(w) for w in dict.fromkeys(query_tokens(query))]
     total = reduce(lambda a, b: a + b, (tf / (tf + 1) for tf in parts), F.lit(0.0))

@@ -22,12 +22,15 @@ CREDENTIALS = [
     ("api-key-assign", r"(?i)(api[_-]?key|secret[_-]?key|access[_-]?token|auth[_-]?token)\s*[=:]\s*['\"]?(?!\[REDACTED)([A-Za-z0-9_\-]{16,})", "$1="),
 ]
 
+#: Any text that one of CREDENTIALS matches has a match of this; others are left alone after one scan.
+CREDENTIAL_HINT = r"sk-|AIza|gh[posu]_|AKIA|/api/webhooks/|-----BEGIN |eyJ|://[^:/\s@]+:|(?i:bearer\s|passw|pwd|api[_-]?key|secret[_-]?key|access[_-]?token|auth[_-]?token)"
+
 #: What must not leave with a public page.
 LEAKS = [
-    ("memory slug", r"user_[a-z_]{4,}"),
+    ("memory slug (user_*)", r"user_[a-z_]{4,}"),
     ("memory reference", r"\(memory:"),
     ("agent-facing meta (この user)", r"この user"),
-    ("agent-facing meta", r"How to apply\("),
+    ("agent-facing meta (How to apply()", r"How to apply\("),
     ("internal tooling path", r"scripts/wiki_figures"),
 ]
 
@@ -37,16 +40,17 @@ ROLE_ECHO = r"^\s*(?:(?:Human|USER|User|Assistant|AI|CLAUDE)\s*[:：]|\[(?:USER|
 
 def scrub(text: Column) -> Column:
     """Each credential becomes [REDACTED:kind]; a second pass changes nothing."""
+    out = text
     for kind, pattern, keep in CREDENTIALS:
-        text = F.regexp_replace(text, pattern, f"{keep}[REDACTED:{kind}]" + ("@" if kind == "url-creds" else ""))
-    return text
+        out = F.regexp_replace(out, pattern, f"{keep}[REDACTED:{kind}]" + ("@" if kind == "url-creds" else ""))
+    return F.when(text.rlike(CREDENTIAL_HINT), out).otherwise(text)
 
 
 def has_credential(text: Column) -> Column:
     hit = F.lit(False)
     for _, pattern, _ in CREDENTIALS:
         hit = hit | text.rlike(pattern)
-    return F.coalesce(hit, F.lit(False))
+    return F.coalesce(text.rlike(CREDENTIAL_HINT) & hit, F.lit(False))
 
 
 def sanitize(text: Column) -> Column:
@@ -114,8 +118,21 @@ def redacted_brief(text: Column, n: int = 120) -> Column:
     return F.regexp_replace(F.substring(text, 1, n), TOKENISH, "[REDACTED]")
 
 
+#: Letters whose case folding isn't their lower case; those that fold to one letter, and to several.
+FOLD_ONE = {"ς": "σ", "ſ": "s", "µ": "μ", "ϐ": "β", "ϑ": "θ", "ϕ": "φ", "ϖ": "π", "ϰ": "κ", "ϱ": "ρ", "ϵ": "ε", "ẛ": "ṡ", "\u1fbe": "ι", "\u0345": "ι"}
+FOLD_MORE = {"ß": "ss", "ŉ": "ʼn", "ǰ": "ǰ", "ΐ": "ΐ", "ΰ": "ΰ", "և": "եւ", "ẖ": "ẖ", "ẗ": "ẗ", "ẘ": "ẘ", "ẙ": "ẙ", "ẚ": "aʾ", "ﬀ": "ff", "ﬁ": "fi", "ﬂ": "fl", "ﬃ": "ffi", "ﬄ": "ffl", "ﬅ": "st", "ﬆ": "st"}
+
+
+def fold_case(text: Column) -> Column:
+    """Full case folding, but for Greek letters with an iota below."""
+    text = F.translate(F.lower(text), "".join(FOLD_ONE), "".join(FOLD_ONE.values()))
+    for a, b in FOLD_MORE.items():
+        text = F.replace(text, F.lit(a), F.lit(b))
+    return text
+
+
 def normal_claim(text: Column) -> Column:
-    return F.lower(F.trim(F.regexp_replace(strip(F.coalesce(text, F.lit(""))), r"\s+", " ")))
+    return fold_case(F.trim(F.regexp_replace(strip(F.coalesce(text, F.lit(""))), r"\s+", " ")))
 
 
 def claim_hash(text: Column) -> Column:

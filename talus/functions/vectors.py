@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import numpy as np
-import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -54,9 +52,13 @@ def clamp(x: Column, low: float, high: float) -> Column:
 
 
 def half_precision(column: str) -> Column:
-    """Round the components as 16-bit storage does (an Arrow function: Spark has no half type)."""
-    @F.pandas_udf("array<float>")
-    def run(v: pd.Series) -> pd.Series:
-        return v.map(lambda x: None if x is None else np.asarray(x, dtype=np.float16).astype(np.float32))
+    """Components rounded as 16-bit storage does: 11 bits of mantissa, ties to even, steps of 2^-24 near zero. Beyond 65504
+    they are infinite."""
 
-    return run(F.col(column))
+    def one(x: Column) -> Column:
+        step = F.pow(F.lit(2.0), F.greatest(F.floor(F.log2(F.abs(x))), F.lit(-14)) - 10)
+        near = F.bround(x / step, 0) * step
+        near = F.when(F.abs(near) > 65504, F.signum(x) * F.lit(float("inf"))).otherwise(near)
+        return F.when((x == 0) | F.isnan(x) | (F.abs(x) == float("inf")), x).otherwise(near)
+
+    return F.transform(F.col(column).cast("array<double>"), one)

@@ -53,14 +53,15 @@ def purge(slug: str, threads: DataFrame, messages: DataFrame) -> tuple[DataFrame
     return threads.join(gone, "conv_id", "left_anti"), messages.join(gone, "conv_id", "left_anti")
 
 
-def share(threads: DataFrame, conv_ids: list[int], visibility: str, team: str | None, teams: tuple[str, ...], mine: Column) -> tuple[DataFrame, DataFrame]:
+def share(threads: DataFrame, conv_ids: DataFrame, visibility: str, team: str | None, teams: tuple[str, ...], mine: Column) -> tuple[DataFrame, DataFrame]:
     """Threads after sharing, and an audit row for each that changed; only own threads change."""
     if visibility not in ("private", "team", "org") or (visibility == "team") != (team is not None) or team is not None and team not in teams:
         raise ValueError("visibility and team don't agree")
-    hit = F.coalesce(F.col("conv_id").isin(conv_ids) & mine, F.lit(False))
-    after = threads.withColumn("before", F.col("visibility")).withColumn("visibility", F.when(hit, visibility).otherwise(F.col("visibility"))).withColumn("team_id", F.when(hit, F.lit(team)).otherwise(F.col("team_id")))
-    audit = after.where(hit & (F.col("before") != F.col("visibility"))).select("conv_id", F.col("before").alias("old_visibility"), F.col("visibility").alias("new_visibility"))
-    return after.drop("before"), audit
+    named = threads.join(conv_ids.select("conv_id", F.lit(True).alias("named")).distinct(), "conv_id", "left")
+    hit = F.coalesce(F.col("named") & mine, F.lit(False))
+    after = named.withColumn("hit", hit).withColumn("before", F.col("visibility")).withColumn("visibility", F.when(F.col("hit"), visibility).otherwise(F.col("visibility"))).withColumn("team_id", F.when(F.col("hit"), F.lit(team)).otherwise(F.col("team_id")))
+    audit = after.where(F.col("hit") & (F.col("before") != F.col("visibility"))).select("conv_id", F.col("before").alias("old_visibility"), F.col("visibility").alias("new_visibility"))
+    return after.drop("before", "hit", "named"), audit
 
 
 def classify_files(found: DataFrame, known: DataFrame, per_message: int = 50_000) -> DataFrame:

@@ -95,10 +95,33 @@ def interpolated_times(messages: DataFrame, session: str, order: str, start: str
     return messages.withColumn("ts", F.timestamp_micros((F.unix_micros(F.col(start)) + F.floor(span * slot / last)).cast("long")))
 
 
-def rolling_budget(calls: DataFrame, user: str, seconds: str, window_s: int, most: int) -> DataFrame:
-    """Whether each call has a place in its user's budget: fewer than `most` calls in the window before it."""
-    w = Window.partitionBy(user).orderBy(seconds).rangeBetween(-window_s, -1)
-    return calls.withColumn("n_before", F.count(F.lit(1)).over(w)).withColumn("allowed", F.col("n_before") < most)
+def rolling_budget(calls: DataFrame, user: str, seconds: str, order: str, window_s: int, most: int) -> DataFrame:
+    """(order, n_before, allowed): whether each call has a place in its user's budget. Only allowed calls take places, so a
+    user's calls are gone through in order; of them no more than `most` times are held."""
+    kind = calls.schema
+
+    def run(batches):
+        from collections import deque
+
+        import pyarrow as pa
+
+        who, held = None, deque()
+        for batch in batches:
+            n, ok = [], []
+            for u, s in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                if u != who or not n and who is None:
+                    who, held = u, deque()
+                while held and held[0] < s - window_s:
+                    held.popleft()
+                n.append(len(held))
+                ok.append(len(held) < most)
+                if ok[-1]:
+                    held.append(s)
+            yield pa.RecordBatch.from_arrays([batch.column(2), pa.array(n, pa.int64()), pa.array(ok, pa.bool_())], names=[order, "n_before", "allowed"])
+
+    rows = calls.select(F.col(user), F.col(seconds).cast("long").alias(seconds), F.col(order))
+    ordered = rows.repartition(user).sortWithinPartitions(user, seconds, order)
+    return ordered.mapInArrow(run, f"{order} {kind[order].dataType.simpleString()}, n_before long, allowed boolean")
 
 
 def day_budget(counts: DataFrame, order: list[Column], budget: int) -> DataFrame:

@@ -50,10 +50,10 @@ def apply_merges(pages: DataFrame, log: DataFrame, staged: DataFrame) -> tuple[D
     return after, log.unionByName(rows)
 
 
-def rollback(pages: DataFrame, log: DataFrame, merge_ids: list[str]) -> DataFrame:
+def rollback(pages: DataFrame, log: DataFrame, merge_ids: DataFrame) -> DataFrame:
     """Pages with the named merges undone, as new revisions; only the latest merge of a page can be."""
     last = log.groupBy("slug").agg(F.max_by(F.struct("merge_id", "before"), "rev").alias("m"))
-    undo = last.where(F.col("m.merge_id").isin(merge_ids)).select("slug", F.col("m.before").alias("before"), F.lit(True).alias("undo"))
+    undo = last.withColumn("merge_id", F.col("m.merge_id")).join(merge_ids.select("merge_id"), "merge_id", "left_semi").select("slug", F.col("m.before").alias("before"), F.lit(True).alias("undo"))
     p = pages.join(undo, "slug", "left")
     hit = F.coalesce("undo", F.lit(False))
     return p.select("slug", F.when(hit, F.col("rev") + 1).otherwise(F.col("rev")).alias("rev"), F.when(hit, F.coalesce("before", F.lit(""))).otherwise(F.col("body")).alias("body"))

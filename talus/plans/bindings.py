@@ -51,7 +51,7 @@ def corpus(spark: SparkSession, d: str) -> DataFrame:
     e = read(spark, d, "embeddings").select(F.col("vec_id").alias("doc_id"), F.col("embedding").alias("dense"), "label")
     return (
         read(spark, d, "documents")
-        .join(e, "doc_id")
+        .join(e, "doc_id", "left")
         .select(
             "doc_id",
             "text",
@@ -146,7 +146,7 @@ VIEWS = {
         CASE WHEN conv_id % 3 = 1 THEN 'team' || (conv_id % 4) END AS team_id FROM messages GROUP BY conv_id""",
     "corpus": """SELECT d.doc_id, d.text, d.lang, d.source, CAST(e.embedding AS DOUBLE[]) AS dense, e.label, 't' || (doc_id % 2) AS tenant_id,
         'u' || (doc_id % 5) AS owner_user_id, ['private', 'team', 'org'][doc_id % 3 + 1] AS visibility,
-        CASE WHEN doc_id % 3 = 1 THEN 'team' || (doc_id % 4) END AS team_id FROM documents d JOIN embeddings e ON e.vec_id = d.doc_id""",
+        CASE WHEN doc_id % 3 = 1 THEN 'team' || (doc_id % 4) END AS team_id FROM documents d LEFT JOIN embeddings e ON e.vec_id = d.doc_id""",
     "qvec": "SELECT CAST(embedding AS DOUBLE[]) AS qv FROM embeddings WHERE vec_id = 0",
     "memories": """SELECT doc_id AS id, 'c' || (doc_id % 3) AS chassis_id, 'src' || (doc_id % 3) AS source_project, 'm' || doc_id AS source_stem,
         text || chr(10) || '[[M' || ((doc_id * 7 + 3) % 1500) || '|next]] see `[[code]]` and [[:space:]] [[m' || doc_id || ']]' AS body,

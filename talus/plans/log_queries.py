@@ -137,11 +137,11 @@ def backfill_days(spark, d):
     return days.join(e.select("entry_date", "conv_count"), "entry_date", "left").select(F.col("entry_date").cast("string").alias("entry_date"), F.coalesce("conv_count", F.lit(0).cast("long")).alias("conv_count"))
 
 
-@query("""SELECT event_type AS source, CAST(max(ts) FILTER (WHERE event_id % 4 <> 3) AS VARCHAR) AS last_ok, CAST(epoch(max(ts)) - epoch(max(ts) FILTER (WHERE event_id % 4 <> 3)) >= 0 AS BOOLEAN) AS known FROM events GROUP BY event_type""")
+@query("""SELECT event_type AS source, CAST(max(ts) FILTER (WHERE event_id % 4 <> 3) AS VARCHAR) AS last_ok, round(epoch(TIMESTAMP '2024-09-01 00:00:00') - epoch(max(ts) FILTER (WHERE event_id % 4 <> 3)), 3) AS age_s FROM events GROUP BY event_type""")
 def heartbeat_staleness(spark, d):
     r = b.read(spark, d, "events").select(F.col("event_type").alias("source"), "ts", F.when(F.col("event_id") % 4 == 3, "failed").otherwise("ok").alias("status"))
-    out = ms.heartbeat(r, F.lit("2030-01-01 00:00:00").cast("timestamp"))
-    return out.select("source", F.col("last_ok").cast("string").alias("last_ok"), (F.col("age_s") >= 0).alias("known"))
+    out = ms.heartbeat(r, F.lit(b.AS_OF).cast("timestamp"))
+    return out.select("source", F.col("last_ok").cast("string").alias("last_ok"), F.round("age_s", 3).alias("age_s"))
 
 
 @query("SELECT CAST(date_trunc('hour', ts) AS VARCHAR) AS hour, event_type, count(*) AS n, round(sum(value), 4) AS total FROM events GROUP BY ALL")
@@ -182,11 +182,11 @@ def insert_ignore_messages(spark, d):
     return st.insert_ignore(m.where("seq <= 3").withColumn("origin", F.lit("old")), new, ["conv_id", "seq"])
 
 
-@query(b.sql("""WITH hit AS (SELECT DISTINCT (v.id * 3) % 90 AS memory_pk FROM visible v WHERE v.id < 60), ok AS (SELECT memory_pk FROM hit WHERE memory_pk IN (SELECT id FROM visible))
+@query(b.sql("""WITH hit AS (SELECT DISTINCT v.id * 3 AS memory_pk FROM visible v WHERE v.id % 2 = 0), ok AS (SELECT memory_pk FROM hit WHERE memory_pk IN (SELECT id FROM visible))
 SELECT memory_pk, CAST(coalesce(t.activation_count, 0) + CASE WHEN ok.memory_pk IS NULL THEN 0 ELSE 1 END AS INT) AS activation_count FROM telemetry t FULL JOIN ok USING (memory_pk)""", "visible", "telemetry"))
 def activation_bump(spark, d):
     v = access.visible_memories(b.memories(spark, d), b.allowlist(spark, d), "src1", True)
-    ids = v.where("id < 60").select(F.array((F.col("id") * 3) % 90, (F.col("id") * 3) % 90).alias("ids"))
+    ids = v.where("id % 2 = 0").select(F.array(F.col("id") * 3, F.col("id") * 3).alias("ids"))
     return st.bump(b.telemetry(spark, d), ids, v, b.as_of()).select("memory_pk", F.col("activation_count").cast("int").alias("activation_count"))
 
 
@@ -196,9 +196,10 @@ def purge_cascade_counts(spark, d):
     return st.purge_counts("proj3", "asked by token_0123456789abcdefghij", b.threads(spark, d), b.messages(spark, d), b.memories(spark, d))
 
 
-@query(b.sql("SELECT conv_id, visibility AS old_visibility, 'org' AS new_visibility FROM threads WHERE conv_id < 200 AND tenant_id = 't1' AND owner_user_id = 'u1' AND visibility <> 'org'", "threads"))
+@query(b.sql("SELECT conv_id, visibility AS old_visibility, 'org' AS new_visibility FROM threads WHERE tenant_id = 't1' AND owner_user_id = 'u1' AND visibility <> 'org'", "threads"))
 def share_audit(spark, d):
-    return st.share(b.threads(spark, d), list(range(200)), "org", None, ME.team_ids, access.owns(ME))[1]
+    t = b.threads(spark, d)
+    return st.share(t, t.select("conv_id"), "org", None, ME.team_ids, access.owns(ME))[1]
 
 
 @query(b.sql("""SELECT conv_id, seq, 'identity' AS violation FROM messages WHERE NOT (tenant_id = 't1' AND owner_user_id = 'u1')

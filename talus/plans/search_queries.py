@@ -30,15 +30,15 @@ def _q(spark, d):
     return F.broadcast(b.query_vector(spark, d))  # one row
 
 
-@query(b.sql("SELECT doc_id, round(list_dot_product(dense, qv), 6) AS score FROM corpus, qvec ORDER BY list_dot_product(dense, qv) DESC, doc_id LIMIT 10", "corpus", "qvec"))
+@query(b.sql("SELECT doc_id, round(list_dot_product(dense, qv), 6) AS score FROM corpus, qvec WHERE dense IS NOT NULL ORDER BY list_dot_product(dense, qv) DESC, doc_id LIMIT 10", "corpus", "qvec"))
 def dense_topk(spark, d):
     top = fusion.topk_by_vector(b.corpus(spark, d).crossJoin(_q(spark, d)), "dense", F.col("qv"), "doc_id", 10)
     return top.select("doc_id", F.round("score", 6).alias("score"))
 
 
-@query(b.sql("SELECT doc_id, round(1 - list_cosine_similarity(dense, qv), 6) AS distance FROM corpus, qvec ORDER BY 1 - list_cosine_similarity(dense, qv), doc_id LIMIT 20", "corpus", "qvec"))
+@query(b.sql("SELECT doc_id, round(1 - list_cosine_similarity(dense, qv), 6) AS distance FROM corpus, qvec WHERE dense IS NOT NULL ORDER BY 1 - list_cosine_similarity(dense, qv), doc_id LIMIT 20", "corpus", "qvec"))
 def dense_topk_cosine(spark, d):
-    c = b.corpus(spark, d).crossJoin(_q(spark, d)).withColumn("distance", vectors.cosine_distance("dense", "qv"))
+    c = b.corpus(spark, d).where("dense is not null").crossJoin(_q(spark, d)).withColumn("distance", vectors.cosine_distance("dense", "qv"))
     return c.orderBy("distance", "doc_id").limit(20).select("doc_id", F.round("distance", 6).alias("distance"))
 
 
@@ -80,16 +80,25 @@ def trigram_similarity_topk(spark, d):
     return c.orderBy(F.desc("s"), "doc_id").limit(10).select("doc_id", F.round("s", 6).alias("sim"))
 
 
-@query()
+def word_sim_sql(rows: str, words: list[str], where: str) -> str:
+    """ctes ws(conv_id, seq, sim): the greatest similarity of an extent of a message's trigrams; the best one begins and ends with a wanted trigram."""
+    wanted = sorted({f"  {w} "[i : i + 3] for w in words for i in range(len(w) + 1)})
+    listed = "[" + ", ".join(f"'{g}'" for g in wanted) + "]"
+    return f"""wg AS MATERIALIZED (SELECT conv_id, seq, flatten(list_transform({toks('content')}, lambda w: list_transform(range(1, len(w) + 2), lambda i: substr('  ' || w || ' ', i, 3)))) AS g FROM {rows} WHERE {where}),
+wp AS MATERIALIZED (SELECT conv_id, seq, g, list_filter(range(1, len(g) + 1), lambda i: list_contains({listed}, g[i])) AS p FROM wg),
+ws AS MATERIALIZED (SELECT conv_id, seq, coalesce(max(len(list_filter(x, lambda t: list_contains({listed}, t)))::DOUBLE / ({len(wanted)} + len(list_filter(x, lambda t: NOT list_contains({listed}, t))))), 0.0) AS sim
+FROM (SELECT a.conv_id, a.seq, list_distinct(a.g[a.i:b.j]) AS x FROM (SELECT *, unnest(p) AS i FROM wp) a LEFT JOIN (SELECT conv_id, seq, unnest(p) AS j FROM wp) b ON a.conv_id = b.conv_id AND a.seq = b.seq AND b.j >= a.i) GROUP BY ALL)"""
+
+
+@query(b.sql(f"WITH {word_sim_sql('messages', ['thing', 'nding'], """regexp_matches(content, '(?i)thing|nding')""")} SELECT conv_id, seq, round(sim, 6) AS sim FROM ws ORDER BY sim DESC, conv_id, seq LIMIT 20", "messages"))
 def word_similarity_topk(spark, d):
-    """A sequential extent search, so without SQL; tests hold it against brute force."""
-    c = b.read(spark, d, "documents").where(lexical.matches_any_word("text", WORDS)).select("doc_id", lexical.word_similarity("text", WORDS).alias("s"))
-    return c.orderBy(F.desc("s"), "doc_id").limit(20).select("doc_id", F.round("s", 6).alias("sim"))
+    m = b.messages(spark, d).where(lexical.matches_any_word("content", WORDS)).select("conv_id", "seq", lexical.word_similarity("content", WORDS).alias("s"))
+    return m.orderBy(F.desc("s"), "conv_id", "seq").limit(20).select("conv_id", "seq", F.round("s", 6).alias("sim"))
 
 
 def _legs_sql(dense_where: str, lex_where: str, k: int) -> str:
     rank = _rank_tf("t", ["that", "with", "from"])
-    return f"""dense AS (SELECT doc_id, row_number() OVER (ORDER BY s DESC, doc_id) AS rnk FROM (SELECT c.doc_id, list_dot_product(dense, qv) AS s FROM corpus c, qvec{dense_where} ORDER BY s DESC, doc_id LIMIT {k})),
+    return f"""dense AS (SELECT doc_id, row_number() OVER (ORDER BY s DESC, doc_id) AS rnk FROM (SELECT c.doc_id, list_dot_product(dense, qv) AS s FROM corpus c, qvec WHERE dense IS NOT NULL{dense_where} ORDER BY s DESC, doc_id LIMIT {k})),
 lex AS (SELECT doc_id, row_number() OVER (ORDER BY r DESC, doc_id) AS rnk FROM (SELECT doc_id, {rank} AS r FROM (SELECT c.doc_id, {toks('text')} AS t FROM corpus c WHERE true{lex_where}) WHERE list_has_all(t, ['that', 'with', 'from']) ORDER BY r DESC, doc_id LIMIT {k})) """
 
 
@@ -112,7 +121,7 @@ def rrf_fusion(spark, d):
     return top.select("doc_id", F.round("s", 6).alias("score"))
 
 
-@query(b.sql("WITH " + _legs_sql(f" WHERE {ACL}", " AND c.tenant_id = 't1' AND c.owner_user_id = 'u1'", 40) + _RRF.format(10), "corpus", "qvec"))
+@query(b.sql("WITH " + _legs_sql(f" AND {ACL}", " AND c.tenant_id = 't1' AND c.owner_user_id = 'u1'", 40) + _RRF.format(10), "corpus", "qvec"))
 def acl_scoped_hybrid(spark, d):
     """Access is applied in each leg before its limit, so hidden rows never take a place."""
     near, lex = _legs(spark, d, 40, access.can_read(ME), access.owns(ME))
@@ -120,7 +129,7 @@ def acl_scoped_hybrid(spark, d):
     return top.select("doc_id", F.round("s", 6).alias("score"))
 
 
-@query(b.sql(f"SELECT doc_id, round(list_dot_product(dense, qv), 6) AS score FROM corpus c, qvec WHERE {ACL} ORDER BY list_dot_product(dense, qv) DESC, doc_id LIMIT 15", "corpus", "qvec"))
+@query(b.sql(f"SELECT doc_id, round(list_dot_product(dense, qv), 6) AS score FROM corpus c, qvec WHERE dense IS NOT NULL AND {ACL} ORDER BY list_dot_product(dense, qv) DESC, doc_id LIMIT 15", "corpus", "qvec"))
 def acl_scoped_topk(spark, d):
     top = fusion.topk_by_vector(b.corpus(spark, d).crossJoin(_q(spark, d)), "dense", F.col("qv"), "doc_id", 15, where=access.can_read(ME))
     return top.select("doc_id", F.round("score", 6).alias("score"))
@@ -139,8 +148,8 @@ def rrf_full_outer(spark, d):
     return both.orderBy(F.desc("s"), "doc_id").limit(10).select("doc_id", F.round("s", 6).alias("score"))
 
 
-@query(b.sql("""WITH books AS (SELECT 'book' AS kind, doc_id AS id, list_dot_product(dense, qv) AS s FROM corpus, qvec WHERE lang = 'en' ORDER BY s DESC, id LIMIT 8),
-media AS (SELECT 'media' AS kind, doc_id AS id, list_dot_product(dense, qv) AS s FROM corpus, qvec WHERE lang <> 'en' ORDER BY s DESC, id LIMIT 8)
+@query(b.sql("""WITH books AS (SELECT 'book' AS kind, doc_id AS id, list_dot_product(dense, qv) AS s FROM corpus, qvec WHERE dense IS NOT NULL AND lang = 'en' ORDER BY s DESC, id LIMIT 8),
+media AS (SELECT 'media' AS kind, doc_id AS id, list_dot_product(dense, qv) AS s FROM corpus, qvec WHERE dense IS NOT NULL AND lang <> 'en' ORDER BY s DESC, id LIMIT 8)
 SELECT kind, id, round(s, 6) AS score FROM (SELECT * FROM books UNION ALL SELECT * FROM media) ORDER BY s DESC, kind, id LIMIT 8""", "corpus", "qvec"))
 def library_union_search(spark, d):
     c = b.corpus(spark, d).crossJoin(_q(spark, d))
@@ -148,8 +157,8 @@ def library_union_search(spark, d):
     return legs[0].unionByName(legs[1]).orderBy(F.desc("s"), "kind", "id").limit(8).select("kind", "id", F.round("s", 6).alias("score"))
 
 
-@query(b.sql("""WITH conv AS (SELECT source AS conv_id, CAST(NULL AS BIGINT) AS seg, list_dot_product(dense, qv) AS s, doc_id FROM corpus, qvec WHERE doc_id % 2 = 0 ORDER BY s DESC, doc_id LIMIT 30),
-seg AS (SELECT source AS conv_id, doc_id AS seg, list_dot_product(dense, qv) AS s, doc_id FROM corpus, qvec WHERE doc_id % 2 = 1 ORDER BY s DESC, doc_id LIMIT 30),
+@query(b.sql("""WITH conv AS (SELECT source AS conv_id, CAST(NULL AS BIGINT) AS seg, list_dot_product(dense, qv) AS s, doc_id FROM corpus, qvec WHERE dense IS NOT NULL AND doc_id % 2 = 0 ORDER BY s DESC, doc_id LIMIT 30),
+seg AS (SELECT source AS conv_id, doc_id AS seg, list_dot_product(dense, qv) AS s, doc_id FROM corpus, qvec WHERE dense IS NOT NULL AND doc_id % 2 = 1 ORDER BY s DESC, doc_id LIMIT 30),
 total AS (SELECT source AS conv_id, count(*) AS seg_total FROM corpus WHERE doc_id % 2 = 1 GROUP BY source),
 best AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY s DESC, doc_id) AS rn FROM (SELECT * FROM conv UNION ALL SELECT * FROM seg))
 SELECT conv_id, seg, CASE WHEN seg IS NOT NULL THEN seg_total END AS seg_total, round(s, 6) AS score FROM best LEFT JOIN total USING (conv_id) WHERE rn = 1 ORDER BY s DESC, conv_id LIMIT 10""", "corpus", "qvec"))
@@ -163,8 +172,8 @@ def conversation_search_best_per_key(spark, d):
     return best.orderBy(F.desc("s"), "conv_id").limit(10).select("conv_id", "seg", F.when(F.col("seg").isNotNull(), F.col("seg_total")).alias("seg_total"), F.round("s", 6).alias("score"))
 
 
-@query(b.sql("""WITH q AS (SELECT doc_id AS qid, source AS qsource, dense AS qv FROM corpus WHERE doc_id % 100 = 0),
-r AS (SELECT qid, doc_id, list_dot_product(dense, qv) AS s, row_number() OVER (PARTITION BY qid ORDER BY list_dot_product(dense, qv) DESC, doc_id) AS rank FROM corpus, q WHERE source <> qsource)
+@query(b.sql("""WITH q AS (SELECT doc_id AS qid, source AS qsource, dense AS qv FROM corpus WHERE doc_id % 100 = 0 AND dense IS NOT NULL),
+r AS (SELECT qid, doc_id, list_dot_product(dense, qv) AS s, row_number() OVER (PARTITION BY qid ORDER BY list_dot_product(dense, qv) DESC, doc_id) AS rank FROM corpus, q WHERE source <> qsource AND dense IS NOT NULL)
 SELECT qid, doc_id, rank, round(s, 6) AS sim FROM r WHERE rank <= 3""", "corpus"))
 def code_knn_lateral(spark, d):
     """k nearest of each query vector outside of its own source."""
@@ -201,8 +210,12 @@ def norm_violations(spark, d):
     return b.corpus(spark, d).where(~vectors.is_unit("dense", 1e-8, 64)).select("doc_id")
 
 
-@query()
+_HALF = "CASE WHEN x = 0 THEN x ELSE round_even(x / pow(2, greatest(floor(log2(abs(x))), -14) - 10), 0) * pow(2, greatest(floor(log2(abs(x))), -14) - 10) END"
+
+
+@query(f"SELECT vec_id, round(sqrt(list_dot_product(h, h)) - sqrt(list_dot_product(v, v)), 9) AS shift, max_err FROM (SELECT vec_id, v, list_transform(v, lambda x: {_HALF}) AS h, round(list_max(list_transform(v, lambda x: abs(x - ({_HALF})))), 9) AS max_err FROM (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS v FROM embeddings))")
 def half_precision_norms(spark, d):
-    """How far 16-bit storage moves each norm; the rounding is numpy's, so tests hold it."""
-    e = b.read(spark, d, "embeddings").select("vec_id", "embedding", vectors.half_precision("embedding").alias("h"))
-    return e.select("vec_id", F.round(vectors.norm("h") - vectors.norm("embedding"), 9).alias("shift"))
+    """How far 16-bit storage moves each norm and each component."""
+    e = b.read(spark, d, "embeddings").select("vec_id", F.col("embedding").cast("array<double>").alias("v"), vectors.half_precision("embedding").alias("h"))
+    worst = F.array_max(F.zip_with("v", "h", lambda x, y: F.abs(x - y)))
+    return e.select("vec_id", F.round(vectors.norm("h") - vectors.norm("v"), 9).alias("shift"), F.round(worst, 9).alias("max_err"))

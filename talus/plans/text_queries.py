@@ -7,11 +7,41 @@ from pyspark.sql import functions as F
 
 from talus import schema as sc
 from talus.functions import text as tx
+from talus.sources import files
 
 from . import bindings as b
 from .registry import query
 
-SQL_RULES = [(k, p.replace(r"(?!\[REDACTED)[A-Za-z", "[A-Za-z").replace(r"(?!\[REDACTED)([^@\s]+)", r"([^@\s\[][^@\s]*)").replace(r"(?!\[REDACTED)([^\s'\"]{6,})", r"([^\s'\"\[][^\s'\"]{5,})").replace(r"(?!\[REDACTED)([A-Za-z", "([A-Za-z"), keep) for k, p, keep in tx.CREDENTIALS]
+#: The rules for an engine without look-ahead: what a match must not begin with is left out of its first character.
+NO_LOOKAHEAD = {
+    "discord-webhook": r"(https?://(?:ptb\.|canary\.)?discord(?:app)?\.com/api/webhooks/\d+/)[A-Za-z0-9_\-]{40,}",
+    "url-creds": r"(?i)(https?|postgres(?:ql)?|mysql|mongodb(?:\+srv)?|redis|amqp|ftp)://([^:/\s@]+):([^@\s\[][^@\s]*)@",
+    "password-assign": r"(?i)(password|passwd|pwd)\s*[=:]\s*['\"]?([^\s'\"\[][^\s'\"]{5,})",
+    "api-key-assign": r"(?i)(api[_-]?key|secret[_-]?key|access[_-]?token|auth[_-]?token)\s*[=:]\s*['\"]?([A-Za-z0-9_\-]{16,})",
+}
+SQL_RULES = [(k, NO_LOOKAHEAD.get(k, p), keep) for k, p, keep in tx.CREDENTIALS]
+
+#: The given texts hold none of these kinds, so every fifth document is given one, of each kind in turn.
+PLANTED = [
+    "key sk-ant-" + "a1B2c3D4e5F6" * 2,
+    "sk-proj-" + "Zz09_-" * 4,
+    "sk-" + "abcDEF123456" * 3,
+    "AIza" + "Ab1-_" * 7,
+    "ghp_" + "Ab12Cd34" * 5,
+    "AKIA" + "ABCD1234EFGH5678",
+    "https://discord.com/api/webhooks/123/" + "Ab1_-" * 9,
+    "-----BEGIN RSA PRIVATE KEY-----\nMII\n-----END RSA PRIVATE KEY-----",
+    "eyJ" + "hbGciOi123" * 2 + "." + "eyJzdWIi12" * 2 + "." + "sigNature-_" * 2,
+    "Authorization: Bearer " + "abc.def-123" * 2,
+    "postgres://me:hunter22@db.example/x",
+    "password = 'correct-horse'",
+    "api_key: " + "k1K2k3K4" * 2,
+]
+
+
+def _planted(text, key):
+    every = F.array(*[F.lit(x) for x in PLANTED])
+    return F.when(key % 5 == 0, F.concat(text, F.lit("\n"), F.element_at(every, (key.cast("long") / 5 % len(PLANTED) + 1).cast("int")))).otherwise(text)
 
 
 def _quoted(x: str) -> str:
@@ -26,16 +56,17 @@ def _scrub_sql(x: str) -> str:
 
 
 _HAS = " OR ".join(f"regexp_matches(text, {_quoted(p)})" for _, p, _ in SQL_RULES)
+_PLANT = f"(SELECT doc_id, CASE WHEN doc_id % 5 = 0 THEN text || chr(10) || [{', '.join('replace(' + _quoted(x.replace(chr(10), '~')) + ', chr(126), chr(10))' for x in PLANTED)}][doc_id // 5 % {len(PLANTED)} + 1] ELSE text END AS text FROM documents)"
 
 
-@query(f"SELECT doc_id, {_scrub_sql('text')} AS scrubbed FROM documents")
+@query(f"SELECT doc_id, {_scrub_sql('text')} AS scrubbed FROM {_PLANT}")
 def scrub_credentials(spark, d):
-    return b.read(spark, d, "documents").select("doc_id", tx.scrub(F.col("text")).alias("scrubbed"))
+    return b.read(spark, d, "documents").select("doc_id", tx.scrub(_planted(F.col("text"), F.col("doc_id"))).alias("scrubbed"))
 
 
-@query(f"SELECT doc_id FROM documents WHERE {_HAS}")
+@query(f"SELECT doc_id FROM {_PLANT} WHERE {_HAS}")
 def has_credential(spark, d):
-    return b.read(spark, d, "documents").where(tx.has_credential(F.col("text"))).select("doc_id")
+    return b.read(spark, d, "documents").where(tx.has_credential(_planted(F.col("text"), F.col("doc_id")))).select("doc_id")
 
 
 _SANITIZED = r"""regexp_replace(regexp_replace(regexp_replace(html, '!\[[^\]]*\]\(([^)]+)\)', '[image-stripped:\1]', 'g'), '(?i)<img\b[^>]*>', '[img-stripped]', 'g'), chr(27) || '\[[0-9;?]*[A-Za-z]', '', 'g')"""
@@ -81,18 +112,30 @@ def project_slug(spark, d):
     return b.read(spark, d, "pages").select("page_id", tx.project_slug(u, F.concat(F.lit("/home/me/proj-"), (r % 9).cast("string"), F.lit("/"))).alias("slug"))
 
 
-@query(r"""SELECT claim_hash, min(doc_id) AS doc_id, count(*) AS n FROM (SELECT doc_id, 'sha256:' || sha256(lower(trim(regexp_replace(regexp_replace(string_split(text, chr(10))[1], '^\s+|\s+$', '', 'g'), '\s+', ' ', 'g')))) AS claim_hash FROM documents WHERE text IS NOT NULL) GROUP BY claim_hash""")
+def fold_sql(x: str) -> str:
+    x = f"translate(lower({x}), '{''.join(tx.FOLD_ONE)}', '{''.join(tx.FOLD_ONE.values())}')"
+    for a, c in tx.FOLD_MORE.items():
+        x = f"replace({x}, '{a}', '{c}')"
+    return x
+
+
+def claim_hash_sql(x: str) -> str:
+    return "'sha256:' || sha256(" + fold_sql(rf"trim(regexp_replace(regexp_replace({x}, '^\s+|\s+$', '', 'g'), '\s+', ' ', 'g'))") + ")"
+
+
+@query(f"SELECT claim_hash, min(doc_id) AS doc_id, count(*) AS n FROM (SELECT doc_id, {claim_hash_sql('line')} AS claim_hash FROM (SELECT doc_id, unnest(string_split(text, chr(10))) AS line FROM documents WHERE text IS NOT NULL)) GROUP BY claim_hash")
 def claim_hash_dedupe(spark, d):
-    """First lines as claims: one row for each normalised claim."""
-    c = b.read(spark, d, "documents").where("text is not null").select("doc_id", tx.claim_hash(F.split("text", "\n").getItem(0)).alias("claim_hash"))
+    """All lines as claims: one row for each normalised claim."""
+    c = b.read(spark, d, "documents").where("text is not null").select("doc_id", F.explode(F.split("text", "\n")).alias("line")).select("doc_id", tx.claim_hash(F.col("line")).alias("claim_hash"))
     return c.groupBy("claim_hash").agg(F.min("doc_id").alias("doc_id"), F.count(F.lit(1)).alias("n"))
 
 
-@query(r"""WITH x AS (SELECT doc_id, text || ' user_memo_' || lang || ' (memory: ' || source || ') How to apply(' AS t FROM documents)
-SELECT doc_id, label, found FROM (SELECT doc_id, 'memory slug' AS label, unnest(regexp_extract_all(t, 'user_[a-z_]{4,}')) AS found FROM x UNION ALL SELECT doc_id, 'memory reference', unnest(regexp_extract_all(t, '\(memory:')) FROM x
-UNION ALL SELECT doc_id, 'agent-facing meta', unnest(regexp_extract_all(t, 'How to apply\(')) FROM x)""")
+@query(r"""WITH x AS (SELECT doc_id, text || ' user_memo_' || lang || ' (memory: ' || source || ') How to apply(' || CASE WHEN doc_id % 3 = 0 THEN 'この user scripts/wiki_figures' ELSE '' END AS t FROM documents)
+SELECT doc_id, label, found FROM (SELECT doc_id, 'memory slug (user_*)' AS label, unnest(regexp_extract_all(t, 'user_[a-z_]{4,}')) AS found FROM x UNION ALL SELECT doc_id, 'memory reference', unnest(regexp_extract_all(t, '\(memory:')) FROM x
+UNION ALL SELECT doc_id, 'agent-facing meta (How to apply()', unnest(regexp_extract_all(t, 'How to apply\(')) FROM x
+UNION ALL SELECT doc_id, 'agent-facing meta (この user)', unnest(regexp_extract_all(t, 'この user')) FROM x UNION ALL SELECT doc_id, 'internal tooling path', unnest(regexp_extract_all(t, 'scripts/wiki_figures')) FROM x)""")
 def leak_scan(spark, d):
-    t = F.concat("text", F.lit(" user_memo_"), "lang", F.lit(" (memory: "), "source", F.lit(") How to apply("))
+    t = F.concat("text", F.lit(" user_memo_"), "lang", F.lit(" (memory: "), "source", F.lit(") How to apply("), F.when(F.col("doc_id") % 3 == 0, "この user scripts/wiki_figures").otherwise(""))
     return b.read(spark, d, "documents").select("doc_id", F.explode(tx.leaks(t)).alias("l")).select("doc_id", "l.label", "l.found")
 
 
@@ -119,11 +162,18 @@ def html_scripts(spark, d):
     return b.read(spark, d, "pages").select("page_id", F.size(x).cast("long").alias("n_scripts"), F.array_join(x, "\n").alias("js"))
 
 
-@query(r"SELECT page_id FROM (SELECT page_id, string_split(regexp_replace(url, '^[a-z]+://', ''), '/') AS p FROM pages) WHERE len(list_filter(p, lambda x: regexp_matches(x, '^(data|dist|build|vendor|node_modules)$|^secrets|\.min\.js$|^\.env|_key'))) = 0 AND regexp_matches(p[len(p)], '\.html')")
+_PATHS = ["src/a{0}.py", "build/b{0}.js", "lib/c{0}.min.js", "lib/.env.d{0}/x.py", "docs/e{0}.HTML", "secrets{0}.sh", "a/vendor/f{0}.ts", "g{0}_key.sh", "h{0}.txt", "data"]
+
+
+@query(rf"""SELECT page_id FROM (SELECT page_id, string_split(replace([{", ".join("'" + x + "'" for x in _PATHS)}][page_id % {len(_PATHS)} + 1], '{{0}}', CAST(page_id AS VARCHAR)), '/') AS p FROM pages)
+WHERE len(list_filter(p[:len(p) - 1], lambda x: x IN ('data', 'dist', 'build', 'vendor', 'node_modules'))) = 0
+AND len(list_filter(p, lambda x: regexp_matches(x, '^(.*\.min\.js|secrets.*|.*\.enc\..*|\.env.*|.*\.env|.*\.env\..*|credentials.*|.*\.pem|.*_key.*)$'))) = 0
+AND lower(regexp_extract(p[len(p)], '\.([^.]+)$', 1)) IN ('py', 'js', 'mjs', 'cjs', 'ts', 'sh', 'bash', 'html')""")
 def path_policy(spark, d):
-    parts = F.split(F.regexp_replace("url", "^[a-z]+://", ""), "/")
-    bad = F.exists(parts, lambda x: x.rlike(r"^(data|dist|build|vendor|node_modules)$|^secrets|\.min\.js$|^\.env|_key"))
-    return b.read(spark, d, "pages").where(~bad & F.element_at(parts, -1).rlike(r"\.html")).select("page_id")
+    """Paths of ten forms made from the ids of pages, held against the policy of the source index."""
+    r = F.col("page_id")
+    path = F.replace(F.element_at(F.array(*[F.lit(x) for x in _PATHS]), (r % len(_PATHS) + 1).cast("int")), F.lit("{0}"), r.cast("string"))
+    return b.read(spark, d, "pages").select("page_id", path.alias("path")).where(files.allowed_path(F.col("path"))).select("page_id")
 
 
 @query("""SELECT conv_id, violation FROM (SELECT conv_id, CASE WHEN NOT (project_slug IN ('__no_project__', '__unresolved__', '__excluded__') OR regexp_matches(project_slug, '^[A-Za-z0-9][A-Za-z0-9_-]{0,62}$')) THEN 'slug' END AS violation FROM (
@@ -173,6 +223,11 @@ def union_distinct(spark, d):
     return b.read(spark, d, "supplier").select(F.col("s_nationkey").alias("k")).union(b.read(spark, d, "customer").where("c_acctbal < 0").select("c_nationkey")).distinct()
 
 
-@query("SELECT n_nationkey AS k FROM nation EXCEPT SELECT s_nationkey FROM supplier")
+@query("SELECT c_custkey AS k FROM customer EXCEPT SELECT o_custkey FROM orders")
 def set_difference(spark, d):
-    return b.read(spark, d, "nation").select(F.col("n_nationkey").alias("k")).exceptAll(b.read(spark, d, "supplier").select("s_nationkey").distinct())
+    return b.read(spark, d, "customer").select(F.col("c_custkey").alias("k")).subtract(b.read(spark, d, "orders").select("o_custkey"))
+
+
+@query("SELECT c_nationkey AS k FROM customer INTERSECT SELECT s_nationkey FROM supplier WHERE s_acctbal > 0")
+def set_intersection(spark, d):
+    return b.read(spark, d, "customer").select(F.col("c_nationkey").alias("k")).intersect(b.read(spark, d, "supplier").where("s_acctbal > 0").select("s_nationkey"))

@@ -8,9 +8,7 @@ from talus.operators import markup, wiki
 
 from . import bindings as b
 from .registry import query
-
-_HASH = r"'sha256:' || sha256(lower(trim(regexp_replace(regexp_replace({0}, '^\s+|\s+$', '', 'g'), '\s+', ' ', 'g'))))"
-
+from .text_queries import claim_hash_sql
 
 @query(b.sql(r"""SELECT conv_id, msg_id, substr(trim(regexp_replace(regexp_replace(content, '^\s+|\s+$', '', 'g'), '\s+', ' ', 'g')), 1, 120) AS snippet FROM (
 SELECT conv_id, msg_id, content, row_number() OVER (PARTITION BY conv_id ORDER BY seq, msg_id) AS rn FROM (SELECT conv_id, conv_id || ':' || (seq // 2) AS msg_id, min(seq) AS seq, arg_min(content, seq) AS content FROM messages GROUP BY ALL)) WHERE rn <= 3""", "messages"))
@@ -20,17 +18,20 @@ def evidence_index(spark, d):
 
 
 def _claims(spark, d):
+    """Every line of every document as a claim."""
     r = F.col("doc_id")
-    x = b.read(spark, d, "documents").select(F.col("source").alias("page_slug"), r.alias("pos"), F.when(r % 3 == 0, " null ").when(r % 3 == 1, F.concat(F.lit(" sec "), "lang")).alias("section"), F.concat(F.when(r % 7 == 0, "AI: ").otherwise(" "), F.coalesce(F.split("text", "\n").getItem(0), F.lit(""))).alias("claim_text"), (r % 40).cast("string").alias("source_msg_id"), F.concat(F.lit("c"), r.cast("string")).alias("conv_id"))
+    x = b.read(spark, d, "documents").select(r, "source", "lang", F.posexplode(F.split(F.coalesce("text", F.lit("")), "\n")).alias("n", "line"))
+    x = x.select(F.col("source").alias("page_slug"), F.struct(r, "n").alias("pos"), F.when(r % 3 == 0, " null ").when(r % 3 == 1, F.concat(F.lit(" sec "), "lang")).alias("section"), F.concat(F.when(r % 7 == 0, "AI: ").otherwise(" "), "line").alias("claim_text"), ((r + F.col("n")) % 40).cast("string").alias("source_msg_id"), F.concat(F.lit("c"), r.cast("string")).alias("conv_id"))
     valid = spark.range(0, 20).select(F.col("id").cast("string").alias("msg_id"))
     return wiki.claim_rows(x, valid)
 
 
-_CLAIMS = rf"""raw AS (SELECT source AS page_slug, doc_id AS pos, CASE doc_id % 3 WHEN 0 THEN ' null ' WHEN 1 THEN ' sec ' || lang END AS section,
-regexp_replace(CASE WHEN doc_id % 7 = 0 THEN 'AI: ' ELSE ' ' END || coalesce(string_split(text, chr(10))[1], ''), '^\s+|\s+$', '', 'g') AS claim_text, doc_id % 40 AS m, 'c' || doc_id AS conv_id FROM documents),
-hashed AS (SELECT *, {_HASH.format('claim_text')} AS claim_hash FROM raw WHERE claim_text <> '' AND NOT starts_with(claim_text, 'AI:')),
+_CLAIMS = rf"""raw AS (SELECT source AS page_slug, doc_id, n, CASE doc_id % 3 WHEN 0 THEN ' null ' WHEN 1 THEN ' sec ' || lang END AS section,
+regexp_replace(CASE WHEN doc_id % 7 = 0 THEN 'AI: ' ELSE ' ' END || line, '^\s+|\s+$', '', 'g') AS claim_text, (doc_id + n) % 40 AS m, 'c' || doc_id AS conv_id
+FROM (SELECT doc_id, source, lang, unnest(l) AS line, unnest(range(0, len(l))) AS n FROM (SELECT *, string_split(coalesce(text, ''), chr(10)) AS l FROM documents))),
+hashed AS (SELECT *, {claim_hash_sql('claim_text')} AS claim_hash FROM raw WHERE claim_text <> '' AND NOT starts_with(claim_text, 'AI:')),
 claims AS (SELECT page_slug, claim_hash, claim_text, CASE WHEN lower(nullif(trim(section), '')) NOT IN ('null', 'none') THEN trim(section) END AS section, CASE WHEN m < 20 THEN conv_id END AS source_conv_id, CASE WHEN m < 20 THEN m::VARCHAR END AS source_msg_id
-FROM (SELECT *, row_number() OVER (PARTITION BY page_slug, claim_hash ORDER BY pos) AS rn FROM hashed) WHERE rn = 1)"""
+FROM (SELECT *, row_number() OVER (PARTITION BY page_slug, claim_hash ORDER BY doc_id, n) AS rn FROM hashed) WHERE rn = 1)"""
 
 
 @query(f"WITH {_CLAIMS} SELECT * FROM claims")
@@ -47,24 +48,25 @@ def claim_changes(spark, d):
 
 def _wiki(spark, d):
     r = F.col("doc_id")
-    x = b.read(spark, d, "documents").select(F.concat(F.lit("p"), r.cast("string")).alias("slug"), r, F.substring("text", 1, 30).alias("body"))
+    x = b.read(spark, d, "documents").select(F.concat(F.lit("p"), r.cast("string")).alias("slug"), r, F.coalesce("text", F.lit("")).alias("body"))
     pages = x.where("doc_id % 4 <> 3").select("slug", (r % 3 + 1).cast("int").alias("rev"), "body")
     log = x.where("doc_id % 10 = 0 and doc_id % 4 <> 3").select(F.concat(F.lit("m"), r.cast("string")).alias("merge_id"), "slug", (r % 3 + 1).cast("int").alias("rev"), F.lit("old").alias("before"))
     staged = x.where("doc_id % 2 = 0 or doc_id % 4 = 3").select(F.concat(F.lit("m"), r.cast("string")).alias("merge_id"), "slug", F.when(r % 4 == 3, 0).otherwise((r % 2 + 1)).cast("int").alias("base_rev"), F.lit("new").alias("body"))
     return pages, log, staged
 
 
-@query("""SELECT 'p' || doc_id AS slug, CAST(CASE WHEN doc_id % 4 = 3 THEN 1 WHEN hit THEN doc_id % 3 + 2 ELSE doc_id % 3 + 1 END AS INT) AS rev, CASE WHEN doc_id % 4 = 3 OR hit THEN 'new' ELSE substr(text, 1, 30) END AS body
+@query("""SELECT 'p' || doc_id AS slug, CAST(CASE WHEN doc_id % 4 = 3 THEN 1 WHEN hit THEN doc_id % 3 + 2 ELSE doc_id % 3 + 1 END AS INT) AS rev, CASE WHEN doc_id % 4 = 3 OR hit THEN 'new' ELSE coalesce(text, '') END AS body
 FROM (SELECT *, doc_id % 2 = 0 AND doc_id % 10 <> 0 AND doc_id % 2 + 1 = doc_id % 3 + 1 AS hit FROM documents)""")
 def wiki_apply(spark, d):
     pages, log, staged = _wiki(spark, d)
     return wiki.apply_merges(pages, log, staged)[0].select("slug", F.col("rev").cast("int").alias("rev"), "body")
 
 
-@query("""SELECT 'p' || doc_id AS slug, CAST(CASE WHEN doc_id % 10 = 0 AND doc_id < 60 THEN doc_id % 3 + 2 ELSE doc_id % 3 + 1 END AS INT) AS rev, CASE WHEN doc_id % 10 = 0 AND doc_id < 60 THEN 'old' ELSE substr(text, 1, 30) END AS body FROM documents WHERE doc_id % 4 <> 3""")
+@query("""SELECT 'p' || doc_id AS slug, CAST(CASE WHEN doc_id % 10 = 0 AND doc_id % 3 = 0 THEN doc_id % 3 + 2 ELSE doc_id % 3 + 1 END AS INT) AS rev, CASE WHEN doc_id % 10 = 0 AND doc_id % 3 = 0 THEN 'old' ELSE coalesce(text, '') END AS body FROM documents WHERE doc_id % 4 <> 3""")
 def wiki_rollback(spark, d):
     pages, log, _ = _wiki(spark, d)
-    return wiki.rollback(pages, log, [f"m{i}" for i in range(0, 60, 10)]).select("slug", F.col("rev").cast("int").alias("rev"), "body")
+    ids = b.read(spark, d, "documents").where("doc_id % 3 = 0").select(F.concat(F.lit("m"), F.col("doc_id").cast("string")).alias("merge_id"))
+    return wiki.rollback(pages, log, ids).select("slug", F.col("rev").cast("int").alias("rev"), "body")
 
 
 @query()
