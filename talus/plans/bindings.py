@@ -135,7 +135,36 @@ def diary(spark: SparkSession, d: str) -> DataFrame:
     return day.join(read(spark, d, "embeddings").select("vec_id", F.col("embedding").alias("dense")), "vec_id", "left")
 
 
+def message_vectors(spark: SparkSession, d: str) -> DataFrame:
+    """Messages with an id and a vector, that of (8 conv_id + seq) mod 500; some have none."""
+    m = messages(spark, d).withColumn("id", F.col("conv_id") * 1000 + F.col("seq")).withColumn("vec_id", (F.col("conv_id") * 8 + F.col("seq")) % 500)
+    return m.join(read(spark, d, "embeddings").select("vec_id", F.col("embedding").alias("dense")), "vec_id", "left").drop("vec_id")
+
+
+def clusters(spark: SparkSession, d: str) -> DataFrame:
+    """A label for each label of vectors; threads are of cluster conv_id mod 13, which some clusters lack."""
+    return read(spark, d, "embeddings").where("label % 3 <> 0").select(F.col("label").cast("long").alias("cluster_id"), F.concat(F.lit("cluster "), F.col("label").cast("string")).alias("cluster_label")).distinct()
+
+
+def facts(spark: SparkSession, d: str) -> DataFrame:
+    """Every line of an assistant's message as a fact of its thread."""
+    m = messages(spark, d).where("role = 'assistant'").select("conv_id", "seq", "ts", F.posexplode(F.split("content", "\n")).alias("n", "fact_text")).where("fact_text <> ''")
+    m = m.select((F.col("conv_id") * 1_000_000 + F.col("seq") * 1000 + F.col("n")).alias("id"), "conv_id", "fact_text", F.col("ts").alias("extracted_at"), ((F.col("conv_id") * 8 + F.col("seq") + F.col("n")) % 500).alias("vec_id"))
+    return m.join(read(spark, d, "embeddings").select("vec_id", F.col("embedding").alias("dense")), "vec_id", "left").drop("vec_id")
+
+
+def diary_entries(spark: SparkSession, d: str) -> DataFrame:
+    """Entries with the first message of thread vec_id mod 90 as their body."""
+    first = messages(spark, d).where("seq = 0").select(F.col("conv_id").alias("k"), F.col("content").alias("body"))
+    return diary(spark, d).withColumn("k", F.col("vec_id") % 90).join(first, "k", "left").drop("k")
+
+
 VIEWS = {
+    "message_vectors": "SELECT m.*, conv_id * 1000 + seq AS id, CAST(e.embedding AS DOUBLE[]) AS dense FROM messages m LEFT JOIN embeddings e ON e.vec_id = (conv_id * 8 + seq) % 500",
+    "clusters": "SELECT DISTINCT label AS cluster_id, 'cluster ' || label AS cluster_label FROM embeddings WHERE label % 3 <> 0",
+    "facts": """SELECT f.*, CAST(e.embedding AS DOUBLE[]) AS dense FROM (SELECT conv_id * 1000000 + seq * 1000 + n AS id, conv_id, fact_text, ts AS extracted_at, (conv_id * 8 + seq + n) % 500 AS vec_id
+        FROM (SELECT conv_id, seq, ts, unnest(l) AS fact_text, unnest(range(0, len(l))) AS n FROM (SELECT *, string_split(content, chr(10)) AS l FROM messages WHERE role = 'assistant')) WHERE fact_text <> '') f LEFT JOIN embeddings e USING (vec_id)""",
+    "diary_entries": "SELECT d.*, m.content AS body FROM diary d LEFT JOIN messages m ON m.seq = 0 AND m.conv_id = d.vec_id % 90",
     "messages": "SELECT conv_id, turn AS seq, role, text AS content, TIMESTAMP '2024-01-01 00:00:00' + to_hours(conv_id) + to_minutes(turn) AS ts, 'u' || (conv_id % 5) AS owner_user_id, 't' || (conv_id % 2) AS tenant_id FROM conversations",
     "threads": """SELECT conv_id, ['claude_code', 'chatgpt', 'claude_ai', 'codex'][conv_id % 4 + 1] AS platform,
         substr(arg_min(content, seq) FILTER (WHERE role = 'user'), 1, 80) AS title, min(ts) AS started_at,
@@ -178,7 +207,7 @@ VIEWS = {
         coalesce(greatest(list_cosine_similarity(v.dense, q.qv), 0), 0) AS semantic_sim, q.qv FROM visible v LEFT JOIN telemetry t ON t.memory_pk = v.id CROSS JOIN qvec q""",
 }
 
-NEEDS = {"threads": ["messages"], "visible": ["memories", "allowlist"], "enriched": ["visible", "telemetry", "qvec"]}
+NEEDS = {"message_vectors": ["messages"], "facts": ["messages"], "diary_entries": ["diary", "messages"], "threads": ["messages"], "visible": ["memories", "allowlist"], "enriched": ["visible", "telemetry", "qvec"]}
 
 
 def sql(body: str, *views: str, recursive: bool = False) -> str:

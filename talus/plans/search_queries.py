@@ -12,6 +12,8 @@ from . import bindings as b
 from .registry import query
 
 TEXT, WORDS, PHRASE = "that with from", "thing nding", '"of the" with or inor -from'
+#: Words of few messages, for the ranks by word similarity.
+NAMES, NAMED = "para avec", "regexp_matches(content, '(?i)para|avec')"
 ME = access.Principal("t1", "u1", ("team1", "team3"))
 ACL = "c.tenant_id = 't1' AND (c.owner_user_id = 'u1' OR c.visibility = 'org' OR (c.visibility = 'team' AND c.team_id IN ('team1', 'team3')))"
 TOKENS = r"regexp_extract_all(lower(coalesce({0}, '')), '[\p{{L}}\p{{N}}_]+')"
@@ -90,9 +92,9 @@ ws AS MATERIALIZED (SELECT conv_id, seq, coalesce(max(len(list_filter(x, lambda
 FROM (SELECT a.conv_id, a.seq, list_distinct(a.g[a.i:b.j]) AS x FROM (SELECT *, unnest(p) AS i FROM wp) a LEFT JOIN (SELECT conv_id, seq, unnest(p) AS j FROM wp) b ON a.conv_id = b.conv_id AND a.seq = b.seq AND b.j >= a.i) GROUP BY ALL)"""
 
 
-@query(b.sql(f"WITH {word_sim_sql('messages', ['thing', 'nding'], """regexp_matches(content, '(?i)thing|nding')""")} SELECT conv_id, seq, round(sim, 6) AS sim FROM ws ORDER BY sim DESC, conv_id, seq LIMIT 20", "messages"))
+@query(b.sql(f"WITH {word_sim_sql('messages', ['para', 'avec'], NAMED)} SELECT conv_id, seq, round(sim, 6) AS sim FROM ws ORDER BY sim DESC, conv_id, seq LIMIT 20", "messages"))
 def word_similarity_topk(spark, d):
-    m = b.messages(spark, d).where(lexical.matches_any_word("content", WORDS)).select("conv_id", "seq", lexical.word_similarity("content", WORDS).alias("s"))
+    m = b.messages(spark, d).where(lexical.matches_any_word("content", NAMES)).select("conv_id", "seq", lexical.word_similarity("content", NAMES).alias("s"))
     return m.orderBy(F.desc("s"), "conv_id", "seq").limit(20).select("conv_id", "seq", F.round("s", 6).alias("sim"))
 
 

@@ -1,0 +1 @@
+"""Upkeep."""
