@@ -110,6 +110,19 @@ def project_slug(remote_url: Column, cwd: Column) -> Column:
     return F.when(slug.rlike(r"^[A-Za-z0-9][A-Za-z0-9_-]{0,62}$"), slug).otherwise("__unresolved__")
 
 
+def resolved_slug(remote_url: Column, cwd: Column, excluded: list[str]) -> Column:
+    """The project name, __unresolved__ without a folder, __excluded__ for one under an excluded prefix."""
+    out = F.lit(False)
+    for prefix in excluded:
+        out = out | cwd.startswith(prefix)
+    return F.when(F.coalesce(cwd, F.lit("")) == "", "__unresolved__").when(out, "__excluded__").otherwise(project_slug(remote_url, cwd))
+
+
+def arg_digest(*parts: Column) -> Column:
+    """First 16 hex digits of SHA-256 over the arguments, for logs that mustn't hold them."""
+    return F.substring(F.sha2(F.concat(*parts).cast("binary"), 256), 1, 16)
+
+
 def file_stem(path: Column) -> Column:
     return F.regexp_replace(F.regexp_replace(path, r"^.*/", ""), r"\.md$", "")
 

@@ -127,3 +127,13 @@ def heartbeat(runs: DataFrame, as_of, ok: tuple[str, ...] = ("ok", "partial")) -
     return runs.groupBy("source").agg(last.alias("last_ok")).withColumn("age_s", (F.unix_micros(as_of) - F.unix_micros(F.col("last_ok").cast("timestamp"))) / 1e6)
 
 
+
+
+def record_key(session_id, chunk_id, n: int = 8):
+    """The key of a log record in a worksheet: the head of its session and its chunk."""
+    return F.concat(F.substring(F.coalesce(session_id, F.lit("")), 1, n), F.lit("-"), chunk_id.cast("string"))
+
+
+def worksheet_key(item_id):
+    """A worksheet's item without its running number."""
+    return F.regexp_replace(F.coalesce(item_id, F.lit("")), r"^\d{2}-", "")

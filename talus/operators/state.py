@@ -84,3 +84,57 @@ def chunk_diff(old: DataFrame, new: DataFrame) -> DataFrame:
     reuse = new.join(known, "content_sha", "left").groupBy("path").agg(F.count(F.lit(1)).alias("n_chunks"), F.sum(F.coalesce("reuse", F.lit(0))).alias("n_reused"))
     status = F.when(F.col("n_was") == 0, "new").when(F.col("n_off") == 0, "metadata-only").otherwise("replaced")
     return both.where("n_now > 0").select("path", status.alias("status")).join(reuse, "path")
+
+
+def write_scores(threads: DataFrame, scores: DataFrame, as_of: Column) -> DataFrame:
+    """Threads with the scores of (conv_id, scored, intensity, topic). One that had nothing to score (scored is false) is marked
+    as done, once and without scores, so that it isn't tried again; the others keep what they have."""
+    s = scores.select("conv_id", "scored", F.col("intensity").alias("new_intensity"), F.coalesce("topic", F.lit("")).alias("new_topic"))
+    t = threads.join(s, "conv_id", "left")
+    hit = F.coalesce("scored", F.lit(False))
+    pick = lambda new, old: F.when(hit, F.col(new)).otherwise(F.col(old)).alias(old)
+    done = F.when(hit | (F.col("scored").isNotNull() & F.col("scored_at").isNull()), as_of).otherwise(F.col("scored_at"))
+    return t.select("conv_id", pick("new_intensity", "intensity"), pick("new_topic", "dominant_topic"), done.alias("scored_at"))
+
+
+def provision(users: DataFrame, memberships: DataFrame, roster: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Users and memberships after a roster of (tenant_id, user_id, db_role, display_name, email, team_id), a row a team.
+
+    A user's role is replaced, name and address only by values that are there; memberships are only added."""
+    key = ["tenant_id", "user_id"]
+    new = roster.groupBy(*key).agg(*[F.max(c).alias(f"new_{c}") for c in ("db_role", "display_name", "email")])
+    both = users.join(new, key, "full")
+    after = both.select(*key, *[F.coalesce(f"new_{c}", c).alias(c) for c in ("db_role", "display_name", "email")], "disabled_at")
+    teams = roster.where("team_id is not null").select("tenant_id", "team_id", "user_id")
+    return after, insert_ignore(memberships, teams, ["tenant_id", "team_id", "user_id"])
+
+
+def disable(users: DataFrame, who: DataFrame, as_of: Column) -> DataFrame:
+    """Users with those of (tenant_id, user_id) disabled; one that is disabled already keeps its time."""
+    named = who.select("tenant_id", "user_id", F.lit(True).alias("named")).distinct()
+    return users.join(named, ["tenant_id", "user_id"], "left").withColumn("disabled_at", F.when(F.col("named"), F.coalesce("disabled_at", as_of)).otherwise(F.col("disabled_at"))).drop("named")
+
+
+def backfill(rows: DataFrame, transform, key: str, out: str, buckets: int, stop_after: int | None = None) -> tuple[DataFrame, list[dict]]:
+    """Rows after a backfill in hash buckets of the key, each a job that writes its own folder and then its checkpoint.
+
+    A rerun leaves finished buckets alone, so it goes on where a lost run ended. Returns what is there and one heartbeat
+    for each bucket that this run did. stop_after ends the run early, as an interruption would."""
+    spark = rows.sparkSession
+    path = spark._jvm.org.apache.hadoop.fs.Path
+    fs = path(out).getFileSystem(spark._jsc.hadoopConfiguration())
+    beats: list[dict] = []
+    for i in range(buckets):
+        if fs.exists(path(f"{out}/bucket={i}/_SUCCESS")):
+            continue
+        if stop_after is not None and len(beats) == stop_after:
+            break
+        transform(rows.where(F.pmod(F.xxhash64(key), F.lit(buckets)) == i)).write.mode("overwrite").parquet(f"{out}/bucket={i}")
+        beats.append({"bucket": i, "status": "complete"})
+        spark.createDataFrame([(i, "complete")], "bucket int, status string").coalesce(1).write.mode("append").json(f"{out}/_checkpoints")
+    return spark.read.option("basePath", out).parquet(f"{out}/bucket=*").drop("bucket"), beats
+
+
+def residual(rows: DataFrame, pending: Column) -> DataFrame:
+    """(rows_total, residual): how many rows still need work; a finished backfill has none."""
+    return rows.agg(F.count(F.lit(1)).alias("rows_total"), F.count_if(pending).alias("residual"))

@@ -128,3 +128,37 @@ def day_budget(counts: DataFrame, order: list[Column], budget: int) -> DataFrame
     """Lines that each conversation of a day may give: what is left of the budget when its turn comes."""
     before = F.coalesce(F.sum("n_lines").over(Window.partitionBy("day").orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     return counts.withColumn("taken", F.greatest(F.lit(0).cast("long"), F.least(F.col("n_lines"), F.lit(budget) - before)))
+
+
+def segment_transcripts(messages: DataFrame, size: int = 200, n: int = 20, max_chars: int = 300, min_len: int = 20) -> DataFrame:
+    """A sampled transcript of each window of `size` qualifying messages, for threads that have more than `size` messages."""
+    longer = messages.groupBy("conv_id").agg(F.count(F.lit(1)).alias("__n")).where(F.col("__n") > size).select("conv_id")
+    pos = F.row_number().over(Window.partitionBy("conv_id").orderBy("seq")) - 1
+    rows = prose(messages, min_len).join(longer, "conv_id", "left_semi").withColumn("seg_idx", F.floor(pos / size).cast("int"))
+    span = rows.groupBy("conv_id", "seg_idx").agg(F.min("seq").alias("start_seq"), F.max("seq").alias("end_seq"))
+    picked = sample_uniform(rows.withColumn("__key", F.struct("conv_id", "seg_idx")), "__key", ["seq"], n)
+    line = picked.withColumn("prose", tx.extract_prose(F.col("content"), max_chars)).where(F.length("prose") >= min_len)
+    line = line.withColumn("line", tx.transcript_line(F.col("role"), F.col("prose")))
+    lines = F.transform(F.array_sort(F.collect_list(F.struct("seq", "line"))), lambda x: x["line"])
+    return line.groupBy("conv_id", "seg_idx").agg(F.array_join(lines, "\n\n").alias("transcript")).join(span, ["conv_id", "seg_idx"])
+
+
+def day_transcripts(messages: DataFrame, threads: DataFrame, budget: int = 140, most: int = 60, max_chars: int = 600, min_len: int = 20) -> DataFrame:
+    """(day, transcript, n_lines): the day's conversations in order, each under its heading.
+
+    threads: day, conv_id, title, provenance, started_at. Of a day with n conversations each gives at most
+    max(8, min(most, budget / n + 8)) sampled lines, and all of them the budget. A day is at most `budget` lines."""
+    n = F.count(F.lit(1)).over(Window.partitionBy("day"))
+    t = threads.withColumn("cap", F.greatest(F.lit(8), F.least(F.lit(most), F.floor(F.lit(budget) / n) + 8)))
+    w = Window.partitionBy("conv_id")
+    rows = prose(messages, min_len).join(t, "conv_id").withColumn("pos", F.row_number().over(w.orderBy("seq")) - 1).withColumn("size", F.count(F.lit(1)).over(w))
+    i = F.ceil(F.col("pos") * F.col("cap") / F.col("size"))
+    rows = rows.where((F.col("size") <= F.col("cap")) | ((i < F.col("cap")) & (F.floor(i * F.col("size") / F.col("cap")) == F.col("pos"))))
+    rows = rows.withColumn("prose", tx.extract_prose(F.col("content"), max_chars, True)).where(F.length("prose") >= min_len)
+    order = Window.partitionBy("day").orderBy(F.col("started_at").asc_nulls_last(), "conv_id", "seq")
+    rows = rows.withColumn("k", F.row_number().over(order)).where(F.col("k") <= budget)
+    head = F.concat(F.lit("## "), F.coalesce(F.nullif("title", F.lit("")), F.lit("conversation")), F.when(F.col("provenance") != "", F.concat(F.lit(" ["), F.col("provenance"), F.lit("]"))).otherwise(""), F.lit("\n"))
+    first = F.row_number().over(Window.partitionBy("day", "conv_id").orderBy("k")) == 1
+    rows = rows.withColumn("line", F.concat(F.when(first, head).otherwise(""), tx.transcript_line(F.col("role"), F.col("prose"), "CLAUDE")))
+    lines = F.transform(F.array_sort(F.collect_list(F.struct("k", "line"))), lambda x: x["line"])
+    return rows.groupBy("day").agg(F.array_join(lines, "\n\n").alias("transcript"), F.count(F.lit(1)).alias("n_lines"))

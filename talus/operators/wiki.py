@@ -75,11 +75,45 @@ def review_flags(diff_lines: Column, n_claims: Column, n_sourced: Column, most:
     return F.array_compact(F.array(F.when(diff_lines > most, "long-diff"), F.when((n_claims > 0) & (n_sourced / n_claims < least), "thin-evidence")))
 
 
-def lede(body: Column) -> Column:
-    """First sentence of the first line of prose, without markup, cut at 46 characters."""
-    prose = F.filter(F.transform(F.split(body, "\n"), lambda x: F.trim(x)), lambda x: (x != "") & ~x.rlike(r"^(#|```|[-*>|])"))
-    plain = F.regexp_replace(F.regexp_replace(F.get(prose, F.lit(0)), r"\[([^\]]*)\]\([^)]*\)", "$1"), r"[*_`]", "")
-    return F.substring(F.regexp_extract(F.coalesce(plain, F.lit("")), r"^(.*?[.!?。]|.*$)", 1), 1, 46)
+SUBTITLE = r"\s*[—–]\s*|\s+-\s+"
+
+
+def split_subtitle(text: Column) -> tuple[Column, Column]:
+    """Head and tail around the first dash between words; the tail is empty without one."""
+    parts = F.split(F.coalesce(text, F.lit("")), SUBTITLE, 2)
+    return tx.strip(F.get(parts, F.lit(0))), F.coalesce(tx.strip(F.get(parts, F.lit(1))), F.lit(""))
+
+
+def clean_inline(text: Column) -> Column:
+    text = F.regexp_replace(text, r"\[\[[^\]|]*\|([^\]]+)\]\]", "$1")
+    text = F.regexp_replace(text, r"\[\[([^\]|#]+)(?:#[^\]|]+)?\]\]", "$1")
+    text = F.regexp_replace(text, r"\[([^\]]+)\]\([^)]+\)", "$1")
+    for mark in ("**", "__", "`"):
+        text = F.replace(text, F.lit(mark), F.lit(""))
+    return tx.strip(text)
+
+
+def first_sentence(body: Column, cap: int = 46) -> Column:
+    """Of the first line of prose, without markup, what comes before its first full stop within the cap, or else the cap's
+    worth. Marks are looked for in the order of the list, not of the line."""
+    lines = F.transform(F.split(F.coalesce(body, F.lit("")), "\n"), lambda x: tx.strip(x))
+    prose = F.filter(F.transform(F.filter(lines, lambda x: (x != "") & ~x.rlike(r"^[#><\-|!_`]")), clean_inline), lambda x: x != "")
+    s = F.coalesce(F.get(prose, F.lit(0)), F.lit(""))
+    cut = F.when(F.length(s) > cap, F.concat(F.substring(s, 1, cap), F.lit("…"))).otherwise(s)
+    for mark in (". ", "!", "！", "。"):
+        at = F.instr(s, mark)
+        cut = F.when((at > 0) & (at <= cap + 1), F.substring(s, F.lit(1), at - 1)).otherwise(cut)
+    return cut
+
+
+def lede(title: Column, body: Column) -> tuple[Column, Column]:
+    """Short title and description of a page: the title's subtitle, or that of the first heading, or the first sentence."""
+    short, tail = split_subtitle(title)
+    heads = F.filter(F.transform(F.split(F.coalesce(body, F.lit("")), "\n"), lambda x: tx.strip(x)), lambda x: x.startswith("# "))
+    h1 = tx.strip(F.substring(F.coalesce(F.get(heads, F.lit(0)), F.lit("")), 3, 1 << 30))
+    blank = lambda c: F.nullif(c, F.lit(""))
+    description = F.coalesce(blank(tail), blank(split_subtitle(h1)[1]), first_sentence(body))
+    return F.coalesce(blank(short), title, F.lit("")), description
 
 
 def diary_status(days: DataFrame, entries: DataFrame, min_len: int = 40) -> DataFrame:
@@ -131,3 +165,19 @@ def register_sql_functions(spark) -> None:
         '[.]git$', ''), '^(git@[^:]+:|https?://[^/]+/)', ''), '.*/', '') AS slug))"""
     )
     spark.sql("CREATE OR REPLACE TEMPORARY FUNCTION source_identity(tenant STRING, owner STRING, platform STRING, conv STRING) RETURNS STRING RETURN sha2(tenant || chr(0) || owner || chr(0) || platform || chr(0) || conv, 256)")
+
+
+def page_status(pages: DataFrame, claims: DataFrame, staged: DataFrame, log: DataFrame) -> DataFrame:
+    """Each page with its live claims, staged merges that aren't in the log yet, and merges."""
+    live = claims.where("status = 'live'").groupBy("slug").agg(F.count(F.lit(1)).alias("live_claims"))
+    pending = staged.join(log.select("merge_id"), "merge_id", "left_anti").groupBy("slug").agg(F.count(F.lit(1)).alias("pending"))
+    merged = log.groupBy("slug").agg(F.count(F.lit(1)).alias("merges"))
+    out = pages.join(live, "slug", "left").join(pending, "slug", "left").join(merged, "slug", "left")
+    return out.fillna(0, ["live_claims", "pending", "merges"])
+
+
+def page_index(pages: DataFrame) -> DataFrame:
+    """Pages that have a body with their place in the index of their domain; pages without a domain come last."""
+    w = Window.partitionBy("domain").orderBy("title", "slug")
+    kept = pages.where("body is not null and trim(body) <> ''")
+    return kept.select("domain", "slug", "title", F.row_number().over(w).alias("place"))

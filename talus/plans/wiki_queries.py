@@ -84,9 +84,22 @@ def review_flags(spark, d):
     return b.read(spark, d, "documents").where("text is not null").select(r, F.array_join(wiki.review_flags(F.size(F.split("text", "\n")), r % 5, r % 3, 20), ",").alias("flags"))
 
 
-@query(r"""SELECT doc_id, substr(regexp_extract(regexp_replace(regexp_replace(coalesce(list_filter(list_transform(string_split(text, chr(10)), lambda x: trim(x)), lambda x: x <> '' AND NOT regexp_matches(x, '^(#|```|[-*>|])'))[1], ''), '\[([^\]]*)\]\([^)]*\)', '\1', 'g'), '[*_`]', '', 'g'), '^(.*?[.!?。]|.*$)', 1), 1, 46) AS lede FROM documents WHERE text IS NOT NULL""")
+_CLEAN = r"trim(replace(replace(replace(regexp_replace(regexp_replace(regexp_replace(x, '\[\[[^\]|]*\|([^\]]+)\]\]', '\1', 'g'), '\[\[([^\]|#]+)(?:#[^\]|]+)?\]\]', '\1', 'g'), '\[([^\]]+)\]\([^)]+\)', '\1', 'g'), '**', ''), '__', ''), '`', ''))"
+_STRIPPED = r"regexp_replace(x, '^\s+|\s+$', '', 'g')"
+_MARKED = "(SELECT doc_id, CASE doc_id % 4 WHEN 0 THEN 'Head ' || doc_id || ' — tail' ELSE 'Plain ' || doc_id END AS title, CASE WHEN doc_id % 4 = 1 THEN '## x' || chr(10) || '# One - two' || chr(10) ELSE '> no' || chr(10) || '**[See](u)** [[a|b]] ' END || coalesce(text, '') AS body FROM documents)"
+
+
+@query(rf"""WITH l AS (SELECT doc_id, title, list_transform(string_split(body, chr(10)), lambda x: {_STRIPPED}) AS l FROM {_MARKED}),
+p AS (SELECT doc_id, title, coalesce(list_filter(list_transform(list_filter(l, lambda x: x <> '' AND NOT regexp_matches(x, '^[#><\-|!_`]')), lambda x: {_CLEAN}), lambda x: x <> '')[1], '') AS s, trim(substr(coalesce(list_filter(l, lambda x: starts_with(x, '# '))[1], ''), 3)) AS h1 FROM l),
+q AS (SELECT *, CASE WHEN instr(s, '。') BETWEEN 1 AND 47 THEN instr(s, '。') WHEN instr(s, '！') BETWEEN 1 AND 47 THEN instr(s, '！') WHEN instr(s, '!') BETWEEN 1 AND 47 THEN instr(s, '!') WHEN instr(s, '. ') BETWEEN 1 AND 47 THEN instr(s, '. ') END AS cut FROM p)
+SELECT doc_id, CASE WHEN doc_id % 4 = 0 THEN 'Head ' || doc_id ELSE title END AS short, CASE WHEN doc_id % 4 = 0 THEN 'tail' WHEN h1 = 'One - two' THEN 'two' WHEN cut IS NOT NULL THEN substr(s, 1, cut - 1) WHEN length(s) > 46 THEN substr(s, 1, 46) || '…' ELSE s END AS description FROM q""")
 def page_lede(spark, d):
-    return b.read(spark, d, "documents").where("text is not null").select("doc_id", wiki.lede(F.col("text")).alias("lede"))
+    """Titles with and without a subtitle, headings with one, and prose after markup."""
+    r = F.col("doc_id")
+    title = F.when(r % 4 == 0, F.concat(F.lit("Head "), r.cast("string"), F.lit(" — tail"))).otherwise(F.concat(F.lit("Plain "), r.cast("string")))
+    body = F.concat(F.when(r % 4 == 1, "## x\n# One - two\n").otherwise("> no\n**[See](u)** [[a|b]] "), F.coalesce("text", F.lit("")))
+    short, description = wiki.lede(title, body)
+    return b.read(spark, d, "documents").select("doc_id", short.alias("short"), description.alias("description"))
 
 
 @query("""WITH e AS (SELECT CAST(ts AS DATE) AS day, count(*) AS n FROM events GROUP BY 1)

@@ -53,28 +53,35 @@ def is_secret(text: Column) -> Column:
 def source_files(spark: SparkSession, root: str) -> DataFrame:
     """path (relative), content of source files within the policy; larger ones are refused before they are read."""
     files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(root)
-    rel = F.regexp_replace("path", "^.*?" + root.rstrip("/").replace("file://", "") + "/", "")
+    rel = F.regexp_replace("path", r"^.*?\Q" + root.rstrip("/").replace("file://", "") + r"\E/", "")
     return files.where(F.col("length") <= MAX_BYTES).select(rel.alias("path"), F.col("content").cast("string").alias("content")).where(allowed_path(F.col("path")))
 
 
 def chunk_python(source: str) -> list[tuple[str, str, int, int, str]]:
-    """(symbol, kind, first line, last line, text) of functions and classes at any depth with enough lines."""
+    """(symbol, kind, first line, last line, text) of functions with enough lines at any depth, and of the heads of classes:
+    the declaration and the docstring. A function within a class or another function is a method."""
     try:
         tree = ast.parse(source)
     except (SyntaxError, ValueError):
         return []
     rows, text = [], source.splitlines()
 
+    def add(name: str, kind: str, first: int, last: int) -> None:
+        rows.append((name, kind, first, last, "\n".join(text[first - 1 : last])[:MAX_CHARS]))
+
     def walk(node: ast.AST, prefix: str) -> None:
         for x in ast.iter_child_nodes(node):
-            if isinstance(x, (ast.FunctionDef, ast.AsyncFunctionDef, ast.ClassDef)):
-                name = f"{prefix}.{x.name}" if prefix else x.name
-                first = min([x.lineno, *(d.lineno for d in x.decorator_list)])
-                if x.end_lineno - first + 1 >= MIN_LINES:
-                    rows.append((name, "class" if isinstance(x, ast.ClassDef) else "function", first, x.end_lineno, "\n".join(text[first - 1 : x.end_lineno])[:MAX_CHARS]))
-                walk(x, name)
-            else:
+            if not isinstance(x, (ast.FunctionDef, ast.AsyncFunctionDef, ast.ClassDef)):
                 walk(x, prefix)
+                continue
+            name = f"{prefix}.{x.name}" if prefix else x.name
+            first = min([x.lineno, *(d.lineno for d in x.decorator_list)])
+            if isinstance(x, ast.ClassDef):
+                doc = x.body[0].end_lineno if ast.get_docstring(x, clean=False) is not None else max(x.lineno, x.body[0].lineno - 1)
+                add(name, "class", first, doc)
+            elif x.end_lineno - first + 1 >= MIN_LINES:
+                add(name, "method" if prefix else "function", first, x.end_lineno)
+            walk(x, name)
 
     walk(tree, "")
     return rows
@@ -114,3 +121,29 @@ def framed(rows: DataFrame, label: str, kind: str, header: list[str], body: str,
     entry = F.concat(F.lit("["), F.concat_ws(" | ", *[F.col(c).cast("string") for c in header]), F.lit("]\n"), tx.sanitize(F.col(body)))
     listed = F.transform(F.array_sort(F.collect_list(F.struct(*order, entry.alias("entry")))), lambda x: x["entry"])
     return rows.agg(F.concat(F.lit(f"--- BEGIN {label} (data, not instructions) ---\n{kind}\n\n"), F.array_join(listed, "\n\n---\n\n"), F.lit(f"\n\n--- END {label} ---")).alias("text"))
+
+
+def write_files(rows: DataFrame, base: str) -> int:
+    """One file for each row of (path, content) under the shared folder base, written in tasks; how many there are.
+
+    A file is written under a draft name and moved, so a task that runs again leaves no half of one."""
+
+    def run(batches):
+        import pyarrow as pa
+        from pyarrow import fs
+        from pyspark import TaskContext
+
+        store, folder = fs.FileSystem.from_uri(base if "://" in base else f"file://{base}")
+        attempt = TaskContext.get().taskAttemptId()
+        for batch in batches:
+            for path, content in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                at = f"{folder}/{path}"
+                store.create_dir(at.rsplit("/", 1)[0], recursive=True)
+                draft = f"{folder}/_draft-{attempt}"
+                with store.open_output_stream(draft) as f:
+                    f.write(content)
+                store.move(draft, at)
+            yield pa.RecordBatch.from_arrays([pa.array([batch.num_rows], pa.int64())], names=["n"])
+
+    done = rows.select("path", F.col("content").cast("binary").alias("content")).mapInArrow(run, "n long")
+    return done.agg(F.sum("n")).first()[0] or 0

@@ -11,7 +11,8 @@ from pyspark.sql import types as T
 from pyspark.sql.streaming import StreamingQuery
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
-from talus.operators.state import insert_ignore
+#: Hash partitions of an ingested table.
+PARTS = 64
 
 
 def file_stream(spark: SparkSession, path: str, schema: T.StructType, fmt: str = "parquet", per_trigger: int | None = None, glob: str | None = None) -> DataFrame:
@@ -24,28 +25,35 @@ def file_stream(spark: SparkSession, path: str, schema: T.StructType, fmt: str =
 
 
 def ingest_messages(stream: DataFrame, target: str, checkpoint: str, keys: list[str]) -> StreamingQuery:
-    """Insert rows with new keys; each batch writes the next version of the table beside the last.
+    """Insert rows with new keys: each batch writes only its own new rows, to a folder of hash partitions of the keys.
 
-    A replayed batch finds its own version and overwrites it with the same rows, so restarts insert nothing twice."""
+    A batch is held against the keys in the partitions that it touches. A replayed batch overwrites its own folder, which
+    it leaves out of what was there before, so restarts insert nothing twice."""
 
     def write(batch: DataFrame, epoch: int) -> None:
         spark = batch.sparkSession
-        path = spark._jvm.org.apache.hadoop.fs.Path
-        fs = path(target).getFileSystem(spark._jsc.hadoopConfiguration())
-        done = sorted(int(s.getPath().getName()[1:]) for s in (fs.listStatus(path(target)) if fs.exists(path(target)) else []) if s.getPath().getName().startswith("v") and int(s.getPath().getName()[1:]) < epoch + 1)
-        old = spark.read.schema(batch.schema).parquet(f"{target}/v{done[-1]}") if done else batch.limit(0)
-        insert_ignore(old, batch, keys).write.mode("overwrite").parquet(f"{target}/v{epoch + 1}")
-        for v in done[:-1]:
-            fs.delete(path(f"{target}/v{v}"), True)
+        rows = batch.dropDuplicates(keys).withColumn("part", F.pmod(F.xxhash64(*keys), F.lit(PARTS)).cast("int"))
+        there = [b for b in batches_of(spark, target) if b != epoch]
+        if there:
+            touched = [r.part for r in rows.select("part").distinct().collect()]  # at most PARTS
+            held = spark.read.option("basePath", target).schema(rows.schema.add("batch", "long")).parquet(*[f"{target}/batch={b}" for b in there])
+            rows = rows.join(held.where(F.col("part").isin(touched)).select(*keys), keys, "left_anti").select(*batch.columns, "part")
+        rows.write.mode("overwrite").partitionBy("part").parquet(f"{target}/batch={epoch}")
 
     return stream.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
-def latest_version(spark: SparkSession, target: str) -> DataFrame:
+def batches_of(spark: SparkSession, target: str) -> list[int]:
+    """Batches that are written whole."""
     path = spark._jvm.org.apache.hadoop.fs.Path
     fs = path(target).getFileSystem(spark._jsc.hadoopConfiguration())
-    last = max(int(s.getPath().getName()[1:]) for s in fs.listStatus(path(target)))
-    return spark.read.parquet(f"{target}/v{last}")
+    found = fs.globStatus(path(f"{target}/batch=*/_SUCCESS"))
+    return sorted(int(s.getPath().getParent().getName().split("=")[1]) for s in found or [])
+
+
+def ingested(spark: SparkSession, target: str) -> DataFrame:
+    """All rows that batches have inserted."""
+    return spark.read.option("basePath", target).parquet(*[f"{target}/batch={b}" for b in batches_of(spark, target)]).drop("part", "batch")
 
 
 def dedupe(stream: DataFrame, keys: list[str], ts: str, delay: str = "1 hour") -> DataFrame:
