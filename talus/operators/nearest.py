@@ -1,6 +1,7 @@
 """Nearest vectors by blocks: numpy products inside tasks, partial top-k per block, one final ranking.
 
-No pairs leave a task but each block's best, and no side is broadcast beyond a block of fixed size."""
+No pairs leave a task but each block's best. Queries lie in blocks in the shared folder, where the tasks read them: none
+goes through the driver, nothing is broadcast, and the items are scanned once."""
 
 from __future__ import annotations
 
@@ -8,10 +9,11 @@ import numpy as np
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from talus.scratch import fresh, retire
 from talus.session import ship
 
-#: Query vectors that are broadcast at once, and members of a group that meet in one block.
-QUERY_BLOCK, GROUP_BLOCK = 4096, 1024
+#: Query vectors of a block, items that a task holds at once, and members of a group that meet in one block.
+QUERY_BLOCK, ITEM_CHUNK, GROUP_BLOCK = 4096, 100_000, 1024
 
 
 def _matrix(rows) -> np.ndarray:
@@ -36,41 +38,45 @@ def nearest_to_queries(queries: DataFrame, items: DataFrame, query_id: str, quer
     ship(spark)
     own = differ or (None, None)
     rows = items.where(F.col(item_vec).isNotNull()).select(F.col(item_id).alias("i"), F.col(item_vec).alias("v"), (F.col(own[1]).cast("string") if own[1] else F.lit(None).cast("string")).alias("g"))
-    asked = queries.where(F.col(query_vec).isNotNull()).select(F.col(query_id).alias("q"), F.col(query_vec).alias("v"), (F.col(own[0]).cast("string") if own[0] else F.lit(None).cast("string")).alias("g")).orderBy("q")
-    schema = rows.select(F.col("i").alias("item"), F.lit(0.0).alias("sim")).schema
-    kinds = f"q {asked.schema['q'].dataType.simpleString()}, item {schema['item'].dataType.simpleString()}, sim double"
-
-    def search(shared):
-        def run(batches):
-            import pyarrow as pa
-
-            ids, matrix, groups = shared.value
-            for batch in batches:
-                if not batch.num_rows:
-                    continue
-                sim = matrix @ _matrix(batch.column(1).to_pylist()).T
-                if own[0]:
-                    sim[np.array(groups, dtype=object)[:, None] == np.array(batch.column(2).to_pylist(), dtype=object)[None, :]] = -np.inf
-                r, c = _best(sim, k)
-                yield pa.RecordBatch.from_arrays([pa.array([ids[x] for x in r], pa.from_numpy_dtype(np.int64) if isinstance(ids[0], int) else None), batch.column(0).take(pa.array(c)), pa.array(sim[r, c], pa.float64())], names=["q", "item", "sim"])
-
-        return run
-
-    out, block = None, []
-
-    def close(block):
-        shared = spark.sparkContext.broadcast(([r.q for r in block], _matrix([r.v for r in block]), [r.g for r in block]))
-        found = rows.mapInArrow(search(shared), kinds)
-        return found if out is None else out.unionByName(found)
-
-    for row in asked.toLocalIterator():
-        block.append(row)
-        if len(block) == QUERY_BLOCK:
-            out, block = close(block), []
-    if block:
-        out = close(block)
-    if out is None:
-        out = spark.createDataFrame([], kinds)
+    asked = queries.where(F.col(query_vec).isNotNull()).select(F.col(query_id).alias("q"), F.col(query_vec).cast("array<double>").alias("v"), (F.col(own[0]).cast("string") if own[0] else F.lit(None).cast("string")).alias("g"))
+    kinds = f"q {asked.schema['q'].dataType.simpleString()}, item {rows.schema['i'].dataType.simpleString()}, sim double"
+    at = fresh(spark, "queries")
+    asked.write.option("maxRecordsPerFile", QUERY_BLOCK).parquet(at)
+    retire(spark, at)
+
+    def search(batches):
+        import pyarrow as pa
+        import pyarrow.parquet as pq
+        from pyarrow import fs
+
+        store, folder = fs.FileSystem.from_uri(at)
+        blocks = sorted(f.path for f in store.get_file_info(fs.FileSelector(folder)) if f.path.endswith(".parquet"))
+
+        def best(held):
+            ids = pa.concat_arrays([b.column(0) for b in held])
+            matrix, groups = _matrix([x for b in held for x in b.column(1).to_pylist()]), np.array([x for b in held for x in b.column(2).to_pylist()], dtype=object)
+            for path in blocks:
+                for t in pq.ParquetFile(path, filesystem=store).iter_batches(QUERY_BLOCK):
+                    for lo in range(0, t.num_rows, 256):
+                        part = t.slice(lo, 256)
+                        sim = _matrix(part.column(1).to_pylist()) @ matrix.T
+                        if own[0]:
+                            sim[np.array(part.column(2).to_pylist(), dtype=object)[:, None] == groups[None, :]] = -np.inf
+                        r, c = _best(sim, k)
+                        yield pa.RecordBatch.from_arrays([part.column(0).take(pa.array(r)), ids.take(pa.array(c)), pa.array(sim[r, c], pa.float64())], names=["q", "item", "sim"])
+
+        held, n = [], 0
+        for batch in batches:
+            if batch.num_rows:
+                held.append(batch)
+                n += batch.num_rows
+            if n >= ITEM_CHUNK:
+                yield from best(held)
+                held, n = [], 0
+        if held:
+            yield from best(held)
+
+    out = rows.mapInArrow(search, kinds)
     rank = F.row_number().over(Window.partitionBy("q").orderBy(F.desc("sim"), "item"))
     return out.withColumn("rank", rank).where(F.col("rank") <= k).select(F.col("q").alias(query_id), F.col("item").alias(item_id), "sim", "rank")
 
@@ -82,7 +88,7 @@ def nearest_in_group(rows: DataFrame, group: list[str], id_col: str, vec_col: st
     ship(rows.sparkSession)
     base = rows.where(F.col(vec_col).isNotNull()).select(*group, F.col(id_col).cast("long").alias("i"), F.col(vec_col).cast("array<double>").alias("v"), (F.col(skip) if skip else F.array()).cast("array<bigint>").alias("s"))
     sizes = base.groupBy(*group).agg(F.ceil(F.count(F.lit(1)) / GROUP_BLOCK).cast("int").alias("blocks"))
-    dealt = base.join(sizes, group).withColumn("block", F.pmod(F.xxhash64("i"), F.col("blocks")).cast("int")).withColumn("unit", F.xxhash64(*group))
+    dealt = base.join(sizes, group).withColumn("block", F.pmod(F.xxhash64("i"), F.col("blocks")).cast("int")).withColumn("unit", F.struct(*group))
     every = F.sequence(F.lit(0), F.col("blocks") - 1)
     asks = dealt.select("unit", F.col("block").alias("x"), F.explode(every).alias("y"), F.lit(0).alias("side"), "i", "v", "s")
     gives = dealt.select("unit", F.explode(every).alias("x"), F.col("block").alias("y"), F.lit(1).alias("side"), "i", "v", "s")
@@ -106,7 +112,9 @@ def nearest_in_group(rows: DataFrame, group: list[str], id_col: str, vec_col: st
     def run(batches):
         now, held = None, []
         for batch in batches:
-            for row in zip(*(batch.column(n).to_pylist() for n in range(7)), strict=True):
+            columns = [batch.column(n).to_pylist() for n in range(7)]
+            columns[0] = [tuple(x.values()) for x in columns[0]]
+            for row in zip(*columns, strict=True):
                 if row[:3] != now:
                     if held:
                         yield close(held)

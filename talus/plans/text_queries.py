@@ -183,13 +183,14 @@ def constraint_violations(spark, d):
     return sc.violations(t, sc.conversation_rules()).select("conv_id", "violation")
 
 
-@query("SELECT doc_id, date_part('year', t)::BIGINT AS y, epoch_us(t) AS us FROM (SELECT doc_id, TIMESTAMP '2024-01-01' + to_seconds(doc_id * 61) AS t FROM documents)")
+@query("SELECT event_id, date_part('year', ts)::BIGINT AS y, CASE WHEN event_id % 20 <> 0 THEN CAST(floor(epoch(ts)) AS BIGINT) * 1000000 END AS us, CAST(floor(epoch(ts)) AS BIGINT) * 1000000 AS from_seconds FROM events")
 def iso_times(spark, d):
     from talus.functions.times import from_epoch, parse_iso
 
-    e = from_epoch(F.lit(1704067200) + F.col("doc_id") * 61)
-    t = parse_iso(F.date_format(e, "yyyy-MM-dd'T'HH:mm:ss'Z'"))
-    return b.read(spark, d, "documents").select("doc_id", F.year(t).cast("long").alias("y"), F.unix_micros(t).alias("us"))
+    e = b.read(spark, d, "events")
+    iso = F.when(F.col("event_id") % 20 == 0, "no time").otherwise(F.date_format("ts", "yyyy-MM-dd'T'HH:mm:ss'Z'"))
+    whole = F.floor(F.unix_micros(F.col("ts").cast("timestamp")) / 1_000_000)
+    return e.select("event_id", F.year("ts").cast("long").alias("y"), F.unix_micros(parse_iso(iso)).alias("us"), F.unix_micros(from_epoch(whole)).alias("from_seconds"))
 
 
 @query("""SELECT n_name, count(DISTINCT c_custkey) AS customers, count(o_orderkey) AS orders, round(sum(coalesce(o_totalprice, 0)), 2) AS total FROM nation JOIN customer ON c_nationkey = n_nationkey LEFT JOIN orders ON o_custkey = c_custkey GROUP BY n_name""")

@@ -156,12 +156,12 @@ def sql_functions(spark, d):
 
 
 
-@query("""SELECT 'p' || doc_id AS slug, 'see ' || CASE WHEN doc_id * 3 % 700 IN (SELECT doc_id FROM documents WHERE doc_id % 2 = 0) THEN '[T' || (doc_id * 3 % 700) || '](/p' || (doc_id * 3 % 700) || ')' ELSE 'p' || (doc_id * 3 % 700) END || ' and ' ||
+@query("""SELECT 'p' || doc_id AS slug, coalesce(text, '') || chr(10) || 'see ' || CASE WHEN doc_id * 3 % 700 IN (SELECT doc_id FROM documents WHERE doc_id % 2 = 0) THEN '[T' || (doc_id * 3 % 700) || '](/p' || (doc_id * 3 % 700) || ')' ELSE 'p' || (doc_id * 3 % 700) END || ' and ' ||
 CASE WHEN doc_id % 2 = 0 THEN '[here](/p' || doc_id || '#top)' ELSE 'here' END || ' `[[p1]]`' || chr(10) || '```' || chr(10) || '[[p2]]' || chr(10) || '```' || chr(10) || 'none [x]' AS body FROM documents""")
 def page_links(spark, d):
     """Links become titled links where there is a page; code keeps its brackets."""
-    s = b.read(spark, d, "documents").select(F.col("doc_id").alias("i"))
-    text = F.concat(F.lit("see [[p"), (F.col("i") * 3 % 700).cast("string"), F.lit("]] and [[p"), F.col("i").cast("string"), F.lit("#top|here]] `[[p1]]`\n```\n[[p2]]\n```\n[[none]] [x]"))
+    s = b.read(spark, d, "documents").select(F.col("doc_id").alias("i"), F.coalesce("text", F.lit("")).alias("t"))
+    text = F.concat("t", F.lit("\nsee [[p"), (F.col("i") * 3 % 700).cast("string"), F.lit("]] and [[p"), F.col("i").cast("string"), F.lit("#top|here]] `[[p1]]`\n```\n[[p2]]\n```\n[[none]] [x]"))
     slug = F.concat(F.lit("p"), F.col("i").cast("string"))
     return markup.link_pages(s.select(slug.alias("slug"), text.alias("body")), s.where("i % 2 = 0").select(slug.alias("slug"), F.concat(F.lit("T"), F.col("i").cast("string")).alias("title")))
 
@@ -177,6 +177,6 @@ def claims_input(spark, d):
 def code_references(spark, d):
     r = F.col("doc_id")
     name = F.concat(F.lit("fn"), r.cast("string"))
-    code = F.when(r % 4 == 0, F.concat(F.lit("x = 1\nfrom pkg.mod"), r.cast("string"), F.lit(" import y"))).when(r % 4 == 1, F.concat(F.lit("import {a} from './mod"), r.cast("string"), F.lit("'"))).when(r % 4 == 2, F.concat(F.lit("y = "), name, F.lit("(2)"))).otherwise(F.concat(F.lit("def "), name, F.lit("(x):\n  pass")))
+    code = F.concat(F.coalesce("text", F.lit("")), F.lit("\n"), F.when(r % 4 == 0, F.concat(F.lit("x = 1\nfrom pkg.mod"), r.cast("string"), F.lit(" import y"))).when(r % 4 == 1, F.concat(F.lit("import {a} from './mod"), r.cast("string"), F.lit("'"))).when(r % 4 == 2, F.concat(F.lit("y = "), name, F.lit("(2)"))).otherwise(F.concat(F.lit("def "), name, F.lit("(x):\n  pass"))))
     new = F.when(r % 3 == 0, F.concat(F.lit("A."), name)).otherwise("other")
     return b.read(spark, d, "documents").select("doc_id", markup.has_reference(code, F.concat(F.lit("src/mod"), r.cast("string"), F.lit(".py")), F.concat(F.lit("K."), name), new).alias("referenced"))

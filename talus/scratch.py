@@ -36,8 +36,12 @@ def retire(spark: SparkSession, *paths: str) -> None:
     sc._talus_retired = [*getattr(sc, "_talus_retired", []), *paths]
 
 
-def sweep(spark: SparkSession) -> None:
-    """Delete the scratch tables of results that are written or used by now."""
-    sc = spark.sparkContext
-    discard(spark, *getattr(sc, "_talus_retired", []))
-    sc._talus_retired = []
+def retired(spark: SparkSession) -> list[str]:
+    return list(getattr(spark.sparkContext, "_talus_retired", []))
+
+
+def sweep(spark: SparkSession, keep: list[str] | None = None) -> None:
+    """Delete the scratch tables of results that are written or used by now, but for those to keep."""
+    held = set(keep or ())
+    discard(spark, *[p for p in retired(spark) if p not in held])
+    spark.sparkContext._talus_retired = [p for p in retired(spark) if p in held]
