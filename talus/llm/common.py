@@ -2,14 +2,13 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from talus.session import ship  # noqa: F401  (operators take it from here)
+from talus.scratch import discard, retire, retired, shared_dir, sweep  # noqa: F401  (operators take them from here)
+from talus.scratch import fresh as fresh_path
+from talus.session import ship  # noqa: F401
 
 #: Sides of a join up to this many bytes (rows x row width, counted first) are broadcast.
 BROADCAST_BYTES = 32 << 20
@@ -19,20 +18,6 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or a new local one where it is unset."""
-    at = spark.conf.get("spark.checkpoint.dir", None) or getattr(spark.sparkContext, "_talus_shared", None)
-    if not at:
-        if not spark.sparkContext.master.startswith("local"):
-            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
-        at = spark.sparkContext._talus_shared = f"file://{tempfile.mkdtemp(prefix='talus-shared-')}"
-    return at.rstrip("/")
-
-
-def fresh_path(spark: SparkSession, what: str) -> str:
-    return f"{shared_dir(spark)}/talus/{what}-{uuid.uuid4().hex}"
-
-
 def materialize(df: DataFrame, what: str) -> tuple[DataFrame, str]:
     """Write df as Parquet in the shared folder and read it back: later stages don't depend on lost executors."""
     at = fresh_path(df.sparkSession, what)
@@ -40,27 +25,6 @@ def materialize(df: DataFrame, what: str) -> tuple[DataFrame, str]:
     return df.sparkSession.read.schema(df.schema).parquet(at), at
 
 
-def discard(spark: SparkSession, *paths: str) -> None:
-    """Delete scratch tables that nothing reads any more."""
-    jvm = spark._jvm
-    for at in paths:
-        p = jvm.org.apache.hadoop.fs.Path(at)
-        p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
-
-
-def retire(spark: SparkSession, *paths: str) -> None:
-    """Scratch tables that a result still reads; sweep deletes them."""
-    sc = spark.sparkContext
-    sc._talus_retired = [*getattr(sc, "_talus_retired", []), *paths]
-
-
-def sweep(spark: SparkSession) -> None:
-    """Delete the scratch tables of results that are written or used by now."""
-    sc = spark.sparkContext
-    discard(spark, *getattr(sc, "_talus_retired", []))
-    sc._talus_retired = []
-
-
 def bucket_of_id(doc_id: Column, m: int) -> Column:
     """crc32 of the id as text, mod m; null for a null id."""
     return F.crc32(doc_id.cast("string").cast("binary")) % m
