@@ -133,7 +133,7 @@ def redacted_brief(text: Column, n: int = 120) -> Column:
 
 #: Letters whose case folding isn't their lower case; those that fold to one letter, and to several.
 FOLD_ONE = {"ς": "σ", "ſ": "s", "µ": "μ", "ϐ": "β", "ϑ": "θ", "ϕ": "φ", "ϖ": "π", "ϰ": "κ", "ϱ": "ρ", "ϵ": "ε", "ẛ": "ṡ", "\u1fbe": "ι", "\u0345": "ι"}
-FOLD_MORE = {"ß": "ss", "ŉ": "ʼn", "ǰ": "ǰ", "ΐ": "ΐ", "ΰ": "ΰ", "և": "եւ", "ẖ": "ẖ", "ẗ": "ẗ", "ẘ": "ẘ", "ẙ": "ẙ", "ẚ": "aʾ", "ﬀ": "ff", "ﬁ": "fi", "ﬂ": "fl", "ﬃ": "ffi", "ﬄ": "ffl", "ﬅ": "st", "ﬆ": "st"}
+FOLD_MORE = {"ß": "ss", "ŉ": "ʼn", "ǰ": "j\u030c", "ΐ": "ι\u0308\u0301", "ΰ": "υ\u0308\u0301", "և": "եւ", "ẖ": "h\u0331", "ẗ": "t\u0308", "ẘ": "w\u030a", "ẙ": "y\u030a", "ẚ": "aʾ", "ﬀ": "ff", "ﬁ": "fi", "ﬂ": "fl", "ﬃ": "ffi", "ﬄ": "ffl", "ﬅ": "st", "ﬆ": "st"}
 
 
 def fold_case(text: Column) -> Column:

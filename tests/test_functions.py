@@ -92,3 +92,37 @@ def word_similarity_brute(query: str, text: str) -> float:
 @pytest.mark.parametrize("text", ["a thing of thy kind", "nothing", "sending thinner things nding", "", "xyz"])
 def test_word_similarity_equals_brute_force(spark, text):
     assert one(spark, lexical.word_similarity("t", "thing nding"), t=text) == pytest.approx(word_similarity_brute("thing nding", text))
+
+
+def test_case_folding(spark):
+
+    texts = ["Straße GROẞ", "ΣΑΣ ςα", "ﬁn ﬄ ﬆ", "ſt µ ϑ", "İı ŉ ǰ", "plain"]
+    got = [r.x for r in spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i int, t string").orderBy("i").select(tx.fold_case(F.col("t")).alias("x")).collect()]
+    assert got == [t.casefold() for t in texts]
+
+
+def test_half_precision_equals_numpy(spark):
+    import numpy as np
+
+
+    r = np.random.default_rng(4)
+    x = np.concatenate([r.standard_normal(300), r.standard_normal(100) * 1e-6, r.standard_normal(50) * 3e4, [0.0, 1.0, 2.0**-24, 2.0**-25, 65504.0, 65519.0, 65520.0, 1e9, -(2.0**-14)], 2.0 ** np.arange(-20, 15), np.nextafter(2.0 ** np.arange(-20, 15), 0)])
+    got = spark.createDataFrame([(x.tolist(),)], "v array<double>").select(vectors.half_precision("v").alias("h")).first().h
+    with np.errstate(over="ignore"):
+        assert np.array_equal(np.array(got), x.astype(np.float16).astype(np.float64))
+
+
+def test_credential_hint_covers_every_kind(spark):
+    from talus.plans.text_queries import PLANTED
+
+    rows = spark.createDataFrame([(i, f"before {t} after") for i, t in enumerate(PLANTED)], "i int, t string")
+    got = rows.select("i", tx.scrub(F.col("t")).alias("s"), tx.has_credential(F.col("t")).alias("has")).orderBy("i").collect()
+    assert all(r.has and f"[REDACTED:{kind}]" in r.s for r, (kind, *_) in zip(got, tx.CREDENTIALS, strict=True))
+
+
+def test_lede(spark):
+    from talus.operators import wiki
+
+    rows = [("Head — Tail", "x"), ("T", "# H1 - sub\nprose"), ("T", "> quote\n- item\n**Bold** [[a|b]] [t](u). More text here."), ("T", None), (None, "x" * 60), ("T", "Yes! And. 後。")]
+    df = spark.createDataFrame(rows, "t string, b string")
+    assert [tuple(r) for r in df.select(*wiki.lede(F.col("t"), F.col("b"))).collect()] == [("Head", "Tail"), ("T", "sub"), ("T", "Bold b t"), ("T", ""), ("", "x" * 46 + "…"), ("T", "Yes! And. 後")]

@@ -101,7 +101,7 @@ def test_source_files_and_chunks(spark, tmp_path):
     put(tmp_path / "pkg" / "key.py", "def k():\n    a = 'sk-ant-x'\n    b = 1\n    return a\n")
     src = files.source_files(spark, str(tmp_path))
     assert sorted(r.path for r in src.collect()) == ["pkg/key.py", "pkg/m.py"]
-    assert sorted(r.symbol for r in files.code_chunks(src).collect()) == ["a", "a.b"]
+    assert sorted((r.symbol, r.kind) for r in files.code_chunks(src).collect()) == [("a", "function"), ("a.b", "method")]
 
 
 def test_sinks(spark, tmp_path):

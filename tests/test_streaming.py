@@ -53,3 +53,23 @@ def test_upsert_and_purge_guards(spark):
     for slug, reason in (("__x__", "r"), ("p", " "), (None, "r")):
         with pytest.raises(ValueError):
             state.purge_counts(slug, reason, old, old, old)
+
+
+def test_backfill_goes_on_where_it_ended(spark, tmp_path):
+    rows, out, seen = spark.range(0, 100).withColumnRenamed("id", "k"), f"file://{tmp_path}/fill", []
+    double = lambda df: (seen.append(1), df.withColumn("v", F.col("k") * 2))[1]
+    _, beats = state.backfill(rows, double, "k", out, 4, stop_after=3)
+    got, rest = state.backfill(rows, double, "k", out, 4)
+    assert len(beats) == 3 and len(rest) == 1 and len(seen) == 4
+    assert {(r.k, r.v) for r in got.collect()} == {(k, 2 * k) for k in range(100)}
+    assert state.residual(got, F.col("v").isNull()).first().residual == 0
+
+
+def test_ingest_replays_a_batch(spark, tmp_path):
+    """A batch that is written again leaves the table as it was."""
+    src, out = str(tmp_path / "in"), f"file://{tmp_path}/out"
+    df = spark.createDataFrame([(1, "a"), (2, "b"), (2, "b")], "k long, v string")
+    df.write.parquet(src)
+    for n in range(2):  # a lost checkpoint replays batch 0
+        inc.ingest_messages(inc.file_stream(spark, src, df.schema), out, f"{tmp_path}/cp{n}", ["k"]).awaitTermination()
+    assert sorted(map(tuple, inc.ingested(spark, out).collect())) == [(1, "a"), (2, "b")]
