@@ -17,9 +17,9 @@ from .common import bytes_of, components, discard, least_neighbours, materialize
 #: 90 permutations give 180 values: 30 bands of 6. A pair at similarity 0.85 is in no common band with
 #: probability (1 - 0.85**6)**30 < 7e-7, at 0.8 below 1.3e-4.
 PERMUTATIONS, BAND_ROWS = 90, 6
-#: Signatures that agree in a share of values this much below the threshold make a family. Of 90 independent permutations
-#: that is over five standard errors.
-MARGIN = 0.22
+#: Signatures that agree in a share of values this much below the threshold make a family. Minimum and maximum of one
+#: permutation agree with a correlation below zero, so that is 4.7 standard errors of 180 values at 0.8, and 5.2 at 0.85.
+MARGIN = 0.14
 #: Documents of a family, and signatures of a bucket, that meet in one block.
 BLOCK, SIGNATURE_BLOCK = 256, 512
 _CHUNK = 1 << 16
@@ -181,10 +181,10 @@ def _linked(near, prepare):
     return run
 
 
-def link_groups(members: DataFrame, payload: DataFrame, near, prepare, block: int, what: str) -> tuple[DataFrame, list[str]]:
+def link_groups(members: DataFrame, payload, near, prepare, block: int, what: str) -> tuple[DataFrame, list[str]]:
     """Links (a, b) that span the components which near forms within groups, and scratch tables to discard.
 
-    members: grp, id; payload: id, payload. A group's members are dealt to blocks. Each block meets the group's pivot;
+    members: grp, id; payload gives (id, payload) rows joined to those of a frame with an id. A group's members are dealt to blocks. Each block meets the group's pivot;
     members that reach it there are in one component and needn't be compared any more. The others meet all blocks, so
     that no pair of different components is left out. A group of near copies costs as much as its members; one without links, as its pairs."""
     unit = ["grp", "u1", "u2"]
@@ -196,7 +196,7 @@ def link_groups(members: DataFrame, payload: DataFrame, near, prepare, block: in
     def compared(rows: DataFrame) -> tuple[DataFrame, str]:
         n = rows.count()
         rows = F.broadcast(rows) if small_enough(n, 60) else rows
-        full = payload.join(rows, "id").select(*unit, "side", "blocks", "id", "payload")
+        full = payload(rows).select(*unit, "side", "blocks", "id", "payload")
         return materialize(full.repartition(*unit).sortWithinPartitions(*unit).mapInArrow(_linked(near, prepare), schema), what)
 
     every = F.sequence(F.lit(0), F.col("blocks") - 1)
@@ -235,14 +235,23 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     buckets = member.groupBy("grp").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("grp")
     shared, shared_path = materialize(member.join(buckets, "grp").select("grp", F.col("rep").alias("id")), "minmax-buckets")
     least = int(np.ceil(2 * PERMUTATIONS * (percent / 100 - MARGIN)))
-    alike, alike_paths = link_groups(shared.distinct(), classes.select(F.col("rep").alias("id"), F.col("short").alias("payload")), lambda rows: near_signatures(rows, least), bytes, SIGNATURE_BLOCK, "minmax-alike")
+    alike, alike_paths = link_groups(shared.distinct(), lambda rows: classes.select(F.col("rep").alias("id"), F.col("short").alias("payload")).join(rows, "id"), lambda rows: near_signatures(rows, least), bytes, SIGNATURE_BLOCK, "minmax-alike")
     family, family_path = components(alike, "minmax-family")
     family, family_table = materialize(family.groupBy("node").agg(F.min("component").alias("grp")).select("grp", F.col("node").alias("id")), "minmax-families")
-    # One text for each id and text, however often it is repeated.
-    known = F.broadcast(family.select("id")) if small_enough(family.count(), 16) else family.select("id")
-    texts = base.withColumnRenamed("doc_id", "id").join(known, "id").groupBy("id", F.xxhash64("text")).agg(F.first("text").alias("payload")).select("id", "payload")
-    links, link_paths = link_groups(family, texts, lambda sets: near_sets(sets, percent), lambda raw: shingles_of(raw, shingle), BLOCK, "minmax-links")
     ids = F.broadcast(repeated) if small_enough(repeated.count(), 64) else repeated
+    again = not repeated.isEmpty()
+
+    def texts(rows: DataFrame) -> DataFrame:
+        full = base.select(F.col("doc_id").alias("id"), F.col("text").alias("payload")).join(rows, "id")
+        if not again:
+            return full
+        # Of rows that repeat an id, one for each text, however often it is there.
+        twice = ids.select(F.col("doc_id").alias("id"))
+        keys = [c for c in full.columns if c != "payload"]
+        few = full.join(twice, "id", "left_semi").groupBy(*keys, F.xxhash64("payload").alias("text_hash")).agg(F.first("payload").alias("payload"))
+        return full.join(twice, "id", "left_anti").unionByName(few.drop("text_hash"))
+
+    links, link_paths = link_groups(family, texts, lambda sets: near_sets(sets, percent), lambda raw: shingles_of(raw, shingle), BLOCK, "minmax-links")
     twice = sketched.where("set_key is not null").join(ids, "doc_id").join(classes.select("set_key", "rep"), "set_key").select("doc_id", "rep")
     twice = twice.join(twice.groupBy("doc_id").agg(F.min("rep").alias("low")), "doc_id").select(F.col("rep").alias("a"), F.col("low").alias("b"))
     found, found_path = components(links.union(twice), "minmax-found")

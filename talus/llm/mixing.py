@@ -20,6 +20,11 @@ WEIGHTS = (5, 2, 1)
 SLICE_ROWS = 50_000
 
 
+def row_hash(doc_id: Column, text: Column) -> Column:
+    """What shuffles the documents of a source: MD5 of id and text."""
+    return F.md5(F.concat(F.coalesce(doc_id.cast("string"), F.lit("")), F.lit("|"), F.coalesce(text, F.lit(""))).cast("binary"))
+
+
 def word_count(text: Column) -> Column:
     return F.coalesce(F.regexp_count(text, F.lit(WORD)).cast("long"), F.lit(0).cast("long"))
 
@@ -44,16 +49,15 @@ def source_targets(sizes: DataFrame, weights: tuple[int, ...] = WEIGHTS, epochs:
     return ranked.select("source", "place", "source_size", target.alias("target"), "total")
 
 
-def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", weights: tuple[int, ...] = WEIGHTS, epochs: int = 3, row_col: str | None = None) -> DataFrame:
+def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", weights: tuple[int, ...] = WEIGHTS, epochs: int = 3) -> DataFrame:
     """How many words of every document the mix takes: doc_id, source, size, source_size, target, copies, taken.
 
-    With row_col, a column that tells rows apart, also that column, as row. The order within a source is that of md5(id and
-    text), then id, size and row, so reruns agree. A null or empty text
+    The order within a source is that of md5(id and text), then id and size, so reruns agree. A null or empty text
     has size 0 and is never taken; a null source is a source; a null id is ordered as ''. Repeated rows each have
     their own place. Other columns are ignored. Sources of size 0 have target 0. An empty table gives an empty result."""
     spark = docs.sparkSession
-    held = docs.select(F.col(id_col).alias("doc_id"), F.col(source_col).cast("string").alias("source"), F.col(text_col).cast("string").alias("text"), (F.col(row_col) if row_col else F.lit(0)).cast("long").alias("row"))
-    sized = spread(held).select("row", "doc_id", "source", word_count(F.col("text")).alias("size"), F.md5(F.concat(F.coalesce(F.col("doc_id").cast("string"), F.lit("")), F.lit("|"), F.coalesce("text", F.lit(""))).cast("binary")).alias("hash"))
+    held = docs.select(F.col(id_col).alias("doc_id"), F.col(source_col).cast("string").alias("source"), F.col(text_col).cast("string").alias("text"))
+    sized = spread(held).select("doc_id", "source", word_count(F.col("text")).alias("size"), row_hash(F.col("doc_id"), F.col("text")).alias("hash"))
     sized, sized_path = materialize(sized, "mix-sized")
     targets, target_path = materialize(source_targets(sized.groupBy("source").agg(F.sum("size").alias("source_size")), weights, epochs), "mix-targets")
     named = sized.join(targets.withColumnRenamed("source", "its_source"), F.col("source").eqNullSafe(F.col("its_source"))).drop("its_source", "total")
@@ -62,15 +66,15 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
     slices = named.groupBy("place", "slice").agg(F.sum("size").alias("n"))
     sent = F.sum("n").over(Window.partitionBy("place").orderBy("slice").rowsBetween(Window.unboundedPreceding, -1))
     slices = slices.select("place", "slice", F.coalesce(sent, F.lit(0)).alias("sent"))
-    within = F.sum("size").over(Window.partitionBy("place", "slice").orderBy("hash", "doc_id", "size", "row").rowsBetween(Window.unboundedPreceding, 0))
+    within = F.sum("size").over(Window.partitionBy("place", "slice").orderBy("hash", "doc_id", "size").rowsBetween(Window.unboundedPreceding, 0))
     queued = named.withColumn("within", within).join(slices, ["place", "slice"]).withColumn("cum", F.col("sent") + F.col("within"))
-    queued, queued_path = materialize(queued.select("row", "doc_id", "source", "place", "size", "source_size", "target", "hash", "cum"), "mix-queued")
+    queued, queued_path = materialize(queued.select("doc_id", "source", "place", "size", "source_size", "target", "hash", "cum"), "mix-queued")
 
     def finish(epoch: Column) -> Column:
         time = (F.col("cum") + epoch * F.col("source_size")).cast("double") / F.col("target")
-        return F.struct(time.alias("time"), F.col("hash"), F.col("place"), epoch.alias("epoch"), F.col("doc_id"), F.col("size"), F.col("row"))
+        return F.struct(time.alias("time"), F.col("hash"), F.col("place"), epoch.alias("epoch"), F.col("doc_id"), F.col("size"))
 
-    copies = queued.where("size > 0 and target > 0").select("size", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(epochs - 1).cast("long"))).alias("e"), "cum", "source_size", "target", "hash", "place", "doc_id", "row")
+    copies = queued.where("size > 0 and target > 0").select("size", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(epochs - 1).cast("long"))).alias("e"), "cum", "source_size", "target", "hash", "place", "doc_id")
     copies = copies.select("size", finish(F.col("e")).alias("at"))
     ordered, ordered_path = materialize(copies.repartitionByRange("at").withColumn("part", F.spark_partition_id()), "mix-ordered")
     parts = ordered.groupBy("part").agg(F.sum("size").alias("n"))
@@ -85,7 +89,7 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
     last, last_path = materialize(last, "mix-last")
     got = sum((F.when(finish(F.lit(e).cast("long")) <= F.col("last"), 1).otherwise(0) for e in range(epochs)), F.lit(0))
     out = queued.crossJoin(F.broadcast(last)).withColumn("copies", F.when((F.col("size") > 0) & (F.col("target") > 0), F.coalesce(got, F.lit(0))).otherwise(0))
-    out, at = materialize(out.select(*(["row"] if row_col else []), "doc_id", "source", "hash", "size", "source_size", "target", "copies", (F.col("size") * F.col("copies")).cast("long").alias("taken")), "mix-out")
+    out, at = materialize(out.select("doc_id", "source", "hash", "size", "source_size", "target", "copies", (F.col("size") * F.col("copies")).cast("long").alias("taken")), "mix-out")
     retire(spark, at)
     discard(spark, sized_path, target_path, named_path, queued_path, ordered_path, last_path)
     return out

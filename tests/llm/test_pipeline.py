@@ -56,6 +56,6 @@ def test_null_and_repeated_ids(spark):
     assert kept.columns == docs.columns and kept.count() == 8 and kept.where("doc_id is null").count() == 5
     assert key(kept) == key(cp.keep_one_of_near_duplicates(spark, docs.orderBy(F.col("text").desc()), SF))
     mixed = cp.mix_sources(spark, docs, SF)
-    plan = mixing.mix(docs.withColumn("r", F.monotonically_increasing_id()), row_col="r").collect()
+    plan = mixing.mix(docs).collect()
     assert mixed.count() == sum(r.copies for r in plan)
     assert set(key(mixed)) <= set(key(docs))
