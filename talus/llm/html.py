@@ -32,6 +32,8 @@ ARTICLE_PAGES, ARTICLE_SHARE = 10, 0.9
 NEAR = 70
 #: Of several articles those with less than this share of the longest one's words are teasers.
 TEASER = 0.25
+#: Characters of pages that are looked at together.
+SLICE = 4 << 20
 
 #: Elements by their role in HTML.
 _HIDDEN = {"script", "style", "template", "noscript", "iframe", "object", "svg", "canvas", "head", "title", "button", "select", "option", "textarea", "input", "datalist", "audio", "video", "map"}
@@ -238,6 +240,18 @@ def page_suffixes(pages: list[tuple[str, list[tuple[int, int, str]]]]):
     return key.view(np.int64), starts, stops, cut, np.array(block_ends, dtype=np.int64), (mix64(hosts) & ~np.uint64(3) | np.uint64(2)).view(np.int64)
 
 
+def _slices(htmls: list) -> list[tuple[int, int]]:
+    """Runs of pages that are looked at together: no more than 128, and, but for one page alone, than SLICE characters."""
+    out, first, held = [], 0, 0
+    for i, h in enumerate(htmls):
+        n = len(h or "")
+        if i > first and (i - first == 128 or held + n > SLICE):
+            out.append((first, i))
+            first, held = i, 0
+        held += n
+    return [*out, (first, len(htmls))] if htmls else []
+
+
 def _streams(batches):
     """(url, html, row) to (row, content, marked, text, keys): the main text's hash, the text of a page without an article, and
     the host's key with those of the page's distinct suffixes."""
@@ -247,8 +261,8 @@ def _streams(batches):
     for batch in batches:
         rows = batch.column(2)
         urls, htmls = batch.column(0).to_pylist(), batch.column(1).to_pylist()
-        for at in range(0, len(urls), 128):
-            pages = [(host_of(u), blocks_of(h)) for u, h in zip(urls[at : at + 128], htmls[at : at + 128], strict=True)]
+        for at, to in _slices(htmls):
+            pages = [(host_of(u), blocks_of(h)) for u, h in zip(urls[at:to], htmls[at:to], strict=True)]
             key, _, _, cut, _, host = page_suffixes(pages)
             content, marked, texts, keys = [], [], [], []
             for i, (name, blocks) in enumerate(pages):
@@ -258,7 +272,7 @@ def _streams(batches):
                 marked.append(zone == 2)
                 texts.append(None if zone == 2 else text)
                 keys.append(np.append(host[i], np.unique(key[cut[i] : cut[i + 1]])) if blocks else np.zeros(0, np.int64))
-            yield pa.RecordBatch.from_arrays([rows.slice(at, 128), pa.array(content, pa.int64()), pa.array(marked, pa.bool_()), pa.array(texts, pa.string()), pa.array(keys, pa.list_(pa.int64()))], names=["row", "content", "marked", "text", "keys"])
+            yield pa.RecordBatch.from_arrays([rows.slice(at, to - at), pa.array(content, pa.int64()), pa.array(marked, pa.bool_()), pa.array(texts, pa.string()), pa.array(keys, pa.list_(pa.int64()))], names=["row", "content", "marked", "text", "keys"])
 
 
 def _kept(shared):
@@ -271,8 +285,8 @@ def _kept(shared):
         for batch in batches:
             urls, htmls, own = (batch.column(i).to_pylist() for i in (1, 2, 3))
             out = []
-            for at in range(0, len(urls), 128):
-                pages = [(host_of(u), blocks_of(h)) for u, h in zip(urls[at : at + 128], htmls[at : at + 128], strict=True)]
+            for at, to in _slices(htmls):
+                pages = [(host_of(u), blocks_of(h)) for u, h in zip(urls[at:to], htmls[at:to], strict=True)]
                 key, starts, stops, cut, block_ends, host = page_suffixes(pages)
                 first = 0
                 for i, (_, blocks) in enumerate(pages):
