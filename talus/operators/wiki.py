@@ -70,6 +70,16 @@ def unified_diff(old: str, new: str, slug: str) -> Column:
     return run(F.col(old), F.col(new), F.col(slug))
 
 
+def line_changes(rows: DataFrame, key: list[str], old: str, new: str) -> DataFrame:
+    """(key, added, removed): the bags of lines of two texts against each other."""
+
+    def lines(column: str, side: int) -> DataFrame:
+        return rows.select(*key, F.explode(F.split(F.coalesce(F.col(column), F.lit("")), "\n")).alias("line"), F.lit(1 - side).alias("o"), F.lit(side).alias("n"))
+
+    held = lines(old, 0).unionByName(lines(new, 1)).groupBy(*key, "line").agg((F.sum("n") - F.sum("o")).alias("more"))
+    return held.groupBy(*key).agg(F.sum(F.greatest("more", F.lit(0))).alias("added"), F.sum(F.greatest(-F.col("more"), F.lit(0))).alias("removed"))
+
+
 def review_flags(diff_lines: Column, n_claims: Column, n_sourced: Column, most: int = 400, least: float = 0.5) -> Column:
     """What a reviewer should look at: a long diff, or few claims with a source."""
     return F.array_compact(F.array(F.when(diff_lines > most, "long-diff"), F.when((n_claims > 0) & (n_sourced / n_claims < least), "thin-evidence")))

@@ -78,6 +78,16 @@ def page_diffs(spark, d):
     return x.select("conv_id", "seq", wiki.unified_diff("content", "after", "slug").alias("diff"))
 
 
+@query(b.sql("""WITH p AS (SELECT a.conv_id, a.seq, a.content AS x, b.content AS y FROM messages a JOIN messages b ON b.conv_id = a.conv_id AND b.seq = a.seq + 1),
+l AS (SELECT conv_id, seq, line, sum(o) AS o, sum(n) AS n FROM (SELECT conv_id, seq, unnest(string_split(coalesce(x, ''), chr(10))) AS line, 1 AS o, 0 AS n FROM p UNION ALL SELECT conv_id, seq, unnest(string_split(coalesce(y, ''), chr(10))), 0, 1 FROM p) GROUP BY ALL)
+SELECT conv_id, seq, CAST(sum(greatest(n - o, 0)) AS BIGINT) AS added, CAST(sum(greatest(o - n, 0)) AS BIGINT) AS removed FROM l GROUP BY conv_id, seq""", "messages"))
+def line_changes(spark, d):
+    """How many lines come and go between neighbouring messages, whatever their order."""
+    m = b.messages(spark, d)
+    nxt = m.select("conv_id", (F.col("seq") - 1).alias("seq"), F.col("content").alias("after"))
+    return wiki.line_changes(m.join(nxt, ["conv_id", "seq"]), ["conv_id", "seq"], "content", "after")
+
+
 @query(r"""SELECT doc_id, array_to_string(list_filter(['long-diff', 'thin-evidence'], lambda x: (x = 'long-diff' AND n > 20) OR (x = 'thin-evidence' AND doc_id % 5 > 0 AND (doc_id % 3)::DOUBLE / (doc_id % 5) < 0.5)), ',') AS flags FROM (SELECT doc_id, len(string_split(text, chr(10))) AS n FROM documents WHERE text IS NOT NULL)""")
 def review_flags(spark, d):
     r = F.col("doc_id")

@@ -2,7 +2,7 @@
 
 import pytest
 
-from talus.plans import log_queries, search_queries, text_queries, thread_queries, wiki_queries  # noqa: F401
+from talus.plans import hybrid_queries, log_queries, search_queries, source_queries, text_queries, thread_queries, upkeep_queries, wiki_queries  # noqa: F401
 from talus.plans.registry import ORACLE, QUERIES
 
 from .conftest import oracle_rows, same_rows
