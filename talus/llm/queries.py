@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontam, embeddings, html, langid, licenses, lines, minmax, mixing, tokenout, toxicity
+from . import decontam, embeddings, fim, html, langid, licenses, lines, minmax, mixing, tokenout, toxicity
 from .common import bucket_of_id, table
 
 
@@ -60,6 +60,12 @@ def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_lines", "n_dropped", F.sha2(F.col("kept_text").cast("binary"), 256).alias("kept_sha256"))
 
 
+def op11_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = fim.fill_in_middle(table(spark, sf_dir, "documents"))
+    digest = lambda c: F.sha2(c.cast("binary"), 256)
+    return out.select("doc_id", "n", "form", "prefix_chars", "middle_chars", digest(F.col("output")).alias("output_sha256"), digest(fim.restore()).alias("restored_sha256"))
+
+
 OP5_SQL = r"""
 WITH RECURSIVE worded AS (
   SELECT doc_id, regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM documents),
@@ -99,6 +105,6 @@ FROM embeddings e JOIN reach r ON r.a = e.vec_id LEFT JOIN counted c ON c.a = e.
 
 QUERIES = {
     f.__name__: f
-    for f in (op1_language_id, op2_mixing, op3_toxicity, op4_decontamination, op5_minmax_near_dedup, op6_license_scan, op7_embedding_near_dedup, op8_token_output, op9_html_main_text, op10_line_dedup)
+    for f in (op1_language_id, op2_mixing, op3_toxicity, op4_decontamination, op5_minmax_near_dedup, op6_license_scan, op7_embedding_near_dedup, op8_token_output, op9_html_main_text, op10_line_dedup, op11_fill_in_middle)
 }
-ORACLE = {"op2_mixing": mixing.ORACLE, "op5_minmax_near_dedup": OP5_SQL, "op6_license_scan": licenses.ORACLE, "op7_embedding_near_dedup": OP7_SQL, "op10_line_dedup": OP10_SQL}
+ORACLE = {"op2_mixing": mixing.ORACLE, "op5_minmax_near_dedup": OP5_SQL, "op6_license_scan": licenses.ORACLE, "op7_embedding_near_dedup": OP7_SQL, "op10_line_dedup": OP10_SQL, "op11_fill_in_middle": fim.ORACLE}
