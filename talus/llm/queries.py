@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontam, embeddings, fim, html, langid, licenses, lines, minmax, mixing, tokenout, toxicity
+from . import decontam, embeddings, fim, html, langid, licenses, lines, minmax, mixing, secrets, tokenout, toxicity
 from .common import bucket_of_id, table
 
 
@@ -66,6 +66,14 @@ def op11_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n", "form", "prefix_chars", "middle_chars", digest(F.col("output")).alias("output_sha256"), digest(fim.restore()).alias("restored_sha256"))
 
 
+def op13_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = secrets.scan(table(spark, sf_dir, "documents"))
+    base = [r.kind for r in secrets.BASE]
+    count = lambda kind: F.size(F.filter("spans", lambda s: s["kind"] == kind)).cast("long").alias(f"n_{kind}")
+    digest = F.sha2(secrets.listed(F.filter("spans", lambda s: s["kind"].isin(base))).cast("binary"), 256)
+    return out.select("doc_id", *map(count, base), digest.alias("base_sha256"), secrets.listed(F.col("spans")).alias("spans"))
+
+
 OP5_SQL = r"""
 WITH RECURSIVE worded AS (
   SELECT doc_id, regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM documents),
@@ -105,6 +113,6 @@ FROM embeddings e JOIN reach r ON r.a = e.vec_id LEFT JOIN counted c ON c.a = e.
 
 QUERIES = {
     f.__name__: f
-    for f in (op1_language_id, op2_mixing, op3_toxicity, op4_decontamination, op5_minmax_near_dedup, op6_license_scan, op7_embedding_near_dedup, op8_token_output, op9_html_main_text, op10_line_dedup, op11_fill_in_middle)
+    for f in (op1_language_id, op2_mixing, op3_toxicity, op4_decontamination, op5_minmax_near_dedup, op6_license_scan, op7_embedding_near_dedup, op8_token_output, op9_html_main_text, op10_line_dedup, op11_fill_in_middle, op13_secret_scan)
 }
-ORACLE = {"op2_mixing": mixing.ORACLE, "op5_minmax_near_dedup": OP5_SQL, "op6_license_scan": licenses.ORACLE, "op7_embedding_near_dedup": OP7_SQL, "op10_line_dedup": OP10_SQL, "op11_fill_in_middle": fim.ORACLE}
+ORACLE = {"op2_mixing": mixing.ORACLE, "op5_minmax_near_dedup": OP5_SQL, "op6_license_scan": licenses.ORACLE, "op7_embedding_near_dedup": OP7_SQL, "op10_line_dedup": OP10_SQL, "op11_fill_in_middle": fim.ORACLE, "op13_secret_scan": secrets.ORACLE}
