@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontam, embeddings, fim, html, langid, licenses, lines, minmax, mixing, secrets, tokenout, toxicity
+from . import decontam, embeddings, fim, html, langid, licenses, lines, minmax, mixing, phrases, secrets, tokenout, toxicity
 from .common import bucket_of_id, table
 
 
@@ -66,6 +66,10 @@ def op11_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n", "form", "prefix_chars", "middle_chars", digest(F.col("output")).alias("output_sha256"), digest(fim.restore()).alias("restored_sha256"))
 
 
+def op12_phrase_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return phrases.collocations(table(spark, sf_dir, "documents"))
+
+
 def op13_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = secrets.scan(table(spark, sf_dir, "documents"))
     base = [r.kind for r in secrets.BASE]
@@ -113,6 +117,6 @@ FROM embeddings e JOIN reach r ON r.a = e.vec_id LEFT JOIN counted c ON c.a = e.
 
 QUERIES = {
     f.__name__: f
-    for f in (op1_language_id, op2_mixing, op3_toxicity, op4_decontamination, op5_minmax_near_dedup, op6_license_scan, op7_embedding_near_dedup, op8_token_output, op9_html_main_text, op10_line_dedup, op11_fill_in_middle, op13_secret_scan)
+    for f in (op1_language_id, op2_mixing, op3_toxicity, op4_decontamination, op5_minmax_near_dedup, op6_license_scan, op7_embedding_near_dedup, op8_token_output, op9_html_main_text, op10_line_dedup, op11_fill_in_middle, op12_phrase_collocations, op13_secret_scan)
 }
-ORACLE = {"op2_mixing": mixing.ORACLE, "op5_minmax_near_dedup": OP5_SQL, "op6_license_scan": licenses.ORACLE, "op7_embedding_near_dedup": OP7_SQL, "op10_line_dedup": OP10_SQL, "op11_fill_in_middle": fim.ORACLE, "op13_secret_scan": secrets.ORACLE}
+ORACLE = {"op2_mixing": mixing.ORACLE, "op5_minmax_near_dedup": OP5_SQL, "op6_license_scan": licenses.ORACLE, "op7_embedding_near_dedup": OP7_SQL, "op10_line_dedup": OP10_SQL, "op11_fill_in_middle": fim.ORACLE, "op12_phrase_collocations": phrases.ORACLE, "op13_secret_scan": secrets.ORACLE}
