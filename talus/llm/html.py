@@ -3,9 +3,9 @@
 Pages are parsed to blocks, and the token streams of all blocks, whatever element holds them, are concatenated by host. Their
 suffix array is sparse: of each stream it holds the suffixes at its start and at content-defined anchors, which equal substrings
 of LONG tokens share wherever they stand. A suffix is named by the hash of its tokens as far as the end of the next anchor, so
-equal neighbours in the sorted array are substrings that repeat. Suffixes of enough distinct pages are boilerplate; blocks that
-they cover go and unique runs stay. Elements that are frame by their role go too, and a page's article needs more pages to lose
-a block than other blocks do, since articles share passages that are text."""
+equal suffixes are substrings that repeat: they are counted, not sorted. Suffixes of enough distinct pages are boilerplate; the runs of
+tokens that they cover go and unique runs stay. Elements that are frame by their role go too, and a page's article needs more pages to
+lose a run than other blocks do, since articles share passages that are text."""
 
 from __future__ import annotations
 
@@ -21,7 +21,7 @@ from .minmax import near_duplicates
 
 #: Substrings of LONG tokens have an anchor in common: the least hash of ANCHOR tokens among neighbours is one.
 LONG, ANCHOR = 24, 12
-#: Covered share of a block from which it goes.
+#: What a repeat leaves of a block at its ends, up to ANCHOR tokens, goes with it from this covered share of the block on.
 COVERED = 0.5
 #: A suffix is boilerplate on so many distinct pages of a host; a whole stream of fewer than LONG tokens on so many, and one of
 #: fewer than TINY tokens needs LONG_PAGES like others.
@@ -29,9 +29,7 @@ LONG_PAGES, SHORT_PAGES, TINY = 3, 2, 4
 #: Within an article: on so many pages and on such a share of the host's pages.
 ARTICLE_PAGES, ARTICLE_SHARE = 10, 0.9
 #: Pages whose sets of five words are NEAR percent alike, and chains of such pages, are versions of one page and count once.
-NEAR = 70
-#: Of several articles those with less than this share of the longest one's words are teasers.
-TEASER = 0.25
+NEAR = 90
 #: Characters of pages that are looked at together.
 SLICE = 4 << 20
 
@@ -43,8 +41,10 @@ _VOID = {"area", "base", "br", "col", "embed", "hr", "img", "input", "link", "me
 _BOX = {"article", "main", "section", "div", "header", "ul", "ol", "dl", "table", "figure", "details", "fieldset", "blockquote", "span", "body"} | _FRAME | (_HIDDEN - _VOID - {"script", "style"})
 #: Elements whose blocks form one stream.
 _LIST = {"ul", "ol", "dl", "table", "header"} | _FRAME
-#: A class or id is frame if one of its words is in _NAMES and all of them are in _NAMES or _PLAIN.
-_NAMES = {"ad", "ads", "adv", "advert", "advertisement", "adsense", "sponsor", "sponsored", "promo", "promotion", "banner", "cookie", "cookies", "consent", "gdpr", "notice", "notices", "alert", "popup", "modal", "overlay", "newsletter", "subscribe", "signup", "login", "share", "sharing", "social", "related", "recommended", "sidebar", "side", "aside", "menu", "nav", "navbar", "navigation", "breadcrumb", "breadcrumbs", "pagination", "pager", "footer", "masthead", "comment", "comments", "respond", "reply", "replies", "disqus", "widget", "toolbar", "search", "skip", "hidden", "teaser"}
+#: A class or id hints at frame if one of its words is in _NAMES and all of them are in _NAMES or _PLAIN; within an article, in _INNER
+#: or _PLAIN. It never decides for an element that holds the page's article.
+_INNER = {"ad", "ads", "adv", "advert", "advertisement", "adsense", "sponsored", "promo", "cookie", "cookies", "consent", "gdpr", "newsletter", "subscribe", "signup", "share", "sharing", "sidebar", "nav", "navbar", "breadcrumb", "breadcrumbs", "pagination", "pager", "comments", "disqus"}
+_NAMES = _INNER | {"sponsor", "promotion", "banner", "notice", "notices", "alert", "popup", "modal", "overlay", "login", "social", "related", "recommended", "side", "aside", "menu", "navigation", "footer", "masthead", "comment", "respond", "reply", "replies", "widget", "toolbar", "search", "skip", "hidden", "teaser"}
 _PLAIN = {"", "a", "area", "bar", "block", "body", "bottom", "box", "button", "buttons", "container", "content", "form", "global", "group", "head", "header", "icons", "inner", "item", "items", "js", "left", "link", "links", "list", "main", "media", "message", "outer", "page", "panel", "post", "posts", "primary", "right", "row", "secondary", "section", "site", "slot", "sticky", "text", "thread", "to", "top", "unit", "wrap", "wrapper"}
 _PAGE_HEAD = {"header", "head", "top"}
 _ROLES = {"navigation", "banner", "contentinfo", "complementary", "search", "form", "alert", "alertdialog", "dialog", "menu", "menubar", "toolbar", "status"}
@@ -61,26 +61,29 @@ def _named(value: str, names: set[str], plain: set[str] = _PLAIN) -> bool:
 
 
 class Blocks(HTMLParser):
-    """blocks: (zone, stream, text) in page order. Zone 0 is frame, 1 unmarked, 2 and above the articles of the page in
-    turn; blocks of one list, table or frame element have the same stream."""
+    """blocks: (frame, region, stream, text) in page order. frame numbers the innermost element around the block that may be frame,
+    region the article or main around it; frames lists, for each such element, the one around it and whether it is frame for sure (by its
+    element or role) or only by a hint, regions those around each article and main. Blocks of one list, table or frame have the same stream."""
 
     def __init__(self):
         super().__init__(convert_charrefs=True)
-        self.stack: list[tuple[str, bool, int, bool, int]] = []  # tag, frame, article, hidden, stream
-        self.blocks: list[tuple[int, int, str]] = []
+        self.stack: list[tuple[str, int, int, bool, bool, int]] = []  # tag, frame, region, in an article, hidden, stream
+        self.blocks: list[tuple[int, int, int, str]] = []
+        self.frames: list[tuple[int, bool]] = [(0, False)]
+        self.regions: list[tuple[str, int, int]] = [("", 0, 0)]  # tag, frame, the region around it
         self.parts: list[str] = []
-        self.place = (1, 0)
-        self.streams = self.articles = 0
+        self.place = (0, 0, 0)
+        self.streams = 0
         self.raw = ""
 
     def _flush(self) -> None:
         text = " ".join("".join(self.parts).split())
         if text:
-            zone, stream = self.place
+            frame, region, stream = self.place
             if not stream:
                 self.streams += 1
                 stream = self.streams
-            self.blocks.append((zone, stream, text))
+            self.blocks.append((frame, region, stream, text))
         self.parts = []
 
     def handle_starttag(self, tag, attrs):
@@ -97,24 +100,25 @@ class Blocks(HTMLParser):
             return
         a = {k: v or "" for k, v in attrs} if attrs else {}
         names = f"{a.get('class', '')} {a.get('id', '')}" if attrs else " "
-        above = self.stack[-1] if self.stack else ("", False, 0, False, 0)
-        boxed = len(names) > 1 and _named(names, _NAMES)
-        hidden = above[3] or tag in _HIDDEN or "hidden" in a or a.get("aria-hidden") == "true"
-        frame = tag in _FRAME or a.get("role", "").lower() in _ROLES or boxed and tag not in ("body", "main")
-        frame = frame or not above[2] and (tag == "header" or len(names) > 1 and tag != "body" and _named(names, _PAGE_HEAD))
-        frame = above[1] or frame and not (tag in ("article", "main") and not boxed)
-        # An article within frame (a comment, a teaser) is none; one within an article or main is part of it, or its only one.
-        article = above[2]
-        if tag in ("article", "main") and not frame and not article:
-            self.articles += 1
-            article = self.articles + 1
-        stream = above[4]
-        if not stream and (tag in _LIST or frame):
+        _, frame, region, inside, hidden, stream = self.stack[-1] if self.stack else ("", 0, 0, False, False, 0)
+        hidden = hidden or tag in _HIDDEN or "hidden" in a or a.get("aria-hidden") == "true"
+        role = a.get("role", "").lower()
+        sure = tag in _FRAME - {"form"} or role in _ROLES - {"form", "search"}
+        hint = tag == "form" or role in _ROLES or tag not in ("body", "html", "main") and len(names) > 1 and _named(names, _INNER if inside else _NAMES)
+        hint = hint or not inside and (tag == "header" or len(names) > 1 and tag not in ("body", "article", "main") and _named(names, _PAGE_HEAD))
+        if sure or hint:
+            self.frames.append((frame, sure))
+            frame = len(self.frames) - 1
+        if tag == "main" and not region or tag == "article" and not inside:
+            self.regions.append((tag, frame, region))
+            region = len(self.regions) - 1
+            inside = inside or tag == "article"
+        if not stream and (tag in _LIST or sure or hint):
             self.streams += 1
             stream = self.streams
-        if frame or hidden or tag in _BLOCK:
+        if sure or hint or hidden or tag in _BLOCK:
             self._flush()
-        self.stack.append((tag, frame, article, hidden, stream))
+        self.stack.append((tag, frame, region, inside, hidden, stream))
 
     def handle_startendtag(self, tag, attrs):
         if tag not in _VOID:
@@ -133,30 +137,59 @@ class Blocks(HTMLParser):
     def handle_data(self, data):
         if self.raw:
             return
-        _, frame, article, hidden, stream = self.stack[-1] if self.stack else ("", False, 0, False, 0)
+        _, frame, region, _, hidden, stream = self.stack[-1] if self.stack else ("", 0, 0, False, False, 0)
         if hidden:
             return
-        place = (0 if frame else article or 1, stream)
+        place = (frame, region, stream)
         if place != self.place:
             self._flush()
             self.place = place
         self.parts.append(data)
 
+    def around(self, frame: int) -> list[int]:
+        out = []
+        while frame:
+            out.append(frame)
+            frame = self.frames[frame][0]
+        return out
+
 
 def blocks_of(html: str | None) -> list[tuple[int, int, str]]:
-    """All blocks; zone 2 where they are in the article that the page marks, 1 where they aren't frame, 0 elsewhere."""
+    """All blocks as (zone, stream, text): zone 2 in the page's articles or main, 1 where nothing marks them as frame, 0 elsewhere.
+
+    The articles are those with the fewest hints of frame around them: what holds them isn't frame, whatever its class, and a form isn't
+    either. An article inside frame for sure is none. Articles under hints count only if they hold more text than what is under no hint. If
+    all blocks are frame, those that only hints mark are the main text."""
     if not html:
         return []
     p = Blocks()
     p.feed(html)
     p.close()
     p._flush()
-    long: dict[int, int] = {}
-    for zone, _, text in p.blocks:
-        if zone > 1:
-            long[zone] = long.get(zone, 0) + len(text)
-    main = {z for z, n in long.items() if n >= TEASER * max(long.values())}
-    return [(2 if zone in main else 0 if zone > 1 else zone, stream, text) for zone, stream, text in p.blocks]
+    chains = {frame: p.around(frame) for frame in range(len(p.frames))}
+    open_: set[int] = set()
+    chosen: set[int] = set()
+    for tag in ("article", "main"):
+        found = {r: [f for f in chains[frame] if f not in open_] for r, (kind, frame, _) in enumerate(p.regions) if kind == tag and not any(p.frames[f][1] for f in chains[frame])}
+        if not found or tag == "main" and chosen and min(map(len, found.values())):
+            continue
+        least = min(map(len, found.values()))
+        best = {r for r, hints in found.items() if len(hints) == least}
+        freed = open_.union(*(found[r] for r in best))
+        if least:
+            inner = sum(len(t) for f, r, _, t in p.blocks if r in best and freed.issuperset(chains[f]))
+            if inner <= sum(len(t) for f, _, _, t in p.blocks if not chains[f]):
+                continue
+        open_, chosen = freed, chosen | best
+    chosen |= {r for r, (_, _, above) in enumerate(p.regions) if above in chosen and r}
+
+    def zone(frame: int, region: int) -> int:
+        return 0 if not open_.issuperset(chains[frame]) else 2 if region in chosen else 1
+
+    out = [(zone(frame, region), stream, text) for frame, region, stream, text in p.blocks]
+    if out and not any(z for z, _, _ in out):
+        out = [(0 if any(p.frames[f][1] for f in chains[frame]) else 1, stream, text) for frame, _, stream, text in p.blocks]
+    return out
 
 
 def main_zone(blocks: list[tuple[int, int, str]]) -> int:
@@ -321,18 +354,29 @@ def boilerplate(keys: np.ndarray, pages: np.ndarray, host_pages: int) -> tuple[n
 
 def _unique(blocks, ends, keys, starts, stops, pages, host_pages) -> list[str]:
     zone = main_zone(blocks)
-    stay = [True] * len(blocks)
     every, strict = boilerplate(keys, pages, host_pages)
     gone = strict if zone == 2 else every
-    if gone.any():
-        begins = np.concatenate([[ends[0] - len(blocks[0][2].split(" "))], ends[:-1]])
-        mark = np.zeros(int(ends[-1] - begins[0]) + 1, dtype=np.int64)
-        np.add.at(mark, starts[gone] - begins[0], 1)
-        np.add.at(mark, stops[gone] - begins[0], -1)
-        covered = np.concatenate([[0], np.cumsum(np.cumsum(mark)[:-1] > 0)])
-        share = (covered[ends - begins[0]] - covered[begins - begins[0]]) / (ends - begins)
-        stay = (share < COVERED).tolist()
-    return [text for (z, _, text), s in zip(blocks, stay, strict=True) if z == zone and s]
+    if not gone.any():
+        return [text for z, _, text in blocks if z == zone]
+    begins = np.concatenate([[ends[0] - len(blocks[0][2].split(" "))], ends[:-1]])
+    mark = np.zeros(int(ends[-1] - begins[0]) + 1, dtype=np.int64)
+    np.add.at(mark, starts[gone] - begins[0], 1)
+    np.add.at(mark, stops[gone] - begins[0], -1)
+    covered = np.cumsum(mark)[:-1] > 0
+    out = []
+    for (z, _, text), first, last in zip(blocks, (begins - begins[0]).tolist(), (ends - begins[0]).tolist(), strict=True):
+        if z != zone:
+            continue
+        own = covered[first:last]
+        if not own.any():
+            out.append(text)
+            continue
+        words = text.split(" ")
+        edges = np.flatnonzero(np.diff(np.concatenate([[True], own, [True]])))
+        runs = [(a, b) for a, b in edges.reshape(-1, 2).tolist() if own.mean() < COVERED or b - a > ANCHOR]
+        if runs:
+            out.append(" ".join(w for a, b in runs for w in words[a:b]))
+    return out
 
 
 def host_repeats(pages: DataFrame) -> tuple[DataFrame, DataFrame, list[str]]:
