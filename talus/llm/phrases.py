@@ -172,10 +172,9 @@ def _merge(least: int):
         out, key, rest, counts = _Stripes(set()), None, 0, {}
 
         def done():
-            for word, n in counts.items():
-                if n >= least:
-                    out.add(*key[:2], word, n)
-            out.rest(*key[:2], rest + sum(n for n in counts.values() if n < least))
+            kept = {word: n for word, n in counts.items() if n >= least}
+            out.held[key] = [rest + sum(counts.values()) - sum(kept.values()), kept]
+            out.size += len(kept) + 1
 
         for batch in batches:
             columns = [bytes_of(batch.column(i)) if i < 2 else batch.column(i).to_pylist() for i in range(6)]
