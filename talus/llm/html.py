@@ -41,8 +41,8 @@ _VOID = {"area", "base", "br", "col", "embed", "hr", "img", "input", "link", "me
 _BOX = {"article", "main", "section", "div", "header", "ul", "ol", "dl", "table", "figure", "details", "fieldset", "blockquote", "span", "body"} | _FRAME | (_HIDDEN - _VOID - {"script", "style"})
 #: Elements whose blocks form one stream.
 _LIST = {"ul", "ol", "dl", "table", "header"} | _FRAME
-#: A class or id hints at frame if one of its words is in _NAMES and all of them are in _NAMES or _PLAIN; within an article, in _INNER
-#: or _PLAIN. It never decides for an element that holds the page's article.
+#: A class or id hints at frame if one of its words is in _NAMES and all of them are in _NAMES or _PLAIN; within an article, a name
+#: of one word must be in _INNER. It never decides for an element that holds the page's article.
 _INNER = {"ad", "ads", "adv", "advert", "advertisement", "adsense", "sponsored", "promo", "cookie", "cookies", "consent", "gdpr", "newsletter", "subscribe", "signup", "share", "sharing", "sidebar", "nav", "navbar", "breadcrumb", "breadcrumbs", "pagination", "pager", "comments", "disqus"}
 _NAMES = _INNER | {"sponsor", "promotion", "banner", "notice", "notices", "alert", "popup", "modal", "overlay", "login", "social", "related", "recommended", "side", "aside", "menu", "navigation", "footer", "masthead", "comment", "respond", "reply", "replies", "widget", "toolbar", "search", "skip", "hidden", "teaser"}
 _PLAIN = {"", "a", "area", "bar", "block", "body", "bottom", "box", "button", "buttons", "container", "content", "form", "global", "group", "head", "header", "icons", "inner", "item", "items", "js", "left", "link", "links", "list", "main", "media", "message", "outer", "page", "panel", "post", "posts", "primary", "right", "row", "secondary", "section", "site", "slot", "sticky", "text", "thread", "to", "top", "unit", "wrap", "wrapper"}
@@ -51,15 +51,20 @@ _ROLES = {"navigation", "banner", "contentinfo", "complementary", "search", "for
 _SPLIT = re.compile(r"[^A-Za-z]+|(?<=[a-z])(?=[A-Z])")
 
 
-def _named(value: str, names: set[str], plain: set[str] = _PLAIN) -> bool:
-    """Whether a class or id among value's is made of such names."""
+def _named(value: str, inside: bool) -> bool:
+    """Whether a class or id among value's hints at frame; within an article a single word must be in _INNER."""
     for token in value.split():
         words = {w.lower() for w in _SPLIT.split(token)}
-        if words & names and words <= names | plain:
+        if words & (_INNER if inside and len(words) == 1 else _NAMES) and words <= _NAMES | _PLAIN:
             return True
     return False
 
 
+def _heads(value: str) -> bool:
+    """Whether a class or id among value's is that of a page's head."""
+    return any((words := {w.lower() for w in _SPLIT.split(token)}) & _PAGE_HEAD and words <= _PAGE_HEAD | _PLAIN for token in value.split())
+
+
 class Blocks(HTMLParser):
     """blocks: (frame, region, stream, text) in page order. frame numbers the innermost element around the block that may be frame,
     region the article or main around it; frames lists, for each such element, the one around it and whether it is frame for sure (by its
@@ -104,8 +109,8 @@ class Blocks(HTMLParser):
         hidden = hidden or tag in _HIDDEN or "hidden" in a or a.get("aria-hidden") == "true"
         role = a.get("role", "").lower()
         sure = tag in _FRAME - {"form"} or role in _ROLES - {"form", "search"}
-        hint = tag == "form" or role in _ROLES or tag not in ("body", "html", "main") and len(names) > 1 and _named(names, _INNER if inside else _NAMES)
-        hint = hint or not inside and (tag == "header" or len(names) > 1 and tag not in ("body", "article", "main") and _named(names, _PAGE_HEAD))
+        hint = tag == "form" or role in _ROLES or tag not in ("body", "html", "main") and len(names) > 1 and _named(names, inside)
+        hint = hint or not inside and (tag == "header" or len(names) > 1 and tag not in ("body", "article", "main") and _heads(names))
         if sure or hint:
             self.frames.append((frame, sure))
             frame = len(self.frames) - 1

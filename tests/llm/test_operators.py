@@ -679,7 +679,7 @@ def test_main_text_class_names_and_teasers(spark):
         page_of("<article><ul><li>" + "</li><li>".join(f"{words(20, 50 + i)}" for i in range(400)) + "</li></ul></article>", n=4),
     ]
     got = texts_of(spark, rows)
-    assert got[1] == "One theory\n\nTwo science" and got[2] == words(80, 1) and got[3] == "Kept\n\nFilm"
+    assert got[1] == "One theory\n\nTwo science" and got[2] == f"{words(80, 1)}\n\nTeaser card" and got[3] == "Kept\n\nFilm"
     assert got[4].count("\n\n") == 399
 
 
