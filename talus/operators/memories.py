@@ -49,7 +49,7 @@ def rank_rrf(rows: DataFrame, n: int, text: str | None = None, has_vector: bool
         d = rows.where("dense is not null").withColumn("d", vectors.cosine_distance("dense", "qv"))
         legs.append(ranked(d.select("id", "d"), [F.col("d").asc_nulls_last(), F.col("id")], 100, "rank").select("id", "rank"))
     if text:
-        t = rows.where(lexical.websearch("body", text)).withColumn("r", lexical.rank_tf("body", text))
+        t = rows.where(lexical.websearch("body", text)).withColumn("r", lexical.rank_text("body", text))
         legs.append(ranked(t.select("id", "r"), [F.desc("r"), F.col("id")], 100, "rank").select("id", "rank"))
     scores = legs[0].withColumn("s", vectors.rrf(F.col("rank"))).select("id", "s")
     for leg in legs[1:]:

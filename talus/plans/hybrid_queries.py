@@ -8,7 +8,7 @@ from talus.operators import memories as mem, recall
 
 from . import bindings as b
 from .registry import query
-from .search_queries import ACL, ME, NAMED, NAMES, _rank_tf, toks, word_sim_sql
+from .search_queries import ACL, ME, NAMED, NAMES, PAIRS_SQL, cover_sql, places_sql, toks, word_sim_sql
 
 MINE = "tenant_id = 't1' AND owner_user_id = 'u1'"
 SCORE = "round(s, 6) AS score"
@@ -19,10 +19,9 @@ def _fuse(key: str, k: int) -> str:
 
 
 def _cover(rows: str, key: str, text: str, words: tuple[str, str], limit: int) -> str:
-    """Ranks by 1 / (span of the first places of both words); both are there."""
-    at = [f"list_position({toks(text)}, '{w}')" for w in words]
-    return f"""lex AS (SELECT {key}, row_number() OVER (ORDER BY s DESC, {key}) AS rnk FROM (SELECT {key}, 1.0::DOUBLE / (greatest({at[0]}, {at[1]}) - least({at[0]}, {at[1]}) + 1) AS s
-FROM {rows} WHERE list_has_all({toks(text)}, ['{words[0]}', '{words[1]}'])) ORDER BY s DESC, {key} LIMIT {limit})"""
+    """Ranks by cover density of both words."""
+    return f"""{places_sql(rows, key, text, list(words))}, {cover_sql(2)},
+lex AS (SELECT key AS {key}, row_number() OVER (ORDER BY r DESC, key) AS rnk FROM (SELECT * FROM cover ORDER BY r DESC, key LIMIT {limit}))"""
 
 
 @query(b.sql(f"""WITH {word_sim_sql('messages', ['para', 'avec'], f"{NAMED} AND {MINE}")},
@@ -93,7 +92,7 @@ def memory_linear_text_rank(spark, d):
 
 
 _RECALL = f"""dense AS (SELECT id, row_number() OVER (ORDER BY s DESC, id) AS rnk FROM (SELECT id, list_cosine_similarity(dense, qv) AS s FROM enriched WHERE dense IS NOT NULL ORDER BY s DESC, id LIMIT 100)),
-lex AS (SELECT id, row_number() OVER (ORDER BY r DESC, id) AS rnk FROM (SELECT id, {_rank_tf('t', ['that', 'with'])} AS r FROM (SELECT id, {toks('body')} AS t FROM enriched) WHERE list_has_all(t, ['that', 'with']) ORDER BY r DESC, id LIMIT 100)),
+{places_sql('enriched', 'id', 'body', ['that', 'with'])}, {PAIRS_SQL}, lex AS (SELECT key AS id, row_number() OVER (ORDER BY r DESC, key) AS rnk FROM (SELECT * FROM pairs ORDER BY r DESC, key LIMIT 100)),
 sums AS (SELECT id, sum(1.0::DOUBLE / (60 + rnk)) AS s FROM (SELECT * FROM dense UNION ALL SELECT * FROM lex) GROUP BY id),
 hits AS MATERIALIZED (SELECT id, row_number() OVER (ORDER BY s DESC, base_score * recency_factor DESC, last_dubbed_at DESC, id) AS r FROM sums JOIN enriched USING (id) ORDER BY r LIMIT 10),
 near AS (SELECT target_memory_pk AS id, min(r) AS r FROM edges JOIN hits h ON h.id = source_memory_pk WHERE target_memory_pk NOT IN (SELECT id FROM hits) AND target_memory_pk IN (SELECT id FROM visible) GROUP BY 1 ORDER BY r, 1 LIMIT 5)"""

@@ -23,9 +23,23 @@ def toks(x: str) -> str:
     return TOKENS.format(x)
 
 
-def _rank_tf(x: str, words: list[str]) -> str:
-    parts = " + ".join(f"len(list_filter({x}, lambda t: t = '{w}')) / (len(list_filter({x}, lambda t: t = '{w}')) + 1.0::DOUBLE)" for w in words)
-    return f"(({parts}) / (1 + ln(greatest(len({x}), 1)::DOUBLE)))"
+def places_sql(rows: str, key: str, text: str, words: list[str]) -> str:
+    """ctes occ(key, pos, w, j): places of the words in texts that hold all of them."""
+    listed = "[" + ", ".join(f"'{w}'" for w in words) + "]"
+    return f"""occ AS MATERIALIZED (SELECT {key} AS key, i AS pos, t[i] AS w, row_number() OVER (PARTITION BY {key} ORDER BY i) AS j
+FROM (SELECT {key}, t, unnest(range(1, len(t) + 1)) AS i FROM (SELECT {key}, {toks(text)} AS t FROM {rows}) WHERE list_has_all(t, {listed})) WHERE list_contains({listed}, t[i]))"""
+
+
+def cover_sql(n: int) -> str:
+    """cte cover(key, r): all extents that hold n words, and whose first and last word stand nowhere else within."""
+    return f"""cover AS MATERIALIZED (SELECT key, round(sum(0.1::DOUBLE / (1 + (q - p) - (m - 1))), 9) AS r FROM (
+SELECT a.key, a.pos AS p, b.pos AS q, count(*) AS m FROM occ a JOIN occ b ON a.key = b.key AND a.j <= b.j AND (a.j = b.j) = ({n} = 1) JOIN occ m ON m.key = a.key AND m.j BETWEEN a.j AND b.j
+GROUP BY a.key, a.pos, b.pos, a.w, b.w HAVING count(DISTINCT m.w) = {n} AND count(*) FILTER (m.w = a.w) = 1 AND count(*) FILTER (m.w = b.w) = 1) GROUP BY key)"""
+
+
+#: cte pairs(key, r): the weights of all pairs of places of different words.
+PAIRS_SQL = """pairs AS MATERIALIZED (SELECT key, round(1 - product(1 - sqrt(0.01::DOUBLE * CASE WHEN d > 100 THEN 1e-30 ELSE 1.0::DOUBLE / (1.005 + 0.05 * exp(d / 1.5::DOUBLE - 2)) END)), 9) AS r
+FROM (SELECT a.key, b.pos - a.pos AS d FROM occ a JOIN occ b ON a.key = b.key AND a.pos < b.pos AND a.w <> b.w) GROUP BY key)"""
 
 
 def _q(spark, d):
@@ -60,19 +74,26 @@ def websearch_match(spark, d):
     return b.read(spark, d, "documents").where(lexical.websearch("text", PHRASE)).select("doc_id")
 
 
-@query(f"""SELECT doc_id, round({_rank_tf('t', ['that', 'with', 'from'])}, 6) AS rank FROM (SELECT doc_id, {toks('text')} AS t FROM documents)
-WHERE list_has_all(t, ['that', 'with', 'from']) ORDER BY {_rank_tf('t', ['that', 'with', 'from'])} DESC, doc_id LIMIT 20""")
+@query(f"""WITH {places_sql('documents', 'doc_id', 'text', TEXT.split())}, {PAIRS_SQL} SELECT key AS doc_id, round(greatest(r, 1e-20), 6) AS rank FROM pairs ORDER BY r DESC, doc_id LIMIT 20""")
 def ts_rank_topk(spark, d):
-    c = b.read(spark, d, "documents").where(lexical.matches_all("text", TEXT)).select("doc_id", lexical.rank_tf("text", TEXT).alias("r"))
+    c = b.read(spark, d, "documents").where(lexical.matches_all("text", TEXT)).select("doc_id", lexical.rank_text("text", TEXT).alias("r"))
     return c.orderBy(F.desc("r"), "doc_id").limit(20).select("doc_id", F.round("r", 6).alias("rank"))
 
 
-@query(f"""SELECT doc_id, CASE WHEN lo > 0 THEN round(1.0::DOUBLE / (hi - lo + 1), 6) ELSE 0.0 END AS cover FROM (SELECT doc_id, least(a, b, c) AS lo, greatest(a, b, c) AS hi FROM (
-SELECT doc_id, coalesce(list_position(t, 'that'), 0) AS a, coalesce(list_position(t, 'with'), 0) AS b, coalesce(list_position(t, 'from'), 0) AS c FROM (SELECT doc_id, {toks('text')} AS t FROM documents)))""")
+@query(f"""WITH {places_sql('documents', 'doc_id', 'text', TEXT.split())}, {cover_sql(3)} SELECT doc_id, round(coalesce(r, 0), 6) AS cover FROM documents LEFT JOIN cover ON key = doc_id""")
 def ts_rank_cover(spark, d):
     return b.read(spark, d, "documents").select("doc_id", F.round(lexical.rank_cover("text", TEXT), 6).alias("cover"))
 
 
+@query(f"""WITH t AS (SELECT doc_id, {toks('text')} AS t FROM documents), n AS (SELECT doc_id, len(list_filter(t, lambda x: x = 'para')) AS a, len(list_filter(t, lambda x: x = 'avec')) AS b FROM t),
+r AS (SELECT doc_id, round(0.1::DOUBLE * (coalesce(list_sum(list_transform(range(1, a + 1), lambda i: 1.0::DOUBLE / (i * i))), 0) + coalesce(list_sum(list_transform(range(1, b + 1), lambda i: 1.0::DOUBLE / (i * i))), 0)) / (2 * 1.64493406685::DOUBLE), 9) AS r FROM n WHERE a + b > 0)
+SELECT doc_id, round(r, 6) AS rank FROM r ORDER BY r DESC, doc_id LIMIT 50""")
+def ts_rank_either(spark, d):
+    """A query one of whose words is enough."""
+    c = b.read(spark, d, "documents").where(lexical.websearch("text", "para or avec")).select("doc_id", lexical.rank_text("text", "para or avec").alias("r"))
+    return c.orderBy(F.desc("r"), "doc_id").limit(50).select("doc_id", F.round("r", 6).alias("rank"))
+
+
 @query(rf"""WITH g AS (SELECT doc_id, list_distinct(flatten(list_transform(list_distinct({toks('text')}), lambda w: list_transform(range(1, len(w) + 2), lambda i: substr('  ' || w || ' ', i, 3))))) AS x FROM documents),
 q AS (SELECT list_distinct(flatten(list_transform(['that', 'with', 'from'], lambda w: list_transform(range(1, len(w) + 2), lambda i: substr('  ' || w || ' ', i, 3))))) AS y),
 s AS (SELECT doc_id, len(list_intersect(x, y))::DOUBLE / (len(x) + len(y) - len(list_intersect(x, y))) AS s FROM g, q)
@@ -99,9 +120,9 @@ def word_similarity_topk(spark, d):
 
 
 def _legs_sql(dense_where: str, lex_where: str, k: int) -> str:
-    rank = _rank_tf("t", ["that", "with", "from"])
-    return f"""dense AS (SELECT doc_id, row_number() OVER (ORDER BY s DESC, doc_id) AS rnk FROM (SELECT c.doc_id, list_dot_product(dense, qv) AS s FROM corpus c, qvec WHERE dense IS NOT NULL{dense_where} ORDER BY s DESC, doc_id LIMIT {k})),
-lex AS (SELECT doc_id, row_number() OVER (ORDER BY r DESC, doc_id) AS rnk FROM (SELECT doc_id, {rank} AS r FROM (SELECT c.doc_id, {toks('text')} AS t FROM corpus c WHERE true{lex_where}) WHERE list_has_all(t, ['that', 'with', 'from']) ORDER BY r DESC, doc_id LIMIT {k})) """
+    return f"""{places_sql(f'(SELECT c.doc_id, c.text FROM corpus c WHERE true{lex_where})', 'doc_id', 'text', TEXT.split())}, {cover_sql(3)},
+dense AS (SELECT doc_id, row_number() OVER (ORDER BY s DESC, doc_id) AS rnk FROM (SELECT c.doc_id, list_dot_product(dense, qv) AS s FROM corpus c, qvec WHERE dense IS NOT NULL{dense_where} ORDER BY s DESC, doc_id LIMIT {k})),
+lex AS (SELECT key AS doc_id, row_number() OVER (ORDER BY r DESC, key) AS rnk FROM (SELECT * FROM cover ORDER BY r DESC, key LIMIT {k})) """
 
 
 _RRF = "SELECT doc_id, round(sum(1.0::DOUBLE / (60 + rnk)), 6) AS score FROM (SELECT * FROM dense UNION ALL SELECT * FROM lex) GROUP BY doc_id ORDER BY sum(1.0::DOUBLE / (60 + rnk)) DESC, doc_id LIMIT {0}"
@@ -112,7 +133,7 @@ def _legs(spark, d, pool, dense_where=None, lex_where=None):
     near = fusion.topk_by_vector(c.crossJoin(_q(spark, d)), "dense", F.col("qv"), "doc_id", pool, "s", dense_where)
     near = fusion.ranked(near.select("doc_id", "s"), [F.desc("s"), F.col("doc_id")], pool, "rnk")
     lex = c.where(lexical.matches_all("text", TEXT))
-    lex = (lex if lex_where is None else lex.where(lex_where)).select("doc_id", lexical.rank_tf("text", TEXT).alias("r"))
+    lex = (lex if lex_where is None else lex.where(lex_where)).select("doc_id", lexical.rank_cover("text", TEXT).alias("r"))
     return near, fusion.ranked(lex, [F.desc("r"), F.col("doc_id")], pool, "rnk")
 
 
@@ -193,7 +214,7 @@ def memory_linear_rank(spark, d):
 
 
 @query(b.sql(f"""WITH dense AS (SELECT id, row_number() OVER (ORDER BY s DESC, id) AS rnk FROM (SELECT id, list_cosine_similarity(dense, qv) AS s FROM enriched WHERE dense IS NOT NULL ORDER BY s DESC, id LIMIT 100)),
-lex AS (SELECT id, row_number() OVER (ORDER BY r DESC, id) AS rnk FROM (SELECT id, {_rank_tf('t', ['that', 'with'])} AS r FROM (SELECT id, {toks('body')} AS t FROM enriched) WHERE list_has_all(t, ['that', 'with']) ORDER BY r DESC, id LIMIT 100)),
+{places_sql('enriched', 'id', 'body', ['that', 'with'])}, {PAIRS_SQL}, lex AS (SELECT key AS id, row_number() OVER (ORDER BY r DESC, key) AS rnk FROM (SELECT * FROM pairs ORDER BY r DESC, key LIMIT 100)),
 s AS (SELECT id, sum(1.0::DOUBLE / (60 + rnk)) AS s FROM (SELECT * FROM dense UNION ALL SELECT * FROM lex) GROUP BY id)
 SELECT id, round(s, 6) AS rank_score FROM s JOIN enriched USING (id) ORDER BY s DESC, base_score * recency_factor DESC, last_dubbed_at DESC, id LIMIT 20""", "enriched"))
 def memory_rrf_rank(spark, d):
