@@ -19,9 +19,12 @@ def upsert(old: DataFrame, new: DataFrame, key: str, latest: list[str], first: l
     return both.select(key, *[F.when(take_new, F.col(f"n_{c}")).otherwise(F.col(f"o_{c}")).alias(c) for c in latest], *[F.coalesce(f"o_{c}", f"n_{c}").alias(c) for c in first])
 
 
-def insert_ignore(old: DataFrame, new: DataFrame, keys: list[str]) -> DataFrame:
-    """New rows with new keys, one a key."""
-    return old.unionByName(new.dropDuplicates(keys).join(old.select(*keys), keys, "left_anti"))
+def insert_ignore(old: DataFrame, new: DataFrame, keys: list[str], order: list[str] | None = None) -> DataFrame:
+    """New rows with new keys, one a key: the first by `order`, and by the other columns where that ties, so reruns agree."""
+    rest = [c for c in new.columns if c not in keys]
+    by = [c for c in order or [] if c in rest] + [c for c in rest if c not in (order or [])]
+    first = new.groupBy(*keys).agg(F.min(F.struct(*by)).alias("__row")).select(*keys, *[F.col(f"__row.`{c}`").alias(c) for c in rest]) if rest else new.select(*keys).distinct()
+    return old.unionByName(first.join(old.select(*keys), keys, "left_anti").select(*old.columns))
 
 
 def replace(old: DataFrame, new: DataFrame, keys: list[str]) -> DataFrame:

@@ -105,11 +105,11 @@ def rolling_budget(calls: DataFrame, user: str, seconds: str, order: str, window
 
         import pyarrow as pa
 
-        who, held = None, deque()
+        who, held = (), deque()  # no user, not even a null one
         for batch in batches:
             n, ok = [], []
             for u, s in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                if u != who or not n and who is None:
+                if u != who:
                     who, held = u, deque()
                 while held and held[0] < s - window_s:
                     held.popleft()

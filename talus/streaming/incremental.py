@@ -1,15 +1,11 @@
-"""Incremental forms: file streams into state tables, deduplication, windows and budgets."""
+"""Incremental forms: file streams into state tables, deduplication and windows."""
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
-import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.streaming import StreamingQuery
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 #: Hash partitions of an ingested table.
 PARTS = 64
@@ -71,26 +67,6 @@ def sessions(stream: DataFrame, ts: str, by: list[str], gap: str = "30 minutes",
     return stream.withWatermark(ts, delay).groupBy(F.session_window(ts, gap).alias("w"), *by).agg(F.count(F.lit(1)).alias("n_events")).select(F.col("w.start").alias("start"), *by, "n_events")
 
 
-def read_budget(stream: DataFrame, user: str, seconds: str, window_s: int = 300, most: int = 40) -> DataFrame:
-    """Rolling budget with state: a refused call takes no place. Needs user, seconds (long) and call (long)."""
-
-    def step(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        held = list(state.get[0]) if state.exists else []
-        for f in frames:
-            f = f.sort_values([seconds, "call"])
-            ok = []
-            for s in f[seconds]:
-                held = [h for h in held if h >= s - window_s]
-                ok.append(len(held) < most)
-                if ok[-1]:
-                    held.append(int(s))
-            yield pd.DataFrame({user: key[0], "call": f["call"].to_numpy(), "allowed": ok})
-        state.update((held,))
-
-    kind = stream.schema[user].dataType.simpleString()
-    return stream.groupBy(user).applyInPandasWithState(step, f"{user} {kind}, call long, allowed boolean", "held array<long>", "append", GroupStateTimeout.NoTimeout)
-
-
 def run_to_end(df: DataFrame, path: str, checkpoint: str, mode: str = "append") -> DataFrame:
     """Drive the stream over what there is now into Parquet and read it."""
     q = df.writeStream.format("parquet").option("path", path).option("checkpointLocation", checkpoint).outputMode(mode).trigger(availableNow=True).start()

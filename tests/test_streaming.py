@@ -1,7 +1,11 @@
+import os
+import random
+
+import pytest
 from pyspark.sql import functions as F
 
-from talus.operators import state
-from talus.streaming import incremental as inc
+from talus.operators import state, threads
+from talus.streaming import incremental as inc, keyed
 
 
 def test_ingest_is_idempotent(spark, tmp_path):
@@ -36,17 +40,65 @@ def test_dedupe_and_sessions(spark, sf, tmp_path):
     assert s.count() > 0
 
 
-def test_read_budget_refuses_without_recording(spark, tmp_path):
-    calls = [("u", s, i) for i, s in enumerate([0, 1, 2, 3, 299, 301, 302])] + [("v", 0, 99)]
-    src = str(tmp_path / "calls")
-    spark.createDataFrame(calls, "user string, at long, call long").coalesce(1).write.parquet(src)
-    got = inc.run_to_end(inc.read_budget(inc.file_stream(spark, src, spark.read.parquet(src).schema), "user", "at", 300, 3), str(tmp_path / "o"), str(tmp_path / "c"))
-    assert {r.call: r.allowed for r in got.collect()} == {0: True, 1: True, 2: True, 3: False, 4: False, 5: True, 6: True, 99: True}
+def budget_brute(calls, window, most):
+    held, out = {}, {}
+    for u, s, i in sorted(calls, key=lambda c: (c[1], c[2])):
+        mine = held[u] = [h for h in held.get(u, []) if h >= s - window]
+        out[i] = len(mine) < most
+        if out[i]:
+            mine.append(s)
+    return out
+
+
+def test_read_budget_over_several_frames(spark, tmp_path):
+    """Calls of a user in several Arrow frames, out of order; a null user is a user; a second trigger goes on where the first ended."""
+    r = random.Random(2)
+    calls = [(u, r.randrange(900), i) for i, u in enumerate(["u", "v", None] * 30)]
+    later = [(u, 900 + r.randrange(300), 1000 + i) for i, u in enumerate(["u", None] * 10)]
+    src, kind = str(tmp_path / "calls"), "user string, at long, call long"
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "3")
+    try:
+        for n, part in enumerate((calls, later)):
+            spark.createDataFrame(part, kind).coalesce(1).write.parquet(f"{src}/{n}")
+            stream = inc.file_stream(spark, f"{src}/*", spark.createDataFrame([], kind).schema)
+            got = inc.run_to_end(keyed.read_budget(stream, "user", "at", 300, 5), str(tmp_path / "o"), str(tmp_path / "c"))
+        assert {x.call: x.allowed for x in got.collect()} == budget_brute(calls + later, 300, 5)
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "10000")
+
+
+@pytest.mark.parametrize("size", ["2", "10000"])
+def test_rolling_budget_of_null_users(spark, size):
+    r = random.Random(3)
+    calls = [(u, r.randrange(600), i) for i, u in enumerate(["u", None, "v"] * 25)]
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", size)
+    try:
+        got = threads.rolling_budget(spark.createDataFrame(calls, "user string, at long, call long"), "user", "at", "call", 100, 3).collect()
+        assert {x.call: x.allowed for x in got} == budget_brute(calls, 100, 3)
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "10000")
+
+
+def test_silent_sources_are_told_without_an_event(spark, tmp_path):
+    parts = [[("a", "00:00:00"), ("b", "00:00:10"), ("b", None)], [("a", "00:02:00"), (None, "00:02:00")], [("a", "00:09:00")], [("b", "00:10:00"), ("a", "00:10:00")]]
+    src, kind = tmp_path / "beats", "src string, t timestamp"
+    for n, rows in enumerate(parts):
+        spark.createDataFrame(rows, "src string, t string").selectExpr("src", "to_timestamp('2024-01-01 ' || t) AS t").coalesce(1).write.parquet(f"{src}/{n}")
+        for p in (src / str(n)).glob("*.parquet"):
+            os.utime(p, (1e9 + n, 1e9 + n))
+    stream = inc.file_stream(spark, f"{src}/*", spark.createDataFrame([], kind).schema, per_trigger=1)
+    got = inc.run_to_end(keyed.silent_sources(stream, "src", "t", 180), str(tmp_path / "o"), str(tmp_path / "c")).collect()
+    assert [(x.src, str(x.last_seen), str(x.stale_at)) for x in got] == [(None, "2024-01-01 00:02:00", "2024-01-01 00:05:00")]
+
+
+def test_insert_ignore_keeps_the_first_row(spark):
+    old, kind = [(1, 0, "old")], "k long, seq long, v string"
+    new = [(1, 1, "x"), (2, 5, "late"), (2, 3, "b"), (2, 3, "a"), (None, 1, "n")]
+    got = state.insert_ignore(spark.createDataFrame(old, kind), spark.createDataFrame(new, kind), ["k"], ["seq"]).collect()
+    assert sorted(map(tuple, got), key=repr) == [(1, 0, "old"), (2, 3, "a"), (None, 1, "n")]
 
 
 def test_upsert_and_purge_guards(spark):
-    import pytest
-
     old = spark.createDataFrame([(1, 5, None), (2, 6, "s")], "k long, n int, slug string")
     new = spark.createDataFrame([(1, 9, "new"), (2, 9, "t"), (3, 1, None)], "k long, n int, slug string")
     assert sorted(map(tuple, state.upsert(old, new, "k", ["n"], ["slug"]).collect())) == [(1, 9, "new"), (2, 9, "s"), (3, 1, None)]
