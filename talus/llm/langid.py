@@ -124,7 +124,7 @@ def train(docs: DataFrame, text_col: str, label_col: str, id_col: str, usable) -
     are one text."""
     ship(docs.sparkSession)
     rows = docs.where(usable & F.col(label_col).isNotNull() & F.col(text_col).isNotNull())
-    key = rows.select(F.col(id_col).alias("id"), F.col(label_col).cast("string").alias("label"), F.xxhash64(F.col(id_col).cast("string")).alias("h")).withColumn("salt", F.pmod("h", F.lit(_SALTS)))
+    key = rows.select(F.col(id_col).alias("id"), F.col(label_col).cast("string").alias("label"), F.xxhash64(F.col(id_col).cast("string")).alias("h")).distinct().withColumn("salt", F.pmod("h", F.lit(_SALTS)))
     few = key.withColumn("n", F.row_number().over(Window.partitionBy("label", "salt").orderBy("h", "id"))).where(F.col("n") <= -(-PER_LANGUAGE // _SALTS))
     # At most PER_LANGUAGE rows and a few for each language are left here.
     ranked = few.withColumn("n", F.row_number().over(Window.partitionBy("label").orderBy("h", "id"))).orderBy("n", "h", "label").limit(IN_ALL)
