@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -59,17 +58,6 @@ def rollback(pages: DataFrame, log: DataFrame, merge_ids: DataFrame) -> DataFram
     return p.select("slug", F.when(hit, F.col("rev") + 1).otherwise(F.col("rev")).alias("rev"), F.when(hit, F.coalesce("before", F.lit(""))).otherwise(F.col("body")).alias("body"))
 
 
-def unified_diff(old: str, new: str, slug: str) -> Column:
-    """Line diff of two texts: sequential, so an Arrow function over batches."""
-    import difflib
-
-    @F.pandas_udf("string")
-    def run(a: pd.Series, b: pd.Series, name: pd.Series) -> pd.Series:
-        return pd.Series(["\n".join(difflib.unified_diff((x or "").splitlines(), (y or "").splitlines(), fromfile=f"a/{n}", tofile=f"b/{n}", lineterm="")) for x, y, n in zip(a, b, name, strict=True)])
-
-    return run(F.col(old), F.col(new), F.col(slug))
-
-
 def line_changes(rows: DataFrame, key: list[str], old: str, new: str) -> DataFrame:
     """(key, added, removed): the bags of lines of two texts against each other."""
 

@@ -261,15 +261,15 @@ def streamed_budget(spark, d):
     return inc.run_to_end(keyed.read_budget(inc.file_stream(spark, src, e.schema), "user_id", "at", 86400, 3), out, cp)
 
 
-@query("""SELECT user_id, date_trunc('millisecond', last) AS last_seen, date_trunc('millisecond', last) + INTERVAL 2 DAY AS stale_at FROM (SELECT user_id, max(ts) AS last FROM events GROUP BY user_id)
-WHERE date_trunc('millisecond', last) + INTERVAL 2 DAY <= (SELECT date_trunc('millisecond', max(ts)) FROM events)""")
+@query("""SELECT user_id, date_trunc('millisecond', last) AS last_seen, date_trunc('millisecond', last) + INTERVAL 6 HOUR AS stale_at FROM (SELECT user_id, max(ts) AS last FROM events GROUP BY user_id)
+WHERE date_trunc('millisecond', last) + INTERVAL 6 HOUR <= (SELECT date_trunc('millisecond', max(ts)) FROM events)""")
 def streamed_silence(spark, d):
-    """Users whose last event the stream has passed by two days, told by timers."""
+    """Users whose last event the stream has passed by six hours, told by timers."""
     e = b.read(spark, d, "events").select("user_id", F.col("ts").cast("timestamp").alias("ts"))
     src, out, cp = (fresh(spark, x) for x in ("silence-in", "silence-out", "silence-checkpoint"))
     retire(spark, src, out, cp)
     e.write.parquet(src)
-    return inc.run_to_end(keyed.silent_sources(inc.file_stream(spark, src, e.schema), "user_id", "ts", 2 * 86400), out, cp)
+    return inc.run_to_end(keyed.silent_sources(inc.file_stream(spark, src, e.schema), "user_id", "ts", 6 * 3600), out, cp)
 
 
 @query("SELECT count(*) AS n, count(DISTINCT event_id) AS n_ids FROM events")

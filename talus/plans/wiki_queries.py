@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from talus.operators import markup, wiki
+from talus.operators import diffs, markup, wiki
 
 from . import bindings as b
 from .registry import query
@@ -69,13 +69,28 @@ def wiki_rollback(spark, d):
     return wiki.rollback(pages, log, ids).select("slug", F.col("rev").cast("int").alias("rev"), "body")
 
 
-@query()
-def page_diffs(spark, d):
-    """Diffs of neighbouring messages of one role; difflib has no SQL, so tests hold it."""
+def _neighbours(spark, d):
     m = b.messages(spark, d)
     nxt = m.select("conv_id", (F.col("seq") - 1).alias("seq"), F.col("content").alias("after"))
-    x = m.join(nxt, ["conv_id", "seq"]).withColumn("slug", F.col("conv_id").cast("string"))
-    return x.select("conv_id", "seq", wiki.unified_diff("content", "after", "slug").alias("diff"))
+    return m.join(nxt, ["conv_id", "seq"])
+
+
+@query()
+def page_diffs(spark, d):
+    """Diffs of neighbouring messages; of several least scripts SQL can't name one, so tests apply them as patches."""
+    return diffs.unified(_neighbours(spark, d), ["conv_id", "seq"], "content", "after", F.col("conv_id").cast("string"))
+
+
+_LINES = "list_filter(list_zip(string_split(coalesce({0}, ''), chr(10)), range(1, len(string_split(coalesce({0}, ''), chr(10))) + 1)), lambda z: z[1] <> '' OR z[2] < len(string_split(coalesce({0}, ''), chr(10))))"
+
+
+@query(b.sql(f"""SELECT * FROM (WITH RECURSIVE p AS MATERIALIZED (SELECT a.conv_id, a.seq, list_transform({_LINES.format('a.content')}, lambda z: z[1]) AS x, list_transform({_LINES.format('b.content')}, lambda z: z[1]) AS y FROM messages a JOIN messages b ON b.conv_id = a.conv_id AND b.seq = a.seq + 1),
+r AS (SELECT conv_id, seq, x, y, 0 AS i, list_transform(range(len(y) + 1), lambda j: 0) AS l FROM p UNION ALL
+SELECT conv_id, seq, x, y, i + 1, list_prepend(0, list_transform(range(1, len(y) + 1), lambda j: list_max(list_transform(range(1, j + 1), lambda t: CASE WHEN y[t] = x[i + 1] THEN l[t] + 1 ELSE l[t + 1] END)))) FROM r WHERE i < len(x))
+SELECT conv_id, seq, CAST(len(y) - l[len(y) + 1] AS BIGINT) AS added, CAST(len(x) - l[len(y) + 1] AS BIGINT) AS removed FROM r WHERE i = len(x))""", "messages"))
+def line_edits(spark, d):
+    """The least numbers of lines to add and to remove between neighbouring messages."""
+    return diffs.unified(_neighbours(spark, d), ["conv_id", "seq"], "content", "after", F.lit("x")).select("conv_id", "seq", "added", "removed")
 
 
 @query(b.sql("""WITH p AS (SELECT a.conv_id, a.seq, a.content AS x, b.content AS y FROM messages a JOIN messages b ON b.conv_id = a.conv_id AND b.seq = a.seq + 1),
@@ -83,9 +98,7 @@ l AS (SELECT conv_id, seq, line, sum(o) AS o, sum(n) AS n FROM (SELECT conv_id,
 SELECT conv_id, seq, CAST(sum(greatest(n - o, 0)) AS BIGINT) AS added, CAST(sum(greatest(o - n, 0)) AS BIGINT) AS removed FROM l GROUP BY conv_id, seq""", "messages"))
 def line_changes(spark, d):
     """How many lines come and go between neighbouring messages, whatever their order."""
-    m = b.messages(spark, d)
-    nxt = m.select("conv_id", (F.col("seq") - 1).alias("seq"), F.col("content").alias("after"))
-    return wiki.line_changes(m.join(nxt, ["conv_id", "seq"]), ["conv_id", "seq"], "content", "after")
+    return wiki.line_changes(_neighbours(spark, d), ["conv_id", "seq"], "content", "after")
 
 
 @query(r"""SELECT doc_id, array_to_string(list_filter(['long-diff', 'thin-evidence'], lambda x: (x = 'long-diff' AND n > 20) OR (x = 'thin-evidence' AND doc_id % 5 > 0 AND (doc_id % 3)::DOUBLE / (doc_id % 5) < 0.5)), ',') AS flags FROM (SELECT doc_id, len(string_split(text, chr(10))) AS n FROM documents WHERE text IS NOT NULL)""")
