@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from talus.functions import text as tx
-from talus.operators import fusion
+from talus.operators import chunks, fusion
 from talus.scratch import fresh, retire
 from talus.sources import files, sessions
 from talus.streaming import incremental as inc, keyed
@@ -202,16 +202,36 @@ def source_tree_files(spark, d):
     return found.where(~files.is_secret(F.col("content"))).select("path", F.size(F.split("content", "\n")).cast("long").alias("n_lines"))
 
 
-@query(rf"""WITH f AS ({_TREE.replace("SELECT page_id,", "SELECT page_id,")} AND page_id % 10 = 0)
-SELECT path, symbol, kind, start_line, end_line FROM (SELECT path, 'K' AS symbol, 'class' AS kind, CAST(1 AS INT) AS start_line, CAST(2 AS INT) AS end_line FROM f
-UNION ALL SELECT path, 'K.m' || page_id, 'method', CAST(3 AS INT), CAST(6 AS INT) FROM f UNION ALL SELECT path, 'g', 'function', CAST(8 AS INT), CAST(11 AS INT) FROM f)""")
+def _sources(spark, d):
+    """(path, content): each document as a page with a script, a shell script and a Python file that hold its text."""
+    r, t = F.col("doc_id").cast("string"), F.regexp_replace(F.coalesce("text", F.lit("")), "[`'\"\\\\\r]", "_")
+    js = F.concat(F.lit("<p>"), t, F.lit("</p>\n<script>\nfunction outer"), r, F.lit("(a) {\n  // "), F.regexp_replace(t, "\n", "\n  // "), F.lit("\n  const inner = (x) => {\n    `"), t, F.lit("{`;\n    return '}'\n  }\n}\n</script>\n"))
+    sh = F.concat(F.lit("# {\nf"), r, F.lit("() {\n  cat <<'EOF'\n"), t, F.lit('\nEOF\n  echo "}" ${x}\n}\n'))
+    py = F.concat(F.lit('class K:\n    """'), t, F.lit('"""\n    x = 1\n\n    def m'), r, F.lit("(self):\n        s = '''"), t, F.lit("'''\n        return s\n\n\ndef g():\n    return 1\n"))
+    docs = b.read(spark, d, "documents")
+    one = lambda ext, code: docs.select(F.concat(F.lit("src/"), r, F.lit(f".{ext}")).alias("path"), code.alias("content"))
+    return one("html", js).union(one("sh", sh)).union(one("py", py))
+
+
+@query(r"""WITH t AS (SELECT doc_id, CAST(length(coalesce(text, '')) - length(replace(coalesce(text, ''), chr(10), '')) AS INT) AS n FROM documents)
+SELECT 'src/' || doc_id || '.html' AS path, 'outer' || doc_id AS symbol, 'script_fn' AS kind, n + 3 AS start_line, 3 * n + 9 AS end_line FROM t
+UNION ALL SELECT 'src/' || doc_id || '.html', 'outer' || doc_id || '.inner', 'script_fn', 2 * n + 5, 3 * n + 8 FROM t
+UNION ALL SELECT 'src/' || doc_id || '.sh', 'f' || doc_id, 'function', 2, n + 7 FROM t UNION ALL SELECT 'src/' || doc_id || '.py', 'K', 'class', 1, n + 2 FROM t
+UNION ALL SELECT 'src/' || doc_id || '.py', 'K.m' || doc_id, 'method', n + 5, 2 * n + 7 FROM t WHERE n > 0""")
 def source_code_chunks(spark, d):
-    """Heads of classes, methods and functions with four lines or more."""
-    r = F.col("page_id")
-    path = F.concat(F.lit("src/a"), r.cast("string"), F.lit(".py"))
-    body = F.concat(F.lit('class K:\n    """Doc."""\n    def m'), r.cast("string"), F.lit("(self):\n        a = 1\n        b = 2\n        return a + b\n\ndef g(x):\n    y = x\n    z = y\n    return z\n\ndef small():\n    pass\n"))
-    x = b.read(spark, d, "pages").where(r % 10 == 0).select(path.alias("path"), body.alias("content"))
-    return files.code_chunks(files.source_files(spark, _put(spark, x, "code"))).select("path", "symbol", "kind", "start_line", "end_line")
+    """Functions of four lines or more, and heads of classes, of scripts within pages, shell scripts and Python files."""
+    return chunks.chunks(_sources(spark, d), files.MIN_LINES, files.MAX_CHARS).select("path", "symbol", "kind", "start_line", "end_line")
+
+
+@query(r"""WITH t AS (SELECT doc_id, regexp_replace(coalesce(text, ''), '[`''"\\\r]', '_', 'g') AS x FROM documents)
+SELECT doc_id, md5('f' || doc_id || '() {' || chr(10) || '  cat <<''EOF''' || chr(10) || x || chr(10) || 'EOF' || chr(10) || '  echo "}" ${x}' || chr(10) || '}') AS body FROM t""")
+def symbol_bodies(spark, d):
+    """The body of a function that is asked for by its last name."""
+    shell = _sources(spark, d).where("path like '%.sh'")
+    r = F.col("doc_id").cast("string")
+    wanted = b.read(spark, d, "documents").select(F.concat(F.lit("src/"), r, F.lit(".sh")).alias("path"), F.concat(F.lit("lib.f"), r).alias("wanted"))
+    out = chunks.symbol_bodies(shell, wanted)
+    return out.select(F.regexp_extract("path", r"(\d+)\.sh$", 1).cast("long").alias("doc_id"), F.md5(F.col("content").cast("binary")).alias("body"))
 
 
 @query("SELECT CASE WHEN event_id % 13 = 0 THEN 'none' ELSE strftime(ts, '%Y-%m') END AS ym, count(*) AS n FROM events GROUP BY ALL")

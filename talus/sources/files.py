@@ -2,13 +2,12 @@
 
 from __future__ import annotations
 
-import ast
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from talus.functions import text as tx
+from talus.operators import chunks
 
 #: What an index of source files takes.
 EXTENSIONS = ("py", "js", "mjs", "cjs", "ts", "sh", "bash", "html")
@@ -57,48 +56,9 @@ def source_files(spark: SparkSession, root: str) -> DataFrame:
     return files.where(F.col("length") <= MAX_BYTES).select(rel.alias("path"), F.col("content").cast("string").alias("content")).where(allowed_path(F.col("path")))
 
 
-def chunk_python(source: str) -> list[tuple[str, str, int, int, str]]:
-    """(symbol, kind, first line, last line, text) of functions with enough lines at any depth, and of the heads of classes:
-    the declaration and the docstring. A function within a class or another function is a method."""
-    try:
-        tree = ast.parse(source)
-    except (SyntaxError, ValueError):
-        return []
-    rows, text = [], source.splitlines()
-
-    def add(name: str, kind: str, first: int, last: int) -> None:
-        rows.append((name, kind, first, last, "\n".join(text[first - 1 : last])[:MAX_CHARS]))
-
-    def walk(node: ast.AST, prefix: str) -> None:
-        for x in ast.iter_child_nodes(node):
-            if not isinstance(x, (ast.FunctionDef, ast.AsyncFunctionDef, ast.ClassDef)):
-                walk(x, prefix)
-                continue
-            name = f"{prefix}.{x.name}" if prefix else x.name
-            first = min([x.lineno, *(d.lineno for d in x.decorator_list)])
-            if isinstance(x, ast.ClassDef):
-                doc = x.body[0].end_lineno if ast.get_docstring(x, clean=False) is not None else max(x.lineno, x.body[0].lineno - 1)
-                add(name, "class", first, doc)
-            elif x.end_lineno - first + 1 >= MIN_LINES:
-                add(name, "method" if prefix else "function", first, x.end_lineno)
-            walk(x, name)
-
-    walk(tree, "")
-    return rows
-
-
 def code_chunks(files: DataFrame) -> DataFrame:
-    """Functions and classes of Python files, without chunks that hold secrets."""
-
-    def run(batches):
-        import pyarrow as pa
-
-        for batch in batches:
-            rows = [(p, *c) for p, s in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True) for c in chunk_python(s or "")]
-            yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], t) for i, t in enumerate((pa.string(), pa.string(), pa.string(), pa.int32(), pa.int32(), pa.string()))], names=["path", "symbol", "kind", "start_line", "end_line", "content"])
-
-    out = files.where(F.col("path").endswith(".py")).select("path", "content").mapInArrow(run, "path string, symbol string, kind string, start_line int, end_line int, content string")
-    return out.where(~is_secret(F.col("content"))).withColumn("content_sha", F.sha2(F.col("content").cast("binary"), 256))
+    """Functions and heads of classes, without chunks that hold secrets."""
+    return chunks.chunks(files, MIN_LINES, MAX_CHARS).where(~is_secret(F.col("content")))
 
 
 def roster(spark: SparkSession, path: str) -> DataFrame:
