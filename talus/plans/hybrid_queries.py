@@ -4,10 +4,11 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from talus.functions import tables
 from talus.operators import memories as mem, recall
 
 from . import bindings as b
-from .registry import query
+from .registry import ORACLE, query
 from .search_queries import ACL, ME, NAMED, NAMES, PAIRS_SQL, cover_sql, places_sql, toks, word_sim_sql
 
 MINE = "tenant_id = 't1' AND owner_user_id = 'u1'"
@@ -113,6 +114,35 @@ def memory_recall(spark, d):
     return one.unionByName(two).unionByName(log)
 
 
+def _table_functions(spark, d):
+    tables.register(spark, b.memories(spark, d), b.telemetry(spark, d), b.allowlist(spark, d), b.edges(spark, d))
+    vector = ", ".join(f"{float(x)!r}D" for x in b.query_vector(spark, d).first().qv)  # one vector, written into the query
+    return f"array({vector})", f"TIMESTAMP'{b.AS_OF}'"
+
+
+@query(ORACLE["memory_rrf_rank"])
+def memory_rank_function(spark, d):
+    """The fused rank as a table function of SQL."""
+    vector, as_of = _table_functions(spark, d)
+    return spark.sql(f"SELECT id, round(rank_score, 6) AS rank_score FROM talus_ranked_memories('that with', {vector}, 'src1', true, 20, {as_of})")
+
+
+@query(ORACLE["memory_list_mode"])
+def memory_list_function(spark, d):
+    """Without a query: by importance."""
+    _, as_of = _table_functions(spark, d)
+    return spark.sql(f"SELECT id, round(rank_score, 6) AS rank_score FROM talus_ranked_memories('', NULL, 'src1', true, 500, {as_of})")
+
+
+@query(b.sql("""WITH n AS (SELECT p.doc_id AS seed, target_memory_pk AS id, min(CASE source_memory_pk WHEN p.doc_id THEN 1 ELSE 2 END) AS r FROM documents p JOIN edges e ON e.source_memory_pk IN (p.doc_id, p.doc_id + 1)
+WHERE target_memory_pk NOT IN (p.doc_id, p.doc_id + 1) AND target_memory_pk IN (SELECT id FROM visible) AND source_memory_pk IN (SELECT id FROM memories WHERE deleted_at IS NULL) GROUP BY ALL)
+SELECT seed, id, CAST(row_number() OVER (PARTITION BY seed ORDER BY r, id) AS INT) AS place FROM n QUALIFY place <= 2""", "enriched", "edges"))
+def memory_neighbour_function(spark, d):
+    """The neighbours of each memory and the next, joined laterally."""
+    _table_functions(spark, d)
+    return spark.sql("SELECT d.id AS seed, n.id, n.place FROM talus_memories d, LATERAL talus_memory_neighbours(array(d.id, d.id + 1), 'src1', true, 2) n")
+
+
 @query(b.sql("SELECT CAST(entry_date AS VARCHAR) AS entry_date, conv_count, body FROM diary_entries WHERE entry_date = DATE '2024-01-15'", "diary_entries"))
 def diary_on_date(spark, d):
     e = b.diary_entries(spark, d).where(F.col("entry_date") == F.lit("2024-01-15").cast("date"))
