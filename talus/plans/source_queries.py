@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from talus.functions import text as tx
 from talus.operators import chunks, fusion
 from talus.scratch import fresh, retire
-from talus.sources import files, sessions
+from talus.sources import files, growing, sessions
 from talus.streaming import incremental as inc, keyed
 
 from . import bindings as b
@@ -255,6 +255,23 @@ def appended_log(spark, d):
     return spark.read.schema(e.schema).json(out).groupBy("event_type").agg(F.count(F.lit(1)).alias("n"))
 
 
+@query("""WITH l AS (SELECT conv_id, turn, role || ' ' || replace(replace(coalesce(text, ''), chr(10), ' '), chr(13), ' ') AS line FROM conversations)
+SELECT conv_id, CAST(coalesce(sum(strlen(line) + 1) OVER (PARTITION BY conv_id ORDER BY turn ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS start, md5(line) AS digest FROM l""")
+def appended_lines(spark, d):
+    """A stream over logs that grow: it reads their first half, up to the last whole line, and then only what was appended."""
+    line = F.concat("role", F.lit(" "), F.regexp_replace(F.coalesce("text", F.lit("")), r"[\n\r]", " "), F.lit("\n"))
+    rows = b.read(spark, d, "conversations").select("conv_id", "turn", line.alias("line")).groupBy("conv_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("turn", "line"))), lambda x: x["line"]), "").alias("content"))
+    path = F.concat(F.col("conv_id").cast("string"), F.lit(".jsonl"))
+    src, out, cp = (fresh(spark, x) for x in ("growing-in", "growing-out", "growing-checkpoint"))
+    retire(spark, src, out, cp)
+    growing.register(spark)
+    stream = spark.readStream.format("talus_lines").load(src)
+    for content in (F.substring("content", F.lit(1), (F.length("content") / 2).cast("int")), F.col("content")):
+        files.write_files(rows.select(path.alias("path"), content.alias("content")), src)
+        got = inc.run_to_end(stream, out, cp)
+    return got.select(F.regexp_extract("path", r"(\d+)\.jsonl$", 1).cast("long").alias("conv_id"), "start", F.md5(F.col("value").cast("binary")).alias("digest"))
+
+
 @query("SELECT conv_id, turn, role, 'first' AS origin FROM conversations WHERE turn < 4 UNION ALL SELECT conv_id, turn, role, 'second' FROM conversations WHERE turn >= 4")
 def ingested_messages(spark, d):
     """A stream of two files, the second of which repeats the first: every key is inserted once, by the batch that brings it first."""
