@@ -92,8 +92,9 @@ def brute_phrases(rows, least, top, percent=100):
 
 @pytest.mark.parametrize("percent", [100, 60])
 def test_collocations_equal_brute_force(spark, percent, monkeypatch):
-    monkeypatch.setattr(phrases, "SLICE", 300)
+    monkeypatch.setattr(phrases, "WINDOW", 300)
     monkeypatch.setattr(phrases, "HELD", 200)
+    monkeypatch.setattr(phrases, "HASHES_HELD", 400)
     r = random.Random(3)
     say = ["new york city", "state of the art", "a b", "the", "Émile ZOLA é", "x, y", "z. new york", "of the\tart;", "the the the", "\n", "one two three four five six"]
     rows = [(i, " ".join(r.choices(say, k=r.randrange(1, 30))), r.choice(["en", "en", "de", None]), "s") for i in range(120)] + EDGE[:4]
@@ -108,18 +109,28 @@ def test_collocations_of_edges(spark):
 
 
 def test_stripe_totals_are_counts_of_prefixes(spark):
-    rows = [(i, "a b c. a b d, a c b a", "en", "s") for i in range(30)]
-    base = docs(spark, rows).select("lang", "text")
-    one, _ = phrases.stripes(base, 1, 5, None, 0, {(b"en", b"")})
-    words = {w: c for r in one.collect() for w, c in zip(r.words, r.counts, strict=True)}
-    assert words == {"a": 120, "b": 90, "c": 60, "d": 30}
-    filt, bits = phrases.phrase_filter(spark.createDataFrame([("en", w) for w in words], "lang string, phrase string"), 1, 4)
-    two, _ = phrases.stripes(base, 2, 5, spark.sparkContext.broadcast(filt), bits, {(b"en", b"a")})
-    totals = Counter()
-    for r in two.collect():
-        totals[r.prefix] += r.rest + sum(r.counts)
-    assert totals == words
-    assert len({r.slot for r in two.where("prefix = 'a'").collect()}) > 1
+    base = docs(spark, [(i, "a b c. a b d, a c b a", "en", "s") for i in range(30)]).select("lang", "text")
+    shared, hot = [], [np.zeros(0, np.uint64)]
+    for k in (1, 2):
+        hashes, _ = phrases.frequent(base, k, 5, shared, 64)
+        rows = hashes.collect()
+        assert len(rows) == (4, 6)[k - 1] and max(r.n for r in rows) == (120, 60)[k - 1]
+        hot.append(np.array([max(rows, key=lambda r: r.n).hash], dtype=np.int64).view(np.uint64))
+        shared.append(spark.sparkContext.broadcast(phrases.hash_filter(hashes, len(rows))))
+    rows = phrases.stripes(base, 5, shared, hot)[0].collect()
+    entries = {(r.prefix, w): n for r in rows for w, n in zip(r.words, r.counts, strict=True)}
+    assert sum(r.rest + sum(r.counts) for r in rows if r.prefix == "") == 300
+    assert len({r.slot for r in rows if r.prefix == "a"}) == 2 and len({r.slot for r in rows if r.prefix == "b"}) == 1
+    assert entries == {("", "a"): 120, ("", "b"): 90, ("", "c"): 60, ("", "d"): 30, ("a", "b"): 60, ("b", "c"): 30, ("b", "d"): 30, ("a", "c"): 30, ("c", "b"): 30, ("b", "a"): 30}
+
+
+def test_words_of_a_window():
+    raw = "Ab  c.d\té,\n x?".encode().translate(phrases._TABLE)
+    w = phrases.Words(raw, b"en")
+    assert [w.phrase(i, 1).decode() for i in range(len(w))] == ["ab", "c", "d", "é", "x"]
+    assert w.whole(2).tolist() == [0, 2] and len(set(w.hashes(1, np.arange(5)).tolist())) == 5
+    again = phrases.Words(b"zz \xffab c", b"en")
+    assert again.hashes(2, np.array([1])).tolist() == w.hashes(2, np.array([0])).tolist()
 
 
 # secrets
