@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from talus.scratch import fresh, retire
+
 from talus.functions.stats import wilson, worst
 
 #: Canary thresholds, and outcomes that mean the search could not run.
@@ -51,11 +53,22 @@ def advisories(log: DataFrame, probe_mark: str = "live_probe.js") -> DataFrame:
 
 
 def similarity_summary(log: DataFrame) -> DataFrame:
-    """n, min, median (element n // 2) and max of sim, rounded to 4 places."""
-    counts = log.where("sim is not null").groupBy("sim").agg(F.count(F.lit(1)).alias("c"))
-    w = Window.partitionBy()
-    counts = counts.withColumn("upto", F.sum("c").over(Window.orderBy("sim").rowsBetween(Window.unboundedPreceding, 0))).withColumn("n", F.sum("c").over(w))
-    return counts.agg(F.sum("c").alias("n"), F.round(F.min("sim"), 4).alias("min"), F.round(F.min(F.when(F.col("upto") > F.floor(F.col("n") / 2), F.col("sim"))), 4).alias("p50"), F.round(F.max("sim"), 4).alias("max"))
+    """n, min, median (element n // 2) and max of sim, rounded to 4 places.
+
+    Distinct values are dealt by range and written; only the range in which the median lies is looked into, by running counts."""
+    spark = log.sparkSession
+    at = fresh(spark, "similarity")
+    retire(spark, at)
+    log.where("sim is not null").groupBy("sim").agg(F.count(F.lit(1)).alias("c")).repartitionByRange("sim").withColumn("part", F.spark_partition_id()).write.parquet(at)
+    parts = spark.read.schema("sim double, c long, part int").parquet(at)
+    by_part = Window.orderBy("part")  # a row a part
+    totals = parts.groupBy("part").agg(F.sum("c").alias("c"), F.min("sim").alias("low"), F.max("sim").alias("high"))
+    totals = totals.withColumn("before", F.sum("c").over(by_part.rowsBetween(Window.unboundedPreceding, 0)) - F.col("c")).withColumn("n", F.sum("c").over(Window.partitionBy()))
+    rank = F.floor(F.col("n") / 2)
+    middle = totals.where((F.col("before") <= rank) & (rank < F.col("before") + F.col("c"))).select("part", "before", "n")
+    inside = parts.join(F.broadcast(middle), "part").withColumn("upto", F.col("before") + F.sum("c").over(Window.partitionBy("part").orderBy("sim").rowsBetween(Window.unboundedPreceding, 0)))
+    half = inside.where(F.col("upto") > rank).agg(F.round(F.min("sim"), 4).alias("p50"))
+    return totals.agg(F.sum("c").alias("n"), F.round(F.min("low"), 4).alias("min"), F.round(F.max("high"), 4).alias("max")).crossJoin(half).select("n", "min", "p50", "max")  # one row each
 
 
 def rates(rows: DataFrame, *by: str) -> DataFrame:

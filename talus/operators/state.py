@@ -121,20 +121,26 @@ def disable(users: DataFrame, who: DataFrame, as_of: Column) -> DataFrame:
 def backfill(rows: DataFrame, transform, key: str, out: str, buckets: int, stop_after: int | None = None) -> tuple[DataFrame, list[dict]]:
     """Rows after a backfill in hash buckets of the key, each a job that writes its own folder and then its checkpoint.
 
-    A rerun leaves finished buckets alone, so it goes on where a lost run ended. Returns what is there and one heartbeat
-    for each bucket that this run did. stop_after ends the run early, as an interruption would."""
+    The rows are read once, dealt by bucket to a staged copy that lasts until all buckets are done. A rerun leaves the copy and finished
+    buckets alone, so it goes on where a lost run ended, with the rows as they were when it began. Returns what is there and one heartbeat for each
+    bucket that this run did. stop_after ends the run early, as an interruption would."""
     spark = rows.sparkSession
     path = spark._jvm.org.apache.hadoop.fs.Path
     fs = path(out).getFileSystem(spark._jsc.hadoopConfiguration())
-    beats: list[dict] = []
-    for i in range(buckets):
-        if fs.exists(path(f"{out}/bucket={i}/_SUCCESS")):
-            continue
-        if stop_after is not None and len(beats) == stop_after:
-            break
-        transform(rows.where(F.pmod(F.xxhash64(key), F.lit(buckets)) == i)).write.mode("overwrite").parquet(f"{out}/bucket={i}")
+    done = lambda at: fs.exists(path(f"{at}/_SUCCESS"))
+    staged, beats = f"{out}/_staged", []
+    left = [i for i in range(buckets) if not done(f"{out}/bucket={i}")]
+    if left and not done(staged):
+        dealt = rows.withColumn("__bucket", F.pmod(F.xxhash64(key), F.lit(buckets)).cast("int"))
+        dealt.write.mode("overwrite").partitionBy("__bucket").parquet(staged)
+    for i in left[:stop_after]:
+        at = f"{staged}/__bucket={i}"
+        part = spark.read.schema(rows.schema).parquet(at) if fs.exists(path(at)) else rows.limit(0)
+        transform(part).write.mode("overwrite").parquet(f"{out}/bucket={i}")
         beats.append({"bucket": i, "status": "complete"})
         spark.createDataFrame([(i, "complete")], "bucket int, status string").coalesce(1).write.mode("append").json(f"{out}/_checkpoints")
+    if len(beats) == len(left):
+        fs.delete(path(staged), True)
     return spark.read.option("basePath", out).parquet(f"{out}/bucket=*").drop("bucket"), beats
 
 

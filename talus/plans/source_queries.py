@@ -166,12 +166,18 @@ def web_export_messages(spark, d):
     return _shown(sessions.web_export(spark, _put(spark, _zipped(z, "conversations.json"), "web-exports"))[1])
 
 
-@query(r"SELECT 'note' || doc_id AS stem, lang, 'N ' || doc_id AS name, md5(text) AS digest FROM documents WHERE text IS NOT NULL AND lang IS NOT NULL")
+@query(r"""SELECT 'note' || doc_id AS stem, lang, 'N ' || doc_id AS name, md5(text) AS digest, 's' || source AS inner, CAST(doc_id % 3 AS INT) AS n_tags, replace(coalesce(n.line, ''), chr(9), ' ') AS summary
+FROM documents, LATERAL (SELECT trim(split_part(text, chr(10), 1)) AS line) n WHERE text IS NOT NULL AND lang IS NOT NULL""")
 def vault_notes(spark, d):
+    """Notes with nested front matter: quoted and repeated keys, maps, lists and a block of the text's first line."""
     x = b.read(spark, d, "documents").where("text is not null and lang is not null")
-    rows = x.select(F.concat(F.lit("vault/"), (F.col("doc_id") % 20).cast("string"), F.lit("/note"), _sid("doc_id"), F.lit(".md")).alias("path"), F.concat(F.lit("---\nlang: "), "lang", F.lit("\nname: 'N "), _sid("doc_id"), F.lit("'\nlang: zz\n---\n"), "text").alias("content"))
+    line = F.replace(F.trim(F.split_part("text", F.lit("\n"), F.lit(1))), F.lit("\t"), F.lit(" "))
+    tags = F.when(F.col("doc_id") % 3 == 0, "tags: []\n").when(F.col("doc_id") % 3 == 1, "tags: [one]\n").otherwise("tags:\n- one\n- 'two # x'\n")
+    head = F.concat(F.lit("---\nlang: "), "lang", F.lit("\nname: 'N "), _sid("doc_id"), F.lit("'\nlang: zz\nmeta:\n  deep:\n    inner: s"), "source", F.lit("\n"), tags, F.lit("summary: |-\n  "), line, F.lit("\n---\n"))
+    rows = x.select(F.concat(F.lit("vault/"), (F.col("doc_id") % 20).cast("string"), F.lit("/note"), _sid("doc_id"), F.lit(".md")).alias("path"), F.concat(head, "text").alias("content"))
     v = files.vault(spark, _put(spark, rows, "vault"))
-    return v.select("stem", F.col("front")["lang"].alias("lang"), F.col("front")["name"].alias("name"), F.md5(F.col("body").cast("binary")).alias("digest"))
+    tags = F.size(F.from_json(F.get_json_object("front_json", "$.tags"), "array<string>"))
+    return v.select("stem", F.col("front")["lang"].alias("lang"), F.col("front")["name"].alias("name"), F.md5(F.col("body").cast("binary")).alias("digest"), F.get_json_object("front_json", "$.meta.deep.inner").alias("inner"), tags.alias("n_tags"), F.coalesce(F.col("front")["summary"], F.lit("")).alias("summary"))
 
 
 @query("SELECT event_type, count(*) AS n, round(sum(value), 2) AS total FROM events WHERE event_id % 4 <> 3 GROUP BY event_type")
@@ -322,10 +328,14 @@ def streamed_dedupe(spark, d):
 
 @query("SELECT 't' || (c_nationkey % 3) AS tenant_id, 'u' || c_custkey AS user_id, 'team' || (c_custkey % 4) AS team_id FROM customer WHERE c_custkey % 5 <> 0 UNION ALL SELECT 't' || (c_nationkey % 3), 'u' || c_custkey, NULL FROM customer WHERE c_custkey % 5 = 0")
 def roster_rows(spark, d):
-    """JSON rosters, one file a tenant; users without a team stay."""
-    u = F.struct(F.concat(F.lit("u"), F.col("c_custkey").cast("string")).alias("user_id"), F.when(F.col("c_custkey") % 5 != 0, F.array(F.concat(F.lit("team"), (F.col("c_custkey") % 4).cast("string")))).otherwise(F.array().cast("array<string>")).alias("teams"))
-    t = b.read(spark, d, "customer").groupBy(F.concat(F.lit("t"), (F.col("c_nationkey") % 3).cast("string")).alias("tenant_id")).agg(F.collect_list(u).alias("users"))
-    rows = t.select(F.concat("tenant_id", F.lit(".json")).alias("path"), F.to_json(F.struct("tenant_id", "users")).alias("content"))
+    """Rosters, one file a tenant, in YAML but for one in JSON; users without a team stay."""
+    has = F.col("c_custkey") % 5 != 0
+    name, team = F.concat(F.lit("u"), F.col("c_custkey").cast("string")), F.concat(F.lit("team"), (F.col("c_custkey") % 4).cast("string"))
+    in_json = F.concat(F.lit('{"user_id": "'), name, F.lit('", "teams": ['), F.when(has, F.concat(F.lit('"'), team, F.lit('"'))).otherwise(""), F.lit("]}"))
+    in_yaml = F.concat(F.lit("  - user_id: "), name, F.lit("\n    name: 'It''s'\n"), F.when(F.col("c_custkey") % 2 == 0, F.concat(F.lit("    teams: ["), F.when(has, team).otherwise(""), F.lit("]\n"))).when(has, F.concat(F.lit("    teams:\n    - \""), team, F.lit("\" # own\n"))).otherwise(""))
+    t = b.read(spark, d, "customer").groupBy(F.concat(F.lit("t"), (F.col("c_nationkey") % 3).cast("string")).alias("tenant_id")).agg(F.array_join(F.collect_list(in_json), ", ").alias("j"), F.array_join(F.collect_list(in_yaml), "").alias("y"))
+    is_json = F.col("tenant_id") == "t1"
+    rows = t.select(F.concat("tenant_id", F.when(is_json, ".json").otherwise(".yaml")).alias("path"), F.when(is_json, F.concat(F.lit('{"tenant_id": "t1", "users": ['), "j", F.lit("]}"))).otherwise(F.concat(F.lit("tenant_id: "), "tenant_id", F.lit("\nusers:\n"), "y")).alias("content"))
     return files.roster(spark, _put(spark, rows, "rosters"))
 
 

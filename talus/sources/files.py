@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from talus.functions import front
 from talus.functions import text as tx
 from talus.operators import chunks
 
@@ -25,15 +26,14 @@ def rotated_log(spark: SparkSession, folder: str, base: str, schema: T.StructTyp
 
 
 def vault(spark: SparkSession, path: str) -> DataFrame:
-    """path, stem, front (map of the simple keys of the front matter), body of markdown files."""
+    """path, stem, front (map of the front matter's own keys to scalars, or to JSON of lists and maps), front_json, body of markdown files.
+
+    Of repeated keys the first counts. Front matter that can't be read gives an empty map and no JSON."""
     raw = spark.read.text(path, wholetext=True, pathGlobFilter="*.md", recursiveFileLookup=True).select(F.col("_metadata.file_path").alias("path"), "value")
-    front = F.regexp_extract("value", r"(?s)\A---\r?\n(.*?)\r?\n---\r?\n?", 1)
-    keys = F.filter(F.split(front, r"\r?\n"), lambda x: x.rlike(r"^\s*[\w-]+\s*:\s*\S"))
-    entry = lambda x: F.struct(F.trim(F.regexp_extract(x, r"^\s*([\w-]+)\s*:", 1)).alias("key"), F.regexp_replace(F.trim(F.regexp_extract(x, r":\s*(.*)$", 1)), r"^['\"]|['\"]$", "").alias("value"))
-    # The first of repeated keys counts.
-    first = lambda acc, e: F.when(F.exists(acc, lambda y: y["key"] == e["key"]), acc).otherwise(F.concat(acc, F.array(e)))
-    pairs = F.aggregate(F.transform(keys, entry), F.array().cast("array<struct<key:string,value:string>>"), first)
-    return raw.select("path", tx.file_stem(F.col("path")).alias("stem"), F.map_from_entries(pairs).alias("front"), F.regexp_replace("value", r"(?s)\A---\r?\n.*?\r?\n---\r?\n?", "").alias("body"))
+    read = front.with_json(raw.withColumn("__front", front.front_matter(F.col("value"))), "__front", "front_json")
+    keys = F.coalesce(F.from_json("front_json", "map<string,string>"), F.create_map().cast("map<string,string>"))
+    body = F.regexp_replace("value", r"(?s)\A---[ \t]*\r?\n(?:.*?\n)?---[ \t]*(?:\r?\n|\z)", "")
+    return read.select("path", tx.file_stem(F.col("path")).alias("stem"), keys.alias("front"), "front_json", body.alias("body"))
 
 
 def allowed_path(path: Column) -> Column:
@@ -62,8 +62,9 @@ def code_chunks(files: DataFrame) -> DataFrame:
 
 
 def roster(spark: SparkSession, path: str) -> DataFrame:
-    """One row a user and team of a JSON roster."""
-    r = spark.read.json(path, multiLine=True)
+    """One row a user and team of rosters in JSON or YAML (which holds JSON); users without a team have one row."""
+    raw = spark.read.text(path, wholetext=True, pathGlobFilter="*.{json,yaml,yml}", recursiveFileLookup=True)
+    r = front.with_json(raw, "value", "__json").select(F.from_json("__json", "tenant_id string, users array<struct<user_id:string,teams:array<string>>>").alias("r")).select("r.*")
     return r.select("tenant_id", F.explode("users").alias("u")).select("tenant_id", F.col("u.user_id").alias("user_id"), F.explode_outer("u.teams").alias("team_id"))
 
 

@@ -21,6 +21,22 @@ def test_ingest_is_idempotent(spark, tmp_path):
     assert got == {(1, 1): "a", (1, 2): "b", (1, 3): "c"}
 
 
+def test_ingest_compacts_and_goes_on(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(inc, "COMPACT", 3)
+    src, out, kind = tmp_path / "in", f"file://{tmp_path}/out", "k long, v string"
+    want = {}
+    for n in range(7):
+        rows = [(n, f"new{n}"), (n + 1, f"new{n}"), (n + 1, f"also{n}"), (None, f"n{n}")]
+        for k, v in sorted(rows, key=str):
+            want.setdefault(k, v)
+        spark.createDataFrame(rows, kind).write.parquet(f"{src}/{n}")
+        inc.ingest_messages(inc.file_stream(spark, f"{src}/*", spark.createDataFrame([], kind).schema), out, f"{tmp_path}/cp", ["k"]).awaitTermination()
+    base, there = inc.folders_of(spark, out)
+    assert base is not None and len(there) <= 4
+    got = [(r.k, r.v) for r in inc.ingested(spark, out).collect() if r.k is not None]
+    assert dict(got) == {k: v for k, v in want.items() if k is not None} and len(got) == len(set(got)) == 8
+
+
 def events(spark, sf):
     e = spark.read.parquet(f"{sf}/events.parquet")
     return inc.file_stream(spark, sf, e.schema, glob="events.parquet").withColumn("ts", F.col("ts").cast("timestamp"))
