@@ -89,6 +89,21 @@ def chunk_diff(old: DataFrame, new: DataFrame) -> DataFrame:
     return both.where("n_now > 0").select("path", status.alias("status")).join(reuse, "path")
 
 
+def replace_chunks(old: DataFrame, new: DataFrame) -> DataFrame:
+    """The new chunks as the next state of an index, with their vectors and what became of their file.
+
+    Both have path, seq, symbol, content_sha, start_line, end_line; old has dense too. A file whose symbols and hashes are the same in order keeps
+    its vectors row by row (metadata-only); of other files (new, replaced) a chunk takes the vector of any old chunk of equal content, the first by path
+    and seq, and null where there is none yet, to be embedded. Chunks of files that aren't in new are gone."""
+    was = old.select("path", "seq", F.struct("symbol", "content_sha").alias("was"), F.col("dense").alias("own"))
+    both = new.withColumn("now", F.struct("symbol", "content_sha")).select("path", "seq", "now").join(was.drop("own"), ["path", "seq"], "full")
+    status = both.groupBy("path").agg(F.count("now").alias("n_now"), F.count("was").alias("n_was"), F.count_if(~F.col("now").eqNullSafe(F.col("was"))).alias("n_off")).where("n_now > 0")
+    status = status.select("path", F.when(F.col("n_was") == 0, "new").when(F.col("n_off") == 0, "metadata-only").otherwise("replaced").alias("status"))
+    known = old.where("dense is not null").groupBy("content_sha").agg(F.min_by("dense", F.struct("path", "seq")).alias("known"))
+    rows = new.join(status, "path").join(was.drop("was"), ["path", "seq"], "left").join(known, "content_sha", "left")
+    return rows.select("path", "seq", "symbol", "content_sha", "start_line", "end_line", F.when(F.col("status") == "metadata-only", F.col("own")).otherwise(F.col("known")).alias("dense"), "status")
+
+
 def write_scores(threads: DataFrame, scores: DataFrame, as_of: Column) -> DataFrame:
     """Threads with the scores of (conv_id, scored, intensity, topic). One that had nothing to score (scored is false) is marked
     as done, once and without scores, so that it isn't tried again; the others keep what they have."""

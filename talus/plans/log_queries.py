@@ -225,6 +225,21 @@ def chunk_diff(spark, d):
     return st.chunk_diff(new.where("seq % 50 <> 0 or path = 'src3'"), new)
 
 
+@query(b.sql("""WITH old AS MATERIALIZED (SELECT source AS path, doc_id AS seq, sha256(coalesce(text, '')) AS sha, dense FROM corpus WHERE source <> 'src7'),
+new AS MATERIALIZED (SELECT source AS path, doc_id AS seq, sha256(coalesce(text, '') || CASE WHEN doc_id % 50 = 0 AND source <> 'src3' THEN '!' ELSE '' END) AS sha FROM corpus WHERE source <> 'src5'),
+st AS (SELECT n.path, CASE WHEN NOT bool_or(o.path IS NOT NULL) THEN 'new' WHEN bool_and(o.sha IS NOT DISTINCT FROM n.sha) THEN 'metadata-only' ELSE 'replaced' END AS status FROM new n LEFT JOIN old o USING (path, seq) GROUP BY n.path),
+known AS (SELECT sha, first(dense ORDER BY path, seq) AS k FROM old WHERE dense IS NOT NULL GROUP BY sha)
+SELECT n.path, n.seq, status, round(list_sum(CASE WHEN status = 'metadata-only' THEN o.dense ELSE k END), 5) AS total FROM new n JOIN st USING (path) LEFT JOIN old o USING (path, seq) LEFT JOIN known ON known.sha = n.sha""", "corpus"))
+def chunk_state(spark, d):
+    """The next state of an index, whose vectors come from equal content wherever it was."""
+    c = b.corpus(spark, d).withColumn("text", F.coalesce("text", F.lit("")))
+    row = lambda text: [F.col("source").alias("path"), F.col("doc_id").alias("seq"), F.lit("f").alias("symbol"), F.sha2(text.cast("binary"), 256).alias("content_sha"), F.lit(1).alias("start_line"), F.lit(2).alias("end_line")]
+    old = c.where("source <> 'src7'").select(*row(F.col("text")), "dense")
+    new = c.where("source <> 'src5'").select(*row(F.concat("text", F.when((F.col("doc_id") % 50 == 0) & (F.col("source") != "src3"), "!").otherwise(""))))
+    total = F.aggregate("dense", F.lit(0.0), lambda x, y: x + y.cast("double"))
+    return st.replace_chunks(old, new).select("path", "seq", "status", F.round(total, 5).alias("total"))
+
+
 @query(b.sql("SELECT m.id, CAST(m.last_dubbed_at AS VARCHAR) AS last_dubbed_at FROM memories m WHERE deleted_at IS NULL AND last_dubbed_at < TIMESTAMP '2024-09-01 00:00:00' - INTERVAL 180 DAY", "memories"))
 def stale_memories(spark, d):
     return mem.stale(b.memories(spark, d), b.as_of(), 180).select("id", F.col("last_dubbed_at").cast("string").alias("last_dubbed_at"))

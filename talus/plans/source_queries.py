@@ -208,6 +208,26 @@ def source_tree_files(spark, d):
     return found.where(~files.is_secret(F.col("content"))).select("path", F.size(F.split("content", "\n")).cast("long").alias("n_lines"))
 
 
+@query("""SELECT source AS repo, 'src/' || CASE WHEN doc_id % 5 = 0 THEN 'données/' ELSE '' END || 'a' || doc_id || '.py' AS path, CAST(strlen(coalesce(text, '')) AS BIGINT) AS size
+FROM documents WHERE doc_id % 7 <> 0 AND doc_id % 11 <> 0 AND doc_id % 13 <> 0 AND source IS NOT NULL""")
+def tracked_files(spark, d):
+    """The tracked files of one repository a source: links, submodules and paths that lead out of it aren't among them."""
+    r = F.col("doc_id")
+    name = F.concat(F.lit("src/"), F.when(r % 5 == 0, "données/").otherwise(""), F.lit("a"), r.cast("string"), F.lit(".py"))
+    path = F.when(r % 11 == 0, F.concat(F.lit("src/../../b"), r.cast("string"))).otherwise(name).cast("binary")
+    mode = F.when(r % 7 == 0, "A000").when(r % 13 == 0, "E000").otherwise("81A4")
+    x = b.read(spark, d, "documents").where("source is not null").select("source", path.alias("path"), mode.alias("mode"), F.octet_length(F.coalesce("text", F.lit(""))).alias("size"))
+    zeros = lambda n: F.lit("00" * n)
+    length = F.octet_length("path")
+    fixed = F.concat(zeros(26), "mode", zeros(8), F.lpad(F.hex("size"), 8, "0"), zeros(20), F.lpad(F.hex(F.least(length, F.lit(4095))), 4, "0"))
+    entry = F.concat(fixed, F.hex("path"), F.repeat(F.lit("00"), 8 - (62 + length) % 8))
+    index = x.groupBy("source").agg(F.count(F.lit(1)).alias("n"), F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("path", entry.alias("e")))), lambda y: y["e"]), "").alias("body"))
+    content = F.unhex(F.concat(F.hex(F.lit("DIRC")), F.lit("00000002"), F.lpad(F.hex("n"), 8, "0"), "body"))
+    at = _put(spark, index.select(F.concat("source", F.lit("/.git/index")).alias("path"), content.alias("content")), "repositories")
+    out = files.tracked_files(spark, f"{at}/*")
+    return out.select(F.regexp_extract("root", "([^/]+)$", 1).alias("repo"), "path", "size")
+
+
 def _sources(spark, d):
     """(path, content): each document as a page with a script, a shell script and a Python file that hold its text."""
     r, t = F.col("doc_id").cast("string"), F.regexp_replace(F.coalesce("text", F.lit("")), "[`'\"\\\\\r]", "_")

@@ -9,6 +9,7 @@ from pyspark.sql import types as T
 from talus.functions import front
 from talus.functions import text as tx
 from talus.operators import chunks
+from talus.session import ship
 
 #: What an index of source files takes.
 EXTENSIONS = ("py", "js", "mjs", "cjs", "ts", "sh", "bash", "html")
@@ -56,6 +57,52 @@ def source_files(spark: SparkSession, root: str) -> DataFrame:
     return files.where(F.col("length") <= MAX_BYTES).select(rel.alias("path"), F.col("content").cast("string").alias("content")).where(allowed_path(F.col("path")))
 
 
+def _tracked(batches):
+    """Index files to their entries: fixed fields of 62 bytes, longer ones where a flag says so, and paths, padded or (version 4) cut by
+    what they share with the one before."""
+    import struct
+
+    import pyarrow as pa
+
+    for batch in batches:
+        out = []
+        for root, raw in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+            magic, version, count = struct.unpack(">4sII", raw[:12]) if len(raw) >= 12 else (b"", 0, 0)
+            at, name = 12, b""
+            for _ in range(count if magic == b"DIRC" and version in (2, 3, 4) else 0):
+                first, (mode, size, flags) = at, struct.unpack(">24xI8xI20xH", raw[at : at + 62])
+                at += 64 if version > 2 and flags & 0x4000 else 62
+                if version == 4:
+                    cut, shift = 0, 0
+                    while True:  # groups of seven bits, each but the last with a higher one to come
+                        byte = raw[at]
+                        cut, at = (cut + shift << 7) | byte & 127, at + 1
+                        if byte < 128:
+                            break
+                        shift = 1
+                    end = raw.index(b"\0", at)
+                    name, at = name[: len(name) - cut] + raw[at:end], end + 1
+                else:
+                    end = raw.index(b"\0", at)
+                    name, at = raw[at:end], first + (end - first + 8 & ~7)
+                out.append((root, name.decode("utf-8", "replace"), mode, size, flags >> 12 & 3))
+        kinds = (pa.string(), pa.string(), pa.int32(), pa.int64(), pa.int32())
+        yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in out], t) for i, t in enumerate(kinds)], names=["root", "path", "mode", "size", "stage"])
+
+
+def tracked_files(spark: SparkSession, roots: str) -> DataFrame:
+    """root, path, size of the regular files that the repositories matching `roots` (a folder, or a pattern of folders) track.
+
+    Read from each repository's index; an index of another format gives no files. Symbolic links and submodules, entries of an open
+    merge, absolute paths and those that leave the repository are refused."""
+    ship(spark)
+    raw = spark.read.format("binaryFile").load(f"{roots.rstrip('/')}/.git/index").select(F.regexp_replace("path", "/[.]git/index$", "").alias("root"), "content")
+    rows = raw.mapInArrow(_tracked, "root string, path string, mode int, size long, stage int")
+    kind = F.shiftright("mode", 12)  # 8: a regular file, 10: a link, 14: a submodule
+    inside = ~F.exists(F.split("path", "/"), lambda x: x.isin("..", ".", "", ".git"))
+    return rows.where((kind == 8) & (F.col("stage") == 0) & inside).select("root", "path", "size")
+
+
 def code_chunks(files: DataFrame) -> DataFrame:
     """Functions and heads of classes, without chunks that hold secrets."""
     return chunks.chunks(files, MIN_LINES, MAX_CHARS).where(~is_secret(F.col("content")))

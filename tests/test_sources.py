@@ -118,3 +118,29 @@ def test_sinks(spark, tmp_path):
 @pytest.mark.parametrize("name", ["claude-code", "chatgpt", "claude-ai", "codex", "antigravity", "kimi", "grok"])
 def test_registry(name):
     assert callable(sessions.REGISTRY[name])
+
+
+@pytest.mark.parametrize("version", [2, 4])
+def test_tracked_files_equal_what_the_tool_lists(spark, tmp_path, version):
+    import shutil
+    import subprocess
+
+    if not shutil.which("git"):
+        pytest.skip("no git")
+    git = lambda *a: subprocess.run(["git", "-C", str(tmp_path / "r"), "-c", "core.quotePath=false", *a], check=True, capture_output=True, text=True).stdout
+    for p in ("a.py", "deep/er/b.py", "deep/er/bb.py", "é x.js", "not.txt"):
+        put(tmp_path / "r" / p, f"# {p}\n")
+    (tmp_path / "r" / "link.py").symlink_to("/etc/passwd")
+    git("init", "-q")
+    git("add", "a.py", "deep", "é x.js", "link.py")
+    git("update-index", "--index-version", str(version))
+    listed = {x for x in git("ls-files", "-z").split("\0") if x}
+    got = {r.path: r.size for r in files.tracked_files(spark, str(tmp_path / "r")).collect()}
+    assert set(got) == listed - {"link.py"} and got["a.py"] == len("# a.py\n\n")
+
+
+def test_an_index_of_another_format_lists_nothing(spark, tmp_path):
+    for n, raw in enumerate((b"", b"DIRC\0\0\0\x09\0\0\0\x01", b"no index at all, really")):
+        (tmp_path / str(n) / ".git").mkdir(parents=True)
+        (tmp_path / str(n) / ".git" / "index").write_bytes(raw)
+    assert files.tracked_files(spark, f"{tmp_path}/*").count() == 0

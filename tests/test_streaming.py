@@ -141,3 +141,14 @@ def test_ingest_replays_a_batch(spark, tmp_path):
     for n in range(2):  # a lost checkpoint replays batch 0
         inc.ingest_messages(inc.file_stream(spark, src, df.schema), out, f"{tmp_path}/cp{n}", ["k"]).awaitTermination()
     assert sorted(map(tuple, inc.ingested(spark, out).collect())) == [(1, "a"), (2, "b")]
+
+
+def test_chunks_carry_vectors_of_equal_content(spark):
+    kind = "path string, seq int, symbol string, content_sha string, start_line int, end_line int"
+    old = [("same", 0, "f", "x", 1, 4, [1.0]), ("same", 1, "g", "y", 5, 9, None), ("moved", 0, "f", "p", 1, 4, [2.0]), ("moved", 1, "g", "q", 5, 9, [3.0]), ("gone", 0, "f", "z", 1, 4, [4.0]), ("twin", 0, "f", "p", 1, 4, [5.0])]
+    new = [("same", 0, "f", "x", 11, 14), ("same", 1, "g", "y", 15, 19), ("moved", 0, "g", "q", 1, 4), ("moved", 1, "f", "p", 5, 9), ("moved", 2, "h", "none", 10, 14), ("fresh", 0, "f", "z", 1, 4), (None, 0, "f", "z", 1, 4)]
+    got = state.replace_chunks(spark.createDataFrame(old, kind + ", dense array<double>"), spark.createDataFrame(new, kind)).collect()
+    assert {(r.path, r.seq): (r.status, r.dense, r.start_line) for r in got} == {
+        ("same", 0): ("metadata-only", [1.0], 11), ("same", 1): ("metadata-only", None, 15), ("moved", 0): ("replaced", [3.0], 1), ("moved", 1): ("replaced", [2.0], 5),
+        ("moved", 2): ("replaced", None, 10), ("fresh", 0): ("new", [4.0], 1),
+    }
