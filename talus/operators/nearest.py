@@ -20,6 +20,12 @@ def _matrix(rows) -> np.ndarray:
     return np.array([np.asarray(x, dtype=np.float64) for x in rows]).reshape(len(rows), -1)
 
 
+def _flat(column) -> np.ndarray:
+    """A list column as a matrix, from its values as they lie in memory; missing components are NaN."""
+    values = column.flatten().to_numpy(zero_copy_only=False).astype(np.float64)
+    return values.reshape(len(column), -1) if len(column) else values.reshape(0, 0)
+
+
 def _best(sim: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
     """Row and column of every entry that is among the k largest of its row, ties included, NaN excluded."""
     sim = np.where(np.isnan(sim), -np.inf, sim)
@@ -54,12 +60,12 @@ def nearest_to_queries(queries: DataFrame, items: DataFrame, query_id: str, quer
 
         def best(held):
             ids = pa.concat_arrays([b.column(0) for b in held])
-            matrix, groups = _matrix([x for b in held for x in b.column(1).to_pylist()]), np.array([x for b in held for x in b.column(2).to_pylist()], dtype=object)
+            matrix, groups = np.concatenate([_flat(b.column(1)) for b in held]).astype(np.float64), np.array([x for b in held for x in b.column(2).to_pylist()], dtype=object)
             for path in blocks:
                 for t in pq.ParquetFile(path, filesystem=store).iter_batches(QUERY_BLOCK):
                     for lo in range(0, t.num_rows, 256):
                         part = t.slice(lo, 256)
-                        sim = _matrix(part.column(1).to_pylist()) @ matrix.T
+                        sim = _flat(part.column(1)) @ matrix.T
                         if own[0]:
                             sim[np.array(part.column(2).to_pylist(), dtype=object)[:, None] == groups[None, :]] = -np.inf
                         r, c = _best(sim, k)
