@@ -108,9 +108,10 @@ def fit(positive: list[np.ndarray], unlabelled: list[np.ndarray], prior: float,
 
 
 def train(docs: DataFrame, labels: DataFrame, usable: Column, id_col: str = "doc_id", text_col: str = "text", label_id: str = "doc_id", label_col: str = "toxic") -> Model:
-    """Fit on the usable ids, each once however often it is repeated; the prior is the share of toxic rows among usable labelled ones."""
+    """Fit on the usable ids, each once however often it is repeated; the prior is the share of toxic ones
+    among usable labels, of which repeats count once."""
     ship(docs.sparkSession)
-    known = labels.select(F.col(label_id).alias(id_col), F.col(label_col).alias("toxic")).where(usable & F.col("toxic").isNotNull())
+    known = labels.select(F.col(label_id).alias(id_col), F.col(label_col).alias("toxic")).where(usable & F.col("toxic").isNotNull()).distinct()
     share = known.agg(F.avg((F.col("toxic") == 1).cast("double"))).first()[0]
     order = F.xxhash64(F.col("id").cast("string"))
     positive = known.where("toxic = 1").select(F.col(id_col).alias("id")).distinct().orderBy(order, "id").limit(POSITIVES).withColumn("p", F.lit(True))
