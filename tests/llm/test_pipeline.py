@@ -59,3 +59,13 @@ def test_null_and_repeated_ids(spark):
     plan = mixing.mix(docs).collect()
     assert mixed.count() == sum(r.copies for r in plan)
     assert set(key(mixed)) <= set(key(docs))
+
+
+def test_map_columns_beside_repeated_ids(spark):
+    rows = [(1, "a b c d e f g", "en", "s", {"k": 1}, [{"x": 1}]), (1, "h i j k l m n", "en", "s", {"k": 2}, None), (2, "o p q r s t u", "en", "s", None, [{"x": None}]), (2, "o p q r s t u", "en", "s", {}, [])]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, m map<string,int>, a array<map<string,int>>")
+    kept = cp.keep_one_of_near_duplicates(spark, docs, SF)
+    assert kept.columns == docs.columns and sorted(r.doc_id for r in kept.collect()) == [1, 2]
+    assert sorted(map(repr, kept.collect())) == sorted(map(repr, cp.keep_one_of_near_duplicates(spark, docs.orderBy(F.desc("text")), SF).collect()))
+    mixed = cp.mix_sources(spark, docs, SF)
+    assert mixed.columns == docs.columns and mixed.count() == sum(r.copies for r in mixing.mix(docs).collect())

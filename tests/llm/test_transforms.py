@@ -7,8 +7,9 @@ from collections import Counter
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
-from talus.llm import fim, html, phrases, secrets
+from talus.llm import fim, html, langid, phrases, secrets, toxicity
 
 from .test_operators import EDGE, docs
 
@@ -226,3 +227,21 @@ def test_only_repeated_runs_of_a_block_go(spark):
     for i in range(6):
         first = got[i].split("\n\n")[0].split(" ")
         assert " ".join(first[:25]) == own[i] and len(first) <= 25 + html.ANCHOR
+
+
+# samples of classifiers
+
+
+def test_an_id_repeated_often_leaves_room_for_others(spark, monkeypatch):
+    """Ids are told apart before a sample is cut: one that fills the sample with its repeats doesn't keep others out."""
+    monkeypatch.setattr(toxicity, "POSITIVES", 40)
+    rows = [(i, f"plain words number {i} and so on", "en", "s") for i in range(200)] + [(1000 + i, f"scum words number {i} and so on", "en", "s") for i in range(60)]
+    labels = spark.createDataFrame([(1000 + i, 1) for i in range(60)] + [(1000, 1)] * 500 + [(i, 0) for i in range(200)], "doc_id long, toxic int")
+    got = {r.doc_id: r.predicted for r in toxicity.toxicity(docs(spark, rows), labels, F.lit(True), F.lit(False)).collect()}
+    assert all(got[1000 + i] for i in range(60)) and not any(got[i] for i in range(200))
+    monkeypatch.setattr(langid, "IN_ALL", 60)
+    say = lambda parts, n, seed: " ".join("".join(random.Random(seed * 99 + k).choices(parts, k=3)) for k in range(n))
+    rows = [(i, say(["th", "er", "ing"], 30, i), "en", "s") for i in range(40)] + [(100 + i, say(["eau", "oi", "que"], 30, i), "fr", "s") for i in range(40)] + [(0, say(["th", "er", "ing"], 30, 0), "en", "s")] * 600
+    d = docs(spark, rows)
+    got = {r.doc_id: r.lang_pred for r in langid.identify(d, langid.train(d, "text", "lang", "doc_id", F.lit(True)), F.lit(False)).collect()}
+    assert all(got[i] == "en" and got[100 + i] == "fr" for i in range(40))
