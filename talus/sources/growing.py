@@ -1,6 +1,6 @@
 """Lines of log files as a data source, `spark.read.format("talus_lines")` and `spark.readStream`, and logs of other packages as plugins.
 
-A batch reads byte ranges of files side by side; a line belongs to the range that it begins in. A stream reads what was
+A batch reads byte ranges of files side by side, ranges of many small files in one task; a line belongs to the range that it begins in. A stream reads what was
 appended: its offset holds, for each file, the end of the last whole line, and a mark of its first line. A file that is shorter than it was,
 or that begins otherwise, is another file and is read from its start. Paths are those that Arrow's file systems reach."""
 
@@ -11,6 +11,7 @@ import json
 import sys
 import zlib
 from collections.abc import Iterator
+from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass
 from importlib.metadata import entry_points
 
@@ -20,14 +21,21 @@ from pyspark.sql.datasource import DataSource, DataSourceReader, DataSourceStrea
 
 #: Bytes in one partition, in one read, and of a first line that mark a file.
 RANGE, READ, HEAD = 64 << 20, 1 << 20, 4096
+#: Bytes that opening a file counts for, so that one task reads many small files; files that are looked at side by side.
+OPEN, AHEAD = 256 << 10, 16
 
 
 @dataclass
-class Range(InputPartition):
+class Range:
     path: str
     start: int
     stop: int
 
+
+@dataclass
+class Ranges(InputPartition):
+    ranges: list[tuple[str, int, int]]
+
     def __post_init__(self):
         super().__init__(None)
 
@@ -51,22 +59,34 @@ class _Files:
     def cut(self, path: str, start: int, stop: int) -> list[Range]:
         return [Range(path, at, min(at + self.range, stop)) for at in range(start, stop, self.range)]
 
-    def whole_end(self, path: str, size: int) -> int:
-        """The place behind the last line end."""
+    def packed(self, ranges: list[Range]) -> list[Ranges]:
+        """Ranges in as few partitions as hold at most `range` bytes each, the opening of files counted."""
+        out, held, size = [], [], 0
+        for r in ranges:
+            cost = r.stop - r.start + OPEN
+            if held and size + cost > self.range:
+                out.append(Ranges(held))
+                held, size = [], 0
+            held.append((r.path, r.start, r.stop))
+            size += cost
+        return [*out, Ranges(held)] if held else out
+
+    def end_and_mark(self, path: str, size: int) -> list[int]:
+        """The place behind the last line end, and the mark of the first line."""
         with self.store.open_input_file(path) as f:
-            stop = size
+            mark, stop = zlib.crc32(f.read(HEAD).split(b"\n")[0]), size
             while stop > 0:
                 start = max(0, stop - READ)
                 f.seek(start)
                 at = f.read(stop - start).rfind(b"\n")
                 if at >= 0:
-                    return start + at + 1
+                    return [start + at + 1, mark]
                 stop = start
-        return 0
+        return [0, mark]
 
-    def mark(self, path: str) -> int:
-        with self.store.open_input_file(path) as f:
-            return zlib.crc32(f.read(HEAD).split(b"\n")[0])
+    def all_lines(self, part: Ranges) -> Iterator[tuple[str, int, str]]:
+        for r in part.ranges:
+            yield from self.lines(Range(*r))
 
     def lines(self, part: Range) -> Iterator[tuple[str, int, str]]:
         """(path, start, line) of the lines that begin in the range."""
@@ -100,10 +120,10 @@ class _Batch(DataSourceReader):
 
     def partitions(self):
         files = _Files(self.options)
-        return [p for path, size in files.listed() if self.only in (None, path) for p in files.cut(path, 0, size)]
+        return files.packed([r for path, size in files.listed() if self.only in (None, path) for r in files.cut(path, 0, size)])
 
     def read(self, partition):
-        return _Files(self.options).lines(partition) if partition else iter(())  # no files, no partition
+        return _Files(self.options).all_lines(partition) if partition else iter(())  # no files, no partition
 
 
 class _Stream(DataSourceStreamReader):
@@ -114,12 +134,12 @@ class _Stream(DataSourceStreamReader):
         return {"files": "{}"}
 
     def latestOffset(self, *_) -> dict:
-        files, out = _Files(self.options), {}
-        for path, size in files.listed():
-            if self.known.get(path, (None,))[0] != size:
-                self.known[path] = size, [files.whole_end(path, size), files.mark(path)]
-            out[path] = self.known[path][1]
-        return {"files": json.dumps(out, sort_keys=True)}
+        files = _Files(self.options)
+        listed = files.listed()
+        new = [x for x in listed if self.known.get(x[0], (None,))[0] != x[1]]
+        with ThreadPoolExecutor(AHEAD) as pool:
+            self.known |= {path: (size, found) for (path, size), found in zip(new, pool.map(lambda x: files.end_and_mark(*x), new), strict=True)}
+        return {"files": json.dumps({path: self.known[path][1] for path, _ in listed}, sort_keys=True)}
 
     def partitions(self, start: dict, end: dict):
         files, before, now = _Files(self.options), json.loads(start["files"]), json.loads(end["files"])
@@ -127,10 +147,10 @@ class _Stream(DataSourceStreamReader):
         for path, (stop, mark) in now.items():
             was, old = before.get(path, (0, mark))
             out += files.cut(path, was if old == mark and was <= stop else 0, stop)
-        return out
+        return files.packed(out)
 
     def read(self, partition):
-        return _Files(self.options).lines(partition)
+        return _Files(self.options).all_lines(partition)
 
     def commit(self, end: dict) -> None:
         pass

@@ -80,3 +80,13 @@ def test_no_files(spark, tmp_path):
     assert logs(spark, tmp_path).count() == 0
     with pytest.raises(Exception):
         logs(spark, tmp_path / "missing").count()
+
+
+def test_small_files_share_a_task(spark, tmp_path):
+    for n in range(300):
+        (tmp_path / f"{n}.jsonl").write_text(f"{n}\nx\n")
+    rows = logs(spark, tmp_path)
+    assert rows.rdd.getNumPartitions() == 2
+    assert sorted(int(r.value) for r in rows.where("value <> 'x'").collect()) == list(range(300))
+    stream = growing._Stream({"path": str(tmp_path)})
+    assert len(stream.partitions(stream.initialOffset(), stream.latestOffset())) == 2
