@@ -49,9 +49,10 @@ SELECT id, scope, base_score, recency_factor, semantic_sim, rank_score, place FR
     f"""memory_neighbours(sources ARRAY<BIGINT>, project STRING, restricted BOOLEAN, most INT)
 RETURNS TABLE (id BIGINT, via_source_pk BIGINT, src_rank INT, place INT)
 RETURN SELECT id, via_source_pk, cast(src_rank AS INT), place FROM (SELECT id, best.via AS via_source_pk, best.r AS src_rank, row_number() OVER (ORDER BY best.r, id) AS place FROM (
-  SELECT id, min(best) AS best FROM (SELECT m.id, named_struct('r', array_position(sources, e.source_memory_pk), 'via', e.source_memory_pk) AS best FROM {{p}}memory_edges e
+  SELECT id, min(best) AS best FROM (SELECT m.id, named_struct('r', array_position(sources, e.source_memory_pk), 'via', e.source_memory_pk) AS best
+  FROM (SELECT explode(array_distinct(sources)) AS source) w JOIN {{p}}memory_edges e ON e.source_memory_pk = w.source
   JOIN {{p}}memories m ON m.id = e.target_memory_pk JOIN {{p}}memories s ON s.id = e.source_memory_pk AND s.deleted_at IS NULL {_ALLOWED}
-  WHERE array_contains(sources, e.source_memory_pk) AND NOT array_contains(sources, m.id) AND {_VISIBLE}) GROUP BY id)) WHERE place <= greatest(0, least(most, 10))""",
+  WHERE NOT array_contains(sources, m.id) AND {_VISIBLE}) GROUP BY id)) WHERE place <= greatest(0, least(most, 10))""",
 )
 
 

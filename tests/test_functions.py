@@ -126,3 +126,14 @@ def test_lede(spark):
     rows = [("Head — Tail", "x"), ("T", "# H1 - sub\nprose"), ("T", "> quote\n- item\n**Bold** [[a|b]] [t](u). More text here."), ("T", None), (None, "x" * 60), ("T", "Yes! And. 後。")]
     df = spark.createDataFrame(rows, "t string, b string")
     assert [tuple(r) for r in df.select(*wiki.lede(F.col("t"), F.col("b"))).collect()] == [("Head", "Tail"), ("T", "sub"), ("T", "Bold b t"), ("T", ""), ("", "x" * 46 + "…"), ("T", "Yes! And. 後")]
+
+
+def test_neighbours_of_many_are_joined_by_source(spark, sf):
+    import __spark_entry__
+
+    rows = __spark_entry__.queries()["memory_neighbour_function"](spark, sf)
+    plan = rows._jdf.queryExecution().executedPlan().toString()
+    assert "NestedLoop" not in plan and "Cartesian" not in plan
+    one = lambda sources: spark.sql(f"SELECT id, via_source_pk, src_rank, place FROM talus_memory_neighbours({sources}, 'src1', true, 10)").collect()
+    assert one("array(9, 5, 9, NULL)") == [] and one("array(9, 5, 9)") == one("array(9, 5)") != []
+    assert one("NULL") == one("cast(array() AS ARRAY<BIGINT>)") == []
