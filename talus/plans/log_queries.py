@@ -232,10 +232,12 @@ known AS (SELECT sha, first(dense ORDER BY path, seq) AS k FROM old WHERE dense
 SELECT n.path, n.seq, status, round(list_sum(CASE WHEN status = 'metadata-only' THEN o.dense ELSE k END), 5) AS total FROM new n JOIN st USING (path) LEFT JOIN old o USING (path, seq) LEFT JOIN known ON known.sha = n.sha""", "corpus"))
 def chunk_state(spark, d):
     """The next state of an index, whose vectors come from equal content wherever it was."""
-    c = b.corpus(spark, d).withColumn("text", F.coalesce("text", F.lit("")))
+    x = b.read(spark, d, "documents").withColumn("text", F.coalesce("text", F.lit("")))
+    e = b.read(spark, d, "embeddings").select(F.col("vec_id").alias("seq"), F.col("embedding").alias("dense"))
+    # Texts are hashed before vectors are joined, so no shuffle carries them.
     row = lambda text: [F.col("source").alias("path"), F.col("doc_id").alias("seq"), F.lit("f").alias("symbol"), F.sha2(text.cast("binary"), 256).alias("content_sha"), F.lit(1).alias("start_line"), F.lit(2).alias("end_line")]
-    old = c.where("source <> 'src7'").select(*row(F.col("text")), "dense")
-    new = c.where("source <> 'src5'").select(*row(F.concat("text", F.when((F.col("doc_id") % 50 == 0) & (F.col("source") != "src3"), "!").otherwise(""))))
+    old = x.where("source <> 'src7'").select(*row(F.col("text"))).join(e, "seq", "left")
+    new = x.where("source <> 'src5'").select(*row(F.concat("text", F.when((F.col("doc_id") % 50 == 0) & (F.col("source") != "src3"), "!").otherwise("")))).join(e.drop("dense"), "seq", "left")
     total = F.aggregate("dense", F.lit(0.0), lambda x, y: x + y.cast("double"))
     return st.replace_chunks(old, new).select("path", "seq", "status", F.round(total, 5).alias("total"))
 

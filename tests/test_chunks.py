@@ -140,3 +140,16 @@ def test_edges_and_bodies(spark):
 def test_scripts_keep_order_and_place(spark):
     got = spark.createDataFrame([("<script>a</script>\n\n<script\n src=x>b\nc</script>", ), (None,), ("<script>open",)], "h string").select(chunks.scripts(F.col("h")).alias("s")).collect()
     assert [[(x.js, x.above) for x in r.s] for r in got] == [[("a", 0), ("b\nc", 3)], [], []]
+
+
+def test_no_shuffle_carries_texts_to_the_state_of_chunks(spark, sf):
+    import re
+
+    import __spark_entry__
+
+    plan = __spark_entry__.queries()["chunk_state"](spark, sf)._jdf.queryExecution().optimizedPlan().toString()
+    joins = [at for at, line in enumerate(plan.splitlines()) if "Join" in line]
+    above = [line for line in plan.splitlines()[: max(joins)] if re.search(r"\btext#", line)]
+    scans = [line for line in plan.splitlines() if "sha2(" in line and "text#" in line]
+    assert joins and scans and not any("sha2(" in line for line in plan.splitlines()[: min(joins)])
+    assert all("sha2(" in line or "source#" in line for line in above)
