@@ -19,10 +19,10 @@ from .common import bytes_of, discard, fresh_path, materialize, retire, ship
 
 MAGIC = b"TALUSVB1"
 #: A shard is closed at the end of the document that reaches this many tokens.
-SHARD_TOKENS = 1 << 22
+SHARD_TOKENS = 1 << 20
 _STEP = 1 << 20
 #: Distinct words, and stems of words, that a worker remembers the ids of.
-REMEMBERED = 900_000
+REMEMBERED = 250_000
 _TABLE = ((np.arange(256)[:, None] >> (2 * np.arange(4))) & 3).astype(np.uint8) + np.uint8(1)
 
 
@@ -253,6 +253,7 @@ def _write(out: str, vocabulary: str, end_id: int):
                         yield close()
         if docs:
             yield close()
+        pa.default_memory_pool().release_unused()  # workers are used again by other stages
 
     return run
 
@@ -275,25 +276,34 @@ def write_tokens(docs: DataFrame, vocabulary: str, out: str, id_col: str = "doc_
     return manifest
 
 
-def _read(batches):
-    import zlib
+def _read(out: str):
+    def run(batches):
+        import zlib
+
+        import pyarrow as pa
+        from pyarrow import fs
 
-    import pyarrow as pa
+        store, folder = fs.FileSystem.from_uri(out)
+        for batch in batches:
+            for path in batch.column(0).to_pylist():
+                name = path.rsplit("/", 1)[1]
+                with store.open_input_stream(f"{folder}/{name}") as f:
+                    doc_ids, lengths, ids = unpack_shard(f.read())
+                ids = ids.astype("<u4", copy=False)
+                end = np.cumsum(lengths)
+                crc = [zlib.crc32(ids[e - n : e]) for e, n in zip(end, lengths, strict=True)]
+                yield pa.RecordBatch.from_arrays([pa.array([name] * len(doc_ids), pa.string()), pa.array(doc_ids, pa.int64()), pa.array(end - lengths, pa.int64()), pa.array(lengths, pa.int64()), pa.array(crc, pa.int64())], names=["shard", "doc_id", "within", "n_tokens", "ids_crc32"])
 
-    for batch in batches:
-        for path, raw in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-            doc_ids, lengths, ids = unpack_shard(raw.as_py())
-            ids = ids.astype("<u4", copy=False)
-            end = np.cumsum(lengths)
-            crc = [zlib.crc32(ids[e - n : e]) for e, n in zip(end, lengths, strict=True)]
-            yield pa.RecordBatch.from_arrays([pa.array([path.rsplit("/", 1)[1]] * len(doc_ids), pa.string()), pa.array(doc_ids, pa.int64()), pa.array(end - lengths, pa.int64()), pa.array(lengths, pa.int64()), pa.array(crc, pa.int64())], names=["shard", "doc_id", "within", "n_tokens", "ids_crc32"])
+    return run
 
 
 def read_tokens(spark: SparkSession, out: str) -> DataFrame:
-    """Digest of each document from the shards: doc_id, start, n_tokens, ids_crc32, shard."""
+    """Digest of each document from the shards: doc_id, start, n_tokens, ids_crc32, shard.
+
+    Spark lists the shards and deals them to tasks; a task opens one after the other, so it holds one at a time."""
     ship(spark)
-    files = spark.read.format("binaryFile").option("pathGlobFilter", "shard-*.svb").load(out).select("path", "content")
-    rows, at = materialize(files.mapInArrow(_read, "shard string, doc_id long, within long, n_tokens long, ids_crc32 long"), "token-digest")
+    files = spark.read.format("binaryFile").option("pathGlobFilter", "shard-*.svb").load(out).select("path")
+    rows, at = materialize(files.mapInArrow(_read(out if "://" in out else f"file://{out}"), "shard string, doc_id long, within long, n_tokens long, ids_crc32 long"), "token-digest")
     retire(spark, at)
     shards = rows.groupBy("shard").agg(F.sum("n_tokens").alias("n"))
     before = F.sum("n").over(Window.orderBy("shard").rowsBetween(Window.unboundedPreceding, -1))

@@ -698,3 +698,16 @@ def test_host_repeats_find_the_frames_of_the_given_pages(spark):
     pages = spark.read.parquet("/root/testdata/sf0.01/pages.parquet").select("url", "html", F.xxhash64("page_id").alias("row"))
     streams, repeated, _ = html.host_repeats(pages)
     assert streams.agg(F.sum(F.size("keys"))).first()[0] > 10 * streams.count() and repeated.count() > 100
+
+
+def test_a_task_opens_token_shards_one_by_one(tmp_path):
+    import numpy as np
+    import pyarrow as pa
+
+    from talus.llm import tokenout
+
+    for n in range(3):
+        (tmp_path / tokenout.shard_name(n, 0)).write_bytes(tokenout.pack_shard([n, None], np.array([2, 1]), np.array([n, 1, 1], dtype=np.uint32)))
+    paths = pa.RecordBatch.from_arrays([pa.array([f"file:{tmp_path}/{tokenout.shard_name(n, 0)}" for n in range(3)])], names=["path"])
+    got = [b.to_pydict() for b in tokenout._read(f"file://{tmp_path}")(iter([paths]))]
+    assert [b["doc_id"] for b in got] == [[0, None], [1, None], [2, None]] and all(b["within"] == [0, 2] and b["n_tokens"] == [2, 1] for b in got)
