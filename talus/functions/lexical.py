@@ -3,8 +3,11 @@
 from __future__ import annotations
 
 import re
+from collections.abc import Iterator
 from functools import reduce
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -158,10 +161,26 @@ def trigrams(text: Column | str) -> Column:
 
 
 def trigram_similarity(a: Column | str, query: str) -> Column:
-    x, y = trigrams(a), trigrams(F.lit(query))
-    both = F.size(F.array_intersect(x, y)).cast("double")
-    every = F.size(F.array_union(x, y)).cast("double")
-    return F.when(every > 0, both / every).otherwise(0.0)
+    """Trigrams that text and query share, over those of either; 0 where neither has any.
+
+    Words come from `tokens`, each once a text, with three blanks between them: every window of three code points is a trigram but
+    those that two blanks end. Windows are numbers, counted in a task; trigrams of a whole text never become a column."""
+    key = lambda c: c[:-2] << 42 | c[1:-1] << 21 | c[2:]
+    padded = [f"  {w} " for w in query_tokens(query)]
+    wanted = np.unique(np.array([key(np.array([ord(c) for c in g], dtype=np.int64))[0] for w in padded for g in (w[i : i + 3] for i in range(len(w) - 2))], dtype=np.int64))
+
+    def run(columns: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        for words in columns:
+            out = []
+            for line in words.to_pylist():
+                c = np.frombuffer(f"  {line} ".encode("utf-32-le"), dtype=np.uint32).astype(np.int64)
+                grams = np.unique(key(c)[(c[1:-1] != 32) | (c[2:] != 32)])
+                both = len(np.intersect1d(grams, wanted, assume_unique=True))
+                every = len(grams) + len(wanted) - both
+                out.append(both / every if every else 0.0)
+            yield pa.array(out, pa.float64())
+
+    return F.arrow_udf(run, "double")(F.array_join(F.array_distinct(tokens(a)), "   "))
 
 
 def word_similarity(text: Column | str, query: str) -> Column:

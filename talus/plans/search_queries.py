@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from talus.functions import lexical, vectors
 from talus.operators import access, fusion, memories as mem
 from talus.operators.nearest import nearest_to_queries
+from talus.session import bound_batches
 
 from . import bindings as b
 from .registry import query
@@ -99,6 +100,7 @@ q AS (SELECT list_distinct(flatten(list_transform(['that', 'with', 'from'], lamb
 s AS (SELECT doc_id, len(list_intersect(x, y))::DOUBLE / (len(x) + len(y) - len(list_intersect(x, y))) AS s FROM g, q)
 SELECT doc_id, round(s, 6) AS sim FROM s ORDER BY s DESC, doc_id LIMIT 10""")
 def trigram_similarity_topk(spark, d):
+    bound_batches(spark)
     c = b.read(spark, d, "documents").select("doc_id", lexical.trigram_similarity("text", TEXT).alias("s"))
     return c.orderBy(F.desc("s"), "doc_id").limit(10).select("doc_id", F.round("s", 6).alias("sim"))
 

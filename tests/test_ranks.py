@@ -60,3 +60,14 @@ def test_word_similarity_is_the_best_extent(spark):
     for row, text in zip(rows, texts, strict=True):
         t = grams(text or "")
         assert row.s == pytest.approx(max((len(q & set(t[i:j])) / len(q | set(t[i:j])) for i in range(len(t)) for j in range(i + 1, len(t) + 1)), default=0.0))
+
+
+def test_trigram_similarity_is_that_of_sets(spark):
+    grams = lambda s: {f"  {w} "[i : i + 3] for w in re.findall(r"\w+", s.lower()) for i in range(len(w) + 1)}
+    texts = ["That with, THAT from", "", None, "... !", "é ÉCOLE a_b 12 𝒳𝒳 日本", "from wither thatch " * 50, "x"]
+    df = spark.createDataFrame(list(enumerate(texts)), "i int, t string")
+    got = df.select("i", lexical.trigram_similarity("t", "that with from").alias("s"), lexical.trigram_similarity(F.col("t"), " ? ").alias("none")).orderBy("i")
+    q = grams("that with from")
+    assert [(r.s, r.none) for r in got.collect()] == [(len(q & grams(t or "")) / len(q | grams(t or "")), 0.0) for t in texts]
+    # The trigrams of a text aren't a column, which would be made of each once more for every use.
+    assert "transform(" not in got._jdf.queryExecution().optimizedPlan().toString()
