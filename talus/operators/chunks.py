@@ -21,9 +21,9 @@ def _quoted(q: str, inside: str = "") -> str:
 _STRINGS = "|".join([_quoted("`"), _quoted('"', r"\n"), _quoted("'", r"\n")])
 _REGEX = r"(?<=[(,=:\[!&|?{};]\s{0,8}|\breturn\s{1,8})/(?![*/])(?:[^/\\\n\[]|\\.|\[(?:[^\]\\\n]|\\.)*+\])++/\w*"
 _REST = r"\n|[^\S\n]++|[\w$#.]++|=>|[\s\S]"
-#: Tokens; comments come first, then what quotes.
-BRACES = rf"//[^\n]*+|/\*(?s:.*?)\*/|{_STRINGS}|{_REGEX}|{_REST}"
-SHELL = rf"(?<![\w$&{{])\#[^\n]*+|<<-?\s*+['\"]?(\w++)['\"]?[^\n]*+\n(?s:.*?)\n\s*+\1(?=\n|\z)|\$\{{[^}}\n]*+\}}|'[^']*+'|{_quoted('\"')}|\\[\s\S]|{_REST}"
+#: Tokens; comments come first, with those that begin the next lines, then what quotes.
+BRACES = rf"//[^\n]*+(?:\n\s*+//[^\n]*+)*+|/\*(?s:.*?)\*/|{_STRINGS}|{_REGEX}|{_REST}"
+SHELL = rf"(?<![\w$&{{])\#[^\n]*+(?:\n\s*+\#[^\n]*+)*+|<<-?\s*+['\"]?(\w++)['\"]?[^\n]*+\n(?s:.*?)\n\s*+\1(?=\n|\z)|\$\{{[^}}\n]*+\}}|'[^']*+'|{_quoted('\"')}|\\[\s\S]|{_REST}"
 
 _ARGS = r"\((?:[^()]|\((?:[^()]|\([^()]*+\))*+\))*+\)"
 _TYPE = r"\s*(?::[^;{}=]*)?"
@@ -40,7 +40,7 @@ HEADS = {
 }
 
 
-def brace_spans(source: Column, lang: str = "braces", kind: str = "function") -> Column:
+def brace_spans(source: Column, lang: str = "braces", kind: Column | str = "function") -> Column:
     """array<struct<symbol, kind, first, last>> of the named functions, inner ones first; lines count from 1.
 
     A function without a name is no row, and lends no name to those within. Its first line is that of the statement that holds
@@ -87,7 +87,7 @@ def brace_spans(source: Column, lang: str = "braces", kind: str = "function") ->
 
 _PY_STRING = r"(?:[rRbBuUfF]{0,2})(?:\"\"\"[^\"\\]*+(?:(?:\\[\s\S]|\"(?!\"\"))[^\"\\]*+)*+\"\"\"|'''[^'\\]*+(?:(?:\\[\s\S]|'(?!''))[^'\\]*+)*+'''|" + _quoted('"', r"\n") + "|" + _quoted("'", r"\n") + ")"
 PYTHON = rf"\#[^\n]*+|{_PY_STRING}|\\\n|\n|[^\S\n]++|\w++|[\s\S]"
-#: Begins what is left of a string on each further line of it, and of a line that a backslash goes on with.
+#: Begins a line that a backslash goes on with, and what is left behind a string of several lines: once for each line but its first.
 _ON = "\x01"
 
 
@@ -98,11 +98,13 @@ def python_spans(source: Column) -> Column:
     no depth. A class's head reaches to its docstring's end, or to the first line of its body."""
     tokens = F.regexp_extract_all(F.coalesce(source, F.lit("")), F.lit(PYTHON), F.lit(0))
     quoted = r"(?s)^[rRbBuUfF]{0,2}[\"'].+"
-    plain = F.transform(tokens, lambda t: F.when(t.startswith("#"), "").when(t == "\\\n", F.lit(f"\n{_ON}")).when(t.rlike(quoted), F.concat(F.lit('"'), F.repeat(F.lit(f"\n{_ON}"), F.length(t) - F.length(F.replace(t, F.lit("\n"), F.lit("")))), F.lit('"'))).otherwise(t))
+    ons = lambda n: F.when(n > 0, F.concat(F.lit("\n"), F.repeat(F.lit(_ON), n))).otherwise("")
+    plain = F.transform(tokens, lambda t: F.when(t.startswith("#"), "").when(t == "\\\n", F.lit(f"\n{_ON}")).when(t == _ON, "?").when(t.rlike(quoted), F.concat(F.lit('"'), ons(F.length(t) - F.length(F.replace(t, F.lit("\n"), F.lit("")))), F.lit('"'))).otherwise(t))
     lines = F.split(F.array_join(plain, ""), "\n", -1)
 
     def step(s: Column, text: Column) -> Column:
-        no = s["no"] + 1
+        # The lines of a string are one step: only the last one's number counts.
+        no = s["no"] + F.greatest(F.lit(1), F.length(F.regexp_extract(text, rf"^{_ON}*", 0)))
         going = (s["depth"] > 0) | text.startswith(_ON)
         blank = F.trim(text) == ""
         begins = ~going & ~blank
@@ -153,16 +155,15 @@ def functions(files: DataFrame) -> DataFrame:
     By extension: py; js, mjs, cjs, ts; sh, bash; and the scripts of html, whose functions are script_fn. Other files, empty and null ones
     have none. content is the lines of the function, or of a class's head."""
     ext = F.lower(F.regexp_extract("path", r"\.([^./]+)$", 1))
-    f = files.where("content <> ''").select("path", F.regexp_replace("content", r"\r\n?", "\n").alias("content"), ext.alias("__ext"))
-    parts = [
-        f.where("__ext = 'py'").select("path", F.lit(0).alias("above"), F.col("content").alias("code"), F.explode(python_spans(F.col("content"))).alias("s")),
-        f.where("__ext in ('js', 'mjs', 'cjs', 'ts')").select("path", F.lit(0).alias("above"), F.col("content").alias("code"), F.explode(brace_spans(F.col("content"))).alias("s")),
-        f.where("__ext in ('sh', 'bash')").select("path", F.lit(0).alias("above"), F.col("content").alias("code"), F.explode(brace_spans(F.col("content"), "shell")).alias("s")),
-    ]
-    pages = f.where("__ext = 'html'").select("path", F.explode(scripts(F.col("content"))).alias("x")).select("path", F.col("x.above").alias("above"), F.col("x.js").alias("code"))
-    parts.append(pages.select("path", "above", "code", F.explode(brace_spans(F.col("code"), kind="script_fn")).alias("s")))
+    f = files.select("path", F.regexp_replace("content", r"\r\n?", "\n").alias("content"), ext.alias("__ext")).where(F.col("__ext").isin("py", "js", "mjs", "cjs", "ts", "sh", "bash", "html"))
+    # One pass over the files, each by the fold of its own kind.
+    whole = F.array(F.struct(F.col("content").alias("js"), F.lit(0).alias("above")))
+    code = f.select("path", "__ext", F.explode(F.when(F.col("__ext") == "html", scripts(F.col("content"))).otherwise(whole)).alias("x")).select("path", "__ext", F.col("x.above").alias("above"), F.col("x.js").alias("code"))
+    kind = F.when(F.col("__ext") == "html", "script_fn").otherwise("function")
+    spans = F.when(F.col("__ext") == "py", python_spans(F.col("code"))).when(F.col("__ext").isin("sh", "bash"), brace_spans(F.col("code"), "shell")).otherwise(brace_spans(F.col("code"), kind=kind))
+    found = code.select("path", "above", "code", F.explode(spans).alias("s"))
     lines = F.slice(F.split("code", "\n", -1), F.col("s.first"), F.col("s.last") - F.col("s.first") + 1)
-    return reduce(DataFrame.unionByName, parts).select("path", F.col("s.symbol").alias("symbol"), F.col("s.kind").alias("kind"), (F.col("above") + F.col("s.first")).alias("start_line"), (F.col("above") + F.col("s.last")).alias("end_line"), F.array_join(lines, "\n").alias("content"))
+    return found.select("path", F.col("s.symbol").alias("symbol"), F.col("s.kind").alias("kind"), (F.col("above") + F.col("s.first")).alias("start_line"), (F.col("above") + F.col("s.last")).alias("end_line"), F.array_join(lines, "\n").alias("content"))
 
 
 def chunks(files: DataFrame, min_lines: int = 4, most: int = 6000) -> DataFrame:

@@ -153,3 +153,18 @@ def test_no_shuffle_carries_texts_to_the_state_of_chunks(spark, sf):
     plan = __spark_entry__.queries()["chunk_state"](spark, sf)._jdf.queryExecution().optimizedPlan()
     joined = [x.output().mkString(",") for x in nodes(plan) if x.nodeName() == "Join"]
     assert joined and not any("text#" in x for x in joined)
+
+
+def test_comments_and_strings_are_one_step(spark):
+    """Runs of comment lines are one token and lines of a string one step; lines are numbered as before, and files are read once."""
+    text = "\n".join(f"line {i} (" for i in range(50))
+    js = "function f() {\n  // " + text.replace("\n", "\n\n  // ") + "\n  a() // x\n}\n"
+    sh = "# " + text.replace("\n", "\n  # ") + "\nf() {\n  :\n}\n"
+    py = "def f():\n    x = 1 + \\\n        2\n    s = f'''" + text + "''' + (\n        '')\n\n\nclass K:\n    '''" + text + "'''\n    y = '''a\nb'''\n\n    def m(self): return 1\n"
+    assert found(spark, "a.js", js) == [("f", "function", 1, 102)]
+    assert found(spark, "a.sh", sh) == [("f", "function", 51, 53)]
+    assert found(spark, "a.py", py) == [("f", "function", 1, 54), ("K", "class", 57, 107), ("K.m", "method", 111, 111)]
+    size = lambda source, pattern: spark.createDataFrame([(source,)], "t string").select(F.size(F.regexp_extract_all("t", F.lit(pattern), F.lit(0)))).first()[0]
+    assert size(js, chunks.BRACES) < 50 and size(sh, chunks.SHELL) < 50
+    files = spark.createDataFrame([("a.js", js)], "path string, content string")
+    assert chunks.functions(files)._jdf.queryExecution().optimizedPlan().toString().count("LogicalRDD") == 1
