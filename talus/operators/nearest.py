@@ -5,6 +5,8 @@ goes through the driver, nothing is broadcast, and the items are scanned once.""
 
 from __future__ import annotations
 
+from functools import reduce
+
 import numpy as np
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -12,14 +14,10 @@ from pyspark.sql import functions as F
 from talus.scratch import fresh, retire
 from talus.session import ship
 
-#: Query vectors of a block, items that a task holds at once, and members of a group that meet in one block.
+#: Query vectors of a block, items that a task holds at once, and members of a group in one block.
 QUERY_BLOCK, ITEM_CHUNK, GROUP_BLOCK = 4096, 100_000, 1024
 
 
-def _matrix(rows) -> np.ndarray:
-    return np.array([np.asarray(x, dtype=np.float64) for x in rows]).reshape(len(rows), -1)
-
-
 def _flat(column) -> np.ndarray:
     """A list column as a matrix, from its values as they lie in memory; missing components are NaN."""
     values = column.flatten().to_numpy(zero_copy_only=False).astype(np.float64)
@@ -90,44 +88,63 @@ def nearest_to_queries(queries: DataFrame, items: DataFrame, query_id: str, quer
 def nearest_in_group(rows: DataFrame, group: list[str], id_col: str, vec_col: str, k: int, skip: str | None = None) -> DataFrame:
     """(a, b, sim): for each row the k most similar others of its group by cosine, leaving out ids in the array `skip`.
 
-    A group is dealt to blocks; each ordered pair of blocks is a unit of at most twice GROUP_BLOCK rows."""
-    ship(rows.sparkSession)
-    base = rows.where(F.col(vec_col).isNotNull()).select(*group, F.col(id_col).cast("long").alias("i"), F.col(vec_col).cast("array<double>").alias("v"), (F.col(skip) if skip else F.array()).cast("array<bigint>").alias("s"))
-    sizes = base.groupBy(*group).agg(F.ceil(F.count(F.lit(1)) / GROUP_BLOCK).cast("int").alias("blocks"))
-    dealt = base.join(sizes, group).withColumn("block", F.pmod(F.xxhash64("i"), F.col("blocks")).cast("int")).withColumn("unit", F.struct(*group))
-    every = F.sequence(F.lit(0), F.col("blocks") - 1)
-    asks = dealt.select("unit", F.col("block").alias("x"), F.explode(every).alias("y"), F.lit(0).alias("side"), "i", "v", "s")
-    gives = dealt.select("unit", F.explode(every).alias("x"), F.col("block").alias("y"), F.lit(1).alias("side"), "i", "v", "s")
-    units = asks.unionByName(gives).repartition("unit", "x", "y").sortWithinPartitions("unit", "x", "y", "side", "i")
-
-    def close(held):
+    A group is dealt to blocks of about GROUP_BLOCK rows, which lie in the shared folder once. A unit is one block: its task reads the
+    group's blocks one by one and keeps the best k of each row, so what is written and shuffled grows as the rows do."""
+    spark = rows.sparkSession
+    ship(spark)
+    whole = reduce(lambda x, y: x & y, [F.col(c).isNotNull() for c in group], F.col(vec_col).isNotNull())
+    unit = F.md5(F.to_json(F.struct(*group)).cast("binary"))
+    base = rows.where(whole).select(unit.alias("unit"), F.col(id_col).cast("long").alias("i"), F.col(vec_col).cast("array<double>").alias("v"), (F.col(skip) if skip else F.array()).cast("array<bigint>").alias("s"))
+    sizes = base.groupBy("unit").agg(F.ceil(F.count(F.lit(1)) / GROUP_BLOCK).cast("int").alias("blocks"))
+    dealt = base.join(sizes, "unit").withColumn("block", F.pmod(F.xxhash64("i"), F.col("blocks")).cast("int")).drop("blocks")
+    at = fresh(spark, "group-blocks")
+    dealt.repartition("unit", "block").sortWithinPartitions("unit", "block").write.partitionBy("unit", "block").parquet(at)
+    retire(spark, at)
+    tasks = max(int(spark.conf.get("spark.sql.shuffle.partitions")), 4 * spark.sparkContext.defaultParallelism)
+    units = sizes.select("unit", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"), "blocks").repartition(tasks, "unit", "block")
+
+    def run(batches):
         import pyarrow as pa
+        import pyarrow.parquet as pq
+        from pyarrow import fs
+
+        store, folder = fs.FileSystem.from_uri(at)
 
-        left, right = [r for r in held if r[0] == 0], [r for r in held if r[0] == 1]
-        a, b = (_matrix([r[2] for r in x]) for x in (left, right))
-        with np.errstate(divide="ignore", invalid="ignore"):
-            sim = (a / np.linalg.norm(a, axis=1)[:, None]) @ (b / np.linalg.norm(b, axis=1)[:, None]).T
-        place = {r[1]: n for n, r in enumerate(right)}
-        for n, r in enumerate(left):
-            for i in (r[1], *(r[3] or ())):
-                if i in place:
-                    sim[n, place[i]] = -np.inf
-        r, c = _best(sim, k)
-        return pa.RecordBatch.from_arrays([pa.array([left[x][1] for x in r], pa.int64()), pa.array([right[x][1] for x in c], pa.int64()), pa.array(sim[r, c], pa.float64())], names=["a", "b", "sim"])
+        def block(unit, n):
+            found = store.get_file_info(fs.FileSelector(f"{folder}/unit={unit}/block={n}", allow_not_found=True))
+            parts = [pq.ParquetFile(f.path, filesystem=store).read(["i", "v", "s"]) for f in sorted(found, key=lambda f: f.path) if f.path.endswith(".parquet")]
+            if not parts:
+                return None
+            t = pa.concat_tables(parts).combine_chunks()
+            m = _flat(t["v"].combine_chunks())
+            with np.errstate(divide="ignore", invalid="ignore"):
+                return t["i"].to_numpy(), m / np.linalg.norm(m, axis=1)[:, None], t["s"]
 
-    def run(batches):
-        now, held = None, []
         for batch in batches:
-            columns = [batch.column(n).to_pylist() for n in range(7)]
-            columns[0] = [tuple(x.values()) for x in columns[0]]
-            for row in zip(*columns, strict=True):
-                if row[:3] != now:
-                    if held:
-                        yield close(held)
-                    now, held = row[:3], []
-                held.append(row[3:])
-        if held:
-            yield close(held)
+            for unit, own, blocks in zip(*[batch.column(n).to_pylist() for n in range(3)], strict=True):
+                left = block(unit, own)
+                if left is None:
+                    continue
+                ids, vectors, skips = left
+                skips = [(i, *(x or ())) for i, x in zip(ids.tolist(), skips.to_pylist(), strict=True)]
+                row, other, best = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0)
+                for n in range(blocks):
+                    right = left if n == own else block(unit, n)
+                    if right is None:
+                        continue
+                    sim = vectors @ right[1].T
+                    place = {i: c for c, i in enumerate(right[0].tolist())}
+                    for r, without in enumerate(skips):
+                        for i in without:
+                            if i in place:
+                                sim[r, place[i]] = -np.inf
+                    r, c = _best(sim, k)
+                    row, other, best = np.concatenate([row, r]), np.concatenate([other, right[0][c]]), np.concatenate([best, sim[r, c]])
+                    order = np.lexsort((other, -best, row))
+                    row, other, best = row[order], other[order], best[order]
+                    keep = np.arange(len(row)) - np.searchsorted(row, row) < k
+                    row, other, best = row[keep], other[keep], best[keep]
+                yield pa.RecordBatch.from_arrays([pa.array(ids[row], pa.int64()), pa.array(other, pa.int64()), pa.array(best, pa.float64())], names=["a", "b", "sim"])
 
     found = units.mapInArrow(run, "a long, b long, sim double")
     rank = F.row_number().over(Window.partitionBy("a").orderBy(F.desc("sim"), "b"))
