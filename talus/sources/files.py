@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import re
+from urllib.parse import quote
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -26,11 +29,74 @@ def rotated_log(spark: SparkSession, folder: str, base: str, schema: T.StructTyp
     return spark.read.schema(schema).option("mode", "DROPMALFORMED").option("pathGlobFilter", glob).json(folder)
 
 
+def whole_texts(spark: SparkSession, path: str, ending: str) -> DataFrame:
+    """(path, value) of the files under a folder, or a pattern of folders, whose names end so; hidden ones are left out.
+
+    Tasks list the folders and read the files, many a task: no list of files is in the driver, and no file a split of its own."""
+    ship(spark)
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    found = at.getFileSystem(spark._jsc.hadoopConfiguration()).globStatus(at)
+    roots = [re.sub(r"^(\w+):/(?!/)", r"\1:///", str(x.getPath().toString())) for x in found or () if not (set("*?[{") & set(path) and x.getPath().getName()[:1] in ("_", "."))]
+    if not roots:
+        raise FileNotFoundError(path)
+
+    def listed(deep):
+        def run(batches):
+            import pyarrow as pa
+            from pyarrow import fs
+
+            for batch in batches:
+                for root, at, folder in zip(*[batch.column(n).to_pylist() for n in range(3)], strict=True):
+                    if not folder:
+                        out = [(root, at, False)]
+                    else:
+                        store, top = fs.FileSystem.from_uri(quote(root, safe=":/@"))
+                        here = top if at is None else at
+                        info = store.get_file_info(here)
+                        inside = store.get_file_info(fs.FileSelector(here, recursive=deep)) if info.type == fs.FileType.Directory else [info]
+                        seen = lambda p, n=len(here): not any(x[:1] in ("_", ".") for x in p[n:].split("/"))
+                        out = [(root, f.path, f.type == fs.FileType.Directory) for f in inside if seen(f.path) and (f.path.endswith(ending) or not deep and f.type == fs.FileType.Directory)]
+                        out = [x for x in out if not (deep and x[2])]
+                    for lo in range(0, len(out), 10_000):
+                        part = out[lo : lo + 10_000]
+                        yield pa.RecordBatch.from_arrays([pa.array([x[n] for x in part], t) for n, t in enumerate((pa.string(), pa.string(), pa.bool_()))], names=["root", "at", "folder"])
+
+        return run
+
+    def read(batches):
+        import pyarrow as pa
+        from pyarrow import fs
+
+        stores = {}
+        for batch in batches:
+            paths, values, held = [], [], 0
+            for root, at in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                if root not in stores:
+                    stores[root] = fs.FileSystem.from_uri(quote(root, safe=":/@"))
+                store, top = stores[root]
+                with store.open_input_stream(at) as f:
+                    value = f.read()
+                paths.append((root[: -len(top)] if root.endswith(top) else "") + at)
+                values.append(value)
+                held += len(value)
+                if held >= 16 << 20:
+                    yield pa.RecordBatch.from_arrays([pa.array(paths, pa.string()), pa.array(values, pa.binary())], names=["path", "value"])
+                    paths, values, held = [], [], 0
+            if paths:
+                yield pa.RecordBatch.from_arrays([pa.array(paths, pa.string()), pa.array(values, pa.binary())], names=["path", "value"])
+
+    kinds = "root string, at string, folder boolean"
+    tasks = max(int(spark.conf.get("spark.sql.shuffle.partitions")), 4 * spark.sparkContext.defaultParallelism)
+    top = spark.createDataFrame([(r, None, True) for r in roots], kinds).mapInArrow(listed(False), kinds)
+    every = top.repartition(tasks, "at").mapInArrow(listed(True), kinds)
+    return every.repartition(tasks, "at").select("root", "at").mapInArrow(read, "path string, value binary").select("path", F.col("value").cast("string").alias("value"))
+
+
 def vault(spark: SparkSession, path: str) -> DataFrame:
     """path, stem, front (map of the front matter's own keys to scalars, or to JSON of lists and maps), front_json, body of markdown files.
 
     Of repeated keys the first counts. Front matter that can't be read gives an empty map and no JSON."""
-    raw = spark.read.text(path, wholetext=True, pathGlobFilter="*.md", recursiveFileLookup=True).select(F.col("_metadata.file_path").alias("path"), "value")
+    raw = whole_texts(spark, path, ".md")
     read = front.with_json(raw.withColumn("__front", front.front_matter(F.col("value"))), "__front", "front_json")
     keys = F.coalesce(F.from_json("front_json", "map<string,string>"), F.create_map().cast("map<string,string>"))
     body = F.regexp_replace("value", r"(?s)\A---[ \t]*\r?\n(?:.*?\n)?---[ \t]*(?:\r?\n|\z)", "")
@@ -143,10 +209,13 @@ def write_files(rows: DataFrame, base: str) -> int:
 
         store, folder = fs.FileSystem.from_uri(base if "://" in base else f"file://{base}")
         attempt = TaskContext.get().taskAttemptId()
+        made = set()
         for batch in batches:
             for path, content in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
                 at = f"{folder}/{path}"
-                store.create_dir(at.rsplit("/", 1)[0], recursive=True)
+                if (inside := at.rsplit("/", 1)[0]) not in made:
+                    store.create_dir(inside, recursive=True)
+                    made.add(inside)
                 draft = f"{folder}/_draft-{attempt}"
                 with store.open_output_stream(draft) as f:
                     f.write(content)

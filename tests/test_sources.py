@@ -144,3 +144,15 @@ def test_an_index_of_another_format_lists_nothing(spark, tmp_path):
         (tmp_path / str(n) / ".git").mkdir(parents=True)
         (tmp_path / str(n) / ".git" / "index").write_bytes(raw)
     assert files.tracked_files(spark, f"{tmp_path}/*").count() == 0
+
+
+def test_vault_is_listed_and_read_in_tasks(spark, tmp_path):
+    """Nested, top-level and odd names are found, hidden and other files aren't; the driver holds no list of files."""
+    for name in ("a.md", "x/b c.md", "x/y/z/d.md", "x/_e.md", ".h/f.md", "x/.h/f.md", "x/g.txt", "x/y/é.md"):
+        (tmp_path / name).parent.mkdir(parents=True, exist_ok=True)
+        (tmp_path / name).write_text("---\nname: n\n---\n" + name)
+    v = files.vault(spark, str(tmp_path))
+    assert sorted(r.body for r in v.collect()) == ["a.md", "x/b c.md", "x/y/z/d.md", "x/y/é.md"]
+    assert {r.path for r in v.collect()} == {f"file://{tmp_path}/{n}" for n in ("a.md", "x/b c.md", "x/y/z/d.md", "x/y/é.md")}
+    assert sorted(r.body for r in files.vault(spark, f"file://{tmp_path}/x/*").collect()) == ["x/b c.md", "x/y/z/d.md", "x/y/é.md"]
+    assert v._jdf.inputFiles().__len__() == 0
