@@ -10,6 +10,7 @@ doc ids int64[n_docs]; null ids uint8[n_docs]; lengths uint64[n_docs]; control u
 from __future__ import annotations
 
 import struct
+from itertools import chain
 
 import numpy as np
 from pyspark.sql import DataFrame, SparkSession, Window
@@ -21,8 +22,8 @@ MAGIC = b"TALUSVB1"
 #: A shard is closed at the end of the document that reaches this many tokens.
 SHARD_TOKENS = 1 << 20
 _STEP = 1 << 20
-#: Distinct words, and stems of words, that a worker remembers the ids of.
-REMEMBERED = 250_000
+#: Distinct words that a worker remembers the ids of.
+REMEMBERED = 300_000
 _TABLE = ((np.arange(256)[:, None] >> (2 * np.arange(4))) & 3).astype(np.uint8) + np.uint8(1)
 
 
@@ -97,17 +98,23 @@ def unpack_shard(raw: bytes) -> tuple[list, np.ndarray, np.ndarray]:
     return [None if a else int(d) for d, a in zip(doc_ids, absent, strict=True)], lengths.astype(np.int64), by_rank[ranks] if n_tokens else ranks
 
 
+def _pick(start: np.ndarray, size: np.ndarray, flat: np.ndarray) -> np.ndarray:
+    """Lists of flat, each from its start on, one after another."""
+    end = np.cumsum(size)
+    return flat[np.repeat(start - end + size, size) + np.arange(int(end[-1]) if len(end) else 0)]
+
+
 class _Table:
-    """Growing lists of ids: one list after another in one array."""
+    """Growing lists of ids, one list after another in one array, and how often each was asked for."""
 
     def __init__(self):
-        self.start, self.size = np.zeros(1 << 16, np.int64), np.zeros(1 << 16, np.int64)
-        self.flat = np.zeros(1 << 18, np.uint32)
+        self.start, self.size, self.hits = (np.zeros(1 << 14, np.int64) for _ in range(3))
+        self.flat = np.zeros(1 << 16, np.uint32)
         self.n = self.used = 0
 
     def add(self, sizes: np.ndarray, flat: np.ndarray) -> None:
         while self.n + len(sizes) > len(self.start):
-            self.start, self.size = np.concatenate([self.start, np.zeros_like(self.start)]), np.concatenate([self.size, np.zeros_like(self.size)])
+            self.start, self.size, self.hits = (np.concatenate([x, np.zeros_like(x)]) for x in (self.start, self.size, self.hits))
         while self.used + len(flat) > len(self.flat):
             self.flat = np.concatenate([self.flat, np.zeros_like(self.flat)])
         self.start[self.n : self.n + len(sizes)] = self.used + np.cumsum(sizes) - sizes
@@ -118,14 +125,14 @@ class _Table:
 
     def gather(self, which: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         size = self.size[which]
-        end = np.cumsum(size)
-        return size, self.flat[np.repeat(self.start[which] - end + size, size) + np.arange(int(end[-1]) if len(end) else 0)]
+        return size, _pick(self.start[which], size, self.flat)
 
 
 class _Numbered(dict):
     """Numbers keys as they are first asked for and lists the new ones."""
 
-    def __init__(self):
+    def __init__(self, keys=()):
+        super().__init__(zip(keys, range(len(keys))))
         self.new: list[bytes] = []
 
     def __missing__(self, key):
@@ -139,28 +146,51 @@ class WordIds:
 
     The tokenizer drops white space and never joins what it parts, so a text's ids are those of its words in a row.
     It also parts a letter from plain punctuation behind it and lower-cases, so a word is a stem in lower case and its
-    tail; each stem and tail is given to the library once and remembered. Whether all that holds for a vocabulary is
-    tried on PROBE first; texts go to the library as they are where it doesn't."""
+    tail; a stem of Latin letters goes to the library's model as it is, for normalizing and parting leave it alone. The
+    words asked for most are remembered. Whether all that holds for a vocabulary is tried on probes first; stems go
+    through the whole tokenizer, or texts as they are, where it doesn't."""
 
     TAIL = b".,;:!?#$%&*"
-    PROBE = "It's ΩΜΈΓΑΣ. don't, (a). x). 12.5% Å. ÉCOLE, Éa e\u0301. ½. x². 's. #$ ... a.b Hello, WORLD!! no-one re:do $5.00 x\xa0y İ, ẞ. ﬁ. \x1cabc\x1f"
+    PROBES = (
+        "It's ΩΜΈΓΑΣ. don't, (a). x). 12.5% Å. ÉCOLE, Éa e\u0301. ½. x². 's. #$ ... a.b Hello, WORLD!! no-one re:do $5.00 x\xa0y İ, ẞ. ﬁ. \x1cabc\x1f",
+        "Hello, WORLD!! It'S DON'T A.B (X). ÉCOLE, ŒUVRE. AǅB Ǆ. Ēa İX, 12ªB Straße. NO-ONE \x1cABC\x1f",
+    )
+    LETTERS = [*"abcdefghijklmnopqrstuvwxyzªµºßàáâãäåæçèéêëìíîïðñòóôõöøùúûüýþÿ", "the", "s", "re", "straße", "ungewöhnlich", "señor", "anthropologists", "zzqxj", "élèveª", "ndthwhere"]
+    #: All bytes of code points below U+0300: without combining marks A-Z may be lower-cased before composition too.
+    PLAIN = bytes(range(0xCC))
 
     def __init__(self, path: str):
         import os
 
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        from tokenizers import Tokenizer
+        from tokenizers import Tokenizer, pre_tokenizers
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.pieces, self.piece_ids = _Numbered(), _Table()
+        self.letters = Tokenizer(self.tokenizer.model)
+        self.letters.pre_tokenizer = pre_tokenizers.Sequence([pre_tokenizers.CharDelimiterSplit(" "), pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)])
         self.words, self.word_ids = _Numbered(), _Table()
+        sizes, flat = self._by_letters(self.LETTERS)
+        whole = self._whole([x.encode() for x in self.LETTERS])
+        self.by_letters = sizes.tolist() == [len(x) for x in whole] and flat.tolist() == np.concatenate(whole).tolist()
         self.by_word = True
-        self.by_word = self.encode([self.PROBE.encode()])[0].tolist() == self._whole([self.PROBE.encode()])[0].tolist()
+        self.by_word = all(self.encode([x.encode()])[0].tolist() == self._whole([x.encode()])[0].tolist() for x in self.PROBES)
 
     def _whole(self, texts: list[bytes]) -> list[np.ndarray]:
         return [np.array(e.ids, dtype=np.uint32) for e in self.tokenizer.encode_batch_fast([t.decode() for t in texts], add_special_tokens=False)]
 
+    def _by_letters(self, stems: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Sizes and ids of stems of letters, many in one call."""
+        sizes, flat = [], []
+        for at in range(0, len(stems), 512):
+            some = stems[at : at + 512]
+            e = self.letters.encode(" ".join(some), add_special_tokens=False)
+            sizes.append(np.bincount(np.array(e.word_ids, dtype=np.int64), minlength=len(some)))
+            flat.append(np.array(e.ids, dtype=np.uint32))
+        return (np.concatenate(sizes), np.concatenate(flat)) if stems else (np.zeros(0, np.int64), np.zeros(0, np.uint32))
+
     def _parts(self, word: bytes) -> tuple[bytes, bytes]:
+        if word.isalpha():
+            return word.lower(), b""
         stem = word.rstrip(self.TAIL)
         if stem.isascii():
             if stem and not stem[-1:].isalnum():
@@ -173,30 +203,41 @@ class WordIds:
         return (text.lower().encode() if max(text) < "\u0100" else stem), word[len(stem) :]
 
     def _learn(self) -> None:
-        piece = self.pieces.__getitem__
-        pairs = np.array([(piece(a), piece(b)) for a, b in map(self._parts, self.words.new)], dtype=np.int64).reshape(-1)
-        if self.pieces.new:
-            ids = [e.ids for e in self.tokenizer.encode_batch_fast([w.decode() for w in self.pieces.new], add_special_tokens=False)]
-            sizes = np.fromiter(map(len, ids), dtype=np.int64, count=len(ids))
-            self.piece_ids.add(sizes, np.array([i for x in ids for i in x], dtype=np.uint32))
-            self.pieces.new = []
-        sizes, flat = self.piece_ids.gather(pairs)
+        pieces, ids = _Numbered(), _Table()
+        pairs = np.fromiter(map(pieces.__getitem__, chain.from_iterable(map(self._parts, self.words.new))), dtype=np.int64, count=2 * len(self.words.new))
+        texts = b" ".join(pieces.new).decode().split(" ")
+        plain = np.fromiter((self.by_letters and x.isalpha() and (x.isascii() or max(x) < "\u0100") for x in texts), dtype=bool, count=len(texts))
+        sizes, flat = self._by_letters([texts[i] for i in np.flatnonzero(plain)])
+        rest = [np.array(e.ids, dtype=np.uint32) for e in self.tokenizer.encode_batch_fast([texts[i] for i in np.flatnonzero(~plain)], add_special_tokens=False)]
+        sizes, flat = np.concatenate([sizes, np.fromiter(map(len, rest), dtype=np.int64, count=len(rest))]), np.concatenate([flat, *rest])
+        place = np.argsort(np.concatenate([np.flatnonzero(plain), np.flatnonzero(~plain)]))
+        ids.add(sizes[place], _pick((np.cumsum(sizes) - sizes)[place], sizes[place], flat))
+        sizes, flat = ids.gather(pairs)
         self.word_ids.add(sizes.reshape(-1, 2).sum(axis=1), flat)
         self.words.new = []
 
+    def _forget(self) -> None:
+        """Keep the words asked for most, half as many as may be remembered; their counts are halved."""
+        hits = self.word_ids.hits[: self.word_ids.n]
+        at = len(hits) - 1 - REMEMBERED // 2
+        kept = np.flatnonzero(hits > max(1, int(np.partition(hits, at)[at])))
+        keys, old = list(self.words), self.word_ids
+        self.words, self.word_ids = _Numbered([keys[i] for i in kept]), _Table()
+        self.word_ids.add(*old.gather(kept))
+        self.word_ids.hits[: len(kept)] = hits[kept] // 2
+
     def encode(self, texts: list[bytes]) -> list[np.ndarray]:
         if not self.by_word:
             return self._whole(texts)
         if len(self.words) > REMEMBERED:
-            self.words, self.word_ids = _Numbered(), _Table()
-        if len(self.pieces) > REMEMBERED:
-            self.pieces, self.piece_ids = _Numbered(), _Table()
-        split = [t.split() for t in texts]
+            self._forget()
+        split = [(t if t.translate(None, self.PLAIN) else t.lower()).split() for t in texts]
         counts = [len(x) for x in split]
-        number = self.words.__getitem__
-        place = np.fromiter((number(w) for x in split for w in x), dtype=np.int64, count=sum(counts))
+        place = np.fromiter(map(self.words.__getitem__, chain.from_iterable(split)), dtype=np.int64, count=sum(counts))
         if self.words.new:
             self._learn()
+        n = self.word_ids.n
+        self.word_ids.hits[:n] += np.bincount(place, minlength=n)
         sizes, flat = self.word_ids.gather(place)
         upto = np.concatenate([[0], np.cumsum(sizes)])[np.concatenate([[0], np.cumsum(counts)])]
         return [flat[upto[i] : upto[i + 1]] for i in range(len(texts))]

@@ -711,3 +711,26 @@ def test_a_task_opens_token_shards_one_by_one(tmp_path):
     paths = pa.RecordBatch.from_arrays([pa.array([f"file:{tmp_path}/{tokenout.shard_name(n, 0)}" for n in range(3)])], names=["path"])
     got = [b.to_pydict() for b in tokenout._read(f"file://{tmp_path}")(iter([paths]))]
     assert [b["doc_id"] for b in got] == [[0, None], [1, None], [2, None]] and all(b["within"] == [0, 2] and b["n_tokens"] == [2, 1] for b in got)
+
+
+def test_words_asked_for_most_outlast_a_full_memory(monkeypatch):
+    from collections import Counter
+
+    asked, parts = Counter(), tokenout.WordIds._parts
+    monkeypatch.setattr(tokenout, "REMEMBERED", 300)
+    monkeypatch.setattr(tokenout.WordIds, "_parts", lambda self, word: asked.update([word]) or parts(self, word))
+    encoder = tokenout.WordIds(queries.vocabulary_path())
+    asked.clear()
+    for n in range(20):
+        texts = [f"The house, {' '.join(f'rare{chr(97 + k % 26)}{chr(97 + n)}{chr(97 + k // 26)}' for k in range(200))} the HOUSE, the house,".encode()]
+        assert [x.tolist() for x in encoder.encode(texts)] == [x.tolist() for x in encoder._whole(texts)]
+    assert asked[b"the"] == asked[b"house,"] == 1 and not asked[b"The"] and len(encoder.words) < 600
+
+
+def test_stems_of_letters_and_lower_case_give_the_library_s_ids():
+    encoder = tokenout.WordIds(queries.vocabulary_path())
+    assert encoder.by_word and encoder.by_letters
+    texts = ["Straße, ÉCOLE ÀÉÎÕÜ. señor! Ungewöhnlich; µm ªº", "H\u0331 h\u0331 T\u0308x E\u0301, A\u030A", "ŒUVRE Ēa. ǅ Ǆx İstanbul, K Å", "", " \t\n", "DON'T I'LL x's 'S, A.B. (C)", "x\x00y \x1cAB\x1f a\u0085B\u00a0C", "Αθήνα ΣΊΣΥΦΟΣ, Hello WORLD"]
+    for some in (texts, *[[t] for t in texts]):
+        got = tokenout.WordIds.encode(encoder, [t.encode() for t in some])
+        assert [x.tolist() for x in got] == [x.tolist() for x in encoder._whole([t.encode() for t in some])]
