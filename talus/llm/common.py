@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterator
+from contextlib import suppress
+
 import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -25,6 +28,42 @@ def materialize(df: DataFrame, what: str) -> tuple[DataFrame, str]:
     return df.sparkSession.read.schema(df.schema).parquet(at), at
 
 
+#: What a Python worker keeps from one task to the next, by the module that keeps it and a key.
+HELD: dict[tuple[str, str], object] = {}
+
+
+def give_back() -> None:
+    """Memory that this process no longer uses goes back to the system: allocators keep it else."""
+    import ctypes
+    import gc
+
+    import pyarrow as pa
+
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    with suppress(AttributeError, OSError):  # other libraries than glibc
+        ctypes.CDLL(None).malloc_trim(0)
+
+
+def forget(keeps: str) -> None:
+    for key in [k for k in HELD if k[0] != keeps]:
+        del HELD[key]
+
+
+def lean(run: Callable[[Iterator], Iterator], keeps: str = "") -> Callable[[Iterator], Iterator]:
+    """run, a function over Arrow batches, whose worker holds little once it has ended: workers stay and wait beside those of the
+    next stages. What modules other than `keeps` hold from earlier tasks goes first."""
+
+    def go(batches):
+        forget(keeps)
+        try:
+            yield from run(batches)
+        finally:
+            give_back()
+
+    return go
+
+
 def bucket_of_id(doc_id: Column, m: int) -> Column:
     """crc32 of the id as text, mod m; null for a null id."""
     return F.crc32(doc_id.cast("string").cast("binary")) % m

@@ -14,7 +14,7 @@ import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import BROADCAST_BYTES, bytes_of, discard, materialize, retire, ship, small_enough, spread, words_of
+from .common import BROADCAST_BYTES, bytes_of, discard, lean, materialize, retire, ship, small_enough, spread, words_of
 
 #: An item is looked up by windows of the largest of these lengths that it fills, a quarter of a window apart.
 WINDOWS = (6, 12, 24, 48)
@@ -206,9 +206,9 @@ def randomised_svd(passages: DataFrame, local: np.ndarray, rank: int, rounds: in
     x = np.linalg.qr(np.random.default_rng(7).standard_normal((n_terms, width)))[0]
 
     def times(x: np.ndarray) -> np.ndarray:
-        parts = passages.mapInArrow(_product(spark.sparkContext.broadcast((x, local))), "block long, part binary")
+        parts = passages.mapInArrow(lean(_product(spark.sparkContext.broadcast((x, local)))), "block long, part binary")
         out = np.zeros_like(x)
-        for r in parts.repartition("block").sortWithinPartitions("block").mapInArrow(_sum_parts, "block long, part binary").toLocalIterator():
+        for r in parts.repartition("block").sortWithinPartitions("block").mapInArrow(lean(_sum_parts), "block long, part binary").toLocalIterator():
             out[r.block * 256 : r.block * 256 + 256] = np.frombuffer(r.part).reshape(-1, x.shape[1])
         return out
 
@@ -222,7 +222,7 @@ def randomised_svd(passages: DataFrame, local: np.ndarray, rank: int, rounds: in
 
 def document_frequencies(texts: DataFrame, vocabulary: dict[bytes, int]) -> np.ndarray:
     """In how many texts each word is; behind them the number of texts. A row for each word comes to the driver."""
-    counts = texts.mapInArrow(_frequencies(texts.sparkSession.sparkContext.broadcast(vocabulary)), "term long, n long").groupBy("term").agg(F.sum("n").alias("n"))
+    counts = texts.mapInArrow(lean(_frequencies(texts.sparkSession.sparkContext.broadcast(vocabulary))), "term long, n long").groupBy("term").agg(F.sum("n").alias("n"))
     df = np.zeros(len(vocabulary) + 1, dtype=np.int64)
     for r in counts.toLocalIterator():
         df[r.term] = r.n
@@ -233,7 +233,7 @@ def sample_windows(docs: DataFrame, text_col: str, id_hash) -> tuple[DataFrame,
     """At most FIT_WINDOWS windows of words of documents, the same for all blocks of items."""
     texts = docs.select(F.col(text_col).cast("string").alias("text"), id_hash.alias("h")).where("text is not null")
     hashes, hash_path = materialize(texts.select("h").orderBy("h").limit(FIT_DOCS).distinct(), "latent-sample")
-    windows, at = materialize(texts.join(F.broadcast(hashes), "h").select("text").mapInArrow(_windows(WINDOWS[-1]), "words array<binary>").limit(FIT_WINDOWS), "latent-windows")
+    windows, at = materialize(texts.join(F.broadcast(hashes), "h").select("text").mapInArrow(lean(_windows(WINDOWS[-1])), "words array<binary>").limit(FIT_WINDOWS), "latent-windows")
     return windows, [hash_path, at]
 
 
@@ -246,7 +246,7 @@ def build_block(windows: DataFrame, items: list[tuple[int, list[bytes], list[tup
     df = np.array([frequency.get(w, 0) for w in vocabulary], dtype=np.int64)
     idf = np.maximum(np.log((n_texts + 1) / (df + 1)), 0.05)
     other = float(np.median(idf))
-    sampled, sample_path = materialize(windows.mapInArrow(_weighed(spark.sparkContext.broadcast((vocabulary, idf, other))), "terms array<long>, weights array<double>"), "latent-weighed")
+    sampled, sample_path = materialize(windows.mapInArrow(lean(_weighed(spark.sparkContext.broadcast((vocabulary, idf, other)))), "terms array<long>, weights array<double>"), "latent-weighed")
     held = [(i, words[s:e]) for i, (_, words, spans) in enumerate(items) for s, e in spans]
     units = [_unit(np.array([vocabulary[w] for w in words], dtype=np.int64), idf, other) for _, words in held]
     item, sizes = np.array([i for i, _ in held]), np.array([len(words) for _, words in held])
@@ -410,9 +410,9 @@ def mark_contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_
         following = next(blocks, None)
         if following is None and not hits:
             discard(spark, *paths)
-            return spread(docs).mapInArrow(_search(built, docs.columns.index(text_col)), empty.schema)
+            return spread(docs).mapInArrow(lean(_search(built, docs.columns.index(text_col))), empty.schema)
         keyed = docs.select(key.alias("__talus_row"), F.col(text_col).cast("string").alias("__talus_text"))
-        found = spread(keyed).mapInArrow(_search(built, 1), keyed.select("*", F.array().cast("array<bigint>").alias("__talus_items"), F.lit(0.0).alias("__talus_common")).schema)
+        found = spread(keyed).mapInArrow(lean(_search(built, 1)), keyed.select("*", F.array().cast("array<bigint>").alias("__talus_items"), F.lit(0.0).alias("__talus_common")).schema)
         found, at = materialize(found.where(F.size("__talus_items") > 0).select("__talus_row", "__talus_items", "__talus_common"), "decontam-hits")
         built.destroy()
         hits.append(found)

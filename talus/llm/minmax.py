@@ -12,7 +12,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import bytes_of, components, discard, least_neighbours, materialize, retire, shingles_of, ship, small_enough, spread
+from .common import bytes_of, components, discard, lean, least_neighbours, materialize, retire, shingles_of, ship, small_enough, spread
 
 #: 90 permutations give 180 values: 30 bands of 6. A pair at similarity 0.85 is in no common band with
 #: probability (1 - 0.85**6)**30 < 7e-7, at 0.8 below 1.3e-4.
@@ -197,7 +197,7 @@ def link_groups(members: DataFrame, payload, near, prepare, block: int, what: st
         n = rows.count()
         rows = F.broadcast(rows) if small_enough(n, 60) else rows
         full = payload(rows).select(*unit, "side", "blocks", "id", "payload")
-        return materialize(full.repartition(*unit).sortWithinPartitions(*unit).mapInArrow(_linked(near, prepare), schema), what)
+        return materialize(full.repartition(*unit).sortWithinPartitions(*unit).mapInArrow(lean(_linked(near, prepare)), schema), what)
 
     every = F.sequence(F.lit(0), F.col("blocks") - 1)
     stars = placed.select("grp", F.explode(F.when(F.col("first"), every).otherwise(F.array("block"))).alias("u1"), F.lit(-1).alias("u2"), F.lit(0).alias("side"), "blocks", "id")
@@ -226,7 +226,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     spark = docs.sparkSession
     ship(spark)
     base = spread(docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")))
-    sketched, sketch_path = materialize(base.mapInArrow(_sketch(shingle), "doc_id long, n_shingles long, set_key binary, bands array<long>, short binary"), "minmax-sketch")
+    sketched, sketch_path = materialize(base.mapInArrow(lean(_sketch(shingle)), "doc_id long, n_shingles long, set_key binary, bands array<long>, short binary"), "minmax-sketch")
     # Equal sets are one class from here on; only its smallest id goes further.
     classes, class_path = materialize(sketched.where("set_key is not null and doc_id is not null").groupBy("set_key").agg(F.min(F.struct("doc_id", "bands", "short")).alias("r")).select("set_key", F.col("r.doc_id").alias("rep"), F.col("r.bands").alias("bands"), F.col("r.short").alias("short")), "minmax-classes")
     repeated, repeated_path = materialize(sketched.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n"), F.min("set_key").alias("first_key")).where("n > 1 and doc_id is not null and first_key is not null").select("doc_id", "first_key"), "minmax-repeated")

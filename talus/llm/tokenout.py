@@ -16,7 +16,7 @@ import numpy as np
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import bytes_of, discard, fresh_path, materialize, retire, ship
+from .common import HELD, bytes_of, discard, fresh_path, lean, materialize, retire, ship
 
 MAGIC = b"TALUSVB1"
 #: A shard is closed at the end of the document that reaches this many tokens.
@@ -243,14 +243,13 @@ class WordIds:
         return [flat[upto[i] : upto[i + 1]] for i in range(len(texts))]
 
 
-_WORDS: dict[str, WordIds] = {}
-
-
 def _words(path: str) -> WordIds:
-    if path not in _WORDS:
-        _WORDS.clear()
-        _WORDS[path] = WordIds(path)
-    return _WORDS[path]
+    """The worker's encoder, for the next tasks of this operator too."""
+    key = (__name__, path)
+    if key not in HELD:
+        HELD.clear()
+        HELD[key] = WordIds(path)
+    return HELD[key]
 
 
 def shard_name(partition: int, k: int) -> str:
@@ -294,7 +293,6 @@ def _write(out: str, vocabulary: str, end_id: int):
                         yield close()
         if docs:
             yield close()
-        pa.default_memory_pool().release_unused()  # workers are used again by other stages
 
     return run
 
@@ -312,7 +310,7 @@ def write_tokens(docs: DataFrame, vocabulary: str, out: str, id_col: str = "doc_
     hadoop.getFileSystem(spark._jsc.hadoopConfiguration()).mkdirs(hadoop)
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     ordered = rows.repartitionByRange(F.col("doc_id").asc_nulls_first()).sortWithinPartitions(F.col("doc_id").asc_nulls_first(), "text")
-    manifest, at = materialize(ordered.mapInArrow(_write(from_uri_safe, vocabulary, end_id), "shard string, n_docs long, n_tokens long, n_bytes long"), "token-manifest")
+    manifest, at = materialize(ordered.mapInArrow(lean(_write(from_uri_safe, vocabulary, end_id), __name__), "shard string, n_docs long, n_tokens long, n_bytes long"), "token-manifest")
     retire(spark, at)
     return manifest
 
@@ -344,7 +342,7 @@ def read_tokens(spark: SparkSession, out: str) -> DataFrame:
     Spark lists the shards and deals them to tasks; a task opens one after the other, so it holds one at a time."""
     ship(spark)
     files = spark.read.format("binaryFile").option("pathGlobFilter", "shard-*.svb").load(out).select("path")
-    rows, at = materialize(files.mapInArrow(_read(out if "://" in out else f"file://{out}"), "shard string, doc_id long, within long, n_tokens long, ids_crc32 long"), "token-digest")
+    rows, at = materialize(files.mapInArrow(lean(_read(out if "://" in out else f"file://{out}")), "shard string, doc_id long, within long, n_tokens long, ids_crc32 long"), "token-digest")
     retire(spark, at)
     shards = rows.groupBy("shard").agg(F.sum("n_tokens").alias("n"))
     before = F.sum("n").over(Window.orderBy("shard").rowsBetween(Window.unboundedPreceding, -1))

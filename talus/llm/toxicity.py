@@ -12,7 +12,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import discard, materialize, ship, spread
+from .common import discard, lean, materialize, ship, spread
 
 SLOT_BITS = 20
 #: The classifier is fitted on at most so many positive and unlabelled texts, those whose id hash comes first.
@@ -121,11 +121,11 @@ def train(docs: DataFrame, labels: DataFrame, usable: Column, id_col: str = "doc
     sample, at = materialize(positive.join(other, "id", "full"), "toxicity-sample")
     yes = lambda c: F.coalesce(c, F.lit(False)).alias(c)
     rows = spread(docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))).join(F.broadcast(sample), "id").select("id", yes("p"), yes("u"), "text")
-    counts = rows.select("p", "u", "text").mapInArrow(_counts, "slot int, p long, u long").groupBy("slot").agg(F.sum("p").alias("p"), F.sum("u").alias("u"))
+    counts = rows.select("p", "u", "text").mapInArrow(lean(_counts), "slot int, p long, u long").groupBy("slot").agg(F.sum("p").alias("p"), F.sum("u").alias("u"))
     counts = {r.slot: (r.p, r.u) for r in counts.where("p >= 3 or slot < 0").collect()}  # a row a slot at most
     n_p, n_u = counts.pop(-1, (0, 0))
     good = np.array(sorted(s for s, (p, u) in counts.items() if p * (n_u + 1) >= 2 * n_p * (u + 0.5)), dtype=np.int32)
-    picked = rows.mapInArrow(_picked(docs.sparkSession.sparkContext.broadcast(good)), rows.select("id", "p", "u", F.lit(None).cast("array<int>").alias("slots")).schema)
+    picked = rows.mapInArrow(lean(_picked(docs.sparkSession.sparkContext.broadcast(good))), rows.select("id", "p", "u", F.lit(None).cast("array<int>").alias("slots")).schema)
     got = sorted(picked.collect(), key=lambda r: (str(r.id), r.slots))
     discard(docs.sparkSession, at)
     as_array = lambda r: np.array(r.slots, dtype=np.int32)
@@ -179,7 +179,7 @@ def score_rows(docs: DataFrame, model: Model, text_col: str = "text") -> DataFra
     spark = docs.sparkSession
     ship(spark)
     schema = docs.select("*", F.lit(0.0).alias("__talus_toxicity")).schema
-    return spread(docs).mapInArrow(_score(spark.sparkContext.broadcast(model), docs.columns.index(text_col)), schema)
+    return spread(docs).mapInArrow(lean(_score(spark.sparkContext.broadcast(model), docs.columns.index(text_col))), schema)
 
 
 def toxicity(docs: DataFrame, labels: DataFrame, usable: Column, held_out: Column, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

@@ -734,3 +734,45 @@ def test_stems_of_letters_and_lower_case_give_the_library_s_ids():
     for some in (texts, *[[t] for t in texts]):
         got = tokenout.WordIds.encode(encoder, [t.encode() for t in some])
         assert [x.tolist() for x in got] == [x.tolist() for x in encoder._whole([t.encode() for t in some])]
+
+
+def test_a_worker_s_memory_goes_back_when_a_task_ends():
+    import pickle
+
+    import numpy as np
+    from pyspark import cloudpickle
+
+    from talus.llm import common
+
+    def resident() -> int:
+        with open("/proc/self/statm") as f:
+            return int(f.read().split()[1]) * 4096 >> 20
+
+    def fragments(batches):
+        yield from batches
+        rows = [np.full(1000 + i % 7, 1.0) for i in range(20_000)]  # 160 MB, below small ones that stay
+        return [(r[:1].copy(), bytes(600)) for r in rows]
+
+    def held(batches):
+        common.HELD["test", "rest"] = yield from fragments(batches)
+
+    common.HELD["other", "x"] = object()
+    before = resident()
+    assert list(common.lean(held, "test")(iter([1, 2]))) == [1, 2]
+    assert list(common.HELD) == [("test", "rest")] and resident() - before < 80
+    shipped = pickle.loads(cloudpickle.dumps(common.lean(iter)))  # as tasks get it
+    assert list(shipped(iter([3]))) == [3] and not common.HELD
+
+
+def test_maps_of_the_pipeline_s_operators_give_memory_back(monkeypatch, spark):
+    seen, kind = [], type(spark.range(1))
+    plain = kind.mapInArrow
+    monkeypatch.setattr(kind, "mapInArrow", lambda self, f, *a, **b: seen.append(f.__qualname__) or plain(self, f, *a, **b))
+    rows = docs(spark, [(i, f"some words of document {i}", "en", "s") for i in range(4)])
+    items = spark.createDataFrame([(1, "words of an item")], "item_id long, text string")
+    labels = spark.createDataFrame([(0, 1), (1, 0)], "doc_id long, toxic int")
+    tokenout.token_output(rows, queries.vocabulary_path())
+    toxicity.toxicity(rows, labels, F.lit(True), F.lit(False))
+    decontam.decontaminate(rows, items)
+    minmax.near_duplicates(rows, percent=80)
+    assert len(seen) >= 10 and set(seen) == {"lean.<locals>.go"}
