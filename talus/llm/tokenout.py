@@ -10,7 +10,8 @@ doc ids int64[n_docs]; null ids uint8[n_docs]; lengths uint64[n_docs]; control u
 from __future__ import annotations
 
 import struct
-from itertools import chain
+from collections.abc import Iterator
+from itertools import chain, repeat
 
 import numpy as np
 from pyspark.sql import DataFrame, SparkSession, Window
@@ -22,6 +23,8 @@ MAGIC = b"TALUSVB1"
 #: A shard is closed at the end of the document that reaches this many tokens.
 SHARD_TOKENS = 1 << 20
 _STEP = 1 << 20
+#: Texts are encoded in one call until they reach so many bytes.
+TOGETHER = 1 << 20
 #: Distinct words that a worker remembers the ids of.
 REMEMBERED = 300_000
 _TABLE = ((np.arange(256)[:, None] >> (2 * np.arange(4))) & 3).astype(np.uint8) + np.uint8(1)
@@ -128,17 +131,10 @@ class _Table:
         return size, _pick(self.start[which], size, self.flat)
 
 
-class _Numbered(dict):
-    """Numbers keys as they are first asked for and lists the new ones."""
+def _strings(column) -> list[bytes]:
+    import pyarrow as pa
 
-    def __init__(self, keys=()):
-        super().__init__(zip(keys, range(len(keys))))
-        self.new: list[bytes] = []
-
-    def __missing__(self, key):
-        self.new.append(key)
-        n = self[key] = len(self)
-        return n
+    return column.cast(pa.large_binary()).to_numpy(zero_copy_only=False).tolist()
 
 
 class WordIds:
@@ -147,8 +143,9 @@ class WordIds:
     The tokenizer drops white space and never joins what it parts, so a text's ids are those of its words in a row.
     It also parts a letter from plain punctuation behind it and lower-cases, so a word is a stem in lower case and its
     tail; a stem of Latin letters goes to the library's model as it is, for normalizing and parting leave it alone. The
-    words asked for most are remembered. Whether all that holds for a vocabulary is tried on probes first; stems go
-    through the whole tokenizer, or texts as they are, where it doesn't."""
+    words asked for most are remembered, stems and tails among them, and of the texts of one call each distinct word is
+    looked up once. Whether all that holds for a vocabulary is tried on probes first; stems go through the whole
+    tokenizer, or texts as they are, where it doesn't."""
 
     TAIL = b".,;:!?#$%&*"
     PROBES = (
@@ -156,6 +153,8 @@ class WordIds:
         "Hello, WORLD!! It'S DON'T A.B (X). ÉCOLE, ŒUVRE. AǅB Ǆ. Ēa İX, 12ªB Straße. NO-ONE \x1cABC\x1f",
     )
     LETTERS = [*"abcdefghijklmnopqrstuvwxyzªµºßàáâãäåæçèéêëìíîïðñòóôõöøùúûüýþÿ", "the", "s", "re", "straße", "ungewöhnlich", "señor", "anthropologists", "zzqxj", "élèveª", "ndthwhere"]
+    #: What goes to the model as it is: letters of Latin-1 in lower case.
+    LATIN = "^[a-zªµºß-öø-ÿ]+$"
     #: All bytes of code points below U+0300: without combining marks A-Z may be lower-cased before composition too.
     PLAIN = bytes(range(0xCC))
 
@@ -168,9 +167,10 @@ class WordIds:
         self.tokenizer = Tokenizer.from_file(path)
         self.letters = Tokenizer(self.tokenizer.model)
         self.letters.pre_tokenizer = pre_tokenizers.Sequence([pre_tokenizers.CharDelimiterSplit(" "), pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)])
-        self.words, self.word_ids = _Numbered(), _Table()
-        sizes, flat = self._by_letters(self.LETTERS)
-        whole = self._whole([x.encode() for x in self.LETTERS])
+        self.words, self.word_ids = {}, _Table()
+        letters = [x.encode() for x in self.LETTERS]
+        sizes, flat = self._by_letters(letters)
+        whole = self._whole(letters)
         self.by_letters = sizes.tolist() == [len(x) for x in whole] and flat.tolist() == np.concatenate(whole).tolist()
         self.by_word = True
         self.by_word = all(self.encode([x.encode()])[0].tolist() == self._whole([x.encode()])[0].tolist() for x in self.PROBES)
@@ -178,12 +178,12 @@ class WordIds:
     def _whole(self, texts: list[bytes]) -> list[np.ndarray]:
         return [np.array(e.ids, dtype=np.uint32) for e in self.tokenizer.encode_batch_fast([t.decode() for t in texts], add_special_tokens=False)]
 
-    def _by_letters(self, stems: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    def _by_letters(self, stems: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
         """Sizes and ids of stems of letters, many in one call."""
         sizes, flat = [], []
         for at in range(0, len(stems), 512):
             some = stems[at : at + 512]
-            e = self.letters.encode(" ".join(some), add_special_tokens=False)
+            e = self.letters.encode(b" ".join(some).decode(), add_special_tokens=False)
             sizes.append(np.bincount(np.array(e.word_ids, dtype=np.int64), minlength=len(some)))
             flat.append(np.array(e.ids, dtype=np.uint32))
         return (np.concatenate(sizes), np.concatenate(flat)) if stems else (np.zeros(0, np.int64), np.zeros(0, np.uint32))
@@ -202,19 +202,34 @@ class WordIds:
             return word, b""
         return (text.lower().encode() if max(text) < "\u0100" else stem), word[len(stem) :]
 
-    def _learn(self) -> None:
-        pieces, ids = _Numbered(), _Table()
-        pairs = np.fromiter(map(pieces.__getitem__, chain.from_iterable(map(self._parts, self.words.new))), dtype=np.int64, count=2 * len(self.words.new))
-        texts = b" ".join(pieces.new).decode().split(" ")
-        plain = np.fromiter((self.by_letters and x.isalpha() and (x.isascii() or max(x) < "\u0100") for x in texts), dtype=bool, count=len(texts))
-        sizes, flat = self._by_letters([texts[i] for i in np.flatnonzero(plain)])
-        rest = [np.array(e.ids, dtype=np.uint32) for e in self.tokenizer.encode_batch_fast([texts[i] for i in np.flatnonzero(~plain)], add_special_tokens=False)]
-        sizes, flat = np.concatenate([sizes, np.fromiter(map(len, rest), dtype=np.int64, count=len(rest))]), np.concatenate([flat, *rest])
-        place = np.argsort(np.concatenate([np.flatnonzero(plain), np.flatnonzero(~plain)]))
-        ids.add(sizes[place], _pick((np.cumsum(sizes) - sizes)[place], sizes[place], flat))
-        sizes, flat = ids.gather(pairs)
-        self.word_ids.add(sizes.reshape(-1, 2).sum(axis=1), flat)
-        self.words.new = []
+    def _remember(self, words: list[bytes], sizes: np.ndarray, flat: np.ndarray) -> None:
+        self.words.update(zip(words, range(len(self.words), len(self.words) + len(words)), strict=True))
+        self.word_ids.add(sizes, flat)
+
+    def _places(self, words: list[bytes]) -> np.ndarray:
+        """Numbers of words; -1 where one isn't remembered."""
+        return np.fromiter(map(self.words.get, words, repeat(-1)), dtype=np.int64, count=len(words))
+
+    def _learn(self, new: list[bytes]) -> None:
+        """Stems and tails are words too: those already remembered don't go to the library again, whatever tail they had."""
+        import pyarrow as pa
+        import pyarrow.compute as pc
+
+        coded = pa.array(list(chain.from_iterable(map(self._parts, new))), pa.large_string()).dictionary_encode()
+        pieces = _strings(coded.dictionary)
+        lacking = self._places(pieces) < 0
+        plain = pc.match_substring_regex(coded.dictionary, self.LATIN).to_numpy(zero_copy_only=False) & self.by_letters
+        some = [pieces[i] for i in np.flatnonzero(lacking & plain)]
+        self._remember(some, *self._by_letters(some))
+        some = [pieces[i] for i in np.flatnonzero(lacking & ~plain)]
+        whole = self._whole(some)
+        self._remember(some, np.fromiter(map(len, whole), dtype=np.int64, count=len(whole)), np.concatenate([np.zeros(0, np.uint32), *whole]))
+        pairs = self._places(pieces)[coded.indices.to_numpy()].reshape(-1, 2)
+        n = self.word_ids.n
+        self.word_ids.hits[:n] += np.bincount(pairs.reshape(-1), minlength=n)
+        made = np.flatnonzero(self._places(new) < 0)
+        sizes, flat = self.word_ids.gather(pairs[made].reshape(-1))
+        self._remember([new[i] for i in made], sizes.reshape(-1, 2).sum(axis=1), flat)
 
     def _forget(self) -> None:
         """Keep the words asked for most, half as many as may be remembered; their counts are halved."""
@@ -222,24 +237,32 @@ class WordIds:
         at = len(hits) - 1 - REMEMBERED // 2
         kept = np.flatnonzero(hits > max(1, int(np.partition(hits, at)[at])))
         keys, old = list(self.words), self.word_ids
-        self.words, self.word_ids = _Numbered([keys[i] for i in kept]), _Table()
+        self.words, self.word_ids = {keys[k]: i for i, k in enumerate(kept)}, _Table()
         self.word_ids.add(*old.gather(kept))
         self.word_ids.hits[: len(kept)] = hits[kept] // 2
 
     def encode(self, texts: list[bytes]) -> list[np.ndarray]:
+        import pyarrow as pa
+        import pyarrow.compute as pc
+
         if not self.by_word:
             return self._whole(texts)
         if len(self.words) > REMEMBERED:
             self._forget()
-        split = [(t if t.translate(None, self.PLAIN) else t.lower()).split() for t in texts]
-        counts = [len(x) for x in split]
-        place = np.fromiter(map(self.words.__getitem__, chain.from_iterable(split)), dtype=np.int64, count=sum(counts))
-        if self.words.new:
-            self._learn()
+        split = pc.ascii_split_whitespace(pa.array([t if t.translate(None, self.PLAIN) else t.lower() for t in texts], pa.large_string()))
+        coded = split.flatten().dictionary_encode()
+        words = _strings(coded.dictionary)
+        at = self._places(words)
+        lacking = np.flatnonzero(at < 0)
+        if len(lacking):
+            new = [words[i] for i in lacking]
+            self._learn(new)
+            at[lacking] = self._places(new)
+        place = at[coded.indices.to_numpy()]
         n = self.word_ids.n
         self.word_ids.hits[:n] += np.bincount(place, minlength=n)
         sizes, flat = self.word_ids.gather(place)
-        upto = np.concatenate([[0], np.cumsum(sizes)])[np.concatenate([[0], np.cumsum(counts)])]
+        upto = np.concatenate([[0], np.cumsum(sizes)])[split.offsets.to_numpy()]
         return [flat[upto[i] : upto[i + 1]] for i in range(len(texts))]
 
 
@@ -252,6 +275,16 @@ def _words(path: str) -> WordIds:
     return HELD[key]
 
 
+def _runs(texts: list[bytes]) -> Iterator[tuple[int, int]]:
+    """From where to where texts are encoded in one call: as many as reach TOGETHER bytes."""
+    at = held = 0
+    for i, t in enumerate(texts, 1):
+        held += len(t)
+        if held >= TOGETHER or i == len(texts):
+            yield at, i
+            at, held = i, 0
+
+
 def shard_name(partition: int, k: int) -> str:
     """Names sort by partition and, within it, by turn: both have at most nine digits."""
     return f"shard-{partition:09d}-{k:09d}.svb"
@@ -283,8 +316,8 @@ def _write(out: str, vocabulary: str, end_id: int):
         end = np.array([end_id], dtype=np.uint32)
         for batch in batches:
             names, texts = batch.column(0).to_pylist(), bytes_of(batch.column(1))
-            for at in range(0, len(texts), 64):
-                for doc, x in zip(names[at : at + 64], encoder.encode(texts[at : at + 64]), strict=True):
+            for at, to in _runs(texts):
+                for doc, x in zip(names[at:to], encoder.encode(texts[at:to]), strict=True):
                     docs.append(doc)
                     lengths.append(len(x) + 1)
                     ids += [x, end]

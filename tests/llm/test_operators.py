@@ -727,6 +727,26 @@ def test_words_asked_for_most_outlast_a_full_memory(monkeypatch):
     assert asked[b"the"] == asked[b"house,"] == 1 and not asked[b"The"] and len(encoder.words) < 600
 
 
+def test_a_remembered_stem_goes_to_the_library_once_whatever_its_tail(monkeypatch):
+    from collections import Counter
+
+    asked, by_letters, whole = Counter(), tokenout.WordIds._by_letters, tokenout.WordIds._whole
+    encoder = tokenout.WordIds(queries.vocabulary_path())
+    text = lambda x: x if isinstance(x, str) else x.decode()
+    monkeypatch.setattr(tokenout.WordIds, "_by_letters", lambda self, stems: asked.update(map(text, stems)) or by_letters(self, stems))
+    monkeypatch.setattr(tokenout.WordIds, "_whole", lambda self, texts: asked.update(map(text, texts)) or whole(self, texts))
+    turns = [["Élqstem, x9y, qstem,"], ["qstem.", "élqstem; x9y?"], ["qstem élqstem x9y"], ["(qstem Qstem!!! élqstem... x9y%"], ["", " \v\f"], ["qstem,"]]
+    for some in turns:
+        raw = [t.encode() for t in some]
+        assert [x.tolist() for x in encoder.encode(raw)] == [x.tolist() for x in whole(encoder, raw)]
+    assert [asked[x] for x in ("qstem", "élqstem", "x9y")] == [1, 1, 1]
+
+
+def test_texts_of_one_call_are_bounded_in_bytes(monkeypatch):
+    monkeypatch.setattr(tokenout, "TOGETHER", 10)
+    assert list(tokenout._runs([b"x" * n for n in (4, 4, 4, 30, 0, 0, 9)])) == [(0, 3), (3, 4), (4, 7)] and list(tokenout._runs([])) == []
+
+
 def test_stems_of_letters_and_lower_case_give_the_library_s_ids():
     encoder = tokenout.WordIds(queries.vocabulary_path())
     assert encoder.by_word and encoder.by_letters
